@@ -73,8 +73,8 @@ def fingerprint(raw: bytes) -> tuple[int, int]:
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text in batch.column("text").to_pylist():
-            raw = normalised(kernels.encode(text))
+        for text in kernels.raw_texts(batch.column("text")):
+            raw = normalised(text)
             rows.append((*fingerprint(raw), len(raw), sha256(raw).hexdigest()))
         a, b, n, sha = zip(*rows, strict=True) if rows else ([], [], [], [])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "fp1", "fp2", "n_bytes", "text_sha256"])
@@ -84,8 +84,9 @@ def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Normalises texts; rows whose fingerprint is another (a repeated doc_id) go."""
     for batch in batches:
         texts, keep = [], []
-        for text, a, b, n in zip(*[batch.column(k).to_pylist() for k in ("text", "fp1", "fp2", "n_bytes")], strict=True):
-            raw = normalised(kernels.encode(text))
+        prints = [batch.column(k).to_pylist() for k in ("fp1", "fp2", "n_bytes")]
+        for text, a, b, n in zip(kernels.raw_texts(batch.column("text")), *prints, strict=True):
+            raw = normalised(text)
             texts.append(raw)
             keep.append(len(raw) == n and fingerprint(raw) == (a, b))
         out = batch.drop_columns(["text"]).append_column("text", pa.array(texts, pa.binary()))

@@ -7,9 +7,10 @@ whatever the batch holds; one text longer than that forms its own slice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 _U = np.uint64
@@ -48,11 +49,16 @@ def encode(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def slices(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def raw_texts(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 of an Arrow string column's cells, one at a time; null is empty."""
+    for cell in column:
+        yield cell.as_buffer().to_pybytes() if cell.is_valid else b""
+
+
+def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, texts as bytes) in slices of bounded size."""
     at, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        raw = encode(text)
+    for i, raw in enumerate(raw_texts(column)):
         if held and size + len(raw) > SLICE_BYTES:
             yield at, held
             at, held, size = i, [], 0

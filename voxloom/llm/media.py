@@ -114,7 +114,7 @@ def _stored_form(form: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = encode_pgm if form == "pgm" else encode_bmp
         for batch in batches:
-            for at, texts in kernels.slices(batch.column("text").to_pylist()):
+            for at, texts in kernels.slices(batch.column("text")):
                 media = [to(np.frombuffer(raw.ljust(max(1, -(-len(raw) // WIDTH)) * WIDTH, b"\0"), np.uint8).reshape(-1, WIDTH)) for raw in texts]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, len(texts)), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())],

@@ -171,7 +171,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = 500, sa
 def _scored(net: Network, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = pa.array([probability(net, kernels.encode(t)) for t in batch.column("text").to_pylist()], pa.float64())
+            score = pa.array([probability(net, t) for t in kernels.raw_texts(batch.column("text"))], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in extra], score], names=[*extra, "score"])
 
     return run

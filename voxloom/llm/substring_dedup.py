@@ -51,7 +51,7 @@ def _digest(words: np.ndarray) -> bytes:
 def _scanned(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in kernels.slices(batch.column("text").to_pylist()):
+            for at, texts in kernels.slices(batch.column("text")):
                 words, first = kernels.word_hashes(texts)
                 halves, smallest = _anchors(words, window)
                 out: list[list] = [[], [], [], [], []]
@@ -74,7 +74,7 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in ("row", "copies", "digest", "repeated")]
-            for at, texts in kernels.slices(batch.column("text").to_pylist()):
+            for at, texts in kernels.slices(batch.column("text")):
                 words, first = kernels.word_hashes(texts)
                 _, smallest = _anchors(words, window)
                 full = kernels.window_hashes(words, window)
@@ -104,10 +104,9 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
 def _removed(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, starts, digests, texts = (batch.column(k).to_pylist() for k in ("row", "starts", "digest", "text"))
+            rows, starts, digests = (batch.column(k).to_pylist() for k in ("row", "starts", "digest"))
             out = []
-            for row, at, digest, text in zip(rows, starts, digests, texts, strict=True):
-                raw = kernels.encode(text)
+            for row, at, digest, raw in zip(rows, starts, digests, kernels.raw_texts(batch.column("text")), strict=True):
                 words = raw.split()
                 if _digest(kernels.word_hashes([raw])[0]) != digest:
                     continue
