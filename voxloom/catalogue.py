@@ -1,6 +1,545 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries of the reference's operators and their DuckDB SQL.
+
+Names begin with the operator's identity in the survey.  Doubles are rounded
+where engines may add in another order.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geometry
+from .operators import algebra, clustering, components, records, segmentation, stats, stencil, timeseries, tracking
+from .plans import adapters
+from .plans.adapters import DIMS, POINTS, RECORDS, ROI, RULERS, VOX, voxels
+from .sources import export
+from .streaming import frames
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def longs(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def channel(spark: SparkSession, sf_dir: str, c: int) -> DataFrame:
+    return voxels(spark, sf_dir).where(F.col("c") == c)
+
+
+# 2.3 voxel algebra
+_AB = f"""WITH {VOX}, j AS (SELECT t, z, y, x, coalesce(a.v/255.0::DOUBLE,0) va, coalesce(b.v/255.0::DOUBLE,0) vb, coalesce(a.mask/255.0::DOUBLE,0) ma, coalesce(b.mask/255.0::DOUBLE,0) mb
+ FROM (SELECT * FROM vox WHERE c=0) a FULL JOIN (SELECT * FROM vox WHERE c=1) b USING (t,z,y,x))"""
+
+
+@query(f"""{_AB} SELECT t, z, y, x, round(greatest(va-vb,0),6) AS subtract, round(least(va+vb,1),6) AS "add",
+ round(CASE WHEN va>1e-5 AND vb>1e-5 THEN least(va/vb,1) ELSE 0 END,6) AS divide, round(least(va,vb),6) AS intersect, round(least(va*ma,vb*mb),6) AS intersect_masked FROM j""")
+def p01_p05_combine(spark, sf_dir):
+    return rounded(algebra.combine(channel(spark, sf_dir, 0), channel(spark, sf_dir, 1)), "subtract", "add", "divide", "intersect", "intersect_masked")
+
+
+@query(f"WITH {VOX} SELECT t, c, z, y, x, CAST(floor(v*(mask/255.0)+0.5) AS INT) AS v FROM vox")
+def p06_extract(spark, sf_dir):
+    return algebra.extract(voxels(spark, sf_dir)).select("t", "c", "z", "y", "x", "v")
+
+
+@query(f"WITH {VOX} SELECT t, c, z, y, x, CAST(floor(v*(1-mask/255.0)+0.5) AS INT) AS v FROM vox")
+def p07_delete(spark, sf_dir):
+    return algebra.extract(voxels(spark, sf_dir), inverse=True).select("t", "c", "z", "y", "x", "v")
+
+
+@query(f"""WITH {VOX}, f AS (SELECT t,c,z,y,x FROM vox WHERE v>60),
+b AS (SELECT t,c,min(z) lz,max(z) hz,min(y) ly,max(y) hy,min(x) lx,max(x) hx FROM f GROUP BY 1,2),
+g AS (SELECT b.*, z.z, y.y, x.x FROM b, range(0,7) z(z), range(0,32) y(y), range(0,50) x(x) WHERE z.z BETWEEN lz AND hz AND y.y BETWEEN ly AND hy AND x.x BETWEEN lx AND hx),
+m AS (SELECT g.*, f.t IS NOT NULL AS o FROM g LEFT JOIN f ON g.t=f.t AND g.c=f.c AND g.z=f.z AND g.y=f.y AND g.x=f.x),
+k AS (SELECT *, max(CASE WHEN o THEN x END) OVER (PARTITION BY t,c,z,y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) xa,
+ min(CASE WHEN o THEN x END) OVER (PARTITION BY t,c,z,y ORDER BY x ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) xb,
+ max(CASE WHEN o THEN y END) OVER (PARTITION BY t,c,z,x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ya,
+ min(CASE WHEN o THEN y END) OVER (PARTITION BY t,c,z,x ORDER BY y ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) yb,
+ max(CASE WHEN o THEN z END) OVER (PARTITION BY t,c,y,x ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) za,
+ min(CASE WHEN o THEN z END) OVER (PARTITION BY t,c,y,x ORDER BY z ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) zb FROM m)
+SELECT t, c, CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, 255 AS v FROM k WHERE o OR (x-xa<=floor((hx-lx+1)/2) AND xb-x<=floor((hx-lx+1)/2)
+ AND y-ya<=floor((hy-ly+1)/2) AND yb-y<=floor((hy-ly+1)/2) AND z-za<=hz-lz+1 AND zb-z<=hz-lz+1)""")
+def p08_fill_holes(spark, sf_dir):
+    return algebra.fill_holes(voxels(spark, sf_dir), 60)
+
+
+@query(f"""WITH {VOX}, k AS (SELECT * FROM (VALUES (0,1.0,0.25,0.0),(1,0.0,1.0,0.5),(2,0.5,0.0,1.0)) q(c,r,g,b))
+SELECT t, z, y, x, CAST(least(sum(floor(r*v+0.5)),255) AS INT) AS r, CAST(least(sum(floor(g*v+0.5)),255) AS INT) AS g, CAST(least(sum(floor(b*v+0.5)),255) AS INT) AS b FROM vox JOIN k USING (c) GROUP BY 1,2,3,4""")
+def p09_rgb(spark, sf_dir):
+    colours = spark.createDataFrame([(0, 1.0, 0.25, 0.0), (1, 0.0, 1.0, 0.5), (2, 0.5, 0.0, 1.0)], "c int, r double, g double, b double")
+    return algebra.rgb(voxels(spark, sf_dir), colours)
+
+
+@query(f"WITH {VOX} SELECT t, z, y, x, round(sum(v)*0.25::DOUBLE,6) AS v FROM vox GROUP BY 1,2,3,4")
+def p11_average(spark, sf_dir):
+    return rounded(algebra.average_channels(voxels(spark, sf_dir), 0.25), "v")
+
+
+@query(f"""WITH {VOX}, u AS (SELECT t,c,z,y,x, v/255.0::DOUBLE w FROM vox)
+SELECT t,c,z,y,x, round(CASE WHEN w<0.3 THEN CASE WHEN w>0.2 THEN 1-(0.3-w)/0.1 ELSE 0 END WHEN w>0.8 THEN CASE WHEN w<0.9 THEN 1-(w-0.8)/0.1 ELSE 0 END ELSE 1 END * pow(least(greatest(w/0.9,0),1),1/1.5),6) AS v FROM u""")
+def p10_x01_transfer(spark, sf_dir):
+    return voxels(spark, sf_dir).select("t", "c", "z", "y", "x", F.round(geometry.transferred(algebra.unit(), 0.3, 0.8, 0.1, 0.9, 1.5), 6).alias("v"))
+
+
+@query(f"""WITH {VOX}, j AS (SELECT t,z,y,x, coalesce(a.mask,0) a, coalesce(b.mask,0) b FROM (SELECT * FROM vox WHERE c=0) a FULL JOIN (SELECT * FROM vox WHERE c=1) b USING (t,z,y,x))
+SELECT t,z,y,x, b AS m_replace, greatest(a,b) AS m_union, CASE WHEN a>0 AND b>0 THEN 0 ELSE a END AS m_exclude, least(a,b) AS m_intersect FROM j""")
+def u01_masks(spark, sf_dir):
+    a, b = channel(spark, sf_dir, 0), channel(spark, sf_dir, 1)
+    out = None
+    for how in ("replace", "union", "exclude", "intersect"):
+        part = algebra.mask_union(a, b, how).withColumnRenamed("mask", f"m_{how}")
+        out = part if out is None else out.join(part, algebra.POSITION)
+    return out
+
+
+# 2.4 selection
+@query(f"WITH {VOX}, h AS (SELECT DISTINCT t,c,label FROM vox WHERE mask>0 AND label<>0) SELECT t,c,z,y,x,label, CASE WHEN h.label IS NOT NULL THEN 255 ELSE 0 END AS mask FROM vox LEFT JOIN h USING (t,c,label)")
+def f05_touched(spark, sf_dir):
+    return components.touched(voxels(spark, sf_dir)).select("t", "c", "z", "y", "x", "label", "mask")
+
+
+@query(f"WITH {VOX} SELECT t,c,label,count(*) AS n FROM vox WHERE label<>0 AND v>0 GROUP BY 1,2,3 HAVING count(*)>20 AND count(*)<200")
+def f03_size(spark, sf_dir):
+    return components.size_filter(components.component_stats(voxels(spark, sf_dir)), 20, 200).select("t", "c", "label", "n")
+
+
+@query(f"WITH {VOX} SELECT t,c,z,y,x,v FROM vox WHERE (x+0.5)/50>=0.2 AND (y+0.5)/32<=0.75 AND ((x+0.5)/50+(y+0.5)/32+(z+0.5)/7)>=1")
+def f11_clip_planes(spark, sf_dir):
+    v = voxels(spark, sf_dir)
+    planes = [(1.0, 0.0, 0.0, -0.2), (0.0, -1.0, 0.0, 0.75), (1.0, 1.0, 1.0, -1.0)]
+    return v.where(geometry.inside_planes((F.col("x") + 0.5) / 50, (F.col("y") + 0.5) / 32, (F.col("z") + 0.5) / 7, planes)).select("t", "c", "z", "y", "x", "v")
+
+
+@query(f"WITH {VOX} SELECT t,c,count_if(mask>0 AND x IN (10,40)) AS n FROM vox GROUP BY 1,2")
+def f13_box_faces(spark, sf_dir):
+    return stats.box_face_counts(voxels(spark, sf_dir), ["t", "c"], 10, 40)
+
+
+@query(f"WITH {VOX} SELECT t,c,z,y,x, CASE WHEN label=9 THEN 255 ELSE 0 END AS mask FROM vox")
+def f08_mask_only_id(spark, sf_dir):
+    return segmentation.mask_only_id(voxels(spark, sf_dir), 9).select("t", "c", "z", "y", "x", "mask")
+
+
+# 2.6 aggregations
+@query(f"""WITH {VOX} SELECT t,c,count_if(v>0) AS n, CAST(sum(CASE WHEN v>0 THEN v ELSE 0 END) AS BIGINT) AS total, count_if(v>0 AND mask>0) AS n_masked,
+ CAST(sum(CASE WHEN v>0 AND mask>0 THEN v ELSE 0 END) AS BIGINT) AS total_masked, min(CASE WHEN v>0 THEN v END) AS least, max(v) AS most, count_if(mask>0) AS mask_voxels,
+ CAST(sum(CASE WHEN mask>0 THEN v ELSE 0 END) AS BIGINT) AS mask_total FROM vox GROUP BY 1,2""")
+def a01_a03_a07_basic(spark, sf_dir):
+    return stats.basic(voxels(spark, sf_dir), ["t", "c"])
+
+
+@query(f"WITH {VOX} SELECT t,c,v,count(*) AS n FROM vox WHERE v>0 GROUP BY 1,2,3")
+def a04_histogram(spark, sf_dir):
+    return stats.integer_histogram(voxels(spark, sf_dir), ["t", "c"])
+
+
+@query(f"""WITH {VOX}, h AS (SELECT t,c,v,count(*) n FROM vox WHERE v>0 GROUP BY 1,2,3),
+k AS (SELECT *, sum(n) OVER (PARTITION BY t,c ORDER BY v) b, sum(n) OVER (PARTITION BY t,c) a, max(n) OVER (PARTITION BY t,c) m FROM h)
+SELECT t,c,min(CASE WHEN b>=floor(a/2) THEN v END) AS median, min(CASE WHEN n=m THEN v END) AS mode FROM k GROUP BY 1,2""")
+def a05_median_mode(spark, sf_dir):
+    return stats.order_statistics(voxels(spark, sf_dir), ["t", "c"])
+
+
+@query(f"WITH {VOX}, h AS (SELECT t,c,CAST(floor(v*14/255) AS INT) AS bin,count(*) AS n FROM vox GROUP BY 1,2,3) SELECT t,c,bin,n,round(n/sum(n) OVER (PARTITION BY t,c),6) AS share FROM h")
+def a08_a09_bins(spark, sf_dir):
+    return rounded(stats.binned_histogram(voxels(spark, sf_dir), ["t", "c"], 15), "share")
+
+
+@query(f"WITH {VOX}, h AS (SELECT t,c,CAST(floor(v*127/255) AS INT) AS bin,count(*) AS n FROM vox GROUP BY 1,2,3) SELECT t,c,bin,n,round(n/sum(n) OVER (PARTITION BY t,c),6) AS share FROM h")
+def a10_display_bins(spark, sf_dir):
+    return rounded(stats.binned_histogram(voxels(spark, sf_dir), ["t", "c"], 128), "share")
+
+
+@query(f"""WITH {VOX} SELECT t,c,count(*) AS n,CAST(sum(v) AS BIGINT) AS total FROM vox
+ WHERE v>0 AND pow(((x+0.5-25)*12+(y+0.5-16)*0)/144.0,2)+pow(((x+0.5-25)*0+(y+0.5-16)*8)/64.0,2)<=1 GROUP BY 1,2""")
+def a13_t06_roi(spark, sf_dir):
+    return stats.ellipse_mean(voxels(spark, sf_dir), ["t", "c"], (25.0, 16.0), (12.0, 0.0), (0.0, 8.0))
+
+
+_PAIRS = f"""WITH {VOX}, p AS (SELECT a.t,a.c c1,b.c c2,CAST(sum(a.v*b.v) AS BIGINT) AS dot,count(*) AS n,CAST(sum(least(a.v,b.v)) AS BIGINT) AS least_sum,
+ count_if(a.v>64 AND a.v<=255 AND b.v>64 AND b.v<=255) AS inside, CAST(sum(CASE WHEN a.v>64 AND a.v<=255 AND b.v>64 AND b.v<=255 THEN a.v ELSE 0 END) AS BIGINT) AS inside_sum,
+ count_if(a.mask>0 AND b.mask>0) AS n_masked, CAST(sum(CASE WHEN a.mask>0 AND b.mask>0 THEN a.v*b.v ELSE 0 END) AS BIGINT) AS dot_masked
+ FROM vox a JOIN vox b ON a.t=b.t AND a.z=b.z AND a.y=b.y AND a.x=b.x WHERE a.v>0 AND b.v>0 GROUP BY 1,2,3)"""
+
+
+@query(f"{_PAIRS} SELECT * FROM p")
+def a14_a19_colocalization(spark, sf_dir):
+    return stats.colocalization(voxels(spark, sf_dir))
+
+
+@query(f"""{_PAIRS} SELECT p.t,p.c1,p.c2,round(CASE WHEN coalesce(j.dot,0)<>0 AND coalesce(i.dot,0)<>0 THEN 100.0::DOUBLE*p.dot/i.dot ELSE 0 END,6) AS ratio FROM p
+ LEFT JOIN p i ON i.t=p.t AND i.c1=p.c1 AND i.c2=p.c1 LEFT JOIN p j ON j.t=p.t AND j.c1=p.c2 AND j.c2=p.c2""")
+def a20_ratio(spark, sf_dir):
+    return rounded(stats.ratio_matrix(stats.colocalization(voxels(spark, sf_dir)), "dot"), "ratio")
+
+
+@query(f"""WITH {VOX} SELECT t,c,count(*) AS n,round(avg(x),6) AS mx,round(avg(y),6) AS my,round(avg(z),6) AS mz,round(covar_pop(x,x)*count(*),4) AS sxx,round(covar_pop(x,y)*count(*),4) AS sxy,
+ round(covar_pop(x,z)*count(*),4) AS sxz,round(covar_pop(y,y)*count(*),4) AS syy,round(covar_pop(y,z)*count(*),4) AS syz,round(covar_pop(z,z)*count(*),4) AS szz FROM vox WHERE mask>=1 GROUP BY 1,2""")
+def a22_scatter(spark, sf_dir):
+    s = stats.scatter(voxels(spark, sf_dir), ["t", "c"])
+    return rounded(rounded(s, "mx", "my", "mz"), "sxx", "sxy", "sxz", "syy", "syz", "szz", digits=4)
+
+
+@query(f"WITH {VOX}, s AS (SELECT t,c,label,count(*) n FROM vox WHERE label<>0 AND v>0 GROUP BY 1,2,3) SELECT t,c,count(*) AS comps,CAST(sum(n) AS BIGINT) AS voxels,round(sum(n)*3.0::DOUBLE,6) AS phys FROM s WHERE n>20 GROUP BY 1,2")
+def a23_component_count(spark, sf_dir):
+    s = components.size_filter(components.component_stats(voxels(spark, sf_dir)), 20)
+    return s.groupBy("t", "c").agg(F.count("*").alias("comps"), F.sum("n").alias("voxels"), F.round(F.sum("n") * 3.0, 6).alias("phys"))
+
+
+@query(f"WITH {VOX} SELECT t,c,min(x) AS lo_x,max(x) AS hi_x,min(y) AS lo_y,max(y) AS hi_y,min(z) AS lo_z,max(z) AS hi_z FROM vox WHERE mask>0 GROUP BY 1,2")
+def a28_bounds(spark, sf_dir):
+    return stats.bounds(voxels(spark, sf_dir), ["t", "c"])
+
+
+# 2.7 components
+_STATS = f"""WITH {VOX}, s AS (SELECT t,c,label,count(*) AS n,CAST(sum(v) AS BIGINT) AS total,min(v) AS least,max(v) AS most,min(x) AS lo_x,max(x) AS hi_x,min(y) AS lo_y,max(y) AS hi_y,
+ min(z) AS lo_z,max(z) AS hi_z,avg(v) AS mean,sqrt(greatest(0.0,(sum(v*v)-sum(v)*sum(v)/count(*))/count(*))) AS sigma,avg(x) AS cx,avg(y) AS cy,avg(z) AS cz FROM vox WHERE label<>0 AND v>0 GROUP BY 1,2,3)"""
+
+
+@query(f"{_STATS} SELECT * REPLACE (round(mean,6) AS mean, round(sigma,6) AS sigma, round(cx,6) AS cx, round(cy,6) AS cy, round(cz,6) AS cz) FROM s")
+def c01_component_stats(spark, sf_dir):
+    return rounded(components.component_stats(voxels(spark, sf_dir)), "mean", "sigma", "cx", "cy", "cz")
+
+
+@query(f"{_STATS} SELECT t,c,label,round(n*3.0::DOUBLE,6) AS phys_size,round(total*0.5::DOUBLE,6) AS phys_total,round(cx,6) AS px,round(cy,6) AS py,round(cz*3,6) AS pz FROM s")
+def c05_scaled(spark, sf_dir):
+    return rounded(components.scaled(components.component_stats(voxels(spark, sf_dir)), (1.0, 1.0, 3.0), 0.5), "phys_size", "phys_total", "px", "py", "pz")
+
+
+_OFF6 = "o(dz,dy,dx) AS (VALUES (0,0,1),(0,0,-1),(0,1,0),(0,-1,0),(1,0,0),(-1,0,0)), l AS (SELECT * FROM vox WHERE label<>0 AND v>0)"
+
+
+@query(f"""WITH {VOX}, {_OFF6}, n AS (SELECT a.t,a.c,a.z,a.y,a.x,count(*) AS same FROM l a CROSS JOIN o JOIN l b ON b.t=a.t AND b.c=a.c AND b.z=a.z+dz AND b.y=a.y+dy AND b.x=a.x+dx AND b.label=a.label GROUP BY 1,2,3,4,5)
+SELECT l.t,l.c,l.label,count(*) FILTER (WHERE coalesce(same,0)<6) AS n_surface,CAST(coalesce(sum(l.v) FILTER (WHERE coalesce(same,0)<6),0) AS BIGINT) AS total_surface FROM l LEFT JOIN n ON n.t=l.t AND n.c=l.c AND n.z=l.z AND n.y=l.y AND n.x=l.x GROUP BY 1,2,3""")
+def c06_surface(spark, sf_dir):
+    return components.surface(voxels(spark, sf_dir))
+
+
+@query()
+def c07_principal_lengths(spark, sf_dir):
+    v = voxels(spark, sf_dir).where("label <> 0 and v > 0").withColumn("mask", F.lit(255))
+    s = stats.scatter(v, ["t", "c", "label"]).where("n >= 2")
+
+    @F.pandas_udf("array<double>")
+    def lengths(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
+        m = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2)
+        return pd.Series(list(np.linalg.eigvalsh(m)[:, ::-1]))
+
+    return s.select("t", "c", "label", lengths("sxx", "sxy", "sxz", "syy", "syz", "szz").alias("lengths"))
+
+
+@query(f"WITH {VOX} SELECT a.t,a.c,a.label,b.c AS other,count(*) AS n,CAST(sum(b.v) AS BIGINT) AS total FROM vox a JOIN vox b ON a.t=b.t AND a.z=b.z AND a.y=b.y AND a.x=b.x WHERE a.label<>0 AND a.v>0 AND b.v>0 AND a.c<>b.c GROUP BY 1,2,3,4")
+def c12_j16_channel_overlap(spark, sf_dir):
+    return components.channel_overlap(voxels(spark, sf_dir))
+
+
+@query(f"WITH {VOX}, s AS (SELECT t,c,label,count(*) n FROM vox WHERE label<>0 AND v>0 GROUP BY 1,2,3) SELECT t,c,label,round((n-min(n) OVER ())/(max(n) OVER ()-min(n) OVER ()),6) AS shade FROM s")
+def c17_size_colour(spark, sf_dir):
+    return rounded(components.size_colour(components.component_stats(voxels(spark, sf_dir))), "shade")
+
+
+@query(f"WITH {VOX} SELECT DISTINCT t,c,label,(CAST(t AS BIGINT)<<32)|label AS ext,CASE WHEN label>20 THEN label|2147483648 ELSE label END AS fixed FROM vox WHERE label<>0")
+def c14_x15_ids(spark, sf_dir):
+    v = voxels(spark, sf_dir).where("label <> 0").select("t", "c", "label").distinct()
+    return v.select("t", "c", "label", geometry.extended_id(F.col("t"), F.col("label")).alias("ext"), geometry.fixed(F.col("label"), F.col("label"), 21).alias("fixed"))
+
+
+# 2.5 joins, 2.10 top-k
+_LINKS = f"""WITH {VOX}, l AS (SELECT * FROM vox WHERE label<>0 AND v>0), m AS (SELECT t,c,label,count(*) AS size,avg(x) mx,avg(y) my,avg(z) mz FROM l GROUP BY 1,2,3),
+k AS (SELECT a.t,a.c,a.label v1,b.label v2,count(*) AS n,CAST(sum(least(a.v,b.v)) AS BIGINT) AS total FROM l a JOIN l b ON b.t=a.t+1 AND b.c=a.c AND b.z=a.z AND b.y=a.y AND b.x=a.x GROUP BY 1,2,3,4),
+links AS (SELECT k.t,k.c,v1,v2,n,total,round(sqrt(pow(p.mx-q.mx,2)+pow(p.my-q.my,2)+pow(p.mz-q.mz,2)),6) AS dist FROM k JOIN m p ON p.t=k.t AND p.c=k.c AND p.label=v1 JOIN m q ON q.t=k.t+1 AND q.c=k.c AND q.label=v2)"""
+
+
+@query(f"{_LINKS} SELECT * FROM links")
+def j04_r02_frame_links(spark, sf_dir):
+    return tracking.frame_links(voxels(spark, sf_dir))
+
+
+@query(f"{_LINKS} SELECT *, row_number() OVER (PARTITION BY t,c,v1 ORDER BY total DESC,n DESC,v2) AS rank FROM links")
+def o03_ranked_links(spark, sf_dir):
+    return tracking.ranked_links(tracking.frame_links(voxels(spark, sf_dir)))
+
+
+@query(f"{_LINKS} SELECT *, max(total) OVER (PARTITION BY t,c,v1)-total < 0.2::DOUBLE*max(total) OVER (PARTITION BY t,c,v1) AS linked FROM links")
+def r08_r10_best_links(spark, sf_dir):
+    return tracking.best_links(tracking.frame_links(voxels(spark, sf_dir)))
+
+
+@query(f"""{_LINKS}, r AS (SELECT *, row_number() OVER (PARTITION BY t,c,v1 ORDER BY total DESC,n DESC,v2) AS rank, max(total) OVER (PARTITION BY t,c,v1) m FROM links),
+f AS (SELECT *, min(CASE WHEN NOT (m-total<0.2::DOUBLE*m) THEN rank END) OVER (PARTITION BY t,c,v1) g FROM r) SELECT t,c,v1,v2,n,total,dist,rank,(g IS NULL OR rank<g) AS kept FROM f""")
+def r09_trimmed_links(spark, sf_dir):
+    return tracking.trimmed_links(tracking.frame_links(voxels(spark, sf_dir)))
+
+
+_VALENCE = f"{_LINKS}, val AS (SELECT t,c,label,size,(SELECT count(*) FROM links WHERE links.t=m.t AND links.c=m.c AND v1=label) AS n_out,(SELECT count(*) FROM links WHERE links.t=m.t-1 AND links.c=m.c AND v2=label) AS n_in FROM m WHERE size>=25)"
+
+
+@query(f"{_VALENCE} SELECT * FROM val")
+def r06_valence(spark, sf_dir):
+    v = voxels(spark, sf_dir)
+    return tracking.valences(v, tracking.frame_links(v))
+
+
+@query(f"""{_VALENCE} SELECT t,c,count_if(t>(SELECT min(t) FROM val) AND n_in=0) AS orphans_in,count_if(t>(SELECT min(t) FROM val) AND n_in>1) AS multi_in,
+ count_if(t<(SELECT max(t) FROM val) AND n_out=0) AS orphans_out,count_if(t<(SELECT max(t) FROM val) AND n_out>1) AS multi_out FROM val GROUP BY 1,2""")
+def u07_r20_link_report(spark, sf_dir):
+    v = voxels(spark, sf_dir)
+    return tracking.link_report(tracking.valences(v, tracking.frame_links(v)))
+
+
+_CONTACTS = f"""con AS (SELECT a.t,a.c,least(a.label,b.label) a,greatest(a.label,b.label) b,count(*) AS n,CAST(sum(least(a.v,b.v)) AS BIGINT) AS total FROM l a CROSS JOIN o JOIN l b ON b.t=a.t AND b.c=a.c AND b.z=a.z+dz AND b.y=a.y+dy AND b.x=a.x+dx
+ WHERE a.label<>b.label AND least(a.v,b.v)>153 GROUP BY 1,2,3,4)"""
+
+
+@query(f"WITH {VOX}, {_OFF6}, {_CONTACTS} SELECT * FROM con")
+def j05_contacts(spark, sf_dir):
+    return components.contacts(voxels(spark, sf_dir))
+
+
+@query(f"""{_LINKS}, o(dz,dy,dx) AS (VALUES (0,0,1),(0,0,-1),(0,1,0),(0,-1,0),(1,0,0),(-1,0,0)), {_CONTACTS},
+p AS (SELECT DISTINCT x.t+1 AS t,x.c,x.v2 a,y.v2 b FROM links x JOIN links y ON x.t=y.t AND x.c=y.c AND x.v1=y.v1 WHERE x.v2<y.v2)
+SELECT p.t,p.c,p.a,p.b,con.n AS faces FROM p JOIN con ON con.t=p.t AND con.c=p.c AND con.a=p.a AND con.b=p.b JOIN m i ON i.t=p.t AND i.c=p.c AND i.label=p.a JOIN m j ON j.t=p.t AND j.c=p.c AND j.label=p.b
+WHERE con.n/least(i.size,j.size)>0.05""")
+def r04_merge_candidates(spark, sf_dir):
+    v = voxels(spark, sf_dir)
+    return tracking.merge_candidates(tracking.frame_links(v), components.contacts(v), components.component_stats(v), 0.05)
+
+
+@query(f"""{_STATS}, p AS (SELECT a.t,a.c,a.label a,b.label b,round(sqrt(pow(a.cx-b.cx,2)+pow(a.cy-b.cy,2)+pow(a.cz-b.cz,2)),6) AS dist FROM s a JOIN s b ON a.t=b.t AND a.c=b.c AND a.label<>b.label)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t,c,a ORDER BY dist,b) AS rank FROM p) WHERE rank<=3""")
+def j06_o01_nearest(spark, sf_dir):
+    return components.nearest_components(components.component_stats(voxels(spark, sf_dir)), 3)
+
+
+@query(f"""WITH {RECORDS}, q AS (SELECT rec_id q_id,hist q_hist FROM rec WHERE rec_id%100=0), p AS (SELECT q_id,rec_id,list_sum(list_transform(range(1,9), lambda i: (hist[i]-q_hist[i])*(hist[i]-q_hist[i])::DOUBLE)) AS dist FROM rec, q)
+SELECT q_id,rec_id,dist FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist,rec_id DESC) k FROM p) WHERE k=1""")
+def j09_nearest_record(spark, sf_dir):
+    r = adapters.records(spark, sf_dir).select("rec_id", "hist")
+    return records.nearest(r, r.where("rec_id % 100 = 0").select(F.col("rec_id").alias("q_id"), F.col("hist").alias("q_hist")))
+
+
+# 2.8 stencils; each oracle gathers clamped neighbours
+def _stencil_sql(value: str, offsets: str, final: str = "CAST(floor(least(greatest(r,0),1)*255+1e-6) AS INT)") -> str:
+    return f"""WITH {VOX}, s AS (SELECT DISTINCT t,c FROM vox), g AS (SELECT t,c,CAST(z AS INT) z,CAST(y AS INT) y,CAST(x AS INT) x FROM s,range(0,7) a(z),range(0,32) b(y),range(0,50) d(x)),
+o AS (SELECT * FROM range(-1,2) i(dz),range(-1,2) j(dy),range(-1,2) k(dx) WHERE {offsets}),
+q AS (SELECT g.t,g.c,g.z,g.y,g.x,dz,dy,dx,coalesce(v.v,0)/255.0::DOUBLE AS w FROM g CROSS JOIN o LEFT JOIN vox v ON v.t=g.t AND v.c=g.c AND v.z=least(greatest(g.z+dz,0),6) AND v.y=least(greatest(g.y+dy,0),31) AND v.x=least(greatest(g.x+dx,0),49)),
+e AS (SELECT t,c,z,y,x,{value} AS r FROM q GROUP BY 1,2,3,4,5), f AS (SELECT t,c,z,y,x,{final} AS v FROM e) SELECT * FROM f WHERE v<>0"""
+
+
+def _stencil(name: str, fn, value: str, offsets: str = "true") -> None:
+    def run(spark, sf_dir):
+        return stencil.apply(voxels(spark, sf_dir), DIMS, 1, fn)
+
+    run.__name__ = name
+    query(_stencil_sql(value, offsets))(run)
+
+
+_C = "sum(CASE WHEN dz=0 AND dy=0 AND dx=0 THEN w ELSE 0 END)"
+_stencil("w01_box", stencil.box_mean, "round(sum(w)/27,9)")
+_stencil("w02_max", stencil.dilate, "max(w)")
+_stencil("w03_min", stencil.erode, "min(w)")
+_stencil("w04_median", stencil.median, "list_sort(list(w))[13]")
+_stencil("w05_gradient", stencil.gradient, f"round(max(w)-{_C},9)")
+_stencil("w13_laplacian", stencil.laplacian, f"round(sum(w)-27*{_C},9)")
+_stencil("w14_sharpen", stencil.kernel(lambda dz, dy, dx: 2.0 if dz == dy == dx == 0 else (-1 / 26)), f"round(2*{_C}-(sum(w)-{_C})/26,9)")
+_stencil("w12_convolution", stencil.kernel(lambda dz, dy, dx: (dz + 2 * dy + 3 * dx + 7) / 189), "round(sum(w*(dz+2*dy+3*dx+7))/189,9)")
+_stencil("w10_gauss_2d", stencil.gaussian(1.0, True), "round(sum(w*exp(-(dz*dz+dy*dy+dx*dx)/2.0))/sum(exp(-(dz*dz+dy*dy+dx*dx)/2.0)),9)", "dz=0")
+_stencil("w11_gauss_3d", stencil.gaussian(1.0), "round(sum(w*exp(-(dz*dz+dy*dy+dx*dx)/2.0))/sum(exp(-(dz*dz+dy*dy+dx*dx)/2.0)),9)")
+_stencil("w09_gauss_2d_fixed", stencil.kernel(lambda dz, dy, dx: (2 - abs(dy)) * (2 - abs(dx)) / 16, True), "round(sum(w*(2-abs(dy))*(2-abs(dx)))/16,9)", "dz=0")
+_stencil("w08_gauss_3d_fixed", stencil.kernel(lambda dz, dy, dx: (2 - abs(dz)) * (2 - abs(dy)) * (2 - abs(dx)) / 64), "round(sum(w*(2-abs(dz))*(2-abs(dy))*(2-abs(dx)))/64,9)")
+_stencil("w15_sobel", stencil.sobel, "round(sqrt(pow(sum(w*dz*(2-abs(dy))*(2-abs(dx))),2)+pow(sum(w*dy*(2-abs(dz))*(2-abs(dx))),2)+pow(sum(w*dx*(2-abs(dz))*(2-abs(dy))),2)),9)")
+_stencil("w25_gradient_magnitude", stencil.central_gradient, "round(sqrt(pow(sum(w*dz)/2,2)+pow(sum(w*dy)/2,2)+pow(sum(w*dx)/2,2)),9)", "abs(dz)+abs(dy)+abs(dx)=1")
+_stencil("w06_erode_3d", stencil.direction_erode(False), "min(w)")
+_stencil("w06b_erode_2d", stencil.direction_erode(True), "min(w)", "dz=0")
+_stencil("w07b_background_2d", stencil.remove_background(0.01, 0.5, 1.5, True),
+         f"round(CASE WHEN stddev_pop(w)<0.01 OR {_C}-avg(w)<stddev_pop(w)*0.5 THEN 0 WHEN {_C}-avg(w)>stddev_pop(w)*1.5 THEN {_C}-avg(w) ELSE {_C} END,9)", "dz=0")
+_stencil("w07_background_3d", stencil.remove_background(0.01, 0.5, 1.5),
+         f"round(CASE WHEN stddev_pop(w)<0.01 OR {_C}-avg(w)<stddev_pop(w)*0.5 THEN 0 WHEN {_C}-avg(w)>stddev_pop(w)*1.5 THEN {_C}-avg(w) ELSE {_C} END,9)")
+_G = "(sum(w*exp(-(dz*dz+dy*dy+dx*dx)/2.0))/sum(exp(-(dz*dz+dy*dy+dx*dx)/2.0)))"
+_stencil("w16_wiener", stencil.wiener(1.0, 0.1), f"round({_C}*least(greatest({_G}/({_G}*{_G}+0.1),0),2),9)")
+
+
+@query(f"WITH {VOX} SELECT t,c,z,y,x,CASE WHEN v>=128 THEN 255 ELSE 0 END AS v FROM vox")
+def w18_binarize(spark, sf_dir):
+    return stencil.binarize(voxels(spark, sf_dir), 128).select("t", "c", "z", "y", "x", "v")
+
+
+@query(f"WITH {VOX} SELECT t,c,CAST(floor(z/4) AS INT) AS bz,CAST(floor(y/8) AS INT) AS by,CAST(floor(x/8) AS INT) AS bx,round(avg(v),6) AS mean,round(stddev_pop(v),6) AS sigma FROM vox GROUP BY 1,2,3,4,5")
+def w23_tiles(spark, sf_dir):
+    return rounded(stencil.tile_stats(voxels(spark, sf_dir), (4, 8, 8)), "mean", "sigma")
+
+
+# 2.9 time
+@query(f"WITH {RULERS}, s AS (SELECT ruler,t,x-lag(x) OVER w AS a,y-lag(y) OVER w AS b,z-lag(z) OVER w AS d FROM rul WINDOW w AS (PARTITION BY ruler ORDER BY t)) SELECT ruler,t,round(a/0.5::DOUBLE,6) AS vx,round(b/0.5::DOUBLE,6) AS vy,round(d/0.5::DOUBLE,6) AS vz FROM s WHERE a IS NOT NULL")
+def t01_speed(spark, sf_dir):
+    return rounded(timeseries.speeds(adapters.ruler_points(spark, sf_dir), 0.5), "vx", "vy", "vz")
+
+
+@query(f"WITH {ROI}, b AS (SELECT t,v FROM roi WHERE roi='click') SELECT roi,roi.t,round(CASE WHEN b.v>0 THEN roi.v/b.v::DOUBLE ELSE roi.v END,6) AS ratio FROM roi LEFT JOIN b ON roi.t=b.t WHERE roi<>'click'")
+def t05_ratio(spark, sf_dir):
+    return rounded(timeseries.over_background(adapters.roi_series(spark, sf_dir), "click"), "ratio")
+
+
+@query()
+def t02_t03_dff(spark, sf_dir):
+    return timeseries.dff(adapters.roi_series(spark, sf_dir), "click")
+
+
+@query(f"""WITH {RULERS}, k AS (SELECT * FROM rul WHERE t%3=0), p AS (SELECT r.ruler,r.t,max(k.t) a FROM rul r JOIN k ON k.ruler=r.ruler AND k.t<=r.t GROUP BY 1,2), n AS (SELECT r.ruler,r.t,min(k.t) b FROM rul r LEFT JOIN k ON k.ruler=r.ruler AND k.t>=r.t GROUP BY 1,2),
+j AS (SELECT p.ruler,p.t,CASE WHEN b>a THEN (p.t-a)/(b-a)::DOUBLE ELSE 0 END f,i.x ix,i.y iy,i.z iz,coalesce(q.x,i.x) qx,coalesce(q.y,i.y) qy,coalesce(q.z,i.z) qz FROM p JOIN n ON n.ruler=p.ruler AND n.t=p.t JOIN k i ON i.ruler=p.ruler AND i.t=a LEFT JOIN k q ON q.ruler=p.ruler AND q.t=b)
+SELECT ruler,t,round(ix+f*(qx-ix),6) AS x,round(iy+f*(qy-iy),6) AS y,round(iz+f*(qz-iz),6) AS z FROM j""")
+def t09_t10_key_frames(spark, sf_dir):
+    p = adapters.ruler_points(spark, sf_dir)
+    return rounded(timeseries.at_frames(p.where("t % 3 = 0"), p.select("ruler", "t")), "x", "y", "z")
+
+
+# 2.12 functions
+@query(f"WITH {RULERS}, s AS (SELECT ruler,sqrt(pow(x-lag(x) OVER w,2)+pow(y-lag(y) OVER w,2)+pow((z-lag(z) OVER w)/3.0::DOUBLE,2)) AS d FROM rul WINDOW w AS (PARTITION BY ruler ORDER BY t)) SELECT ruler,count(*) AS n,round(sum(coalesce(d,0)),4) AS length FROM s GROUP BY 1")
+def x04_x05_length(spark, sf_dir):
+    return rounded(geometry.ruler_lengths(adapters.ruler_points(spark, sf_dir), (1.0, 1.0, 3.0)), "length", digits=4)
+
+
+@query(f"WITH {RULERS}, a AS (SELECT ruler,t,x,y,z,degrees(atan2(-y::DOUBLE,sqrt(x*x+z*z))) g FROM rul) SELECT ruler,t,round(CASE WHEN x=0 AND y=0 AND z=0 THEN 0 WHEN g<0 THEN g+180 ELSE g END,6) AS angle FROM a")
+def x06_angle(spark, sf_dir):
+    p = adapters.ruler_points(spark, sf_dir)
+    return p.select("ruler", "t", F.round(geometry.elevation(F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double")), 6).alias("angle"))
+
+
+@query(f"""WITH {VOX}, h AS (SELECT DISTINCT label,(label%253)/45.0::DOUBLE AS hue FROM vox), i AS (SELECT label,CAST(floor(hue) AS INT) i,hue-floor(hue) f FROM h)
+SELECT label,round(CASE i WHEN 0 THEN 1 WHEN 1 THEN 1-f WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN f WHEN 5 THEN 1 ELSE 0 END,6)::DOUBLE AS r,round(CASE i WHEN 0 THEN f WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1-f ELSE 0 END,6)::DOUBLE AS g,
+round(CASE i WHEN 2 THEN f WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1-f ELSE 0 END,6)::DOUBLE AS b FROM i""")
+def x12_colour(spark, sf_dir):
+    v = voxels(spark, sf_dir).select("label").distinct()
+    r, g, b = geometry.label_colour(F.col("label"))
+    return rounded(v.select("label", r.alias("r"), g.alias("g"), b.alias("b")), "r", "g", "b")
+
+
+@query(f"""WITH {VOX}, p AS (SELECT DISTINCT z,y,x FROM vox) SELECT z,y,x,CAST(1+list_sum(list_transform(range(0,6), lambda k: (((x>>k)&1)<<(2*(5-k)))+(((y>>k)&1)<<(2*(5-k)+1))))+list_sum(list_transform(range(0,3), lambda k: ((z>>k)&1)<<(12+2-k))) AS BIGINT) AS id FROM p""")
+def x13_seed_ids(spark, sf_dir):
+    p = voxels(spark, sf_dir).select("z", "y", "x").distinct()
+    return p.select("z", "y", "x", geometry.interleaved_id(F.col("x"), F.col("y"), F.col("z"), 6, 3).alias("id"))
+
+
+@query("SELECT s_suppkey AS k,CASE WHEN regexp_matches(s_name,'\\d+\\D+\\d+') THEN CAST(regexp_extract(s_name,'(\\d+)',1) AS BIGINT) END AS brick,CAST(CASE WHEN regexp_matches(s_name,'\\d+\\D+\\d+') THEN regexp_extract(s_name,'\\d+\\D+(\\d+)',1) ELSE nullif(regexp_extract(s_name,'(\\d+)',1),'') END AS BIGINT) AS id FROM supplier")
+def x16_parse_id(spark, sf_dir):
+    brick, label = geometry.parsed_id(F.col("s_name"))
+    return adapters.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), brick.alias("brick"), label.alias("id"))
+
+
+# 2.13 segmentation
+@query(f"WITH {VOX} SELECT t,c,z,y,x,CASE WHEN mask=0 THEN 0 ELSE label END AS label FROM vox")
+def g11_clean_outside(spark, sf_dir):
+    return segmentation.clean_outside(voxels(spark, sf_dir)).select("t", "c", "z", "y", "x", "label")
+
+
+@query(f"WITH {VOX}, m AS (SELECT t,c,max(label)+10 f FROM vox GROUP BY 1,2) SELECT t,c,z,y,x,CASE WHEN mask>0 THEN f ELSE label END AS label FROM vox JOIN m USING (t,c)")
+def g12_new_id(spark, sf_dir):
+    return segmentation.new_id(voxels(spark, sf_dir)).select("t", "c", "z", "y", "x", "label")
+
+
+@query(f"WITH {VOX} SELECT t,c,z,y,x,CASE WHEN mask>0 AND label<>0 THEN 77 ELSE label END AS label FROM vox")
+def g13_replace_id(spark, sf_dir):
+    return segmentation.replace_id(voxels(spark, sf_dir), 77).select("t", "c", "z", "y", "x", "label")
+
+
+@query(f"WITH {VOX}, f AS (SELECT t,c,arg_min(label,z*10000+y*100+x) f FROM vox WHERE mask>0 AND label<>0 GROUP BY 1,2) SELECT t,c,z,y,x,CASE WHEN mask>0 AND label<>0 THEN f ELSE label END AS label FROM vox LEFT JOIN f USING (t,c)")
+def g14_combine_ids(spark, sf_dir):
+    return segmentation.combine_ids(voxels(spark, sf_dir)).select("t", "c", "z", "y", "x", "label")
+
+
+@query()
+def g01_grow(spark, sf_dir):
+    return segmentation.grow(voxels(spark, sf_dir), 200)
+
+
+@query(f"""WITH {VOX}, r AS (SELECT *, count(*) OVER (PARTITION BY t,c,label) size FROM vox WHERE label<>0 AND v>0), o AS (SELECT *, row_number() OVER (ORDER BY dz,dy,dx) ord FROM range(-1,2) i(dz),range(-1,2) j(dy),range(-1,2) k(dx) WHERE NOT (dz=0 AND dy=0 AND dx=0)),
+n AS (SELECT a.t,a.c,a.z,a.y,a.x,arg_min(b.label,(abs(dz)+abs(dy)+abs(dx))*100+ord) nl FROM r a CROSS JOIN o JOIN r b ON b.t=a.t AND b.c=a.c AND b.z=a.z+dz AND b.y=a.y+dy AND b.x=a.x+dx WHERE a.size<60 AND b.size>=60 AND b.v>=a.v GROUP BY 1,2,3,4,5)
+SELECT t,c,z,y,x,coalesce(nl,label) AS label FROM r LEFT JOIN n USING (t,c,z,y,x)""")
+def g06_clean_noise(spark, sf_dir):
+    return segmentation.clean_noise(voxels(spark, sf_dir), 60).select("t", "c", "z", "y", "x", "label")
+
+
+# 2.14 clustering
+@query()
+def m02_dbscan(spark, sf_dir):
+    return clustering.dbscan(adapters.points(spark, sf_dir), 120.0, 6)
+
+
+@query()
+def m05_kmeans(spark, sf_dir):
+    return clustering.kmeans(adapters.points(spark, sf_dir), 4)[0]
+
+
+@query()
+def m06_mixture(spark, sf_dir):
+    parts = clustering.gaussian_mixture(adapters.points(spark, sf_dir), 2, rounds=10)
+    return spark.createDataFrame([(i, float(p["tau"]), *map(float, p["mean"])) for i, p in enumerate(parts)], "part int, tau double, x double, y double, z double")
+
+
+@query()
+def r15_tracks(spark, sf_dir):
+    return tracking.tracks(tracking.frame_links(voxels(spark, sf_dir)))
+
+
+@query()
+def j08_orphan_links(spark, sf_dir):
+    v = voxels(spark, sf_dir)
+    return tracking.orphan_links(components.component_stats(v), tracking.frame_links(v))
+
+
+# 2.17 records
+@query(f"WITH {RECORDS}, b AS (SELECT * FROM rec UNION ALL SELECT rec_id+1000000,hist,param+1 FROM rec WHERE rec_id%5=0) SELECT array_to_string(hist,',') AS hist,max(rec_id) AS rec_id,arg_max(param,rec_id) AS param FROM b GROUP BY ALL")
+def d01_upsert(spark, sf_dir):
+    r = adapters.records(spark, sf_dir)
+    new = r.where("rec_id % 5 = 0").select((F.col("rec_id") + 1000000).alias("rec_id"), "hist", (F.col("param") + 1).alias("param"))
+    return records.upserted(r, new).select(F.array_join("hist", ",").alias("hist"), "rec_id", "param")
+
+
+@query(f"WITH {RECORDS} SELECT rec_id,param FROM rec WHERE rec_id%7<>0")
+def d03_delete(spark, sf_dir):
+    r = adapters.records(spark, sf_dir)
+    return records.deleted(r, r.where("rec_id % 7 = 0")).select("rec_id", "param")
+
+
+# 2.2 exports, 2.18 windows
+@query(f"""{_STATS} SELECT t,c,label,concat_ws(chr(9),label,n,total,least,most,lo_x,hi_x,lo_y,hi_y,lo_z,hi_z) AS line FROM s""")
+def k06_component_lines(spark, sf_dir):
+    return export.component_lines(components.component_stats(voxels(spark, sf_dir)))
+
+
+@query(f"""WITH {ROI}, b AS (SELECT t,v AS bg FROM roi WHERE roi='click'), o AS (SELECT roi AS obj,t,v FROM roi WHERE roi<>'click' AND t%2=0), g AS (SELECT obj,b.t,bg FROM (SELECT DISTINCT obj FROM o),b)
+SELECT obj,g.t,coalesce(o.v,bg,0) AS value FROM g LEFT JOIN o USING (obj,t)""")
+def k12_report_values(spark, sf_dir):
+    s = adapters.roi_series(spark, sf_dir)
+    local = s.where("roi <> 'click' and t % 2 = 0").select(F.col("roi").alias("obj"), "t", "v")
+    return export.report_values(local, s.where("roi = 'click'").select("t", F.col("v").alias("bg")))
+
+
+@query(f"WITH {ROI} SELECT roi,string_agg(v,', ' ORDER BY t) AS line FROM roi GROUP BY 1")
+def k13_series_lines(spark, sf_dir):
+    return export.series_lines(adapters.roi_series(spark, sf_dir))
+
+
+@query("SELECT date_trunc('day',ts)::TIMESTAMP AS start,event_type,count(*) AS n,CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1,2")
+def z_windows(spark, sf_dir):
+    return frames.windowed(adapters.table(spark, sf_dir, "events"))
