@@ -2,13 +2,14 @@
 
 Each page becomes three records: a request, a response (or a revisit of the
 capture with the same payload) and metadata.  A record ends with two CRLF,
-which is the text writer's line separator, so the files are plain WARC/1.1.
+which is the text writer's line separator, so the files are WARC/1.1, gzipped.
 Files hold ``FILE_RECORDS`` records at most, and are read whole, one to a row.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 from collections.abc import Iterator
 from hashlib import sha1
 
@@ -72,7 +73,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     html is an empty payload, a null url a urn of the page.
     """
     out = records(pages, least_bytes).write.option("lineSep", _END).option("encoding", "UTF-8")
-    out.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    out.option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -95,7 +96,7 @@ def _parsed(with_payload: bool):
         for batch in batches:
             for cell in batch.column("content"):
                 rows = []
-                for head, block in parse(cell.as_buffer().to_pybytes()):
+                for head, block in parse(gzip.decompress(cell.as_buffer())):
                     kind, ident = head["WARC-Type"], head["WARC-Record-ID"]
                     digest = size = fields = payload = None
                     if kind == "response":
