@@ -109,6 +109,8 @@ def _parsed(with_payload: bool):
                     elif kind == "metadata":
                         fields = bytes(block).decode("utf-8")
                     rows.append((ident, head.get("WARC-Concurrent-To", ident), kind, head.get("WARC-Target-URI"), head.get("WARC-Refers-To"), digest, fields, size, payload))
+                if not rows:
+                    continue
                 kinds = [pa.string()] * 7 + [pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
