@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry
-from .operators import algebra, clustering, components, records, segmentation, stats, stencil, timeseries, tracking
+from .operators import algebra, clustering, components, density, records, resample, segmentation, stats, stencil, timeseries, tracking
 from .plans import adapters
 from .plans.adapters import DIMS, POINTS, RECORDS, ROI, RULERS, VOX, voxels
 from .sources import export
@@ -543,3 +543,171 @@ def k13_series_lines(spark, sf_dir):
 @query("SELECT date_trunc('day',ts)::TIMESTAMP AS start,event_type,count(*) AS n,CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1,2")
 def z_windows(spark, sf_dir):
     return frames.windowed(adapters.table(spark, sf_dir, "events"))
+
+
+# 2.8 and 2.13 deconvolution, thinning, density and distance
+_stencil("w17_richardson_lucy", stencil.richardson_lucy(stencil.kernel(lambda dz, dy, dx: (2 - abs(dz)) * (2 - abs(dy)) * (2 - abs(dx)) / 64), 0.01), f"round({_C}*{_C}/(sum(w*(2-abs(dz))*(2-abs(dy))*(2-abs(dx)))/64+0.01),9)")
+_stencil("w22_density", lambda a, r: 0.8 * np.round(stencil.kernel(lambda dz, dy, dx: 1.0, True, True)(a, r), 12), "round(0.8*avg(w),9)", "dz=0")
+
+
+def _ring(p: tuple, q: tuple) -> str:
+    """SQL of one ring's test: 3 to 7 of eight neighbours, in one run."""
+    at = [tuple(i * u + j * w for u, w in zip(p, q, strict=True)) for i, j in [(-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1)]]
+    on = [f"max(CASE WHEN dz={z} AND dy={y} AND dx={x} AND w>=0.5 THEN 1 ELSE 0 END)" for z, y, x in at]
+    starts = "+".join(f"(1-{on[k - 1]})*{on[k]}" for k in range(8))
+    return f"({'+'.join(on)} BETWEEN 3 AND 7 AND {starts}=1)"
+
+
+_stencil("w20_thin", stencil.thin(0.5), f"CASE WHEN {_C}<0.5 OR ({' AND '.join(_ring(p, q) for p, q in stencil.RINGS)}) THEN 0 ELSE {_C} END")
+
+
+@query(f"""WITH {VOX}, w AS (SELECT * FROM vox WHERE v>0), t0 AS (SELECT t,c,CAST(floor(z/4) AS INT) bz,CAST(floor(y/8) AS INT) by_,CAST(floor(x/8) AS INT) bx,sum(v)/256.0::DOUBLE m,sum(v*v)/256.0::DOUBLE q FROM w GROUP BY 1,2,3,4,5),
+tl AS (SELECT t,c,bz,by_,bx,floor(m) AS mean,floor(least(sqrt(greatest(q-m*m,0)),255)) AS sigma FROM t0),
+p AS (SELECT *, CAST(floor(z/4.0-0.5) AS INT) gz,CAST(floor(y/8.0-0.5) AS INT) gy,CAST(floor(x/8.0-0.5) AS INT) gx FROM w),
+k AS (SELECT p.*,(CASE WHEN i=1 THEN z/4.0-0.5-gz ELSE 1-(z/4.0-0.5-gz) END)*(CASE WHEN j=1 THEN y/8.0-0.5-gy ELSE 1-(y/8.0-0.5-gy) END)*(CASE WHEN h=1 THEN x/8.0-0.5-gx ELSE 1-(x/8.0-0.5-gx) END) AS f,
+ least(greatest(gz+i,0),1) bz,least(greatest(gy+j,0),3) by_,least(greatest(gx+h,0),6) bx FROM p,range(0,2) a(i),range(0,2) b(j),range(0,2) d(h))
+SELECT k.t,k.c,k.z,k.y,k.x,CAST(floor(sum(f::DOUBLE*coalesce(mean,0))+1e-6) AS INT) AS mean,CAST(floor(sum(f::DOUBLE*coalesce(sigma,0))+1e-6) AS INT) AS sigma
+FROM k LEFT JOIN tl ON tl.t=k.t AND tl.c=k.c AND tl.bz=k.bz AND tl.by_=k.by_ AND tl.bx=k.bx GROUP BY 1,2,3,4,5""")
+def w24_tile_interpolation(spark, sf_dir):
+    v = voxels(spark, sf_dir).where("v > 0").select("t", "c", "z", "y", "x", "v")
+    return density.interpolated(v, density.tile_field(v, DIMS, (4, 8, 8)), DIMS, (4, 8, 8)).drop("v")
+
+
+@query(f"""WITH {VOX}, i AS (SELECT t,c,z,y,x FROM vox WHERE v>100 AND z BETWEEN 1 AND 5 AND y BETWEEN 1 AND 30 AND x BETWEEN 1 AND 48),
+o AS (SELECT *,abs(dz)+abs(dy)+abs(dx) l FROM range(-3,4) a(dz),range(-3,4) b(dy),range(-3,4) d(dx) WHERE abs(dz)+abs(dy)+abs(dx) BETWEEN 1 AND 3)
+SELECT i.t,i.c,i.z,i.y,i.x,CAST(min(l) AS INT) AS dist FROM i CROSS JOIN o LEFT JOIN i n ON n.t=i.t AND n.c=i.c AND n.z=i.z+dz AND n.y=i.y+dy AND n.x=i.x+dx WHERE n.t IS NULL GROUP BY 1,2,3,4,5""")
+def w26_distance(spark, sf_dir):
+    return density.distance(voxels(spark, sf_dir).where("v > 100"), DIMS)
+
+
+@query()
+def g03_density_grow(spark, sf_dir):
+    return density.density_grow(voxels(spark, sf_dir), DIMS, 200)
+
+
+@query()
+def g04_distance_grow(spark, sf_dir):
+    return density.distance_grow(voxels(spark, sf_dir), DIMS, 100, most=6)
+
+
+@query()
+def g05_distance_density_grow(spark, sf_dir):
+    return density.distance_density_grow(voxels(spark, sf_dir), DIMS, 100, most=6)
+
+
+# 2.15 track edits
+_EDIT = f"{_LINKS}, pairs AS (SELECT DISTINCT t,c,v1,v2+1 AS v2 FROM links WHERE v1%5=0), cells AS (SELECT t,c,label FROM m WHERE label%7=0)"
+
+
+def _links(spark, sf_dir):
+    return tracking.frame_links(voxels(spark, sf_dir))
+
+
+def _cells(spark, sf_dir):
+    return voxels(spark, sf_dir).where("label <> 0 and v > 0 and label % 7 = 0").select("t", "c", "label").distinct()
+
+
+def _pairs(links):
+    return links.where("v1 % 5 = 0").select("t", "c", "v1", (F.col("v2") + 1).alias("v2"))
+
+
+@query(f"{_EDIT} SELECT coalesce(l.t,p.t) AS t,coalesce(l.c,p.c) AS c,coalesce(l.v1,p.v1) AS v1,coalesce(l.v2,p.v2) AS v2,coalesce(n,1) AS n,coalesce(total,1) AS total,p.t IS NOT NULL AS forced FROM links l FULL JOIN pairs p ON l.t=p.t AND l.c=p.c AND l.v1=p.v1 AND l.v2=p.v2")
+def r17_link(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    return tracking.linked(links, _pairs(links))
+
+
+@query(f"""{_EDIT}, kept AS (SELECT * FROM links l WHERE NOT EXISTS (FROM pairs p WHERE p.t=l.t AND p.c=l.c AND p.v1=l.v1) AND NOT EXISTS (FROM pairs p WHERE p.t=l.t AND p.c=l.c AND p.v2=l.v2))
+SELECT t,c,v1,v2,n,total,false AS forced FROM kept UNION ALL SELECT t,c,v1,v2,1,1,true FROM pairs""")
+def r17_link_exclusive(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    return tracking.linked(links, _pairs(links), exclusive=True)
+
+
+@query(f"{_EDIT} SELECT l.* FROM links l ANTI JOIN pairs p ON p.t=l.t AND p.c=l.c AND p.v1=l.v1 AND p.v2=l.v2")
+def r17_unlink(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    return tracking.unlinked(links, _pairs(links))
+
+
+@query(f"{_EDIT} SELECT l.* FROM links l WHERE NOT EXISTS (FROM cells d WHERE d.t=l.t AND d.c=l.c AND d.label=l.v1) AND NOT EXISTS (FROM cells d WHERE d.t=l.t+1 AND d.c=l.c AND d.label=l.v2)")
+def r17_isolate(spark, sf_dir):
+    return tracking.isolated(_links(spark, sf_dir), _cells(spark, sf_dir))
+
+
+@query(f"{_LINKS} SELECT t,c,CASE WHEN v1%7=0 THEN v1-1 ELSE v1 END AS v1,CASE WHEN v2%7=0 THEN v2-1 ELSE v2 END AS v2,CAST(sum(n) AS BIGINT) AS n,CAST(sum(total) AS BIGINT) AS total FROM links GROUP BY ALL")
+def r18_combine_cells(spark, sf_dir):
+    return tracking.combined_cells(_links(spark, sf_dir), _cells(spark, sf_dir).withColumn("into", F.col("label") - 1))
+
+
+# 2.12 and 2.16 sampling and registration
+def _resize_sql(how: str, border: int, out: tuple[int, int, int] = (5, 40, 33)) -> str:
+    along = {"trilinear": ["linear"] * 3, "bilinear": ["floor", "linear", "linear"]}.get(how, [how] * 3)
+    tables = []
+    for k, name, n in zip(along, "zyx", DIMS, strict=True):
+        m = out["zyx".index(name)]
+        u = f"((i+0.5::DOUBLE)/{m}*{n})"
+        low = f"CAST(floor({u}-0.5) AS INT)"
+        near = {
+            "nearest": f"SELECT i,CAST(floor({u}) AS INT) j,1.0::DOUBLE f FROM range(0,{m}) r(i)",
+            "floor": f"SELECT i,{low} j,1.0::DOUBLE f FROM range(0,{m}) r(i)",
+            "linear": f"SELECT i,{low} j,1-({u}-0.5-{low}) f FROM range(0,{m}) r(i) UNION ALL SELECT i,{low}+1,{u}-0.5-{low} FROM range(0,{m}) r(i)",
+            "box": f"SELECT i,CAST(floor({u}) AS INT)+s j,1/3.0::DOUBLE f FROM range(0,{m}) r(i),range(-1,2) q(s)",
+        }[k]
+        at = {0: "j", 1: f"least(greatest(j,0),{n - 1})", 2: f"CASE WHEN j<0 THEN -1-j WHEN j>={n} THEN 2*{n}-j-1 ELSE j END"}[border]
+        tables.append(f"t{name} AS (SELECT i,{at} AS j,f FROM ({near}))")
+    return f"""WITH {VOX}, {','.join(tables)} SELECT t,c,CAST(tz.i AS INT) AS z,CAST(ty.i AS INT) AS y,CAST(tx.i AS INT) AS x,round(sum(v*tz.f*ty.f*tx.f),6) AS v
+FROM vox JOIN tz ON tz.j=z JOIN ty ON ty.j=y JOIN tx ON tx.j=x WHERE v>0 AND tz.f*ty.f*tx.f<>0 GROUP BY 1,2,3,4,5"""
+
+
+def _resized(how: str, border: int) -> None:
+    def run(spark, sf_dir):
+        return rounded(resample.resize(voxels(spark, sf_dir), DIMS, (5, 40, 33), how, border), "v")
+
+    run.__name__ = f"v01_v03_{how}_border{border}"
+    query(_resize_sql(how, border))(run)
+
+
+for _how, _border in (("nearest", 0), ("bilinear", 1), ("trilinear", 0), ("trilinear", 2), ("box", 1)):
+    _resized(_how, _border)
+
+
+@query(f"""WITH {VOX}, p AS (SELECT i.z,j.y,k.x,CAST(floor((i.z+0.5)/5.0*7) AS INT) a,CAST(floor((j.y+0.5)/40.0*32) AS INT) b,CAST(floor((k.x+0.5)/33.0*50) AS INT) d FROM range(0,5) i(z),range(0,40) j(y),range(0,33) k(x))
+SELECT t,c,CAST(p.z AS INT) AS z,CAST(p.y AS INT) AS y,CAST(p.x AS INT) AS x,label FROM vox JOIN p ON vox.z=p.a AND vox.y=p.b AND vox.x=p.d WHERE label<>0""")
+def v03_labels(spark, sf_dir):
+    return resample.resize_labels(voxels(spark, sf_dir), DIMS, (5, 40, 33))
+
+
+@query(f"""WITH {VOX}, s AS (SELECT DISTINCT t,c FROM vox), g AS (SELECT t,c,CAST(z AS INT) z,CAST(y AS INT) y,CAST(x AS INT) x FROM s,range(0,7) i(z),range(0,32) j(y),range(0,50) k(x))
+SELECT g.t,g.c,g.z,g.y,g.x,v.v FROM g JOIN vox v ON v.t=g.t AND v.c=g.c AND v.z=g.z AND v.y=floor((g.x+0.5-25)+16+1+1e-9) AND v.x=floor(-(g.y+0.5-16)+25+1e-9) WHERE v.v>0""")
+def v03_turned(spark, sf_dir):
+    return resample.turned(voxels(spark, sf_dir), DIMS, [[1, 0, 0], [0, 0, 1], [0, -1, 0]], (0, 1, 0))
+
+
+_SHIFTS = "o AS (SELECT CAST(dz AS INT) dz,CAST(dy AS INT) dy,CAST(dx AS INT) dx FROM range(-1,2) a(dz),range(-1,2) b(dy),range(-1,2) d(dx))"
+
+
+@query(f"""WITH {VOX}, {_SHIFTS}, w AS (SELECT t,c,z,y,x,v/255.0::DOUBLE v FROM vox WHERE v>0), f AS (SELECT DISTINCT t,c FROM w),
+k AS (SELECT a.t,a.c,dz,dy,dx,sum(least(a.v,b.v)*(1-pow(a.v-b.v,2))) q FROM w a CROSS JOIN o JOIN w b ON b.t=a.t+1 AND b.c=a.c AND b.z=a.z+dz AND b.y=a.y+dy AND b.x=a.x+dx GROUP BY 1,2,3,4,5)
+SELECT f.t,f.c,o.dz,o.dy,o.dx,round(coalesce(q,0)/((7-abs(o.dz))*(32-abs(o.dy))*(50-abs(o.dx))),9) AS score FROM f CROSS JOIN o LEFT JOIN k ON k.t=f.t AND k.c=f.c AND k.dz=o.dz AND k.dy=o.dy AND k.dx=o.dx""")
+def v06_similarity(spark, sf_dir):
+    v = voxels(spark, sf_dir)
+    each = v.where("v > 0").select("t", "c").distinct()
+    for k in "zyx":
+        each = each.withColumn(f"d{k}", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    return rounded(resample.similarity(v, DIMS, each, 1), "score", digits=9)
+
+
+@query()
+def v04_v05_register(spark, sf_dir):
+    return rounded(resample.register(voxels(spark, sf_dir), DIMS), "score", digits=9)
+
+
+@query(f"""WITH {VOX}, {RULERS}, r AS (SELECT ruler,t,(x%50)::DOUBLE x,(y%32)::DOUBLE y,(z%7)::DOUBLE z FROM rul), s AS (SELECT *,lead(x) OVER w nx,lead(y) OVER w ny,lead(z) OVER w nz FROM r WINDOW w AS (PARTITION BY ruler ORDER BY t)),
+l AS (SELECT *,sqrt(pow(nx-x,2)+pow(ny-y,2)+pow(nz-z,2)) len FROM s WHERE nx IS NOT NULL), b AS (SELECT *,coalesce(sum(len) OVER (PARTITION BY ruler ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) bef FROM l),
+e AS (SELECT *,unnest(range(CAST(ceil(bef/2.0-1e-9) AS BIGINT),CAST(ceil((bef+len)/2.0-1e-9) AS BIGINT))) AS bin FROM b), h AS (SELECT *,(bin*2.0::DOUBLE-bef)/len f FROM e),
+p AS (SELECT ruler,bin,CAST(floor(z+f*(nz-z)+1e-9) AS INT) z,CAST(floor(y+f*(ny-y)+1e-9) AS INT) y,CAST(floor(x+f*(nx-x)+1e-9) AS INT) x FROM h), k AS (SELECT DISTINCT c FROM vox WHERE t=2)
+SELECT ruler,k.c,bin,count(*) AS n,round(avg(coalesce(v.v,0)),6) AS mean FROM p CROSS JOIN k LEFT JOIN vox v ON v.t=2 AND v.c=k.c AND v.z=p.z AND v.y=p.y AND v.x=p.x GROUP BY 1,2,3""")
+def x08_profile(spark, sf_dir):
+    p = adapters.ruler_points(spark, sf_dir).select("ruler", "t", *[(F.col(k) % n).alias(k) for k, n in zip("zyx", DIMS, strict=True)])
+    return rounded(resample.profile(p, voxels(spark, sf_dir).where("t = 2"), 2.0), "mean")

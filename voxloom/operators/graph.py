@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by checkpoint(), in spark.checkpoint.dir or, where that is unset, below the warehouse."""
     spark = df.sparkSession
     if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -20,13 +20,13 @@ def connected(edges: DataFrame) -> DataFrame:
     Labels hook to the smallest neighbour's and jump to their label's label,
     so rounds grow with the logarithm of the longest path.
     """
-    both = _cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    label = _cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
+    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("m"))
         hooked = label.join(near, label["node"] == near["a"]).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         up = label.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        new = _cut(hooked.join(up, "root", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "old"))
+        new = cut(hooked.join(up, "root", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "old"))
         changed = not new.where("root <> old").isEmpty()
         label = new.select("node", "root")
         if not changed:

@@ -127,6 +127,38 @@ def wiener(sigma: float, eps: float) -> Stencil:
     return run
 
 
+def richardson_lucy(blur: Stencil, eps: float) -> Stencil:
+    """One step for a blur whose weights sum to one: the sample times its ratio to its blur.  Repeat by ``apply``."""
+
+    def run(a: np.ndarray, r: int) -> np.ndarray:
+        v = core(a, r)
+        return v * (v / (blur(a, r) + eps))
+
+    return run
+
+
+#: Planes in which a sample's ring of eight neighbours is read: two directions (z, y, x) each.
+RINGS = [((0, 0, 1), (0, 1, 0)), ((1, 0, 1), (0, 1, 0)), ((1, 0, 0), (0, 1, 0)), ((1, 0, -1), (0, 1, 0)), ((0, 0, 1), (1, 0, 0))]
+
+
+def thin(level: float) -> Stencil:
+    """Drops samples whose five rings each hold 3 to 7 neighbours of ``level`` or more, in one run; those below it too."""
+
+    def run(a: np.ndarray, r: int) -> np.ndarray:
+        views = dict(shifts(a, r))
+        drop = np.ones(core(a, r).shape, bool)
+        for p, q in RINGS:
+            ring = [(-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1)]
+            on = np.stack([views[tuple(i * u + j * w for u, w in zip(p, q, strict=True))] >= level for i, j in ring])
+            starts = (on & ~np.roll(on, 1, axis=0)).sum(axis=0)
+            count = on.sum(axis=0)
+            drop &= (count > 2) & (count < 8) & (starts == 1)
+        v = core(a, r)
+        return np.where(drop | (v < level), 0.0, v)
+
+    return run
+
+
 def apply(vox: DataFrame, dims: tuple[int, int, int], radius: int, stencil: Stencil, repeat: int = 1, exact: bool = False) -> DataFrame:
     """t, c, z, y, x, v where the result is not zero; ``exact`` keeps it as a double in 0..1.
 

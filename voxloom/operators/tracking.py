@@ -97,3 +97,40 @@ def orphan_links(stats: DataFrame, links: DataFrame, similarity: float = 0.2) ->
     near = F.abs(F.col("a_n") - F.col("b_n")) / F.greatest("a_n", "b_n") < similarity
     boxes = [(F.col(f"a_lo_{k}") <= F.col(f"b_hi_{k}") + 1) & (F.col(f"b_lo_{k}") <= F.col(f"a_hi_{k}") + 1) for k in "xyz"]
     return j.where(near & boxes[0] & boxes[1] & boxes[2]).select("t", "c", "v1", "v2", "dist")
+
+
+LINK = ["t", "c", "v1", "v2"]
+
+
+def linked(links: DataFrame, pairs: DataFrame, exclusive: bool = False) -> DataFrame:
+    """``links`` with the pairs (t, c, v1, v2) linked by hand; ``forced`` marks them.
+
+    A pair without overlap gets n = total = 1.  ``exclusive`` first isolates
+    both ends between the two frames.  Repeated pairs count once.
+    """
+    pairs = pairs.select(*LINK).distinct()
+    if exclusive:
+        links = links.join(pairs.select("t", "c", "v1").distinct(), ["t", "c", "v1"], "left_anti")
+        links = links.join(pairs.select("t", "c", "v2").distinct(), ["t", "c", "v2"], "left_anti")
+    both = links.join(pairs.withColumn("hand", F.lit(True)), LINK, "full")
+    return both.select(*LINK, F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("total", F.lit(1)).alias("total"), F.coalesce("hand", F.lit(False)).alias("forced"))
+
+
+def unlinked(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``links`` without the pairs (t, c, v1, v2)."""
+    return links.join(pairs.select(*LINK).distinct(), LINK, "left_anti")
+
+
+def isolated(links: DataFrame, cells: DataFrame) -> DataFrame:
+    """``links`` without those, back or forward, of the cells (t, c, label)."""
+    out = links.join(cells.select("t", "c", F.col("label").alias("v1")).distinct(), ["t", "c", "v1"], "left_anti")
+    return out.join(cells.select((F.col("t") - 1).alias("t"), "c", F.col("label").alias("v2")).distinct(), ["t", "c", "v2"], "left_anti")
+
+
+def combined_cells(links: DataFrame, cells: DataFrame) -> DataFrame:
+    """t, c, v1, v2, n, total once ``cells`` (t, c, label, into) have joined the cell ``into``: links that meet are added up."""
+    cells = cells.groupBy("t", "c", "label").agg(F.min("into").alias("into"))
+    a = cells.select("t", "c", F.col("label").alias("v1"), F.col("into").alias("i1"))
+    b = cells.select((F.col("t") - 1).alias("t"), "c", F.col("label").alias("v2"), F.col("into").alias("i2"))
+    rows = links.join(a, ["t", "c", "v1"], "left").join(b, ["t", "c", "v2"], "left")
+    return rows.groupBy("t", "c", F.coalesce("i1", "v1").alias("v1"), F.coalesce("i2", "v2").alias("v2")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
