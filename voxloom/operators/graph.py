@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by checkpoint(), in spark.checkpoint.dir or, where that is unset, below the warehouse."""
+    """``df`` as a table written below spark.checkpoint.dir (the warehouse where that is unset), which cuts its lineage.
+
+    A checkpoint would carry the estimated sizes of its plan along; joins
+    multiply these, so in a loop the planner alone would take twice as long
+    each round.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return df.checkpoint()
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    path = f"{top.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, root for every end of ``edges`` (a, b): root is the smallest node reachable.
 
-    Labels hook to the smallest neighbour's and jump to their label's label,
-    so rounds grow with the logarithm of the longest path.
+    Each round hooks every node to its smallest neighbour, follows the hooks
+    four steps and contracts the edges.  At most half of the nodes that still
+    have edges outlast a round, and rounds work on what is left of the edges.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    while True:
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("m"))
-        hooked = label.join(near, label["node"] == near["a"]).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
-        up = label.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        new = cut(hooked.join(up, "root", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "old"))
-        changed = not new.where("root <> old").isEmpty()
-        label = new.select("node", "root")
-        if not changed:
-            return label
+    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b"))).distinct()
+    named = cut(ends.select("node", F.col("node").alias("root")))
+    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while not left.isEmpty():
+        both = left.union(left.select(F.col("b"), F.col("a")))
+        up = cut(both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).select("x", F.least("x", "y").alias("y")))
+        for _ in range(2):
+            up = up.join(up.select(F.col("x").alias("y"), F.col("y").alias("top")), "y").select("x", F.col("top").alias("y"))
+        up = cut(up)
+        left = left.join(up.select(F.col("x").alias("a"), F.col("y").alias("na")), "a").join(up.select(F.col("x").alias("b"), F.col("y").alias("nb")), "b")
+        left = cut(left.where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
+        named = cut(named.join(up, named["root"] == up["x"], "left").select("node", F.coalesce("y", "root").alias("root")))
+    return named
