@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected
+from .graph import connected, cut
 
 KEY = ["t", "c"]
 
@@ -22,7 +22,8 @@ def grow(vox: DataFrame, level: int) -> DataFrame:
     identity of its first sample in scan order, numbered from one in each frame and channel.
     """
     name = F.concat_ws("/", *[F.lpad(F.col(k).cast("string"), 6, "0") for k in ("t", "c", "z", "y", "x")])
-    on = vox.where(F.col("v") > level).select(*KEY, "z", "y", "x", name.alias("id"))
+    # Read several times below, so what gave it is run once.
+    on = cut(vox.where(F.col("v") > level).select(*KEY, "z", "y", "x", name.alias("id")))
     offsets = F.explode(F.array(*[F.struct(*[F.lit(q).alias(k) for q, k in zip(d, ("dz", "dy", "dx"), strict=True)]) for d in _half()]))
     seen = on.withColumn("o", offsets).select(*KEY, *[(F.col(k) + F.col(f"o.d{k}")).alias(k) for k in "zyx"], F.col("id").alias("a"))
     edges = seen.join(on.select(*KEY, "z", "y", "x", F.col("id").alias("b")), [*KEY, "z", "y", "x"]).select("a", "b")
