@@ -9,7 +9,7 @@ import __spark_entry__
 from voxloom import catalogue
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["a05_median_mode", "a14_a19_colocalization", "c01_component_stats", "c06_surface", "j04_r02_frame_links", "p08_fill_holes", "t09_t10_key_frames", "r17_link_exclusive", "v01_v03_trilinear_border2", "v06_similarity", "w01_box", "w20_thin", "w24_tile_interpolation", "w26_distance", "x08_profile", "x13_seed_ids", "z_windows"]
+NAMES = ["a05_median_mode", "a14_a19_colocalization", "c01_component_stats", "c06_surface", "c08_c09_linked_stats", "f21_ray_front", "j04_r02_frame_links", "j07_neighbours_in_reach", "j12_projection", "k14_coordinate_lines", "p08_fill_holes", "t09_t10_key_frames", "r17_link_exclusive", "v01_v03_trilinear_border2", "v06_similarity", "v07_a21_mesh_measures", "v17_ruler_frame", "w01_box", "w20_thin", "w24_tile_interpolation", "w26_distance", "x08_profile", "x13_seed_ids", "z_windows"]
 
 
 def plain(v):

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected
+from .graph import connected, cut
 
 
 def _cells(points: DataFrame, eps: float) -> DataFrame:
@@ -111,3 +111,73 @@ def gaussian_mixture(points: DataFrame, k: int, rounds: int = 50, eps: float = 1
             break
         last = r["ll"]
     return parts
+
+
+def without_noise(points: DataFrame, clusters: DataFrame, reach: float = 1.1) -> DataFrame:
+    """id, cluster: noise joins the commonest cluster (of equals the smallest) of the points within ``reach``, until nothing changes.
+
+    With one cluster or none, each noise point founds its own, named by its
+    id.  All noise points of a round see the clusters as the round found them.
+    """
+    named = cut(clusters)
+    if named.where("cluster is not null").select("cluster").distinct().limit(2).count() < 2:
+        return named.select("id", F.coalesce("cluster", "id").alias("cluster"))
+    pairs = cut(close_pairs(points, reach).where("a <> b"))
+    while True:
+        noise = named.where("cluster is null").select(F.col("id").alias("a"))
+        votes = pairs.join(noise, "a").join(named.where("cluster is not null").select(F.col("id").alias("b"), "cluster"), "b").groupBy("a", "cluster").agg(F.count("*").alias("n"))
+        found = cut(votes.groupBy(F.col("a").alias("id")).agg(F.max(F.struct("n", (-F.col("cluster")).alias("m"))).alias("best")).select("id", (-F.col("best.m")).alias("new")))
+        if found.isEmpty():
+            return named
+        named = cut(named.join(found, "id", "left").select("id", F.coalesce("cluster", "new").alias("cluster")))
+
+
+def memberships(points: DataFrame, parts: list[dict]) -> DataFrame:
+    """id, p: each point's share in every part of a mixture; all ones where no part reaches it."""
+    dens = []
+    for p in parts:
+        cov = p["cov"] if np.linalg.det(p["cov"]) > 1e-9 else p["cov"] + np.eye(3) * 0.5
+        inv, norm = np.linalg.inv(cov), 1 / np.sqrt(248.05 * np.linalg.det(cov))
+        d = [F.col(q) - float(m) for q, m in zip("xyz", p["mean"], strict=True)]
+        form = sum((d[i] * d[j] * float(inv[i, j]) for i in range(3) for j in range(3)), F.lit(0.0))
+        dens.append(F.exp(-0.5 * form) * float(p["tau"] * norm))
+    rows = points.select("id", F.array(*dens).alias("d")).withColumn("s", F.aggregate("d", F.lit(0.0), lambda a, b: a + b))
+    return rows.select("id", F.transform("d", lambda q: F.when(F.col("s") > 0, q / F.col("s")).otherwise(1.0)).alias("p"))
+
+
+def mixture_quality(members: DataFrame) -> float:
+    """Mean of each point's largest share; 0 without points."""
+    return members.agg(F.coalesce(F.avg(F.array_max("p")), F.lit(0.0))).first()[0]
+
+
+def share_histogram(members: DataFrame, k: int, bins: int) -> DataFrame:
+    """bin, n: points by their largest share, from 1 / k to 1 in equal bins."""
+    low = 1.0 / k
+    at = F.floor((F.array_max("p") - low) / (1.0 - low) * bins)
+    return members.groupBy(F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def fresh_ids(clusters: DataFrame, used: DataFrame, first: int, step: int) -> DataFrame:
+    """cluster, label: the clusters in order take first, first + step, ... , leaving out what ``used`` (label) holds.
+
+    Clusters are counted, so the candidates are as many as clusters and used labels together.
+    """
+    order = Window.orderBy("cluster")
+    names = clusters.where("cluster is not null").select("cluster").distinct().withColumn("nth", F.row_number().over(order))
+    taken = used.select(F.col("label").cast("long").alias("label")).distinct()
+    n = names.count() + taken.count()
+    free = clusters.sparkSession.range(n).select((F.lit(first) + F.col("id") * step).alias("label")).join(taken, "label", "left_anti")
+    return names.join(free.withColumn("nth", F.row_number().over(Window.orderBy("label"))), "nth").select("cluster", "label")
+
+
+def joined_clusters(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Points of two clusters, each id once."""
+    return a.unionByName(b).dropDuplicates(["id"])
+
+
+def merged_points(points: DataFrame, sets: DataFrame) -> DataFrame:
+    """root, size, sums of x, y, z: points whose ids share a set (set, id) become one; the others stay as they are."""
+    first = sets.groupBy("set").agg(F.min("id").alias("a"), F.count_distinct("id").alias("n")).where("n >= 2")
+    roots = connected(sets.join(first, "set").select("a", F.col("id").alias("b")))
+    rows = points.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    return rows.groupBy("root").agg(F.count("*").alias("size"), *[F.sum(k).alias(k) for k in "xyz"])

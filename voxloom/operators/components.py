@@ -102,3 +102,28 @@ def size_colour(stats: DataFrame) -> DataFrame:
     ends = stats.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     # One row.
     return stats.crossJoin(F.broadcast(ends)).select("t", "c", "label", F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("n") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("shade"))
+
+
+def near_neighbours(vox: DataFrame, reach: int) -> DataFrame:
+    """t, c, a < b, dist: smallest distance between samples of two components, where it is ``reach`` or less.
+
+    Only surface samples take part.  Each is dealt to the offsets in reach, so
+    the join is an equi-join whatever the number of components.
+    """
+    key = ["t", "c", "z", "y", "x"]
+    sides = face_neighbours(vox).groupBy("t", "c", *[F.col(f"o{k}").alias(k) for k in "zyx"], "label").agg(F.count_if(F.col("nl") == F.col("label")).alias("same"))
+    rim = sides.where("same < 6").select(*key, "label")
+    span = range(-reach, reach + 1)
+    offsets = [(z, y, x) for z in span for y in span for x in span if (0, 0, 0) < (z, y, x) and z * z + y * y + x * x <= reach * reach]
+    o = F.explode(F.array(*[F.struct(*[F.lit(d).alias(k) for d, k in zip(f, "zyx", strict=True)], F.lit(sum(d * d for d in f)).alias("d2")) for f in offsets]))
+    seen = rim.withColumn("o", o).select("t", "c", *[(F.col(k) + F.col(f"o.{k}")).alias(k) for k in "zyx"], F.col("label").alias("l1"), "o.d2")
+    pairs = seen.join(rim.withColumnRenamed("label", "l2"), key).where("l1 <> l2")
+    best = pairs.groupBy("t", "c", F.least("l1", "l2").alias("a"), F.greatest("l1", "l2").alias("b")).agg(F.min("d2").alias("d2"))
+    return best.select("t", "c", "a", "b", F.sqrt("d2").alias("dist"))
+
+
+def distance_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """t, c, a, b, dist, same: pairs of components marked by whether both are in one group (t, c, label, grp)."""
+    a = groups.select("t", "c", F.col("label").alias("a"), F.col("grp").alias("ga"))
+    b = groups.select("t", "c", F.col("label").alias("b"), F.col("grp").alias("gb"))
+    return pairs.join(a, ["t", "c", "a"]).join(b, ["t", "c", "b"]).withColumn("same", F.col("ga").eqNullSafe(F.col("gb"))).drop("ga", "gb")

@@ -146,3 +146,9 @@ def profile(points: DataFrame, vox: DataFrame, step: float = 1.0) -> DataFrame:
     channels = F.broadcast(vox.select("c").distinct())  # one row a channel of a frame
     hit = at.join(channels).join(vox.select("c", "z", "y", "x", "v"), ["c", "z", "y", "x"], "left")
     return hit.groupBy("ruler", "c", "bin").agg(F.count("*").alias("n"), F.avg(F.coalesce("v", F.lit(0))).alias("mean"))
+
+
+def profiles(points: DataFrame, vox: DataFrame, step: float = 1.0) -> DataFrame:
+    """``profile`` of every frame of ``vox``: t, ruler, c, bin, n, mean."""
+    one = vox.withColumn("c", F.struct("t", "c"))
+    return profile(points, one, step).select("c.t", "ruler", F.col("c.c").alias("c"), "bin", "n", "mean")

@@ -71,3 +71,49 @@ def clean_noise(vox: DataFrame, least: int) -> DataFrame:
     big = rows.where(F.col("size") >= least).select(*KEY, "z", "y", "x", F.col("label").alias("nl"), F.col("v").alias("nv"))
     taken = seen.join(big, [*KEY, "z", "y", "x"]).where("nv >= v0").groupBy(*KEY, F.col("z0").alias("z"), F.col("y0").alias("y"), F.col("x0").alias("x")).agg(F.min_by("nl", "near").alias("nl"))
     return rows.drop("size").join(taken, [*KEY, "z", "y", "x"], "left").withColumn("label", F.coalesce("nl", "label")).drop("nl")
+
+
+def masked_grow(vox: DataFrame, level: int) -> DataFrame:
+    """``grow`` inside the mask alone."""
+    return grow(vox.where("mask > 0"), level)
+
+
+def diffused(vox: DataFrame, seed_level: int, level: int) -> DataFrame:
+    """t, c, z, y, x of the selection: samples above ``level`` that neighbours of 26 join to one at ``seed_level`` or more.
+
+    The fixed point of the growth: whole runs that hold a seed.
+    """
+    at = [*KEY, "z", "y", "x"]
+    runs = grow(vox, level)
+    seeds = vox.where(F.col("v") >= seed_level).select(*at).join(runs, at).select(*KEY, "label").distinct()
+    return runs.join(seeds, [*KEY, "label"], "left_semi").select(*at)
+
+
+def replay(vox: DataFrame, commands: list[dict[str, str]]) -> DataFrame:
+    """``vox`` with the labels that a recorded list of commands gives: generate, clean, fixate.
+
+    ``generate`` grows above ``thresh`` (a share of full scale), ``clean``
+    repeats the noise cleaning ``clean_iter`` times below ``clean_size_vl``
+    samples (a generate command with ``cleanb`` does so as well), and
+    ``fixate`` keeps the components of ``size`` samples or more as they are
+    when later commands grow again.
+    """
+    at = [*KEY, "z", "y", "x"]
+    fixed = None
+    for c in commands:
+        if c["type"] not in ("generate", "clean", "fixate"):
+            raise ValueError(f"unknown command {c['type']}")
+        if c["type"] == "generate":
+            found = grow(vox, int(float(c.get("thresh", 0)) * 255))
+            if fixed is not None:
+                top = fixed.groupBy(*KEY).agg(F.max("label").alias("top"))
+                found = found.join(fixed, at, "left_anti").join(top, KEY, "left").withColumn("label", F.col("label") + F.coalesce("top", F.lit(0))).drop("top").unionByName(fixed)
+            vox = vox.drop("label").join(found, at, "left").withColumn("label", F.coalesce("label", F.lit(0)).cast("long"))
+        if c["type"] == "clean" or (c["type"] == "generate" and c.get("cleanb") == "1"):
+            for _ in range(int(c.get("clean_iter", 1))):
+                new = clean_noise(vox, int(c.get("clean_size_vl", 5))).select(*at, F.col("label").alias("new"))
+                vox = cut(vox.join(new, at, "left").withColumn("label", F.coalesce("new", "label")).drop("new"))
+        if c["type"] == "fixate":
+            size = F.count("*").over(Window.partitionBy(*KEY, "label"))
+            fixed = cut(vox.where("label <> 0").withColumn("_n", size).where(F.col("_n") >= int(c.get("size", 0))).select(*at, "label"))
+    return vox

@@ -108,3 +108,11 @@ def bounds(vox: DataFrame, by: list[str]) -> DataFrame:
 def box_face_counts(vox: DataFrame, by: list[str], lo: int, hi: int) -> DataFrame:
     """Masked samples on the two faces of a box along x."""
     return vox.groupBy(*by).agg(F.count_if((F.col("mask") > 0) & F.col("x").isin(lo, hi)).alias("n"))
+
+
+def record_summary(records: DataFrame) -> DataFrame:
+    """key, most, population: the largest value of each named parameter, and the mean population of all records (population, params map)."""
+    sizes = records.agg(F.avg("population").alias("population"))
+    most = records.select(F.explode("params").alias("key", "value")).groupBy("key").agg(F.max("value").alias("most"))
+    # One row.
+    return most.crossJoin(F.broadcast(sizes))

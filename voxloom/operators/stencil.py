@@ -207,3 +207,14 @@ def tile_stats(vox: DataFrame, tile: tuple[int, int, int]) -> DataFrame:
     """Mean and population sigma of each tile's samples in the table."""
     at = [F.floor(F.col(k) / s).cast("int").alias(f"b{k}") for k, s in zip("zyx", tile, strict=True)]
     return vox.groupBy("t", "c", *at).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sigma"))
+
+
+def background(spread: float, factor: float) -> Stencil:
+    """Samples whose in-plane surroundings are flat, or that are less than ``factor`` sigmas above their mean; others 0."""
+
+    def run(a: np.ndarray, r: int) -> np.ndarray:
+        parts = np.stack([v for _, v in shifts(a, r, True)])
+        mean, sigma, v = parts.mean(axis=0), parts.std(axis=0), core(a, r)
+        return np.where((sigma < spread) | (v - mean < sigma * factor), v, 0.0)
+
+    return run

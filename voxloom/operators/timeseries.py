@@ -126,3 +126,104 @@ def synthetic_walk(cycle: DataFrame, frames: int, direction: tuple[float, float,
     steps = cycle.sparkSession.range(1, frames + 1).select(F.col("id").cast("int").alias("t"), ((F.col("id") - 1) % period).cast("int").alias("phase")).join(cycle, "phase")
     run = F.sum("value").over(Window.orderBy("t"))
     return steps.select("t", *[(run * d).alias(k) for k, d in zip("xyz", direction, strict=True)])
+
+
+def _windows(length: int, cycle: np.ndarray, data: np.ndarray, overlap: int) -> list[tuple[int, int, float]]:
+    """(start, width, corr) of consecutive best windows over all rows of ``data`` at once."""
+    period, at, out = cycle.shape[1], 0, []
+    while at + period <= length:
+        best = (max(2, period // 2), 0.0)
+        for width in range(max(2, period // 2), min(length - at, 3 * period // 2) + 1):
+            c = float(sum((resampled(row[at : at + width], period) * w).sum() for row, w in zip(data, cycle, strict=True)))
+            if c > best[1]:
+                best = (width, c)
+        out.append((at, *best))
+        at += max(1, best[0] - overlap)
+    return out
+
+
+def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, list[int]]:
+    wide = pdf.pivot_table(index="dim", columns="frame", values="value", aggfunc="max").sort_index().fillna(0.0)
+    return wide.to_numpy(float), list(wide.index)
+
+
+def gait_cycle(walk: DataFrame, cycle: list[list[float]], overlap: int = 1, weight: float = 0.0) -> DataFrame:
+    """series, dim, phase, value: the cycle averaged over a walk's windows, weighted by correlation.
+
+    ``walk``: series, dim, frame, value.  ``cycle`` has a row for each dim; it
+    counts with ``weight``.  One walk is one group.
+    """
+    wave = np.asarray(cycle, float)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data, dims = _matrix(pdf)
+        total, out = weight, wave * weight
+        for at, width, corr in _windows(data.shape[1], wave, data, overlap):
+            out = out + corr * np.stack([resampled(r[at : at + width], wave.shape[1]) for r in data])
+            total += corr
+        out = out / total if total else out
+        return pd.DataFrame([(pdf["series"].iloc[0], d, j, v) for d, row in zip(dims, out, strict=True) for j, v in enumerate(row)], columns=["series", "dim", "phase", "value"])
+
+    return walk.groupBy("series").applyInPandas(run, "series string, dim int, phase int, value double")
+
+
+def gait_compared(walk: DataFrame, cycle: list[list[float]], overlap: int = 1) -> DataFrame:
+    """series, dim, start, width, score: sign times log2(1 + |window . cycle / cycle . cycle|) for each window and dim."""
+    wave = np.asarray(cycle, float)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data, dims = _matrix(pdf)
+        rows = []
+        for at, width, _ in _windows(data.shape[1], wave, data, overlap):
+            for d, r, w in zip(dims, data, wave, strict=True):
+                v, own = float((r[at : at + width] * resampled(w, width)).sum()), float((w * w).sum())
+                v = v / own if own else v
+                rows.append((pdf["series"].iloc[0], d, at, width, float(np.sign(v) * np.log2(1 + abs(v)))))
+        return pd.DataFrame(rows, columns=["series", "dim", "start", "width", "score"])
+
+    return walk.groupBy("series").applyInPandas(run, "series string, dim int, start int, width int, score double")
+
+
+def gait_aligned(walk: DataFrame, cycle: list[list[float]], overlap: int = 1) -> DataFrame:
+    """series, dim, frame, value: all windows resampled to the cycle's length and laid end to end; the later one counts where they overlap."""
+    wave = np.asarray(cycle, float)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data, dims = _matrix(pdf)
+        period, rows = wave.shape[1], {}
+        for k, (at, width, _) in enumerate(_windows(data.shape[1], wave, data, overlap)):
+            for d, r in zip(dims, data, strict=True):
+                for j, v in enumerate(resampled(r[at : at + width], period)):
+                    rows[d, k * (period - overlap) + j] = v
+        return pd.DataFrame([(pdf["series"].iloc[0], d, f, v) for (d, f), v in sorted(rows.items())], columns=["series", "dim", "frame", "value"])
+
+    return walk.groupBy("series").applyInPandas(run, "series string, dim int, frame int, value double")
+
+
+def gait_variance(walk: DataFrame, cycle: list[list[float]], overlap: int = 1) -> DataFrame:
+    """series, cycles, diff2: over the windows, squared sums of the differences from the cycle."""
+    wave = np.asarray(cycle, float)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data, _ = _matrix(pdf)
+        found = _windows(data.shape[1], wave, data, overlap)
+        diff = [sum(float((r[at : at + n] - resampled(w, n)).sum()) for r, w in zip(data, wave, strict=True)) ** 2 for at, n, _ in found]
+        return pd.DataFrame([(pdf["series"].iloc[0], len(found), float(sum(diff)))], columns=["series", "cycles", "diff2"])
+
+    return walk.groupBy("series").applyInPandas(run, "series string, cycles int, diff2 double")
+
+
+def axis_corrected(walk: DataFrame, dims: int) -> DataFrame:
+    """x rows (dim mod ``dims`` = 0) divided by the largest row sum, the others less their row mean."""
+    rows = walk.withColumn("_axis", F.col("dim") % dims)
+    each = rows.groupBy("series", "dim", "_axis").agg(F.sum("value").alias("_sum"), F.avg("value").alias("_mean"))
+    largest = each.where("_axis = 0").groupBy("series").agg(F.max("_sum").alias("_top"))
+    rows = rows.join(each, ["series", "dim", "_axis"]).join(largest, "series", "left")
+    value = F.when(F.col("_axis") == 0, F.when(F.col("_top") != 0, F.col("value") / F.col("_top")).otherwise(F.col("value"))).otherwise(F.col("value") - F.col("_mean"))
+    return rows.select("series", "dim", "frame", value.alias("value"))
+
+
+def line_baseline(series: DataFrame) -> DataFrame:
+    """roi, slope, base: least squares of the values over the frames' order, one aggregation a series."""
+    nth = (F.row_number().over(Window.partitionBy("roi").orderBy("t")) - 1).cast("double")
+    return series.withColumn("i", nth).groupBy("roi").agg(F.regr_slope("v", "i").alias("slope"), F.regr_intercept("v", "i").alias("base"))

@@ -134,3 +134,68 @@ def combined_cells(links: DataFrame, cells: DataFrame) -> DataFrame:
     b = cells.select((F.col("t") - 1).alias("t"), "c", F.col("label").alias("v2"), F.col("into").alias("i2"))
     rows = links.join(a, ["t", "c", "v1"], "left").join(b, ["t", "c", "v2"], "left")
     return rows.groupBy("t", "c", F.coalesce("i1", "v1").alias("v1"), F.coalesce("i2", "v2").alias("v2")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def mapped_cells(links: DataFrame, cells: DataFrame, ahead: bool = True) -> DataFrame:
+    """t, c, label of the components that links join to ``cells`` (t, c, label): in the next frame, or in the one before."""
+    near, far, own, other = ("v1", "v2", 0, 1) if ahead else ("v2", "v1", 1, 0)
+    start = cells.select((F.col("t") - own).cast("int").alias("t"), "c", F.col("label").alias(near)).distinct()
+    return links.join(start, ["t", "c", near], "left_semi").select((F.col("t") + other).cast("int").alias("t"), "c", F.col(far).alias("label")).distinct()
+
+
+def tracked_ids(links: DataFrame) -> DataFrame:
+    """t, c, label, tracked: the component of the frame before that each component continues: the largest overlap, of equals the smallest label."""
+    best = links.groupBy("t", "c", "v2").agg(F.max(F.struct("total", "n", (-F.col("v1")).alias("m"))).alias("b"))
+    return best.select((F.col("t") + 1).alias("t"), "c", F.col("v2").alias("label"), (-F.col("b.m")).alias("tracked"))
+
+
+def change_counts(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """t, c, label, n_in, n_out: changes (``count`` of links) of each cell's links back and forward; 0 where there are none."""
+    out = links.groupBy("t", "c", F.col("v1").alias("label")).agg(F.sum("count").alias("n_out"))
+    back = links.groupBy((F.col("t") + 1).alias("t"), "c", F.col("v2").alias("label")).agg(F.sum("count").alias("n_in"))
+    key = ["t", "c", "label"]
+    return cells.select(*key).join(back, key, "left").join(out, key, "left").na.fill(0, ["n_in", "n_out"])
+
+
+def change_histogram(counts: DataFrame, value: str) -> DataFrame:
+    """level, n: cells by change count, with 0 for the levels between that have none."""
+    seen = counts.groupBy(F.col(value).cast("long").alias("level")).agg(F.count("*").alias("n"))
+    levels = seen.agg(F.max("level").alias("m")).where("m is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("level"))
+    return levels.join(seen, "level", "left").na.fill(0, ["n"])
+
+
+def valley(histogram: list[int], dissimilar: float = 0.65) -> int:
+    """Level of the valley between the first peak and a later, clearly higher one; 0 where there is none.
+
+    ``histogram`` holds the counts of levels 0, 1, ...; it is as long as the number of refinement rounds.
+    """
+    if not histogram or max(histogram) == 0:
+        return 0
+    peak = histogram.index(max(histogram))
+    top = histogram[peak]
+    while True:
+        rising = [(n, -i) for i, n in enumerate(histogram) if i > peak and n > histogram[i - 1]]
+        if not rising:
+            return 0
+        n2, later = max(rising)
+        between = [(n, i) for i, n in enumerate(histogram) if peak < i < -later and n < top]
+        if between:
+            low, at = min(between)
+            if abs(n2 - low) / max(n2, low) >= dissimilar:
+                return at
+        peak = -later
+
+
+def track_lines(trails: DataFrame, stats: DataFrame, frame: int, lead: int, tail: int) -> DataFrame:
+    """track, t, x, y, z: centres of the tracks seen in ``frame``, from ``tail`` frames before to ``lead`` frames after."""
+    seen = trails.where(F.col("t") == frame).select("track").distinct()
+    rows = trails.where(F.col("t").between(frame - tail, frame + lead)).join(seen, "track", "left_semi")
+    places = rows.join(stats.select("t", "c", "label", "cx", "cy", "cz"), ["t", "c", "label"])
+    return places.groupBy("track", "t").agg(*[F.avg(f"c{k}").alias(k) for k in "xyz"])
+
+
+def carried_selection(vox: DataFrame, links: DataFrame, frame: int, low: int) -> DataFrame:
+    """t, c, z, y, x of frame + 1 that belong to components mapped from those of ``frame`` with more than ``low`` samples."""
+    sizes = vox.where((F.col("t") == frame) & (F.col("label") != 0) & (F.col("v") > 0)).groupBy("t", "c", "label").agg(F.count("*").alias("n"))
+    found = mapped_cells(links, sizes.where(F.col("n") > low))
+    return vox.where(F.col("t") == frame + 1).join(found, ["t", "c", "label"], "left_semi").select("t", "c", "z", "y", "x")
