@@ -9,7 +9,7 @@ from .operators import bricks, clustering, components, mesh, resample, rulers, s
 from .operators.graph import cut
 from .plans import adapters
 from .plans.adapters import DIMS, POINTS, ROI, RULERS, VOX, voxels
-from .sources import export
+from .sources import export, volumes
 
 # 2.5 and 2.7 components of a bricked volume
 SIZE = (4, 16, 25)
@@ -99,9 +99,9 @@ def f18_noise(spark, sf_dir):
     return selection.without_noise(voxels(spark, sf_dir), 128, 10).select(*_AT, "v")
 
 
-@query(f"{_LINKS} SELECT t,c,v1 AS label FROM links WHERE n>=40 UNION SELECT t+1,c,v2 FROM links WHERE n>=40")
+@query(f"{_LINKS} SELECT t,c,v1 AS label FROM links WHERE n>=8 UNION SELECT t+1,c,v2 FROM links WHERE n>=8")
 def f20_uncertain(spark, sf_dir):
-    return selection.changed_cells(tracking.frame_links(voxels(spark, sf_dir)), F.col("n"), 40)
+    return selection.changed_cells(tracking.frame_links(voxels(spark, sf_dir)), F.col("n"), 8)
 
 
 def _rays(spark):
@@ -457,3 +457,9 @@ def v12_smoothed(spark, sf_dir):
 def v13_coloured(spark, sf_dir):
     v, vertices, _ = _mesh(spark, sf_dir)
     return mesh.coloured(vertices.withColumn("t", F.lit(2)).withColumn("c", F.lit(0)), v)
+
+
+# 2.1 reduced levels
+@query(f"WITH {VOX} SELECT t,c,z>>1 AS z,y>>1 AS y,x>>1 AS x,CAST(floor(avg(v)) AS INT) AS v FROM vox GROUP BY 1,2,3,4,5")
+def s16_reduced_level(spark, sf_dir):
+    return volumes.level(voxels(spark, sf_dir), 1)

@@ -1,4 +1,4 @@
-"""PNG slices and TIFF stacks: scans by mapInArrow over binaryFile, and writers for one frame's bytes."""
+"""PNG slices, TIFF stacks and DICOM images: scans by mapInArrow over binaryFile, and writers for one frame's bytes."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import dicom
+
 # The PNG signature, samples of each PNG colour type, bytes of each TIFF field type.
 PNG = b"\x89PNG\r\n\x1a\n"
 SAMPLES = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -163,25 +165,30 @@ def encode_tiff(volume: np.ndarray, packed: bool = False) -> bytes:
     return bytes(out)
 
 
-def _planes(path: str, raw: bytes) -> Iterator[np.ndarray]:
-    return iter([decode_png(raw)]) if raw[:8] == PNG else tiff_pages(raw)
+def _planes(raw: bytes) -> tuple[int, Iterator[np.ndarray]]:
+    """Number of the first plane and the planes of a PNG, DICOM or TIFF file."""
+    if raw[:8] == PNG:
+        return 0, iter([decode_png(raw)])
+    return dicom.frames(raw) if dicom.is_dicom(raw) else (0, tiff_pages(raw))
 
 
 def _voxels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, cell in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            for page, plane in enumerate(_planes(path, cell.as_buffer().to_pybytes())):
+            first, planes = _planes(cell.as_buffer().to_pybytes())
+            for page, plane in enumerate(planes, first):
                 y, x = np.nonzero(plane)
                 n = len(x)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), *[pa.array(np.asarray(a, np.int32)) for a in (np.full(n, page), y, x)], pa.array(plane[y, x].astype(np.int64))], names=["path", "page", "y", "x", "v"])
 
 
 def read(spark: SparkSession, path: str, time: str = r"t(\d+)", channel: str = r"c(?:h)?(\d+)", depth: str = r"z(\d+)") -> DataFrame:
-    """path, t, c, z, y, x, v of samples that are not zero, from the PNG and TIFF files at ``path``.
+    """path, t, c, z, y, x, v of samples that are not zero, from the PNG, TIFF and DICOM files at ``path``.
 
     t, c and z are the numbers that the patterns find in a file's name, 0
-    where they find none; z counts on over the pages of a stack.  One file is
-    one row of a task, and pages leave it one at a time.
+    where they find none; z counts on over the pages of a stack, or from a
+    DICOM file's instance number.  One file is one row of a task, and pages
+    leave it one at a time.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = files.mapInArrow(_voxels, "path string, page int, y int, x int, v long")
