@@ -71,6 +71,27 @@ def test_split_regions_still_link(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize(("percent", "own", "edits"), [(80, 9, 11), (85, 7, 8)])
+def test_sparse_pairs_inside_a_crowd_are_found(spark, monkeypatch, percent, own, edits):
+    """Texts of a crowd are too far from each other to link, but each third one has a partner just at the threshold."""
+    monkeypatch.setattr(near_dedup, "REGION", 4)
+    r = np.random.default_rng(percent)
+    base = [f"b{k}" for k in range(302)]
+
+    def edited(words, n, name):
+        out = list(words)
+        for k in r.choice(100, n, replace=False):
+            out[3 * k] = f"{name}x{k}"
+        return out
+
+    crowd = [edited(base, own, f"n{i}") for i in range(150)]
+    group = [" ".join(w) for w in crowd + [edited(w, edits, f"p{i}") for i, w in enumerate(crowd[::3])]]
+    want = brute_classes(group, 3, percent)
+    assert 45 <= sum(c != i for i, (_, c) in want.items()) < 100
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(docs(spark, group), 3, percent).collect()}
+    assert got == want
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(60)], "a binary, b binary")
     assert {bytes(r["class"]) for r in near_dedup.components(links).collect()} == {b"\0"}

@@ -3,14 +3,16 @@
 1. Each text becomes the set of its word shingles and a signature of 512
    minima.  Texts with equal sets form one node, whatever their number.
 2. The first 128 minima make 16 trees of 8 levels.  Nodes that share 4 levels
-   of a tree are a region.  A region with more than ``REGION`` nodes is split
-   by a further level (adaptive depth), and at full depth by a hash.
+   of a tree are a region, and all pairs of a region are candidates.
 3. In a region, longest-common-prefix neighbours are tied into a forest: from
    each node to the one with the largest estimated similarity.  The links are
-   confirmed on whole shingle sets, and confirmed links are contracted.
+   confirmed on whole shingle sets, and confirmed links are contracted.  For
+   this step a region with more than ``REGION`` nodes is split by a further
+   level (adaptive depth), and at full depth by a hash.
 4. Every other candidate pair of a region whose ends are still in different
-   classes is confirmed as well, so the forest is only a saving: it leaves out
-   links inside a class, and none between classes.
+   classes is confirmed as well, so forest and splits are only a saving: they
+   leave out links inside a class, and none between classes.  A region with
+   more than ``REGION`` nodes is compared here by pairs of blocks.
 
 A pair whose similarity is exactly 0.85 shares a region with probability
 1 - (1 - 0.85**4)**16 = 0.99999, and its estimate passes the filter (3.5
@@ -28,7 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -91,7 +93,7 @@ class Region:
     sizes: np.ndarray  # of the shingle sets
     classes: list[bytes]
     starts: np.ndarray  # first levels of each tree, one row a node
-    whole: np.ndarray  # bit t: in tree t the node's first-level region was not split
+    sides: np.ndarray  # 0 and 1 in a pair of blocks; -1 where all nodes meet
     tree: int
 
 
@@ -99,7 +101,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[Region]:
     """Whole regions of sorted rows."""
     held: list[tuple] = []
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in ("region", "node", "sig", "n_shingles", "class", "whole", "tree")]
+        columns = [batch.column(k).to_pylist() for k in ("region", "node", "sig", "n_shingles", "class", "side", "tree")]
         for row in zip(*columns, strict=True):
             if held and held[0][0] != row[0]:
                 yield _region(held)
@@ -156,8 +158,7 @@ def _forest(percent: int, floor: float):
 def _across(percent: int, floor: float):
     """All candidate pairs whose ends are in different classes, each in the first tree where they meet.
 
-    Two nodes are known to have met in an earlier tree when they share its
-    first levels and that region was not split.
+    Two nodes have met in an earlier tree when they share its first levels.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +170,9 @@ def _across(percent: int, floor: float):
                 continue
             of = np.array([names[c] for c in r.classes])
             for i in range(len(nodes) - 1):
-                rest = i + 1 + np.flatnonzero(of[i + 1 :] != of[i])
-                earlier = (r.whole[i] >> np.arange(r.tree)) & 1 == 1
-                rest = rest[~((r.starts[rest, : r.tree] == r.starts[i, : r.tree]) & earlier).any(axis=1)]
+                meet = (of[i + 1 :] != of[i]) & ((r.sides[i + 1 :] != r.sides[i]) | (r.sides[i] < 0))
+                rest = i + 1 + np.flatnonzero(meet)
+                rest = rest[~(r.starts[rest, : r.tree] == r.starts[i, : r.tree]).any(axis=1)]
                 if len(rest):
                     near = rest[_estimates(sig, sizes, i, rest, percent) >= floor]
                     out += [(nodes[i], nodes[j]) for j in near]
@@ -219,33 +220,64 @@ def components(links: DataFrame) -> DataFrame:
     return named
 
 
-def _forest_regions(nodes: DataFrame) -> DataFrame:
-    """(region, node, tree, split) of all regions with two nodes or more."""
-    size = 2 * LEVELS
+def _first_regions(nodes: DataFrame) -> DataFrame:
+    """(region, node, tree, members) of all regions with two nodes or more, whole."""
     rows = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    return stored(_counted(rows.select(_named(LEAST_LEVELS).alias("region"), "node", "tree")), "regions")
 
-    def named(level: int):
-        return F.xxhash64("tree", F.lit(level), F.expr(f"substring(sig, tree * {size} + 1, {2 * level})"))
 
-    def counted(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
-        return rows.join(sizes, "region")
+def _named(level: int) -> Column:
+    return F.xxhash64("tree", F.lit(level), F.expr(f"substring(sig, tree * {2 * LEVELS} + 1, {2 * level})"))
 
-    first = stored(counted(rows.select(named(LEAST_LEVELS).alias("region"), "node", "tree")), "regions")
+
+def _counted(rows: DataFrame) -> DataFrame:
+    sizes = rows.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
+    return rows.join(sizes, "region")
+
+
+def _forest_regions(first: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(region, node, tree) of ``first``, crowded regions split for the forest."""
     done, big = [first.where(f"members <= {REGION}")], first.where(f"members > {REGION}")
     level = LEAST_LEVELS
     while level < LEVELS and not big.isEmpty():
         level += 1
-        deeper = big.drop("region", "members").join(nodes.select("node", "sig"), "node").withColumn("region", named(level)).drop("sig")
-        deeper = stored(counted(deeper), "regions")
+        deeper = big.drop("region", "members").join(nodes.select("node", "sig"), "node").withColumn("region", _named(level)).drop("sig")
+        deeper = stored(_counted(deeper), "regions")
         done.append(deeper.where(f"members <= {REGION}"))
         big = deeper.where(f"members > {REGION}")
-    out = done[0].select("region", "node", "tree", F.lit(False).alias("split"))
-    for part in done[1:]:
-        out = out.unionByName(part.select("region", "node", "tree", F.lit(True).alias("split")))
     # Equal to full depth in this tree: pieces by a hash of the node, another in each tree.
-    pieces = big.select(F.xxhash64("region", F.expr(f"pmod(xxhash64(node, tree), cast(ceil(members / {REGION / 2}) as int))")).alias("region"), "node", "tree", F.lit(True).alias("split"))
-    return stored(out.unionByName(pieces), "regions")
+    pieces = big.select(F.xxhash64("region", F.expr(f"pmod(xxhash64(node, tree), cast(ceil(members / {REGION / 2}) as int))")).alias("region"), "node", "tree")
+    for part in done:
+        pieces = pieces.unionByName(part.select("region", "node", "tree"))
+    return stored(pieces, "regions")
+
+
+def _block_pairs(crowded: DataFrame) -> DataFrame:
+    """(region, node, tree, side) of crowded regions' rows (region, node, tree, class), dealt to pairs of blocks.
+
+    A block holds about half of ``REGION`` nodes.  A class with more has blocks
+    of its own, which meet all blocks but those of the same class; the other
+    blocks meet all.  Regions of a single class have no pair to compare.
+    """
+    half = max(1, REGION // 2)
+    sizes = stored(crowded.groupBy("region", "class").agg(F.count("*").alias("n")), "sizes")
+    own = F.struct("class", F.ceil(F.col("n") / half).cast("int").alias("blocks"))
+    regions = sizes.groupBy("region").agg(
+        F.count("*").alias("classes"),
+        F.ceil(F.sum(F.when(F.col("n") <= half, F.col("n")).otherwise(0)) / half).cast("int").alias("shared"),
+        F.array_sort(F.collect_list(F.when(F.col("n") > half, own))).alias("own"),
+    )
+    regions = regions.where("classes > 1").drop("classes")
+    # The owner of each block: -1 for shared ones, else the place of its class in ``own``.
+    regions = stored(regions.withColumn("owners", F.expr("concat(array_repeat(-1, shared), flatten(transform(own, (o, k) -> array_repeat(k, o.blocks))))")), "blocks")
+    rows = crowded.join(regions, "region").withColumn("owner", F.expr("cast(array_position(transform(own, o -> o.class), class) as int) - 1"))
+    first = F.expr("if(owner < 0, 0, cast(array_position(owners, owner) as int) - 1)")
+    count = F.expr("if(owner < 0, shared, own[greatest(owner, 0)].blocks)")
+    rows = rows.withColumn("block", first + F.pmod(F.xxhash64("node"), count).cast("int"))
+    others = F.expr("filter(sequence(0, size(owners) - 1), k -> owner < 0 or owners[k] <> owner)")
+    rows = rows.select("region", "node", "tree", "block", F.explode(others).alias("other"))
+    side = F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int"))
+    return rows.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "node", "tree", side.alias("side"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -262,18 +294,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     heads = heads.join(firsts.select("node", "n_shingles", id_key().alias("id")), ["node", "id"]).dropDuplicates(["node"])
 
     floor = percent / 100 - 3.5 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
-    members = _forest_regions(heads)
-    bit = F.when(F.col("split"), F.lit(0)).otherwise(F.expr("shiftleft(1, tree)"))
-    near = stored(heads.join(members.groupBy("node").agg(F.bit_or(bit).alias("whole")), "node"), "near")
+    first = _first_regions(heads)
+    near = stored(heads.join(first.select("node").distinct(), "node"), "near")
     wanted = stored(near.select("id", "node"), "wanted")
     sets = fetch(docs.withColumn("id", id_key()), wanted, "id", ["text"]).select("node", "text")
     sets = stored(sets.mapInArrow(_sets(width), "node binary, shingles binary").dropDuplicates(["node"]), "sets", "none")
 
-    def candidates(find, classes: DataFrame | None) -> DataFrame:
-        of = near.select("node", "sig", "n_shingles", "whole")
-        of = of.withColumn("class", F.col("node")) if classes is None else of.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        rows = members.join(of, "node").select("region", "node", "sig", "n_shingles", "class", "whole", "tree")
-        rows = rows.repartition("region").sortWithinPartitions("region", "node")
+    def candidates(find, members: DataFrame, classes: DataFrame) -> DataFrame:
+        rows = members.join(near.select("node", "sig", "n_shingles"), "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        rows = rows.select("region", "node", "sig", "n_shingles", "class", "side", "tree").repartition("region").sortWithinPartitions("region", "node")
         return stored(rows.mapInArrow(find(percent, floor), "a binary, b binary").distinct(), "candidates")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -281,10 +310,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         return stored(pairs.mapInArrow(_confirmed(percent), "a binary, b binary"), "confirmed")
 
-    tried = candidates(_forest, None)
+    tried = candidates(_forest, _forest_regions(first, near).withColumn("side", F.lit(-1)), near.select("node", F.col("node").alias("class")))
     linked = confirm(tried)
     classes = components(linked)
-    more = candidates(_across, classes).join(tried, ["a", "b"], "left_anti")
+    met = first.where(f"members <= {REGION}").select("region", "node", "tree", F.lit(-1).alias("side"))
+    crowded = first.where(f"members > {REGION}").select("region", "node", "tree")
+    if not crowded.isEmpty():
+        of = crowded.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        met = met.unionByName(_block_pairs(stored(of, "crowded")))
+    more = candidates(_across, met, classes).join(tried, ["a", "b"], "left_anti")
     found = confirm(more)
     if not found.isEmpty():
         classes = components(linked.unionByName(found))
