@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxloom.llm import exact_dedup, language, mixing, near_dedup, packing, quality
-from voxloom.llm.storage import id_key, stored
+from voxloom.llm.storage import stored
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is kept; of rows that share one, any single row."""
-    ids = decisions.where("kept").select(id_key().alias("_id")).distinct()
-    rows = docs.select(*COLUMNS).withColumn("_id", id_key()).join(ids, "_id", "left_semi")
-    return rows.dropDuplicates(["_id"]).drop("_id")
+def _kept(docs: DataFrame, decide: Callable[..., DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``decide`` keeps, each by a number of its own: ids may be null or repeated."""
+    rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    kept = decide(rows, row="_row").where("kept").select(F.col("row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +29,12 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return _kept(docs, exact_dedup.exact_duplicates(docs))
+    return _kept(docs, exact_dedup.exact_duplicates)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, similarity 0.8)."""
-    return _kept(docs, near_dedup.near_duplicates(docs))
+    return _kept(docs, near_dedup.near_duplicates)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,6 +94,19 @@ def test_near_copies_leave_one_document_of_each_class(states):
     assert len(states[3]) < len(rows)
 
 
+def test_dedup_stages_decide_by_row_not_by_id(spark):
+    texts = [prose(300 + k, 60) for k in range(8)]
+    near = texts[6].replace(texts[6].split()[30], "new", 1)
+    # Nulls with distinct texts, one id with two texts, one id with a copy and a text of its own, and a near copy alike.
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (9, texts[5]), (9, texts[7]), (None, texts[0]), (10, texts[6]), (None, near)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = stored(corpus_pipeline.drop_exact_copies(spark, docs, ""), "test")
+    want = Counter([(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (9, texts[7]), (10, texts[6]), (None, near)])
+    assert Counter((r.doc_id, r.text) for r in exact.collect()) == want
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, exact, "").collect())
+    assert left == want - Counter([(None, near)])
+
+
 def test_mix_repeats_whole_documents_up_to_the_targets(states):
     rows = states[3]
     sizes = defaultdict(int)

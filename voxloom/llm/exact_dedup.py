@@ -77,7 +77,7 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             raw = normalised(text)
             rows.append((*fingerprint(raw), len(raw), sha256(raw).hexdigest()))
         a, b, n, sha = zip(*rows, strict=True) if rows else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "fp1", "fp2", "n_bytes", "text_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "id", "fp1", "fp2", "n_bytes", "text_sha256"])
 
 
 def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,19 +110,21 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["row", "first"]).append_column("same", pa.array(same, pa.bool_()))
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
+def exact_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``.
 
     Of texts that are equal after white-space runs become one space, the row
     with the smallest doc_id stays (of rows that share that id, one).  Null
     counts as empty; a null doc_id stays only where its whole group has none.
+    ``row`` names a column of stored, distinct longs: it stands for the row
+    instead of doc_id where texts are read again, and comes back as ``row``.
     Other columns are ignored; an empty table gives an empty result.
     """
-    docs = documents(docs)
-    rows = docs.mapInArrow(_fingerprinted, "doc_id long, fp1 long, fp2 long, n_bytes long, text_sha256 string")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    docs = documents(docs, id_key() if row is None else F.col(row))
+    rows = docs.mapInArrow(_fingerprinted, "doc_id long, id long, fp1 long, fp2 long, n_bytes long, text_sha256 string")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id() if row is None else F.col("id")), "fingerprints")
     key = ["fp1", "fp2", "n_bytes"]
-    open_rows, settled = rows.select("row", "doc_id", *key), []
+    open_rows, settled = rows.select("row", "doc_id", "id", *key), []
     while True:
         # One pass unless two different texts share all lanes; such texts take part in the next.
         best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("best")
@@ -131,8 +133,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         pieces = F.ceil(F.col("n") / MEMBERS).cast("int")
         spread = F.when(F.col("first"), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.pmod(F.col("row"), pieces).cast("int")))
         member = member.withColumn("part", F.explode(spread)).withColumn("piece", F.concat_ws("|", *key, "part"))
-        wanted = stored(member.select("row", id_key().alias("id"), "first", "piece", *key), "members")
-        texts = fetch(docs.withColumn("id", id_key()), wanted, "id", ["text"]).drop("id")
+        wanted = stored(member.select("row", "id", "first", "piece", *key), "members")
+        texts = fetch(docs, wanted, "id", ["text"]).drop("id")
         shape = "row long, first boolean, piece string, fp1 long, fp2 long, n_bytes long, text binary"
         texts = texts.select("row", "first", "piece", *key, "text").mapInArrow(_with_text, shape)
         texts = texts.select("row", "first", "piece", "text").repartition("piece").sortWithinPartitions("piece", F.col("first").desc())
@@ -157,4 +159,5 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("keep_row") == F.col("row"))).alias("kept"),
         "text_sha256",
+        *([] if row is None else ["row"]),
     )

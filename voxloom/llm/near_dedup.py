@@ -65,11 +65,12 @@ def _signed(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(at, len(sets)),
+                        batch.column("id").slice(at, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([node_id(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "node", "sig"],
+                    names=["doc_id", "id", "n_shingles", "node", "sig"],
                 )
 
     return run
@@ -280,24 +281,27 @@ def _block_pairs(crowded: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "node", "tree", side.alias("side"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
     Links two texts when 100 * shared shingles >= percent * all shingles.
     ``component_id`` is the smallest doc_id reachable, ``kept`` marks it.
+    ``row`` names a column of stored, distinct longs: it stands for the row
+    instead of doc_id, comes back as ``row``, and ``kept`` marks one row of each class.
     Any further columns of ``docs`` are ignored; an empty table gives an empty result.
     """
-    docs = documents(docs)
-    signed = stored(docs.mapInArrow(_signed(width), "doc_id long, n_shingles long, node binary, sig binary"), "signatures")
-    firsts = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
-    heads = signed.where("node is not null").select("node", "sig", id_key().alias("id"))
-    heads = heads.join(firsts.select("node", "n_shingles", id_key().alias("id")), ["node", "id"]).dropDuplicates(["node"])
+    docs = documents(docs, id_key() if row is None else F.col(row))
+    signed = stored(docs.mapInArrow(_signed(width), "doc_id long, id long, n_shingles long, node binary, sig binary"), "signatures")
+    least = F.min("doc_id") if row is None else F.min("id")
+    firsts = signed.where("node is not null").groupBy("node").agg(least.alias("least"), F.min("n_shingles").alias("n_shingles"))
+    heads = signed.where("node is not null").select("node", "sig", "id")
+    heads = heads.join(firsts.select("node", "n_shingles", id_key("least").alias("id")), ["node", "id"]).dropDuplicates(["node"])
 
     floor = percent / 100 - 3.5 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
     first = _first_regions(heads)
     near = stored(heads.join(first.select("node").distinct(), "node"), "near")
     wanted = stored(near.select("id", "node"), "wanted")
-    sets = fetch(docs.withColumn("id", id_key()), wanted, "id", ["text"]).select("node", "text")
+    sets = fetch(docs, wanted, "id", ["text"]).select("node", "text")
     sets = stored(sets.mapInArrow(_sets(width), "node binary, shingles binary").dropDuplicates(["node"]), "sets", "none")
 
     def candidates(find, members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -323,8 +327,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if not found.isEmpty():
         classes = components(linked.unionByName(found))
 
-    named = signed.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
-    named = stored(named.select("doc_id", "n_shingles", F.coalesce("class", "node").alias("class")), "named")
-    ids = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = named.join(ids, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = signed.select("doc_id", "id", "n_shingles", "node").join(classes, "node", "left")
+    named = stored(named.select("doc_id", "id", "n_shingles", F.coalesce("class", "node").alias("class")), "named")
+    stays = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "id")).alias("stays")
+    ids = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), stays)
+    alone = F.col("class").isNull()
+    out = named.join(ids, "class", "left").withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("least")))
+    if row is None:
+        return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", (alone | (F.col("id") == F.col("stays.id"))).alias("kept"), F.col("id").alias("row"))

@@ -44,6 +44,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, key: str, columns: list[str]) -> D
     return docs.join(wanted, key)
 
 
-def documents(df: DataFrame) -> DataFrame:
-    """doc_id (long) and text (string), whatever else the table holds."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def documents(df: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id (long), text (string) and where given ``key`` as id (long), whatever else the table holds."""
+    more = [] if key is None else [key.cast("long").alias("id")]
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
