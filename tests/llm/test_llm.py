@@ -207,6 +207,20 @@ def test_warc_round_trip(spark):
     assert warc.page_captures(pages.limit(0)).count() == 0
 
 
+def test_warc_keeps_pages_with_equal_or_no_ids(spark):
+    rows = [(None, "a"), (None, "bb"), (None, "bb"), (5, "ccc"), (5, "dddd"), (5, "dddd"), (6, "ccc"), (6, "ccc"), (None, "ccc")]
+    pages = spark.createDataFrame([(i, "http://x/", h) for i, h in rows], "page_id long, url string, html string")
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.page_captures(pages).collect())
+    want = [(None, 1, "response", None), (None, 2, "response", None), (None, 2, "response", None), (5, 3, "revisit", 6), (5, 4, "response", None)]
+    want += [(5, 4, "response", None), (6, 3, "response", None), (6, 3, "response", None), (None, 3, "revisit", 6)]
+    assert got == Counter(want)
+    path = warc.shared_path(spark, "warc")
+    warc.write(pages, path)
+    records = warc.read_records(spark, path).collect()
+    responses = {r.record_id for r in records if r.type == "response"}
+    assert len({r.record_id for r in records}) == 3 * len(rows) and all(r.refers_to in responses for r in records if r.type == "revisit")
+
+
 def test_bucket_bounds_are_optimal():
     r = np.random.default_rng(0)
     for _ in range(20):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import shared_path
+from .storage import shared_path, stored
 
 #: Records in one file; with pages of up to 100 kB a file stays within some 15 MB.
 FILE_RECORDS = 450
@@ -34,25 +34,32 @@ def base32_sha1(column: Column) -> Column:
 
 
 def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """One string ``record`` per WARC record, three to a page; see ``write``."""
+    """One string ``record`` per WARC record, three to a row of ``pages``; see ``write``.
+
+    Rows are numbered and stored first, so identifiers differ where page_ids do not.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html"))
-    groups = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
-    rows = rows.join(groups.where("n > 1").drop("n"), ["digest", "size"], "left")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+    largest = F.max(F.struct("page_id", "row")).alias("largest")
+    groups = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(largest, F.count("*").alias("n"))
+    groups = stored(groups.where("n > 1").select("digest", "size", F.col("largest.page_id").alias("response_id"), F.col("largest.row").alias("response_row")), "payloads")
+    rows = rows.join(groups, ["digest", "size"], "left")
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     uri = F.when(F.regexp_replace("url", r"[\x00-\x20\x7F]", "") == "", F.concat(F.lit("urn:page:"), name)).otherwise(F.regexp_replace("url", r"[\x00-\x20\x7F]+", "%20"))
     revisit = F.col("response_id").isNotNull() & ~F.col("response_id").eqNullSafe(F.col("page_id"))
-    capture = F.concat(F.lit("<urn:capture:"), name, F.lit(">"))
+    numbered = F.concat(name, F.lit(":"), F.col("row").cast("string"), F.lit(">"))
+    capture = F.concat(F.lit("<urn:capture:"), numbered)
 
     def record(kind: Column, ident: Column, extra: Column, block: Column) -> Column:
         head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), ident, F.lit("\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: "), uri, extra)
         return F.concat(head, F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_END), block)
 
-    other = lambda kind: F.concat(F.lit(f"<urn:{kind}:"), name, F.lit(">"))
+    other = lambda kind: F.concat(F.lit(f"<urn:{kind}:"), numbered)
     beside = F.concat(F.lit("\r\nWARC-Concurrent-To: "), capture)
     payload = F.concat(F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"))
-    refers = F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:capture:"), F.col("response_id").cast("string"), F.lit(">"))
+    refers = F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:capture:"), F.col("response_id").cast("string"), F.lit(":"), F.col("response_row").cast("string"), F.lit(">"))
     answer = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(_END))
     http = F.lit("\r\nContent-Type: application/http; msgtype=")
     made = F.array(
@@ -69,7 +76,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """WARC files below ``path``.
 
     Of pages whose payloads (of ``least_bytes`` or more) are equal, the one
-    with the largest page_id is the response, the others revisit it.  A null
+    with the largest page_id is the response (all rows with that page_id are),
+    the others revisit it; pages without any page_id are all responses.  A null
     html is an empty payload, a null url a urn of the page.
     """
     out = records(pages, least_bytes).write.option("lineSep", _END).option("encoding", "UTF-8")
@@ -138,7 +146,7 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def page_captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of ``pages`` written and read back."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of ``pages`` written and read back: one row per row."""
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write(pages, path, least_bytes)
@@ -150,5 +158,5 @@ def page_captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         F.coalesce("response.bytes", number("metadata.fields", r"(?m)^payloadBytes: (\d+)\r?$").cast("long")).alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        F.when(F.col("response.refers_to").isNotNull(), number("response.refers_to", r"<urn:capture:(-?\d+)>").cast("long")).alias("refers_to"),
+        F.when(F.col("response.refers_to").isNotNull(), number("response.refers_to", r"<urn:capture:(-?\d+):\d+>").cast("long")).alias("refers_to"),
     )
