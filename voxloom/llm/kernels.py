@@ -29,21 +29,10 @@ def constants(n: int, seed: int) -> np.ndarray:
     return x | _U(1)
 
 
-_BYTE = constants(256, 17)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_power = np.ones(1, _U)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _power
-    if len(_power) < n:
-        _power = np.concatenate([np.ones(1, _U), np.cumprod(np.full(max(n, 4096) - 1, 0x9E3779B97F4A7C15, _U))])
-    return _power
-
-
 def encode(text: str | None) -> bytes:
     """UTF-8 of a text; null is empty."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
@@ -55,6 +44,12 @@ def raw_texts(column: pa.Array) -> Iterator[bytes]:
         yield cell.as_buffer().to_pybytes() if cell.is_valid else b""
 
 
+def batch_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """Rows as a batch of the columns named in ``kinds``."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, texts as bytes) in slices of bounded size."""
     at, held, size = 0, [], 0
@@ -68,11 +63,17 @@ def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield at, held
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and where each text's words begin (one more entry than texts)."""
+def word_hashes(texts: list[bytes], lower: bool = False, lanes: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (``lanes`` rows of 64 bits), and where each text's words begin (one more entry than texts).
+
+    A word's hash adds up a mixed value of each letter and its place, so no
+    algebra of letter patterns can make two words agree but by 64-bit chance;
+    lanes are independent of each other.
+    """
     buf = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    none = np.zeros((lanes, 0), _U)
     if not len(buf):
-        return np.zeros(0, _U), np.zeros(len(texts) + 1, np.int64)
+        return none, np.zeros(len(texts) + 1, np.int64)
     inside = ~_SPACE[buf]
     edge = np.flatnonzero(np.diff(inside, prepend=False))
     if len(edge) % 2:
@@ -81,16 +82,19 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     ends = np.cumsum([len(t) + 1 for t in texts])
     first = np.concatenate([[0], np.searchsorted(start, ends)]).astype(np.int64)
     if not len(start):
-        return np.zeros(0, _U), first
+        return none, first
     size = end - start
     at = np.flatnonzero(inside)
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    nth = np.arange(len(at)) - np.repeat(begin, size)
     letters = buf[at]
     if lower:
         letters = _LOWER[letters]
-    total = np.add.reduceat(_BYTE[letters] * _powers(int(size.max()))[nth], begin)
-    return mix(total + size.astype(_U)), first
+    place = (np.arange(len(at)) - np.repeat(begin, size)).astype(_U) << _U(8) | letters
+    place *= _U(0x9E3779B97F4A7C15)
+    out = np.empty((lanes, len(start)), _U)
+    for lane in range(lanes):
+        out[lane] = mix(np.add.reduceat(mix(place ^ constants(lanes, 17)[lane]), begin) + size.astype(_U))
+    return out, first
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
@@ -106,7 +110,7 @@ def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's ``width``-word shingles; a shorter text is one shingle."""
-    words, first = word_hashes(texts, lower=True)
+    (words,), first = word_hashes(texts, lower=True)
     runs = window_hashes(words, width)
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):

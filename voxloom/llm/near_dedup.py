@@ -1,22 +1,25 @@
 """Near-duplicate classes by an LSH forest of MinHash signatures.
 
 1. Each text becomes the set of its word shingles and a signature of 512
-   minima.  Texts with equal sets form one node, whatever their number.
-2. The first 128 minima make 16 trees of 8 levels.  Nodes that share 4 levels
-   of a tree are a region, and all pairs of a region are candidates.
-3. In a region, longest-common-prefix neighbours are tied into a forest: from
-   each node to the one with the largest estimated similarity.  The links are
-   confirmed on whole shingle sets, and confirmed links are contracted.  For
-   this step a region with more than ``REGION`` nodes is split by a further
-   level (adaptive depth), and at full depth by a hash.
-4. Every other candidate pair of a region whose ends are still in different
-   classes is confirmed as well, so forest and splits are only a saving: they
-   leave out links inside a class, and none between classes.  A region with
-   more than ``REGION`` nodes is compared here by pairs of blocks.
-
-A pair whose similarity is exactly 0.85 shares a region with probability
-1 - (1 - 0.85**4)**16 = 0.99999, and its estimate passes the filter (3.5
-standard deviations below the threshold) with 0.9998.
+   minima, read as 64 orders of 8 levels.  Texts with equal sets form one node,
+   whatever their number.
+2. Nodes are sorted by signature in each of the first 16 orders, over ranges
+   that follow each other.  Nodes next to each other have the longest common
+   prefixes; where these reach 4 levels the two are candidates, also over the
+   edge of a range.  Candidates are confirmed on whole shingle sets and
+   confirmed links contracted to classes.
+3. Nodes with a common prefix of 4 levels form a region.  Where a region still
+   holds several classes, its pairs of different classes are candidates as
+   well, so step 2 leaves out links inside a class and none between classes.
+4. Depth adapts to the region: one with more than ``REGION`` nodes is compared
+   at 8 levels instead, in all 64 orders.  What is crowded at 8 levels too is
+   compared by pairs of blocks.
+
+A pair whose similarity is s shares a region at 4 levels of 16 orders with
+probability 1 - (1 - s**4)**16 and at 8 levels of 64 with 1 - (1 - s**8)**64:
+at s = 0.85 all but 8e-6 and 2e-9, at s = 0.8 all but 3e-4 and 8e-6.  Its
+estimate passes the filter (3.5 standard deviations below the threshold) with
+0.9998.
 
 Null or wordless texts are their own class; repeated rows share a node; a null
 doc_id takes part and is never a class's name unless all its ids are null.
@@ -30,16 +33,18 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .storage import documents, fetch, id_key, stored
+from .storage import documents, fetch, stored
 
-TREES, LEVELS, LEAST_LEVELS, REGION, HASHES = 16, 8, 4, 2048, 512
+HASHES, LEVELS, LEAST_LEVELS, REGION = 512, 8, 4, 2048
+#: Orders that are sorted and compared at LEAST_LEVELS, and those compared at LEVELS.
+ORDERS, DEEP_ORDERS = 16, HASHES // LEVELS
 _XOR = kernels.constants(HASHES, 5).astype(np.uint32)
 _MUL = kernels.constants(HASHES, 6).astype(np.uint32) | np.uint32(1)
-_PATH = TREES * LEVELS
 
 
 def node_id(shingles: np.ndarray) -> bytes:
@@ -48,13 +53,12 @@ def node_id(shingles: np.ndarray) -> bytes:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """128 minima of 16 bits (the trees' levels), then 384 of 8 bits."""
+    """512 minima of 16 bits: 8 levels for each of 64 orders."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 256):
         np.minimum(least, ((x[None, i : i + 256] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1), out=least)
-    short = kernels.mix(least.astype(np.uint64))
-    return short[:_PATH].astype(">u2").tobytes() + short[_PATH:].astype(np.uint8).tobytes()
+    return kernels.mix(least.astype(np.uint64)).astype(">u2").tobytes()
 
 
 def _signed(width: int):
@@ -65,12 +69,12 @@ def _signed(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(at, len(sets)),
-                        batch.column("id").slice(at, len(sets)),
+                        batch.column("row").slice(at, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([node_id(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "id", "n_shingles", "node", "sig"],
+                    names=["doc_id", "row", "n_shingles", "node", "sig"],
                 )
 
     return run
@@ -79,10 +83,42 @@ def _signed(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column("node").to_pylist()
             for at, texts in kernels.slices(batch.column("text")):
-                found = [(node, s.tobytes()) for node, s in zip(nodes[at:], kernels.shingle_sets(texts, width), strict=False) if node_id(s) == node]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["node", "shingles"])
+                shingles = [s.tobytes() for s in kernels.shingle_sets(texts, width)]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(texts)), pa.array(shingles, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _neighbours(percent: int):
+    """Rows of one range in the order of (tree, key, node): what has a neighbour with a common prefix, and the range's two ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, joined, begun = None, False, False
+
+        def made(rows: pa.RecordBatch, after: np.ndarray, before: np.ndarray, edge: np.ndarray, follower: pa.RecordBatch) -> pa.RecordBatch:
+            n, m = (x.column("n_shingles").to_numpy() for x in (rows, follower))
+            near = after & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            following = pa.compute.if_else(pa.array(near), follower.column("node"), pa.scalar(None, pa.binary()))
+            out = rows.append_column("next", following).append_column("edge", pa.array(edge))
+            return out.filter(pa.array(after | before | edge))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            tree = rows.column("tree").to_numpy()
+            start = np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u8").reshape(-1, 2)[:, 0]
+            after = (tree[1:] == tree[:-1]) & (start[1:] == start[:-1])
+            before = np.concatenate([[joined], after])
+            if len(after):
+                edge = np.zeros(len(after), bool)
+                edge[0] = not begun
+                begun = True
+                yield made(rows.slice(0, len(after)), after, before[:-1], edge, rows.slice(1))
+            held, joined = rows.slice(len(after)), bool(before[-1])
+        if held is not None:
+            yield made(held, np.zeros(1, bool), np.array([joined]), np.ones(1, bool), held)
 
     return run
 
@@ -93,30 +129,30 @@ class Region:
     sketch: np.ndarray  # minima of 8 bits, one row a node
     sizes: np.ndarray  # of the shingle sets
     classes: list[bytes]
-    starts: np.ndarray  # first levels of each tree, one row a node
+    starts: np.ndarray  # the prefixes in all orders, hashed, one row a node
     sides: np.ndarray  # 0 and 1 in a pair of blocks; -1 where all nodes meet
-    tree: int
+    trees: np.ndarray  # the order that brought the node here
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[Region]:
+def _regions(levels: int, batches: Iterator[pa.RecordBatch]) -> Iterator[Region]:
     """Whole regions of sorted rows."""
     held: list[tuple] = []
     for batch in batches:
         columns = [batch.column(k).to_pylist() for k in ("region", "node", "sig", "n_shingles", "class", "side", "tree")]
         for row in zip(*columns, strict=True):
             if held and held[0][0] != row[0]:
-                yield _region(held)
+                yield _region(levels, held)
                 held = []
             held.append(row)
     if held:
-        yield _region(held)
+        yield _region(levels, held)
 
 
-def _region(rows: list[tuple]) -> Region:
+def _region(levels: int, rows: list[tuple]) -> Region:
     raw = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-    sketch = raw[:, np.r_[1 : 2 * _PATH : 2, 2 * _PATH : raw.shape[1]]]
-    starts = raw[:, : 2 * _PATH].reshape(len(rows), TREES, 2 * LEVELS)[:, :, : 2 * LEAST_LEVELS].copy().view(np.uint64)[:, :, 0]
-    return Region([r[1] for r in rows], sketch, np.array([r[3] for r in rows]), [r[4] for r in rows], starts, np.array([r[5] for r in rows]), rows[0][6])
+    halves = raw.view(np.uint64).reshape(len(rows), DEEP_ORDERS, 2)
+    starts = halves[:, :ORDERS, 0] if levels == LEAST_LEVELS else kernels.mix(halves[:, :, 0]) ^ halves[:, :, 1]
+    return Region([r[1] for r in rows], raw[:, 1::2], np.array([r[3] for r in rows]), [r[4] for r in rows], starts, np.array([r[5] for r in rows]), np.array([r[6] for r in rows]))
 
 
 def _estimates(sig: np.ndarray, sizes: np.ndarray, i: int, rest: np.ndarray, percent: int) -> np.ndarray:
@@ -130,50 +166,21 @@ def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())], names=["a", "b"])
 
 
-def _forest(percent: int, floor: float):
-    """For each region, a maximum spanning forest over the estimates (Prim's order, one row of estimates at a time)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for r in _regions(batches):
-            nodes, sig, sizes = r.nodes, r.sketch, r.sizes
-            best, via = np.full(len(nodes), -1.0), np.zeros(len(nodes), np.int64)
-            rest, i = np.arange(1, len(nodes)), 0
-            while len(rest):
-                est = _estimates(sig, sizes, i, rest, percent)
-                nearer = est > best[rest]
-                best[rest[nearer]], via[rest[nearer]] = est[nearer], i
-                k = int(np.argmax(best[rest]))
-                i = int(rest[k])
-                if best[i] >= floor:
-                    out.append((nodes[i], nodes[via[i]]))
-                rest = np.delete(rest, k)
-            if len(out) > 50_000:
-                yield _pairs(out)
-                out = []
-        yield _pairs(out)
-
-    return run
-
-
-def _across(percent: int, floor: float):
-    """All candidate pairs whose ends are in different classes, each in the first tree where they meet.
-
-    Two nodes have met in an earlier tree when they share its first levels.
-    """
+def _across(percent: int, floor: float, levels: int):
+    """All pairs of a region whose ends are in different classes, each in the first order where they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for r in _regions(batches):
+        for r in _regions(levels, batches):
             nodes, sig, sizes = r.nodes, r.sketch, r.sizes
             names = {c: k for k, c in enumerate(dict.fromkeys(r.classes))}
             if len(names) == 1:
                 continue
             of = np.array([names[c] for c in r.classes])
             for i in range(len(nodes) - 1):
-                meet = (of[i + 1 :] != of[i]) & ((r.sides[i + 1 :] != r.sides[i]) | (r.sides[i] < 0))
+                meet = (of[i + 1 :] != of[i]) & (r.trees[i + 1 :] == r.trees[i]) & ((r.sides[i + 1 :] != r.sides[i]) | (r.sides[i] < 0))
                 rest = i + 1 + np.flatnonzero(meet)
-                rest = rest[~(r.starts[rest, : r.tree] == r.starts[i, : r.tree]).any(axis=1)]
+                rest = rest[~(r.starts[rest, : r.trees[i]] == r.starts[i, : r.trees[i]]).any(axis=1)]
                 if len(rest):
                     near = rest[_estimates(sig, sizes, i, rest, percent) >= floor]
                     out += [(nodes[i], nodes[j]) for j in near]
@@ -221,40 +228,39 @@ def components(links: DataFrame) -> DataFrame:
     return named
 
 
-def _first_regions(nodes: DataFrame) -> DataFrame:
-    """(region, node, tree, members) of all regions with two nodes or more, whole."""
-    rows = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    return stored(_counted(rows.select(_named(LEAST_LEVELS).alias("region"), "node", "tree")), "regions")
+def _orders(nodes: DataFrame, percent: int) -> DataFrame:
+    """(tree, key, node, n_shingles, next, edge) of nodes that share 4 levels with a neighbour in one of the sorted orders.
 
-
-def _named(level: int) -> Column:
-    return F.xxhash64("tree", F.lit(level), F.expr(f"substring(sig, tree * {2 * LEVELS} + 1, {2 * level})"))
+    Orders are cut into ranges by (tree, key, node), so equal signatures do not
+    meet in one task; ``edge`` marks each range's first and last row.
+    """
+    tree = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("tree")
+    rows = nodes.select("node", "n_shingles", "sig", tree)
+    rows = rows.select("tree", F.expr(f"substring(sig, tree * {2 * LEVELS} + 1, {2 * LEVELS})").alias("key"), "node", "n_shingles")
+    rows = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    shape = "tree int, key binary, node binary, n_shingles long, next binary, edge boolean"
+    return stored(rows.mapInArrow(_neighbours(percent), shape).withColumn("start", F.substring("key", 1, 2 * LEAST_LEVELS)), "orders")
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    sizes = rows.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
-    return rows.join(sizes, "region")
+def _neighbour_pairs(orders: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of neighbours, those over the edges of ranges included."""
+    over = Window.partitionBy("tree", "start").orderBy("key", "node")
+    edges = orders.where("edge").withColumn("next", F.lead("node").over(over)).withColumn("m", F.lead("n_shingles").over(over))
+    edges = edges.where(f"100 * least(n_shingles, m) >= {percent} * greatest(n_shingles, m)")
+    pairs = orders.select("node", "next").where("next is not null").unionByName(edges.select("node", "next"))
+    return pairs.select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
 
 
-def _forest_regions(first: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(region, node, tree) of ``first``, crowded regions split for the forest."""
-    done, big = [first.where(f"members <= {REGION}")], first.where(f"members > {REGION}")
-    level = LEAST_LEVELS
-    while level < LEVELS and not big.isEmpty():
-        level += 1
-        deeper = big.drop("region", "members").join(nodes.select("node", "sig"), "node").withColumn("region", _named(level)).drop("sig")
-        deeper = stored(_counted(deeper), "regions")
-        done.append(deeper.where(f"members <= {REGION}"))
-        big = deeper.where(f"members > {REGION}")
-    # Equal to full depth in this tree: pieces by a hash of the node, another in each tree.
-    pieces = big.select(F.xxhash64("region", F.expr(f"pmod(xxhash64(node, tree), cast(ceil(members / {REGION / 2}) as int))")).alias("region"), "node", "tree")
-    for part in done:
-        pieces = pieces.unionByName(part.select("region", "node", "tree"))
-    return stored(pieces, "regions")
+def _open_regions(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(region, node, tree, class, members) of the regions in ``rows`` (region, node, tree) that hold several classes."""
+    rows = stored(rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "regions")
+    sizes = rows.groupBy("region").agg(F.count("*").alias("members"), F.min("class").alias("least"), F.max("class").alias("most"))
+    sizes = stored(sizes.where("least <> most").select("region", "members"), "sizes")
+    return stored(rows.join(sizes, "region"), "open")
 
 
 def _block_pairs(crowded: DataFrame) -> DataFrame:
-    """(region, node, tree, side) of crowded regions' rows (region, node, tree, class), dealt to pairs of blocks.
+    """(region, node, tree, class, side) of crowded regions' rows (region, node, tree, class), dealt to pairs of blocks.
 
     A block holds about half of ``REGION`` nodes.  A class with more has blocks
     of its own, which meet all blocks but those of the same class; the other
@@ -276,9 +282,9 @@ def _block_pairs(crowded: DataFrame) -> DataFrame:
     count = F.expr("if(owner < 0, shared, own[greatest(owner, 0)].blocks)")
     rows = rows.withColumn("block", first + F.pmod(F.xxhash64("node"), count).cast("int"))
     others = F.expr("filter(sequence(0, size(owners) - 1), k -> owner < 0 or owners[k] <> owner)")
-    rows = rows.select("region", "node", "tree", "block", F.explode(others).alias("other"))
+    rows = rows.select("region", "node", "tree", "class", "block", F.explode(others).alias("other"))
     side = F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int"))
-    return rows.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "node", "tree", side.alias("side"))
+    return rows.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "node", "tree", "class", side.alias("side"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
@@ -286,53 +292,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str
 
     Links two texts when 100 * shared shingles >= percent * all shingles.
     ``component_id`` is the smallest doc_id reachable, ``kept`` marks it.
-    ``row`` names a column of stored, distinct longs: it stands for the row
-    instead of doc_id, comes back as ``row``, and ``kept`` marks one row of each class.
+    ``row`` names a column of stored, distinct longs: it comes back as
+    ``row``, and ``kept`` marks one row of each class.
     Any further columns of ``docs`` are ignored; an empty table gives an empty result.
     """
-    docs = documents(docs, id_key() if row is None else F.col(row))
-    signed = stored(docs.mapInArrow(_signed(width), "doc_id long, id long, n_shingles long, node binary, sig binary"), "signatures")
-    least = F.min("doc_id") if row is None else F.min("id")
-    firsts = signed.where("node is not null").groupBy("node").agg(least.alias("least"), F.min("n_shingles").alias("n_shingles"))
-    heads = signed.where("node is not null").select("node", "sig", "id")
-    heads = heads.join(firsts.select("node", "n_shingles", id_key("least").alias("id")), ["node", "id"]).dropDuplicates(["node"])
-
+    docs = documents(docs, row)
+    signed = stored(docs.mapInArrow(_signed(width), "doc_id long, row long, n_shingles long, node binary, sig binary"), "signatures")
+    firsts = signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
+    heads = stored(signed.select("row", "node", "n_shingles", "sig").join(firsts, ["node", "row"]), "nodes")
     floor = percent / 100 - 3.5 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
-    first = _first_regions(heads)
-    near = stored(heads.join(first.select("node").distinct(), "node"), "near")
-    wanted = stored(near.select("id", "node"), "wanted")
-    sets = fetch(docs, wanted, "id", ["text"]).select("node", "text")
-    sets = stored(sets.mapInArrow(_sets(width), "node binary, shingles binary").dropDuplicates(["node"]), "sets", "none")
-
-    def candidates(find, members: DataFrame, classes: DataFrame) -> DataFrame:
-        rows = members.join(near.select("node", "sig", "n_shingles"), "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        rows = rows.select("region", "node", "sig", "n_shingles", "class", "side", "tree").repartition("region").sortWithinPartitions("region", "node")
-        return stored(rows.mapInArrow(find(percent, floor), "a binary, b binary").distinct(), "candidates")
+
+    orders = _orders(heads, percent)
+    tried = stored(_neighbour_pairs(orders, percent), "neighbours")
+    # A lone end of a range is no region, and goes with the regions of one class.
+    regions = orders.select(F.xxhash64("tree", "start").alias("region"), "node", "tree")
+    wanted = stored(heads.select("row", "node").join(regions.select("node").distinct(), "node", "left_semi"), "wanted")
+    sets = fetch(docs, wanted, ["text"]).select("node", "text")
+    sets = stored(sets.mapInArrow(_sets(width), "node binary, shingles binary"), "sets", "none")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
         pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         return stored(pairs.mapInArrow(_confirmed(percent), "a binary, b binary"), "confirmed")
 
-    tried = candidates(_forest, _forest_regions(first, near).withColumn("side", F.lit(-1)), near.select("node", F.col("node").alias("class")))
+    def across(members: DataFrame, levels: int) -> DataFrame:
+        rows = members.join(heads.select("node", "sig", "n_shingles"), "node")
+        rows = rows.select("region", "node", "sig", "n_shingles", "class", "side", "tree").repartition("region").sortWithinPartitions("region", "node")
+        return stored(rows.mapInArrow(_across(percent, floor, levels), "a binary, b binary").distinct(), "candidates")
+
     linked = confirm(tried)
     classes = components(linked)
-    met = first.where(f"members <= {REGION}").select("region", "node", "tree", F.lit(-1).alias("side"))
-    crowded = first.where(f"members > {REGION}").select("region", "node", "tree")
-    if not crowded.isEmpty():
-        of = crowded.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        met = met.unionByName(_block_pairs(stored(of, "crowded")))
-    more = candidates(_across, met, classes).join(tried, ["a", "b"], "left_anti")
-    found = confirm(more)
-    if not found.isEmpty():
-        classes = components(linked.unionByName(found))
-
-    named = signed.select("doc_id", "id", "n_shingles", "node").join(classes, "node", "left")
-    named = stored(named.select("doc_id", "id", "n_shingles", F.coalesce("class", "node").alias("class")), "named")
-    stays = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "id")).alias("stays")
-    ids = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), stays)
-    alone = F.col("class").isNull()
-    out = named.join(ids, "class", "left").withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("least")))
+    members = _open_regions(regions, classes)
+    met = across(members.where(f"members <= {REGION}").withColumn("side", F.lit(-1)), LEAST_LEVELS).join(tried, ["a", "b"], "left_anti")
+    more = confirm(met)
+    if not more.isEmpty():
+        linked = linked.unionByName(more)
+        classes = components(linked)
+    crowd = members.where(f"members > {REGION}").select("node").distinct()
+    if not crowd.isEmpty():
+        deep = heads.join(crowd, "node", "left_semi").select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(DEEP_ORDERS - 1))).alias("tree"))
+        deep = deep.select(F.xxhash64(F.lit("deep"), "tree", F.expr(f"substring(sig, tree * {2 * LEVELS} + 1, {2 * LEVELS})")).alias("region"), "node", "tree")
+        members = _open_regions(deep, classes)
+        met = members.where(f"members <= {REGION}").select("region", "node", "tree", "class", F.lit(-1).alias("side"))
+        still = members.where(f"members > {REGION}").drop("members")
+        if not still.isEmpty():
+            met = met.unionByName(_block_pairs(still))
+        more = confirm(across(met, LEVELS).join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            classes = components(linked.unionByName(more))
+
+    # Ids are gathered by node, then by class, and joined as stored tables, so that a large class can be dealt out.
+    stays = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("stays")
+    nodes = signed.where("node is not null").groupBy("node").agg(stays).join(classes, "node", "left")
+    nodes = stored(nodes.select("node", F.coalesce("class", "node").alias("class"), "stays"), "named")
+    ids = stored(nodes.groupBy("class").agg(F.min("stays").alias("stays")), "ids")
+    nodes = stored(nodes.select("node", "class").join(ids, "class").select("node", F.col("stays.doc_id").alias("least"), F.col("stays.row").alias("stays")), "kept")
+    out = signed.select("doc_id", "row", "n_shingles", "node").join(nodes, "node", "left")
+    alone = F.col("node").isNull()
+    out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("least")))
     if row is None:
         return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return out.select("doc_id", "n_shingles", "component_id", (alone | (F.col("id") == F.col("stays.id"))).alias("kept"), F.col("id").alias("row"))
+    return out.select("doc_id", "n_shingles", "component_id", (alone | (F.col("row") == F.col("stays"))).alias("kept"), "row")

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key list is broadcast only when a count shows that it is no longer than this.
 BROADCAST_KEYS = 300_000
-#: Stands for a null doc_id where rows are joined on it.
-NO_ID = -(1 << 63)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below the warehouse where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    """A new path below spark.checkpoint.dir, which a cluster must name; in local mode below the warehouse where it is unset."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    top = top or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,25 +27,27 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def id_key(column: str = "doc_id") -> Column:
-    """A join key that matches null with null."""
-    return F.coalesce(F.col(column), F.lit(NO_ID))
+def documents(df: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id (long), text (string) and row (long), a number of each row's own, whatever else the table holds.
 
-
-def fetch(docs: DataFrame, wanted: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows of ``docs`` (key and ``columns``) joined to the rows of the stored table ``wanted``.
-
-    When a count shows that few keys are wanted they are broadcast first, so
-    only the wanted rows of ``docs`` are shuffled; else both sides are.
+    ``row`` names a column of stored, distinct longs; without it rows are
+    numbered and stored here, so that a row has the same number whenever it is
+    read again, also where doc_ids are null or repeated.
     """
-    docs = docs.select(key, *columns)
-    keys = wanted.select(key).distinct()
-    if keys.count() <= BROADCAST_KEYS:
-        docs = docs.join(F.broadcast(keys), key, "left_semi")
-    return docs.join(wanted, key)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if row is not None:
+        return df.select(*columns, F.col(row).cast("long").alias("row"))
+    return stored(df.select(*columns, F.monotonically_increasing_id().alias("row")), "rows")
 
 
-def documents(df: DataFrame, key: Column | None = None) -> DataFrame:
-    """doc_id (long), text (string) and where given ``key`` as id (long), whatever else the table holds."""
-    more = [] if key is None else [key.cast("long").alias("id")]
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+def fetch(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``columns`` of ``docs`` joined by ``row`` to the rows of the stored table ``wanted``.
+
+    When a count shows that few rows are wanted their numbers are broadcast
+    first, so only the wanted rows of ``docs`` are shuffled; else both sides are.
+    """
+    docs = docs.select("row", *columns)
+    rows = wanted.select("row").distinct()
+    if rows.count() <= BROADCAST_KEYS:
+        docs = docs.join(F.broadcast(rows), "row", "left_semi")
+    return docs.join(wanted, "row")

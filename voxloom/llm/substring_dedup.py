@@ -1,17 +1,22 @@
 """Repeated passages by level-wise doubling of windows.
 
-Level 1 works on windows of half the length.  Of the half windows inside a full
-window, the one with the smallest hash stands for it (all copies of a full
-window choose the same one), so about a tenth of the half windows are counted.
-Only full windows whose half window is repeated go to level 2, twice the
-length, where all of them are hashed and counted; what is repeated there is
-removed.  Whole copies of a document are counted once, with their number.
+Level 0 works on windows of a quarter of the length.  Of the short windows
+inside a full one, that with the smallest hash stands for it (all copies of a
+full window choose the same one), so about a fourteenth of them are counted.
+What is repeated at one length alone is extended to twice that length, inside
+its full window, and counted again, until full windows are counted themselves
+or no candidate survives: 9, 18, 35 words.  A full window repeats only if what
+stands for it repeats at every level, so levels lose nothing.
+
+The last level decides, by 128 bits for each window: two independent lanes
+over words whose hashes are two lanes as well.  Whole copies of a document
+(equal SHA-256 of their words) are counted once, with their number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b, sha256
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .storage import documents, fetch, id_key, stored
+from .storage import documents, fetch, stored
+
+#: No level counts windows shorter than half of this.
+SHORT = 16
+
+
+def level_lengths(window: int) -> list[int]:
+    """Window lengths of the levels, each at most twice the one before, the last ``window``."""
+    lengths = [window]
+    while lengths[0] >= SHORT:
+        lengths.insert(0, -(-lengths[0] // 2))
+    return lengths
 
 
 def smallest_in_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -35,60 +51,57 @@ def smallest_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return step(at, width - span) if width > span else at
 
 
-def _anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of half windows, and for each full window where its smallest half window starts."""
-    half = -(-window // 2)
-    halves = kernels.window_hashes(words, half)
-    if len(words) < window:
-        return halves, np.zeros(0, np.int64)
-    return halves, smallest_in_windows(halves, window - half + 1)
-
-
-def _digest(words: np.ndarray) -> bytes:
-    return blake2b(words.tobytes(), digest_size=16).digest()
+def _stand_ins(words: np.ndarray, window: int, level: int) -> np.ndarray:
+    """For each full window, where the shorter window that stands for it at ``level`` starts."""
+    n, lengths = len(words) - window + 1, level_lengths(window)
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    starts = np.arange(n)
+    at = starts if len(lengths) == 1 else smallest_in_windows(kernels.window_hashes(words, lengths[0]), window - lengths[0] + 1)
+    for length in lengths[1 : level + 1]:
+        at = np.minimum(at, starts + window - length)
+    return at
 
 
 def _scanned(window: int):
+    length = level_lengths(window)[0]
+    kinds = {"doc_id": pa.int64(), "row": pa.int64(), "n_words": pa.int64(), "whole_sha256": pa.string(), "at": pa.list_(pa.int32()), "h1": pa.list_(pa.int64())}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in kernels.slices(batch.column("text")):
-                words, first = kernels.word_hashes(texts)
-                halves, smallest = _anchors(words, window)
-                out: list[list] = [[], [], [], [], []]
-                for a, b, text in zip(first[:-1], first[1:], texts, strict=True):
-                    starts = np.unique(smallest[a : b - window + 1]) if b - a >= window else np.zeros(0, np.int64)
-                    for column, value in zip(out, (_digest(words[a:b]), int(b - a), sha256(b" ".join(text.split())).hexdigest(), starts - a, halves[starts].view(np.int64)), strict=True):
-                        column.append(value)
-                kinds = [pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(texts)), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]],
-                    names=["doc_id", "digest", "n_words", "whole_sha256", "at", "half"],
-                )
+            ids = [batch.column(k).to_pylist() for k in ("doc_id", "row")]
+            for base, texts in kernels.slices(batch.column("text")):
+                (words,), first = kernels.word_hashes(texts)
+                hashes, at = kernels.window_hashes(words, length).view(np.int64), _stand_ins(words, window, 0)
+                out = []
+                for k, (a, b, text) in enumerate(zip(first[:-1], first[1:], texts, strict=True)):
+                    starts = np.unique(at[a : b - window + 1]) if b - a >= window else at[:0]
+                    out.append((*[x[base + k] for x in ids], int(b - a), sha256(b" ".join(text.split())).hexdigest(), starts - a, hashes[starts]))
+                yield kernels.batch_of(out, kinds)
 
     return run
 
 
-def _windows(window: int):
-    """(row, copies, start, hash) of all full windows whose half window is repeated."""
+def _extended(window: int, level: int):
+    """(row, copies, at, h1, h2) at ``level`` of every full window whose stand-in is repeated one level before."""
+    length, last = level_lengths(window)[level], level + 1 == len(level_lengths(window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("row", "copies", "digest", "repeated")]
-            for at, texts in kernels.slices(batch.column("text")):
-                words, first = kernels.word_hashes(texts)
-                _, smallest = _anchors(words, window)
-                full = kernels.window_hashes(words, window)
-                rows, copies, starts, hashes = [], [], [], []
+            columns = [batch.column(k).to_pylist() for k in ("row", "copies", "at")]
+            for base, texts in kernels.slices(batch.column("text")):
+                words, first = kernels.word_hashes(texts, lanes=2 if last else 1)
+                before, now = _stand_ins(words[0], window, level - 1), _stand_ins(words[0], window, level)
+                hashes = [kernels.window_hashes(w, length, seed).view(np.int64) for seed, w in enumerate(words)]
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                    row, n, digest, repeated = (c[at + k] for c in columns)
-                    if b - a < window or _digest(words[a:b]) != digest:
-                        continue
+                    row, copies, repeated = (c[base + k] for c in columns)
                     wanted = np.zeros(b - a, bool)
                     wanted[repeated] = True
-                    p = a + np.flatnonzero(wanted[smallest[a : b - window + 1] - a])
-                    rows.append(np.full(len(p), row)), copies.append(np.full(len(p), n)), starts.append(p - a), hashes.append(full[p].view(np.int64))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (rows, copies, starts, hashes)], names=["row", "copies", "start", "hash"])
+                    p = np.unique(now[a : b - window + 1][wanted[before[a : b - window + 1] - a]])
+                    for column, values in zip(out, (np.full(len(p), row), np.full(len(p), copies), p - a, hashes[0][p], hashes[-1][p]), strict=True):
+                        column.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["row", "copies", "at", "h1", "h2"])
 
     return run
 
@@ -102,18 +115,17 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def _removed(window: int):
+    kinds = {"row": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, starts, digests = (batch.column(k).to_pylist() for k in ("row", "starts", "digest"))
             out = []
-            for row, at, digest, raw in zip(rows, starts, digests, kernels.raw_texts(batch.column("text")), strict=True):
+            for row, at, raw in zip(*[batch.column(k).to_pylist() for k in ("row", "at")], kernels.raw_texts(batch.column("text")), strict=True):
                 words = raw.split()
-                if _digest(kernels.word_hashes([raw])[0]) != digest:
-                    continue
                 gone = covered(len(words), np.array(at, np.int64), window)
                 kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
                 out.append((row, int(gone.sum()), sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["row", "n_removed", "kept_sha256", "kept_text"])
+            yield kernels.batch_of(out, kinds)
 
     return run
 
@@ -127,31 +139,33 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     other.  Other columns are ignored; an empty table gives an empty result.
     """
     docs = documents(docs)
-    scan = docs.mapInArrow(_scanned(window), "doc_id long, digest binary, n_words long, whole_sha256 string, at array<int>, half array<long>")
-    scan = stored(scan.withColumn("row", F.monotonically_increasing_id()), "scan")
-    classes = stored(scan.groupBy("digest").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.min("n_words").alias("n_words")), "word_classes")
-
-    halves = scan.select("row", F.inline(F.arrays_zip("at", "half")))
-    repeated = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    level1 = halves.join(repeated, "half", "left_semi").groupBy("row").agg(F.collect_list("at").alias("repeated"))
-    named = scan.select("row", id_key().alias("id"), "digest")
-    wanted = level1.join(classes.select("row", "copies"), "row").join(named, "row")
-    wanted = stored(wanted, "level1")
-
-    source = docs.withColumn("id", id_key())
-    texts = fetch(source, wanted, "id", ["text"]).select("row", "copies", "digest", "repeated", "text")
-    level2 = texts.mapInArrow(_windows(window), "row long, copies long, start long, hash long")
-    # A doc_id that repeats can bring the same row twice; the pair (row, start) names a window.
-    level2 = stored(level2.select("row", "copies", F.col("start").cast("int").alias("start"), "hash"), "level2")
-    again = level2.groupBy("hash").agg(F.sum("copies").alias("n")).where("n > 1").select("hash")
-    alone = level2.where("copies = 1").join(again, "hash", "left_semi").groupBy("row").agg(F.collect_list("start").alias("starts"))
-    marks = stored(alone.join(named, "row"), "marks")
-    cut = fetch(source, marks, "id", ["text"]).select("row", "starts", "digest", "text")
+    scan = docs.mapInArrow(_scanned(window), "doc_id long, row long, n_words long, whole_sha256 string, at array<int>, h1 array<long>")
+    scan = stored(scan, "scan")
+    classes = scan.groupBy("whole_sha256").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.min("n_words").alias("n_words"))
+    classes = stored(classes, "copies")
+    copies = classes.where(F.col("n_words") >= window).select("row", "copies")
+    level = scan.select("row", F.inline(F.arrays_zip("at", "h1"))).join(copies, "row")
+    levels = len(level_lengths(window))
+    for k in range(levels):
+        key = ["h1", "h2"] if k + 1 == levels > 1 else ["h1"]
+        if k:
+            wanted = stored(alive.join(copies, "row"), "wanted")  # noqa: F821 - of the level before
+            texts = fetch(docs, wanted, ["text"]).select("row", "copies", "at", "text")
+            level = texts.mapInArrow(_extended(window, k), "row long, copies long, at long, h1 long, h2 long")
+            level = stored(level.select("row", "copies", F.col("at").cast("int").alias("at"), *key), "level")
+        # Counted first and stored: a common window's rows can then be dealt out when they meet its count.
+        repeated = stored(level.groupBy(*key).agg(F.sum("copies").alias("n")).where("n > 1").select(*key), "repeated")
+        # Whole copies go with all their words, so their windows need no marks at the end.
+        marked = level.where("copies = 1") if k + 1 == levels else level
+        alive = stored(marked.join(repeated, key, "left_semi").groupBy("row").agg(F.collect_list("at").alias("at")), "alive")
+        if alive.isEmpty():
+            break
+    cut = fetch(docs, alive, ["text"]).select("row", "at", "text")
     cut = cut.mapInArrow(_removed(window), "row long, n_removed long, kept_sha256 string, kept_text string")
     cut = stored(cut if with_text else cut.drop("kept_text"), "cut")
 
     copied = (F.col("copies") > 1) & (F.col("n_words") >= window)
-    out = scan.select("row", "doc_id", "digest", "n_words", "whole_sha256").join(classes.select("digest", "copies"), "digest").join(cut, "row", "left")
+    out = scan.select("row", "doc_id", "n_words", "whole_sha256").join(classes.select("whole_sha256", "copies"), "whole_sha256").join(cut, "row", "left")
     columns = [
         "doc_id",
         "n_words",
