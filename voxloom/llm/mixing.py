@@ -27,23 +27,31 @@ def word_count(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(column: str = "doc_id", seed: str = "mix") -> Column:
-    """32 hex digits that order rows at random, the same in every run; equal ids tie."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(column).cast("string"), F.lit(""))))
+def random_key(seed: str = "mix") -> Column:
+    """32 hex digits that order rows at random, the same in every run; only rows with equal id and text tie."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text))
 
 
-def prefix_sums(rows: DataFrame, group: str, key: str, value: str, ties: list[str], largest: int) -> DataFrame:
-    """Adds ``before``: the sum of ``value`` over the rows of the group that precede the row in key order.
+def prefix_sums(rows: DataFrame, group: str, value: str, largest: int) -> DataFrame:
+    """Adds ``before``: the sum of ``value`` over the rows of the group that precede the row.
 
-    ``key`` holds uniform hex digits; ``largest`` is the row count of the
-    largest group, which fixes how many leading digits name a key range.
+    Rows are stored and have a ``key`` of uniform hex digits and a ``row`` of
+    their own.  ``largest`` is the row count of the largest group, which fixes
+    how many leading digits name a key range.  A key that more than
+    ``RANGE_ROWS`` rows of a group share (they are copies of each other) comes
+    after its range's other keys, dealt over ranges by the upper bits of ``row``.
     """
     digits = max(1, math.ceil(math.log(max(largest / RANGE_ROWS, 1), 16)))
-    rows = rows.withColumn("_range", F.substring(key, 1, digits))
+    crowds = rows.groupBy(group, "key").agg(F.count("*").alias("_n")).where(f"_n > {RANGE_ROWS}")
+    crowds = stored(crowds.select(F.col(group).alias("_g"), F.col("key").alias("_k")), "crowds")
+    rows = rows.join(crowds, F.col(group).eqNullSafe(F.col("_g")) & (F.col("key") == F.col("_k")), "left")
+    part = F.concat("key", F.lpad(F.hex(F.shiftrightunsigned("row", 13)), 16, "0"))
+    rows = rows.withColumn("_range", F.concat(F.substring("key", 1, digits), F.when(F.col("_k").isNull(), F.lit("")).otherwise(part))).drop("_g", "_k")
     sums = rows.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
     over = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(group, "_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(group, "_range").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     rows = rows.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
     return rows.withColumn("before", (F.col("_start") + F.col("_inside")).cast("long")).drop("_range", "_inside", "_g", "_r", "_start")
@@ -74,18 +82,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, mos
     return totals.select("source", "source_size", "n_rows", target.alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, before: one row per row of ``docs``.
-
-    Null texts have no words; a null source is a source like others; equal
-    doc_ids are ordered by size; rows alike in both are interchangeable.
-    ``taken`` never exceeds ``most`` times the size, rounded up to epochs.
-    """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
-    sized = stored(sized, "sizes")
+def _planned(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """Adds source_size, target, before, taken to stored rows (row, key, source, size)."""
     targets = stored(source_targets(sized, weights, share, most), "targets")
     largest = targets.agg(F.max("n_rows")).first()[0] or 0
-    rows = prefix_sums(sized.withColumn("key", random_key(seed=seed)), "source", "key", "size", ["doc_id", "size"], largest)
+    rows = prefix_sums(sized, "source", "size", largest)
     # A target table has one row a source, and is joined as the optimizer sees fit.
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
     rows = rows.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -93,18 +94,32 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     left = budget - epochs * F.col("source_size") - F.col("before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "before")
+    return rows.withColumn("taken", taken.cast("long"))
+
+
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, before: one row per row of ``docs``.
+
+    Null texts have no words; a null source is a source like others.  Equal
+    doc_ids are ordered by a hash of their texts too; copies of a row alike in
+    id, source and text are interchangeable.  ``taken`` never exceeds ``most``
+    times the size, rounded up to epochs.  Other columns are ignored.
+    """
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), random_key(seed).alias("key"), F.monotonically_increasing_id().alias("row"))
+    return _planned(stored(sized, "sizes"), weights, share, most).select("doc_id", "source", "size", "source_size", "target", "taken", "before")
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, columns unchanged.
 
     Whole rows are repeated: the row at a source's cut is taken in the last
-    epoch when at least half of it is before the cut.  Equal doc_ids count as
-    the mix counts them on average (each takes the largest of its copies).
+    epoch when at least half of it is before the cut.  Each row has its own
+    count, whatever its doc_id; rows without words are not taken.
     """
-    plan = mix_plan(docs, weights, share, most, seed).where("size > 0")
-    times = plan.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int").alias("_times"))
-    ids = times.where("_times > 0").select(F.col("doc_id").alias("_id"), "_times")
-    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copy")
+    names = docs.columns
+    inputs = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "size": word_count(), "key": random_key(seed)}
+    kept = F.struct(*[F.col(f"`{n}`") for n in names]).alias("kept")
+    rows = stored(docs.select(*[c.alias(k) for k, c in inputs.items()], F.monotonically_increasing_id().alias("row"), kept), "mixable")
+    plan = _planned(rows.drop("kept"), weights, share, most).where("size > 0")
+    times = plan.select("row", F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int").alias("times")).where("times > 0")
+    return rows.select("row", "kept").join(times, "row").select("kept", F.explode(F.sequence(F.lit(1), F.col("times")))).select("kept.*")

@@ -1,89 +1,138 @@
 """Optimal length buckets, and token-budget batches inside each bucket.
 
-The global histogram of lengths is one aggregation.  Lengths are first rounded
-up to ``BITS`` significant bits, so the histogram that reaches the driver has at
-most 2**(BITS-1) entries for each power of two, however long texts get; the
-dynamic program over it is exact for these lengths.
+The global histogram of exact lengths is one aggregation; what reaches the
+driver has one entry for each distinct length, so it is bounded by the longest
+text, not by the number of texts.  A dynamic program over it finds the bucket
+boundaries of least padding.  Texts then enter batches of their bucket in
+hash-random order, each padded to the longest length of the bucket.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mixing import prefix_sums, random_key, word_count
-from .storage import stored
-
-BITS = 7
+from .mixing import WORD, prefix_sums, random_key
+from .storage import documents, stored
 
 
-def rounded_length(length: Column) -> Column:
-    """Lengths up to 2**BITS as they are, longer ones rounded up to BITS significant bits."""
-    unit = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(F.greatest(length, F.lit(1)))) + 1 - BITS))
-    return (F.ceil(length / unit) * unit).cast("long")
+def words(text: Column) -> Column:
+    """The default tokens: words, as an array of strings; null and empty texts have none."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets that minimise the total of bound - length.
 
-    ``lengths`` ascend.  best[k][j], the least padding of the first j lengths
-    in k buckets, follows from best[k-1][i] plus the padding of one bucket
-    over i..j; of equal choices the smallest i is taken.
+    ``lengths`` ascend.  The least padding of the first j lengths in k buckets
+    is the least over i of that of the first i in k - 1 plus the padding of
+    one bucket over i..j: a line in the bound, of slope -(texts before i).
+    Slopes fall and bounds rise with the index, so the lower envelope of the
+    lines is kept in one list and read in one walk: time in proportion to the
+    distinct lengths, in exact integers.  Of equal choices the smallest i is taken.
     """
     n = len(lengths)
     if not n:
         return []
-    c = np.concatenate([[0], np.cumsum(counts)]).astype(float)
-    w = np.concatenate([[0], np.cumsum(counts * lengths)]).astype(float)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    cuts = []
-    for _ in range(min(buckets, n)):
-        new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        new[0] = 0.0
+    length = [int(x) for x in lengths]
+    c, w = [0], [0]
+    for x, m in zip(length, counts, strict=True):
+        c.append(c[-1] + int(m))
+        w.append(w[-1] + int(m) * x)
+    # One bucket first; then one more each round.
+    best = [0] + [length[j - 1] * c[j] - w[j] for j in range(1, n + 1)]
+    cuts = [[0] * (n + 1)]
+    for k in range(1, min(buckets, n)):
+        new, cut, hull, at = [0] * (n + 1), [0] * (n + 1), [], 0
         for j in range(1, n + 1):
-            cost = best[:j] + lengths[j - 1] * (c[j] - c[:j]) - (w[j] - w[:j])
-            cut[j] = int(np.argmin(cost))
-            new[j] = cost[cut[j]]
+            i = j - 1
+            if i >= k:
+                b = best[i] + w[i]
+                # Drop the last line where this one is below it before it gets below the one ahead of it.
+                while len(hull) > 1 and (b - hull[-2][1]) * (c[hull[-1][0]] - c[hull[-2][0]]) < (hull[-1][1] - hull[-2][1]) * (c[i] - c[hull[-2][0]]):
+                    hull.pop()
+                hull.append((i, b))
+                at = min(at, len(hull) - 1)
+            if j <= k:
+                continue
+            x = length[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][1] - x * c[hull[at + 1][0]] < hull[at][1] - x * c[hull[at][0]]:
+                at += 1
+            i, b = hull[at]
+            new[j], cut[j] = b - x * c[i] + x * c[j] - w[j], i
         best = new
         cuts.append(cut)
     bounds, j = [], n
     for cut in reversed(cuts):
-        if j == 0:
-            break
-        bounds.append(int(lengths[j - 1]))
-        j = int(cut[j])
+        bounds.append(length[j - 1])
+        j = cut[j]
     return sorted(bounds)
 
 
-def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, seed: str = "pack") -> DataFrame:
-    """doc_id, n_tokens, bucket, bucket_length, batch, slot, padding: one row per row of ``docs``.
-
-    Tokens are words.  A batch holds documents of one bucket, each padded to
-    the bucket's length, as many as fit ``budget`` (one at least, so a document
-    longer than the budget is a batch of its own).  Null and empty texts have
-    no tokens and form bucket 0, or the first bucket, at length 0 to its bound.
-    Documents enter batches in hash-random order; repeated rows each take a slot.
-    """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("n_tokens"))
-    sized = stored(sized.withColumn("length", rounded_length(F.col("n_tokens"))), "lengths")
-    histogram = sized.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()
-    lengths = np.array([r["length"] for r in histogram], np.int64)
+def placements(docs: DataFrame, buckets: int, budget: int, seed: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    """row, doc_id, n_tokens, bucket, bucket_length, batch, slot of each row of ``docs`` (row, doc_id, text, stored)."""
+    sized = docs.select("row", "doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"), random_key(seed).alias("key"))
+    sized = stored(sized, "lengths")
+    # One entry for each distinct length.
+    histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").collect()
+    lengths = np.array([r["n_tokens"] for r in histogram], np.int64)
     counts = np.array([r["n"] for r in histogram], np.int64)
     bounds = bucket_bounds(lengths, counts, buckets)
     table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
-    rows = sized.withColumn("bucket", F.size(F.filter(table, lambda b: b < F.col("length"))))
+    rows = sized.withColumn("bucket", F.size(F.filter(table, lambda b: b < F.col("n_tokens"))))
     rows = rows.withColumn("bucket_length", F.element_at(table, F.col("bucket") + 1)).withColumn("one", F.lit(1))
     in_bucket = [int(counts[(lengths <= b) & (lengths > a)].sum()) for a, b in zip([-1, *bounds], bounds, strict=False)]
-    rows = prefix_sums(rows.withColumn("key", random_key(seed=seed)), "bucket", "key", "one", ["doc_id", "n_tokens"], max(in_bucket, default=0))
+    rows = prefix_sums(rows, "bucket", "one", max(in_bucket, default=0))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_length"))))
+    batch, slot = F.floor(F.col("before") / room).cast("long"), (F.col("before") % room).cast("long")
+    return rows.select("row", "doc_id", "n_tokens", "bucket", "bucket_length", batch.alias("batch"), slot.alias("slot"))
+
+
+def batches(docs: DataFrame, buckets: int = 16, budget: int = 16_384, seed: str = "pack", tokens: Callable[[Column], Column] = words) -> DataFrame:
+    """bucket, batch, bucket_length, doc_ids, lengths, tokens: one row per batch of ``docs``.
+
+    ``tokens`` holds the batch's texts one after the other, each padded with
+    nulls to ``bucket_length``; ``lengths`` tells tokens from padding.  A batch
+    holds texts of one bucket, as many as fit ``budget`` tokens with their
+    padding (one at least, so a text longer than the budget is a batch of its
+    own).  Null and empty texts have no tokens and lie in the first bucket.
+    Repeated rows each take a slot; copies of a row alike in id and text are
+    interchangeable.  Other columns are ignored; an empty table gives no batch.
+    """
+    docs = documents(docs)
+    placed = stored(placements(docs, buckets, budget, seed, tokens), "placed")
+    texts = docs.select("row", "text").join(placed, "row")
+    held = F.array_sort(F.collect_list(F.struct("slot", "doc_id", "n_tokens", "text"))).alias("held")
+    made = texts.groupBy("bucket", "batch", "bucket_length").agg(held)
+    one = lambda r: F.concat(tokens(r["text"]), F.array_repeat(F.lit(None).cast("string"), (F.col("bucket_length") - r["n_tokens"]).cast("int")))
+    return made.select(
+        "bucket",
+        "batch",
+        "bucket_length",
+        F.transform("held", lambda r: r["doc_id"]).alias("doc_ids"),
+        F.transform("held", lambda r: r["n_tokens"]).alias("lengths"),
+        F.flatten(F.transform("held", one)).alias("tokens"),
+    )
+
+
+def unpacked(batches: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, bucket, bucket_length, batch, slot, padding, tokens_md5: one row per text, read from its batch.
+
+    ``tokens_md5`` is of the text's tokens (strings), joined by spaces.
+    """
+    each = F.posexplode(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("lengths").alias("n"))).alias("slot", "one")
+    rows = batches.select("bucket", "batch", "bucket_length", "tokens", each)
+    mine = F.slice("tokens", (F.col("slot") * F.col("bucket_length") + 1).cast("int"), F.col("one.n").cast("int"))
     return rows.select(
-        "doc_id",
-        "n_tokens",
+        F.col("one.doc_id").alias("doc_id"),
+        F.col("one.n").alias("n_tokens"),
         "bucket",
         "bucket_length",
-        F.floor(F.col("before") / room).cast("long").alias("batch"),
-        (F.col("before") % room).cast("long").alias("slot"),
-        (F.col("bucket_length") - F.col("n_tokens")).alias("padding"),
+        "batch",
+        F.col("slot").cast("long").alias("slot"),
+        (F.col("bucket_length") - F.col("one.n")).alias("padding"),
+        F.md5(F.array_join(mine, " ").cast("binary")).alias("tokens_md5"),
     )
