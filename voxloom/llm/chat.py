@@ -1,19 +1,25 @@
 """Chat formatting with offset-aligned loss masks.
 
-A conversation is rendered with control strings around each turn.  Control
-strings inside a text are escaped, so every one in the output is the
+A conversation is rendered whole, with control strings around each turn.
+Control strings inside a text are escaped, so every one in the output is the
 template's, and the tokenizer holds them as single special tokens: no token
-straddles a turn's edge.  Each piece of whole turns is encoded once with
-offsets; the sorted spans of assistant texts meet the sorted token offsets by
-binary search, which gives the token mask.
+straddles a turn's edge.  The rendered conversation is encoded once; tokens
+are runs of bytes, so their offsets are sums of token lengths.  The sorted
+spans of assistant texts meet the sorted offsets by binary search, which gives
+the token mask.
 
-Rows arrive sorted by conversation and turn, and output is cut into pieces of
-about ``PIECE`` characters at turn edges, so a conversation of any length
-passes through a task without being held whole.
+Rows arrive sorted by conversation and turn.  A conversation is one text to be
+encoded, hence held whole in one task; nothing larger is.
+
+The tokenizer is a file of byte-level ranks.  Its path is a parameter and must
+lie where every executor reaches it: on a local path, or sent to executors by
+``SparkContext.addFile`` and named without a folder.
 """
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -21,14 +27,19 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The template's control strings.
+from . import kernels
+
+# The template's control strings, and the pattern that the rank file's vocabulary was split by.
 OPEN, BODY, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = (OPEN, BODY, CLOSE)
-PIECE = 1 << 18
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Formatted characters that a batch of output holds, or one conversation.
+BATCH_CHARS = 1 << 20
 _TURN = re.compile(re.escape(OPEN) + "(.*?)" + re.escape(BODY) + "(.*?)" + re.escape(CLOSE), re.S)
 
 
@@ -41,128 +52,119 @@ def unescape(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", r"<\1|", text)
 
 
-def render(role: str, text: str) -> tuple[str, int, int]:
-    """A turn, and where its text begins and ends in it."""
-    head = OPEN + escape(role) + BODY
-    body = escape(text)
-    return head + body + CLOSE, len(head), len(head) + len(body)
+def render(turns: list[tuple[str, str]], learned: str) -> tuple[str, np.ndarray]:
+    """The conversation, and where each learned text begins and ends in its UTF-8."""
+    parts, spans, at = [], [], 0
+    for role, text in turns:
+        head, body = OPEN + escape(role) + BODY, escape(text)
+        start = at + len(head.encode())
+        end = start + len(body.encode())
+        if role == learned and end > start:
+            spans.append((start, end))
+        parts += [head, body, CLOSE]
+        at = end + len(CLOSE)
+    return "".join(parts), np.array(spans, np.int64).reshape(-1, 2)
 
 
 @cache
 def tokenizer(path: str):
-    from tokenizers import AddedToken, Tokenizer
+    """The encoder, and the bytes of every token."""
+    import tiktoken
+
+    with open(path if os.path.isabs(path) else SparkFiles.get(path), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    free = max(ranks.values()) + 1
+    special = {c: free + k for k, c in enumerate(CONTROL)}
+    size = np.zeros(free + len(CONTROL), np.int64)
+    for raw, k in [*ranks.items(), *((c.encode(), k) for c, k in special.items())]:
+        size[k] = len(raw)
+    return tiktoken.Encoding("conversations", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special), size
+
 
-    t = Tokenizer.from_file(path)
-    t.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in CONTROL])
-    return t
+def encode(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids, and where each token begins in the UTF-8; one more entry than ids."""
+    encoder, size = tokenizer(path)
+    ids = encoder.encode_to_numpy(text, allowed_special="all").astype(np.int32)
+    return ids, np.concatenate([[0], np.cumsum(size[ids])])
 
 
-def token_mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """Which tokens lie in one of the sorted, disjoint ``spans``: those that begin in a span."""
+def token_mask(starts: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Which tokens begin in one of the sorted, disjoint ``spans``."""
     if not len(spans):
-        return np.zeros(len(offsets), bool)
-    at = np.searchsorted(spans[:, 0], offsets[:, 0], side="right") - 1
-    return (at >= 0) & (offsets[:, 0] < spans[np.maximum(at, 0), 1]) & (offsets[:, 1] > offsets[:, 0])
+        return np.zeros(len(starts), bool)
+    at = np.searchsorted(spans[:, 0], starts, side="right") - 1
+    return (at >= 0) & (starts < spans[np.maximum(at, 0), 1])
 
 
-_FORMATTED = "conv_id long, piece int, text string, tokens array<int>, mask array<boolean>, starts array<int>, ends array<int>"
-_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+_FORMATTED = "conv_id long, text string, tokens array<int>, mask array<boolean>, starts array<int>"
+_KINDS = {"conv_id": pa.int64(), "text": pa.string(), "tokens": pa.list_(pa.int32()), "mask": pa.list_(pa.bool_()), "starts": pa.list_(pa.int32())}
 
 
 def _formatted(path: str, learned: str):
-    def piece_row(conv, number: int, parts: list[str], spans: list[tuple[int, int]]):
-        text = "".join(parts)
-        code = tokenizer(path).encode(text, add_special_tokens=False)
-        offsets = np.array(code.offsets, np.int64).reshape(-1, 2)
-        mask = token_mask(offsets, np.array(spans, np.int64).reshape(-1, 2))
-        return conv, number, text, code.ids, mask.tolist(), offsets[:, 0].tolist(), offsets[:, 1].tolist()
-
-    def batch_of(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=["conv_id", "piece", "text", "tokens", "mask", "starts", "ends"])
+    def made(conv, turns: list[tuple[str, str]]) -> tuple:
+        text, spans = render(turns, learned)
+        ids, at = encode(text, path)
+        return conv, text, ids, token_mask(at[:-1], spans), at[:-1].astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, number, parts, spans, size, begun = None, 0, [], [], 0, False
-        out, held = [], 0
+        conv, turns, out, held = None, [], [], 0
         for batch in batches:
             for c, role, text in zip(*[batch.column(k).to_pylist() for k in ("conv_id", "role", "text")], strict=True):
-                if begun and (c != conv or size >= PIECE):
-                    out.append(piece_row(conv, number, parts, spans))
-                    held += size
-                    number, parts, spans, size = (number + 1 if c == conv else 0), [], [], 0
-                    if held > PIECE:
-                        yield batch_of(out)
+                if turns and c != conv:
+                    out.append(made(conv, turns))
+                    turns = []
+                    held += len(out[-1][1])
+                    if held > BATCH_CHARS:
+                        yield kernels.batch_of(out, _KINDS)
                         out, held = [], 0
-                conv, begun = c, True
-                turn, a, b = render(role or "", text or "")
-                if role == learned and b > a:
-                    spans.append((size + a, size + b))
-                parts.append(turn)
-                size += len(turn)
-        if begun:
-            out.append(piece_row(conv, number, parts, spans))
-        if out:
-            yield batch_of(out)
+                conv = c
+                turns.append((role or "", text or ""))
+        if turns:
+            out.append(made(conv, turns))
+        yield kernels.batch_of(out, _KINDS)
 
     return run
 
 
 def format_conversations(turns: DataFrame, path: str = TOKENIZER, learned: str = "assistant") -> DataFrame:
-    """conv_id, piece, text, tokens, mask, starts, ends: the pieces of each conversation, in order within a partition.
+    """conv_id, text, tokens, mask, starts: one row per conversation of ``turns`` (conv_id, turn, role, text).
 
-    Rows are ordered by turn, then role and text; null roles and texts are
-    empty; rows with a null conv_id form one conversation; repeated rows are
-    turns like others.  Other columns are ignored.
+    ``starts`` are the tokens' offsets in the UTF-8 of ``text``; a token ends
+    where the next begins.  Turns are ordered by turn, then role and text; null
+    roles and texts are empty; rows with a null conv_id form one conversation;
+    repeated rows are turns like others.  Other columns are ignored; an empty
+    table gives an empty result.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    kinds = {"conv_id": "long", "turn": "long", "role": "string", "text": "string"}
+    rows = turns.select(*[F.col(k).cast(t).alias(k) for k, t in kinds.items()])
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.mapInArrow(_formatted(path, learned), _FORMATTED)
 
 
-def masked_text(text: str, mask: list[bool], starts: list[int], ends: list[int]) -> list[str]:
-    """Texts under the mask, unescaped: one for each run of the mask between control tokens."""
-    out, at, end = [], None, None
-    for m, a, b in zip(mask, starts, ends, strict=True):
-        if m:
-            at, end = (a if at is None else at), b
-        elif at is not None:
-            out.append(unescape(text[at:end]))
-            at = None
-    if at is not None:
-        out.append(unescape(text[at:end]))
-    return out
+def masked_texts(raw: bytes, mask: np.ndarray, starts: np.ndarray) -> list[str]:
+    """Texts under the mask, unescaped: one for each run of masked tokens."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
+    at = np.append(starts, len(raw))
+    return [unescape(raw[at[a] : at[b]].decode()) for a, b in edge.reshape(-1, 2)]
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    state = None
-
-    def done(s):
-        return s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]
-
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "n_tokens": pa.int64(), "n_loss_tokens": pa.int64()}
     for batch in batches:
-        rows = []
-        for conv, piece, text, mask, starts, ends in zip(*[batch.column(k).to_pylist() for k in ("conv_id", "piece", "text", "mask", "starts", "ends")], strict=True):
-            if piece == 0:
-                if state:
-                    rows.append(done(state))
-                state = [conv, 0, sha256(), 0, sha256(), 0]
-            for role, body in _TURN.findall(text):
-                state[1] += 1
-                state[2].update(f"{unescape(role)}\n{unescape(body)}\n".encode("utf-8", "surrogatepass"))
-            for part in masked_text(text, mask, starts, ends):
-                state[3] += len(part)
-                state[4].update(part.encode("utf-8", "surrogatepass"))
-            state[5] += len(text)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-    if state:
-        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(done(state), kinds, strict=True)], names=names)
+        out = []
+        for i, (conv, text) in enumerate(zip(batch.column("conv_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+            mask, starts = (np.array(batch.column(k)[i].values) for k in ("mask", "starts"))
+            turns = _TURN.findall(text)
+            whole = "".join(f"{unescape(role)}\n{unescape(body)}\n" for role, body in turns)
+            loss = "".join(masked_texts(text.encode(), mask.astype(bool), starts))
+            out.append((conv, len(turns), sha256(whole.encode()).hexdigest(), len(loss), sha256(loss.encode()).hexdigest(), len(text), len(mask), int(mask.sum())))
+        yield kernels.batch_of(out, kinds)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, what the output alone gives: turns, loss text and lengths.
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, n_loss_tokens, from the output alone.
 
-    Takes ``format_conversations``'s rows in their order (no shuffle between).
+    Each row stands for itself, so stored output may be read in any split.
     """
-    return formatted.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    shape = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
+    return formatted.mapInArrow(_read_back, shape)

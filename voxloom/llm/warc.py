@@ -1,15 +1,18 @@
-"""WARC archives: written as text files by Spark, read back by length, assembled by concurrent-to.
+"""WARC archives: written as record-wise gzip by Spark's text writer, streamed back, assembled by concurrent-to.
 
 Each page becomes three records: a request, a response (or a revisit of the
-capture with the same payload) and metadata.  A record ends with two CRLF,
-which is the text writer's line separator, so the files are WARC/1.1, gzipped.
-Files hold ``FILE_RECORDS`` records at most, and are read whole, one to a row.
+capture with the same payload) and metadata.  Every record is a gzip member of
+its own.  A member ends with its length as four bytes, the last of them 0 for
+less than 16 MB, and that byte is the text writer's line separator; a longer
+record goes on in further members.  Files are bounded in bytes, and reading
+inflates one member at a time, so neither needs a file's contents at once.
 """
 
 from __future__ import annotations
 
 import base64
 import gzip
+import zlib
 from collections.abc import Iterator
 from hashlib import sha1
 
@@ -17,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels
 from .storage import shared_path, stored
 
-#: Records in one file; with pages of up to 100 kB a file stays within some 15 MB.
-FILE_RECORDS = 450
+#: Bytes of pages that an archive holds on average; a larger page has an archive of its own.
+FILE_BYTES = 1 << 25
+#: Bytes of a record in one gzip member.
+MEMBER = (1 << 24) - 1
 _END = "\r\n\r\n"
 # Digits of base 32 as Java writes them, and as RFC 4648 does.
 _FROM, _TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -33,19 +39,26 @@ def base32_sha1(column: Column) -> Column:
     return F.translate(F.concat(*parts), _FROM, _TO)
 
 
-def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """One string ``record`` per WARC record, three to a row of ``pages``; see ``write``.
+def _payload_groups(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """row, response_id, response_row of rows whose payload others have too; only digests are grouped, not payloads."""
+    narrow = rows.where(F.col("size") >= least_bytes).select("row", "page_id", "digest", "size")
+    largest = F.max(F.struct("page_id", "row")).alias("largest")
+    groups = stored(narrow.groupBy("digest", "size").agg(largest, F.count("*").alias("n")).where("n > 1"), "payloads")
+    found = narrow.join(groups, ["digest", "size"])
+    return stored(found.select("row", F.col("largest.page_id").alias("response_id"), F.col("largest.row").alias("response_row")), "repeats")
 
-    Rows are numbered and stored first, so identifiers differ where page_ids do not.
-    """
+
+def numbered_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, digest, size and row of ``pages``, stored: identifiers differ where page_ids do not."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html"))
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
-    largest = F.max(F.struct("page_id", "row")).alias("largest")
-    groups = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(largest, F.count("*").alias("n"))
-    groups = stored(groups.where("n > 1").select("digest", "size", F.col("largest.page_id").alias("response_id"), F.col("largest.row").alias("response_row")), "payloads")
-    rows = rows.join(groups, ["digest", "size"], "left")
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+
+
+def records(rows: DataFrame, repeats: DataFrame, archives: int) -> DataFrame:
+    """row, n, record: three WARC records a page, as strings, dealt to ``archives`` partitions by the hash of ``row``."""
+    rows = rows.repartition(archives, "row").join(repeats.repartition(archives, "row"), "row", "left")
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     uri = F.when(F.regexp_replace("url", r"[\x00-\x20\x7F]", "") == "", F.concat(F.lit("urn:page:"), name)).otherwise(F.regexp_replace("url", r"[\x00-\x20\x7F]+", "%20"))
     revisit = F.col("response_id").isNotNull() & ~F.col("response_id").eqNullSafe(F.col("page_id"))
@@ -54,7 +67,7 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     def record(kind: Column, ident: Column, extra: Column, block: Column) -> Column:
         head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), ident, F.lit("\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: "), uri, extra)
-        return F.concat(head, F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_END), block)
+        return F.concat(head, F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_END), block, F.lit(_END))
 
     other = lambda kind: F.concat(F.lit(f"<urn:{kind}:"), numbered)
     beside = F.concat(F.lit("\r\nWARC-Concurrent-To: "), capture)
@@ -69,7 +82,26 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         ),
         record(F.lit("metadata"), other("metadata"), F.concat(beside, F.lit("\r\nContent-Type: application/warc-fields")), F.concat(F.lit("pageId: "), name, F.lit("\r\npayloadBytes: "), F.col("size").cast("string"), F.lit("\r\n"))),
     )
-    return rows.select(F.explode(made).alias("record"))
+    return rows.select("row", F.posexplode(made).alias("n", "record"))
+
+
+def members(record: bytes) -> list[bytes]:
+    """The gzip members of a record, each without its last byte, which is 0."""
+    return [gzip.compress(record[i : i + MEMBER], 6, mtime=0)[:-1] for i in range(0, len(record), MEMBER)]
+
+
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"row": pa.int64(), "n": pa.int64(), "member": pa.binary()}
+    for batch in batches:
+        out, held = [], 0
+        for row, n, raw in zip(batch.column("row").to_pylist(), batch.column("n").to_pylist(), kernels.raw_texts(batch.column("record")), strict=True):
+            for k, part in enumerate(members(raw)):
+                out.append((row, n << 32 | k, part))
+                held += len(part)
+            if held > kernels.SLICE_BYTES:
+                yield kernels.batch_of(out, kinds)
+                out, held = [], 0
+        yield kernels.batch_of(out, kinds)
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -78,56 +110,123 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     Of pages whose payloads (of ``least_bytes`` or more) are equal, the one
     with the largest page_id is the response (all rows with that page_id are),
     the others revisit it; pages without any page_id are all responses.  A null
-    html is an empty payload, a null url a urn of the page.
+    html is an empty payload, a null url a urn of the page.  An archive holds
+    about ``FILE_BYTES`` of pages, or one page that is larger.
     """
-    out = records(pages, least_bytes).write.option("lineSep", _END).option("encoding", "UTF-8")
-    out.option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    rows = numbered_pages(pages)
+    repeats = _payload_groups(rows, least_bytes)
+    small, large = rows.where(F.col("size") <= FILE_BYTES), rows.where(F.col("size") > FILE_BYTES)
+    total = small.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    # A page adds about 1 kB of headers.
+    archives = 1 + (total[0] + 1024 * total[1]) // FILE_BYTES
+    shape = "row long, n long, member binary"
+    value = F.col("member").cast("string").alias("value")
+    records(small, repeats, archives).mapInArrow(_zipped, shape).select(value).write.option("lineSep", "\0").text(f"{path}/archives")
+    n = large.count()
+    if n:
+        alone = records(large, repeats, n).mapInArrow(_zipped, shape).sortWithinPartitions("row", "n").select("row", value)
+        alone.write.partitionBy("row").option("lineSep", "\0").text(f"{path}/large")
+
 
+def headers(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before."""
+    out: dict[str, str] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            last = name.strip().lower()
+            out[last] = value.strip()
+    return out
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """(headers, block) of each record, found by its length."""
-    view, at = memoryview(raw), 0
+
+def inflated(raw: memoryview) -> Iterator[bytes]:
+    """The contents of a file, piece by piece: of its gzip members, or as it is."""
+    feed, at, zipped = 1 << 14, 0, raw[:2] == b"\x1f\x8b"
     while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode("utf-8").split("\r\n")
+        tool = zlib.decompressobj(31)
+        while zipped and not tool.eof:
+            part = raw[at : at + feed]
+            if not part:
+                raise ValueError("a gzip member is cut short")
+            yield tool.decompress(part)
+            at += len(part) - len(tool.unused_data)
+        if not zipped:
+            yield bytes(raw[at : at + feed])
+            at += feed
+
+
+def parse(raw: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of each record of a file, found by its length; one record is held at a time."""
+    pieces, held = inflated(memoryview(raw).cast("B")), bytearray()
+
+    def fill(enough) -> bool:
+        while not enough():
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while True:
+        while fill(lambda: len(held) > 0) and held[:1] in (b"\r", b"\n"):
+            del held[:1]
+        if not held:
+            return
+        if not fill(lambda: b"\r\n\r\n" in held):
+            raise ValueError("a record's header has no end")
+        end = held.index(b"\r\n\r\n")
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
-        head = dict(line.split(": ", 1) for line in lines[1:])
-        size = int(head["Content-Length"])
-        yield head, view[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        head = headers(lines[1:])
+        size = int(head["content-length"])
+        if not fill(lambda: len(held) >= end + 4 + size):
+            raise ValueError("a record is cut short")
+        yield head, bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 4 + size]
+
+
+_RECORD = {"record_id": pa.string(), "capture_id": pa.string(), "type": pa.string(), "uri": pa.string(), "refers_to": pa.string(), "digest": pa.string(), "fields": pa.string(), "bytes": pa.int64(), "payload": pa.binary()}
+
+
+def _row(head: dict[str, str], block: bytes, with_payload: bool) -> tuple:
+    """A record's columns; a response's payload is what follows its HTTP header, or the block where there is none."""
+    kind, ident = head.get("warc-type", "").lower(), head.get("warc-record-id")
+    digest = size = fields = payload = None
+    if kind == "response":
+        at = block.find(b"\r\n\r\n") if block[:5] == b"HTTP/" else -4
+        body = block[at + 4 :] if at != -1 else b""
+        digest, size = base64.b32encode(sha1(body).digest()).decode(), len(body)
+        payload = body if with_payload else None
+    elif kind == "revisit":
+        digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    elif kind == "metadata":
+        fields = block.decode("utf-8", "replace")
+    return ident, head.get("warc-concurrent-to", ident), kind, head.get("warc-target-uri"), head.get("warc-refers-to"), digest, fields, size, payload
 
 
 def _parsed(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_id", "capture_id", "type", "uri", "refers_to", "digest", "fields", "bytes", "payload"]
         for batch in batches:
             for cell in batch.column("content"):
-                rows = []
-                for head, block in parse(gzip.decompress(cell.as_buffer())):
-                    kind, ident = head["WARC-Type"], head["WARC-Record-ID"]
-                    digest = size = fields = payload = None
-                    if kind == "response":
-                        body = bytes(block)
-                        body = body[body.index(b"\r\n\r\n") + 4 :]
-                        digest, size = base64.b32encode(sha1(body).digest()).decode(), len(body)
-                        payload = body if with_payload else None
-                    elif kind == "revisit":
-                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    elif kind == "metadata":
-                        fields = bytes(block).decode("utf-8")
-                    rows.append((ident, head.get("WARC-Concurrent-To", ident), kind, head.get("WARC-Target-URI"), head.get("WARC-Refers-To"), digest, fields, size, payload))
-                if not rows:
-                    continue
-                kinds = [pa.string()] * 7 + [pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows, held = [], 0
+                for head, block in parse(memoryview(cell.as_buffer())):
+                    rows.append(_row(head, block, with_payload))
+                    held += len(block)
+                    if held > kernels.SLICE_BYTES:
+                        yield kernels.batch_of(rows, _RECORD)
+                        rows, held = [], 0
+                yield kernels.batch_of(rows, _RECORD)
 
     return run
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row per record of the archives below ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    """One row per record of the archives below ``path``, of whatever type."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(_parsed(with_payload), "record_id string, capture_id string, type string, uri string, refers_to string, digest string, fields string, bytes long, payload binary")
 
 
@@ -135,14 +234,13 @@ def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, request, response, metadata (structs; null where a record is missing).
 
     Records meet in their capture's identifier: a response's or revisit's own,
-    the others' concurrent-to.  Of equal identifiers each kind keeps its largest record.
+    the others' concurrent-to.  Of equal identifiers each kind keeps its
+    largest record; other kinds of record make no capture.
     """
-
-    def part(kinds: list[str], name: str) -> Column:
-        whole = F.struct("record_id", "type", "uri", "refers_to", "digest", "fields", "bytes", "payload")
-        return F.max(F.when(F.col("type").isin(kinds), whole)).alias(name)
-
-    return records.groupBy("capture_id").agg(part(["request"], "request"), part(["response", "revisit"], "response"), part(["metadata"], "metadata"))
+    kinds = {"request": ["request"], "response": ["response", "revisit"], "metadata": ["metadata"]}
+    whole = F.struct("record_id", "type", "uri", "refers_to", "digest", "fields", "bytes", "payload")
+    parts = [F.max(F.when(F.col("type").isin(found), whole)).alias(name) for name, found in kinds.items()]
+    return records.where(F.col("type").isin(sum(kinds.values(), []))).groupBy("capture_id").agg(*parts)
 
 
 def page_captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
