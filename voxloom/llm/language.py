@@ -24,24 +24,32 @@ UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def learn_dictionaries(docs: DataFrame, per_language: int = 300, sample_chars: int = 1000, dictionary_bytes: int = 110_000) -> dict[str, bytes]:
-    """lang -> raw content, from at most ``per_language`` texts a language (those whose ids have the smallest MD5).
-
-    The sample is bounded by the three parameters for each language; rows with
-    a null text or lang teach nothing.  A row's first ``sample_chars`` serve.
+def learn_dictionaries(docs: DataFrame, per_language: int = 300, chunk_chars: int = 512, chunks: int = 220) -> dict[str, bytes]:
+    """lang -> raw content, from ``docs`` (doc_id, lang, text).
+
+    The sample is bounded: ``per_language`` rows for each language, those of
+    the smallest MD5 of id and text, and of all chunks of ``chunk_chars``
+    characters that make up their whole texts ``chunks``, those of the smallest
+    MD5 again.  Rows with a null text or lang teach nothing; repeated rows
+    teach once; null and repeated ids are rows like others; other columns are
+    ignored.  All languages get equally many chunks, so that no dictionary wins
+    by its size, but for a language with fewer than ``chunks / 4``.
     """
-    rows = docs.where("text is not null and lang is not null").select("doc_id", "lang", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
-    order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    picked = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = docs.where("text is not null and lang is not null").select("lang", F.col("text").cast("string").alias("text"), ident.alias("ident"))
+    rows = rows.select("lang", "text", F.md5(F.concat("ident", F.lit("|"), F.md5(F.col("text").cast("binary")))).alias("key"))
+    first = lambda key: F.row_number().over(Window.partitionBy("lang").orderBy(key))
+    picked = rows.select("lang", "key").distinct().withColumn("n", first("key")).where(F.col("n") <= per_language).drop("n")
     # At most per_language rows for each language.
-    texts = docs.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")))
+    texts = rows.join(F.broadcast(picked), ["lang", "key"]).dropDuplicates(["lang", "key"])
+    last = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / chunk_chars).cast("int")
+    parts = texts.select("lang", "key", "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    parts = parts.select("lang", F.md5(F.concat_ws("|", "key", "k")).alias("key"), F.expr(f"substring(text, k * {chunk_chars} + 1, {chunk_chars})").alias("part"))
     found: dict[str, list] = {}
-    for r in texts.select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text")).collect():
-        found.setdefault(r["lang"], []).append((str(r["doc_id"]), r["text"]))
-    joined = {lang: b"\n".join(kernels.encode(t.lower()) for _, t in sorted(texts_of)) for lang, texts_of in sorted(found.items())}
-    # Dictionaries of one length, or nearly, so that none wins by its size.
-    most = max(32_000, min(dictionary_bytes, *map(len, joined.values()))) if joined else 0
-    return {lang: raw[-most:].ljust(8, b" ") for lang, raw in joined.items()}
+    for r in parts.withColumn("n", first("key")).where(F.col("n") <= chunks).select("lang", "key", "part").collect():
+        found.setdefault(r["lang"], []).append((r["key"], r["part"]))
+    most = max(chunks // 4, min(map(len, found.values()), default=0))
+    return {lang: b"\n".join(kernels.encode(t.lower()) for _, t in sorted(of)[:most]).ljust(8, b" ") for lang, of in sorted(found.items())}
 
 
 def compressors(dictionaries: dict[str, bytes]) -> list[zstandard.ZstdCompressor]:

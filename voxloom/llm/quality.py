@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -149,23 +149,30 @@ def train(samples: list[tuple[bytes, int]], epochs: int = 8, batch: int = 16, ra
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = 500, sample_bytes: int = 4096) -> list[tuple[bytes, int]]:
-    """At most ``per_label`` texts of each label: those whose ids have the smallest MD5.
+def stretches(text: Column, count: int, chars: int) -> Column:
+    """A text of at most ``count * chars`` characters as it is; of a longer one so many stretches, evenly from its start to its end."""
+    step = (F.length(text) - chars) / (count - 1)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.substring(text, (F.floor(k * step) + 1).cast("int"), F.lit(chars)))
+    return F.when(F.length(text) <= count * chars, text).otherwise(F.array_join(parts, ""))
 
-    The sample is bounded by its parameters.  Of each text a stretch of
-    ``sample_bytes`` is taken, from its beginning for every other text and from
-    its end for the rest, so that both are learned.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = 500, count: int = 16, chars: int = 512) -> list[tuple[bytes, int]]:
+    """At most ``per_label`` texts of each label, of the rows with the smallest MD5 of id and text.
+
+    ``labels`` has doc_id and quality (0 or 1; of several the largest counts).
+    The sample is bounded by its parameters: of a text longer than ``count *
+    chars`` characters, ``count`` stretches spread over all of it are learned.
+    Null texts are empty; rows with a null doc_id have no label; repeated rows
+    are learned once; other columns are ignored.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("key", key)
-    picked = marked.where("label = 0").orderBy("key").limit(per_label).unionByName(marked.where("label = 1").orderBy("key").limit(per_label))
-    # At most 2 * per_label rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "label", "key")), "doc_id")
-    half = sample_bytes
-    text = F.when(F.ascii(F.substring("key", 32, 1)) % 2 == 0, F.substring("text", 1, half)).otherwise(F.expr(f"right(text, {half})"))
-    found = sorted((r["key"], r["text"] or "", r["label"]) for r in rows.select("key", text.alias("text"), "label").collect())
-    return [(kernels.encode(t)[:sample_bytes], int(y)) for _, t, y in found]
+    marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("label"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.md5(F.col("text").cast("binary")))))
+    keys = rows.select("doc_id", "key").join(marked, "doc_id").select("key", "label").distinct()
+    picked = keys.where("label = 0").orderBy("key").limit(per_label).unionByName(keys.where("label = 1").orderBy("key").limit(per_label))
+    # At most 2 * per_label rows; a key is of one id and text.
+    found = rows.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("key", stretches(F.col("text"), count, chars).alias("text"), "label").collect()
+    return [(kernels.encode(r["text"]), int(r["label"])) for r in sorted(found, key=lambda r: r["key"])]
 
 
 def _scored(net: Network, extra: list[str]):

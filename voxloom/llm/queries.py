@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, language, media, mixing, near_dedup, packing, quality, substring_dedup, warc
+from .storage import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.stored_media(table(spark, sf_dir, "documents"), "pgm").drop("tile")
+    return media.stored_media(table(spark, sf_dir, "documents"), "pgm")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.unpacked(packing.batches(table(spark, sf_dir, "documents")))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+    return chat.read_back(stored(chat.format_conversations(turns.unionByName(extra)), "formatted")).drop("n_tokens", "n_loss_tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -67,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_KEY = "md5('{}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')))"
+
 SQL: dict[str, str] = {}
 
 SQL["op1_near_dedup"] = rf"""
@@ -85,14 +88,14 @@ FROM s JOIN m USING (doc_id)
 """
 
 SQL["op4_mixing"] = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, {_KEY.format('mix')} AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 n AS (SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 o AS (SELECT *, cap / w AS ratio FROM n),
 v AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
         / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
 t AS (SELECT source, source_size, least(cap, coalesce(w * (SELECT arg_min(level, ratio) FROM v WHERE level <= ratio), cap)) AS target FROM v),
-k AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
+k AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target) / source_size) ELSE 0 END AS epochs FROM k)
 SELECT doc_id, size, source_size, target,
@@ -129,3 +132,36 @@ a AS (SELECT u.doc_id, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY u.
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN a ON d.doc_id = a.doc_id
 """
+
+# best[j + 1] is the least padding of the first j lengths, and a cut the smallest i that gives it.
+_COSTS = "list_transform(range(0, n + 1), lambda j: list_transform(range(0, j), lambda i: p.best[i + 1] + ls[j] * (cs[j + 1] - cs[i + 1]) - (ws[j + 1] - ws[i + 1])))"
+SQL["op8_packing"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS tokens, {_KEY.format('pack')} AS key FROM documents),
+h AS (SELECT len(tokens) AS x, count(*) AS m FROM d GROUP BY 1),
+a AS (SELECT x, sum(m) OVER (ORDER BY x) AS c, sum(m * x) OVER (ORDER BY x) AS w FROM h),
+v AS (SELECT CAST(count(*) AS INT) AS n, list(CAST(x AS HUGEINT) ORDER BY x) AS ls, list_prepend(0::HUGEINT, list(CAST(c AS HUGEINT) ORDER BY x)) AS cs, list_prepend(0::HUGEINT, list(CAST(w AS HUGEINT) ORDER BY x)) AS ws FROM a),
+dp(k, best, cut) AS (
+  SELECT 1, list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN 0::HUGEINT ELSE ls[j] * cs[j + 1] - ws[j + 1] END), list_transform(range(0, n + 1), lambda j: 0) FROM v
+  UNION ALL
+  SELECT k + 1, list_transform(costs, lambda l: coalesce(list_min(l), 0::HUGEINT)), list_transform(costs, lambda l: coalesce(list_position(l, list_min(l)) - 1, 0))
+  FROM (SELECT p.k, {_COSTS} AS costs, n FROM dp p, v WHERE p.k < least(16, n)) q),
+back(k, j, bound) AS (
+  SELECT k, n, ls[n] FROM dp, v WHERE k = least(16, n)
+  UNION ALL
+  SELECT k - 1, j2, ls[j2] FROM (SELECT b.k, CAST(dp.cut[b.j + 1] AS INT) AS j2 FROM back b JOIN dp ON dp.k = b.k WHERE b.k > 1) z, v),
+b AS (SELECT bound, row_number() OVER (ORDER BY bound) - 1 AS bucket FROM back),
+r AS (SELECT doc_id, key, tokens, len(tokens) AS n_tokens, (SELECT min(bucket) FROM b WHERE bound >= len(d.tokens)) AS bucket, (SELECT min(bound) FROM b WHERE bound >= len(d.tokens)) AS bucket_length FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY key) - 1 AS before, greatest(1, 16384 // greatest(1, bucket_length)) AS room FROM r)
+SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(bucket AS INT) AS bucket, CAST(bucket_length AS BIGINT) AS bucket_length, CAST(before // room AS BIGINT) AS batch,
+       CAST(before % room AS BIGINT) AS slot, CAST(bucket_length - n_tokens AS BIGINT) AS padding, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM o
+"""
+
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+SQL["op10_chat"] = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+        CAST(sum(length('<|turn|><|text|><|end|>') + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars FROM t GROUP BY 1)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
