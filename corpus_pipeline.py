@@ -43,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and batches of what the mix holds; a document has a row for each copy."""
-    return packing.pack(docs)
+    """Batches of what the mix holds, by length buckets; a document is in them once for each copy."""
+    return packing.batches(docs)
 
 
 STAGES = [
