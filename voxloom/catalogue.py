@@ -235,17 +235,14 @@ def c06_surface(spark, sf_dir):
     return components.surface(voxels(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {VOX}, m AS (SELECT t,c,label,count(*) n,covar_pop(x,x)*count(*) a,covar_pop(x,y)*count(*) b,covar_pop(x,z)*3*count(*) e,covar_pop(y,y)*count(*) d,covar_pop(y,z)*3*count(*) f,covar_pop(z,z)*9*count(*) g FROM vox WHERE label<>0 AND v>0 GROUP BY 1,2,3 HAVING count(*)>=2)
+SELECT t,c,label,n,round(a+d+g,3) AS trace,round(a*a+d*d+g*g+2*(b*b+e*e+f*f),0) AS squares FROM m""")
 def c07_principal_lengths(spark, sf_dir):
     v = voxels(spark, sf_dir).where("label <> 0 and v > 0").withColumn("mask", F.lit(255))
-    s = stats.scatter(v, ["t", "c", "label"]).where("n >= 2")
-
-    @F.pandas_udf("array<double>")
-    def lengths(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
-        m = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2)
-        return pd.Series(list(np.linalg.eigvalsh(m)[:, ::-1]))
-
-    return s.select("t", "c", "label", lengths("sxx", "sxy", "sxz", "syy", "syz", "szz").alias("lengths"))
+    e = stats.principal_lengths(stats.scatter(v, ["t", "c", "label"]).where("n >= 2"), (1.0, 1.0, 3.0))
+    # What the lengths must add up to, and their squares, whatever way they are found.
+    total, squares = (sum((F.pow(f"e{i}", F.lit(float(p))) for i in (1, 2, 3)), F.lit(0.0)) for p in (1, 2))
+    return e.select("t", "c", "label", "n", F.round(total, 3).alias("trace"), F.round(squares, 0).alias("squares"))
 
 
 @query(f"WITH {VOX} SELECT a.t,a.c,a.label,b.c AS other,count(*) AS n,CAST(sum(b.v) AS BIGINT) AS total FROM vox a JOIN vox b ON a.t=b.t AND a.z=b.z AND a.y=b.y AND a.x=b.x WHERE a.label<>0 AND a.v>0 AND b.v>0 AND a.c<>b.c GROUP BY 1,2,3,4")
@@ -339,25 +336,36 @@ def j09_nearest_record(spark, sf_dir):
 
 
 # 2.8 stencils; each oracle gathers clamped neighbours
-def _stencil_sql(value: str, offsets: str, final: str = "CAST(floor(least(greatest(r,0),1)*255+1e-6) AS INT)") -> str:
+#: A volume with a sample at nearly every place: blocks of the other one by their largest.
+COARSE = f"{VOX.replace('vox AS (', 'vox2 AS (')}, vox AS (SELECT t,c,z,y//4 AS y,x//5 AS x,max(v) AS v FROM vox2 GROUP BY 1,2,3,4,5)"
+
+
+def coarse(spark, sf_dir):
+    return voxels(spark, sf_dir).groupBy("t", "c", "z", F.floor(F.col("y") / 4).cast("int").alias("y"), F.floor(F.col("x") / 5).cast("int").alias("x")).agg(F.max("v").alias("v"))
+
+
+def _stencil_sql(value: str, offsets: str, final: str = "CAST(floor(least(greatest(r,0),1)*255+1e-6) AS INT)", small: bool = False) -> str:
+    if small:
+        out = _stencil_sql(value, offsets, final).replace(VOX, COARSE)
+        return out.replace("range(0,32)", "range(0,8)").replace("range(0,50)", "range(0,10)").replace(",31)", ",7)").replace(",49)", ",9)")
     return f"""WITH {VOX}, s AS (SELECT DISTINCT t,c FROM vox), g AS (SELECT t,c,CAST(z AS INT) z,CAST(y AS INT) y,CAST(x AS INT) x FROM s,range(0,7) a(z),range(0,32) b(y),range(0,50) d(x)),
 o AS (SELECT * FROM range(-1,2) i(dz),range(-1,2) j(dy),range(-1,2) k(dx) WHERE {offsets}),
 q AS (SELECT g.t,g.c,g.z,g.y,g.x,dz,dy,dx,coalesce(v.v,0)/255.0::DOUBLE AS w FROM g CROSS JOIN o LEFT JOIN vox v ON v.t=g.t AND v.c=g.c AND v.z=least(greatest(g.z+dz,0),6) AND v.y=least(greatest(g.y+dy,0),31) AND v.x=least(greatest(g.x+dx,0),49)),
 e AS (SELECT t,c,z,y,x,{value} AS r FROM q GROUP BY 1,2,3,4,5), f AS (SELECT t,c,z,y,x,{final} AS v FROM e) SELECT * FROM f WHERE v<>0"""
 
 
-def _stencil(name: str, fn, value: str, offsets: str = "true") -> None:
+def _stencil(name: str, fn, value: str, offsets: str = "true", small: bool = False) -> None:
     def run(spark, sf_dir):
-        return stencil.apply(voxels(spark, sf_dir), DIMS, 1, fn)
+        return stencil.apply(coarse(spark, sf_dir), (7, 8, 10), 1, fn) if small else stencil.apply(voxels(spark, sf_dir), DIMS, 1, fn)
 
     run.__name__ = name
-    query(_stencil_sql(value, offsets))(run)
+    query(_stencil_sql(value, offsets, small=small))(run)
 
 
 _C = "sum(CASE WHEN dz=0 AND dy=0 AND dx=0 THEN w ELSE 0 END)"
 _stencil("w01_box", stencil.box_mean, "round(sum(w)/27,9)")
 _stencil("w02_max", stencil.dilate, "max(w)")
-_stencil("w03_min", stencil.erode, "min(w)")
+_stencil("w03_min", stencil.erode, "min(w)", small=True)
 _stencil("w04_median", stencil.median, "list_sort(list(w))[13]")
 _stencil("w05_gradient", stencil.gradient, f"round(max(w)-{_C},9)")
 _stencil("w13_laplacian", stencil.laplacian, f"round(sum(w)-27*{_C},9)")
@@ -369,8 +377,8 @@ _stencil("w09_gauss_2d_fixed", stencil.kernel(lambda dz, dy, dx: (2 - abs(dy)) *
 _stencil("w08_gauss_3d_fixed", stencil.kernel(lambda dz, dy, dx: (2 - abs(dz)) * (2 - abs(dy)) * (2 - abs(dx)) / 64), "round(sum(w*(2-abs(dz))*(2-abs(dy))*(2-abs(dx)))/64,9)")
 _stencil("w15_sobel", stencil.sobel, "round(sqrt(pow(sum(w*dz*(2-abs(dy))*(2-abs(dx))),2)+pow(sum(w*dy*(2-abs(dz))*(2-abs(dx))),2)+pow(sum(w*dx*(2-abs(dz))*(2-abs(dy))),2)),9)")
 _stencil("w25_gradient_magnitude", stencil.central_gradient, "round(sqrt(pow(sum(w*dz)/2,2)+pow(sum(w*dy)/2,2)+pow(sum(w*dx)/2,2)),9)", "abs(dz)+abs(dy)+abs(dx)=1")
-_stencil("w06_erode_3d", stencil.direction_erode(False), "min(w)")
-_stencil("w06b_erode_2d", stencil.direction_erode(True), "min(w)", "dz=0")
+_stencil("w06_erode_3d", stencil.direction_erode(False), "min(w)", small=True)
+_stencil("w06b_erode_2d", stencil.direction_erode(True), "min(w)", "dz=0", small=True)
 _stencil("w07b_background_2d", stencil.remove_background(0.01, 0.5, 1.5, True),
          f"round(CASE WHEN stddev_pop(w)<0.01 OR {_C}-avg(w)<stddev_pop(w)*0.5 THEN 0 WHEN {_C}-avg(w)>stddev_pop(w)*1.5 THEN {_C}-avg(w) ELSE {_C} END,9)", "dz=0")
 _stencil("w07_background_3d", stencil.remove_background(0.01, 0.5, 1.5),
@@ -400,9 +408,21 @@ def t05_ratio(spark, sf_dir):
     return rounded(timeseries.over_background(adapters.roi_series(spark, sf_dir), "click"), "ratio")
 
 
-@query()
+def _trim_sql(fits: str, names: str) -> str:
+    """A keyed series (roi, v: list) trimmed round by round; ``fits`` gives m, the variance s and the results named in ``names`` from v."""
+    return f"""tr(roi,v,least,done,{names}) AS (SELECT roi,v,greatest(1,len(v)//10),false,{','.join('NULL::DOUBLE' for _ in names.split(','))} FROM series
+ UNION ALL SELECT roi,CASE WHEN z IS NULL THEN v ELSE list_filter(v,lambda x:(x-m)/s<=z) END,least,z IS NULL OR len(list_filter(v,lambda x:(x-m)/s<=z))<=least,{names}
+ FROM (SELECT *,CASE WHEN s<0.001 THEN NULL ELSE list_filter([1.0,0.5,0.25,0.125,0.0625,0.03125,0.015625],lambda z:(list_max(v)-m)/s>z)[1]::DOUBLE END z FROM ({fits})))"""
+
+
+_MEAN = "SELECT *,m AS mean FROM (SELECT roi,v,least,list_avg(v) m,list_avg(list_transform(v,lambda x:pow(x-list_avg(v),2))) s FROM tr WHERE NOT done)"
+
+
+@query(f"""WITH RECURSIVE {ROI}, b AS (SELECT t,v::DOUBLE bg FROM roi WHERE roi='click'), j AS (SELECT roi,t,v::DOUBLE v,bg FROM roi JOIN b USING (t) WHERE roi<>'click'),
+series AS (SELECT roi,list(CASE WHEN bg>0 THEN v/bg ELSE v END ORDER BY t) v FROM j GROUP BY 1), {_trim_sql(_MEAN, "mean")}
+SELECT roi,t,round(CASE WHEN mean*bg>0 THEN (j.v-mean*bg)/(mean*bg) ELSE j.v END,6) AS dff FROM j JOIN tr USING (roi) WHERE done""")
 def t02_t03_dff(spark, sf_dir):
-    return timeseries.dff(adapters.roi_series(spark, sf_dir), "click")
+    return rounded(timeseries.dff(adapters.roi_series(spark, sf_dir), "click"), "dff")
 
 
 @query(f"""WITH {RULERS}, k AS (SELECT * FROM rul WHERE t%3=0), p AS (SELECT r.ruler,r.t,max(k.t) a FROM rul r JOIN k ON k.ruler=r.ruler AND k.t<=r.t GROUP BY 1,2), n AS (SELECT r.ruler,r.t,min(k.t) b FROM rul r LEFT JOIN k ON k.ruler=r.ruler AND k.t>=r.t GROUP BY 1,2),
@@ -467,7 +487,27 @@ def g14_combine_ids(spark, sf_dir):
     return segmentation.combine_ids(voxels(spark, sf_dir)).select("t", "c", "z", "y", "x", "label")
 
 
-@query()
+def runs_sql(on: str) -> str:
+    """Common tables that end in grown(t, c, z, y, x, label): the runs over 26 neighbours of the rows (t, c, z, y, x) of ``on``."""
+    return f"""gr AS MATERIALIZED (SELECT t,c,z,y,x,t*16+c AS f,(CAST(z AS BIGINT)<<40)|(CAST(y AS BIGINT)<<20)|CAST(x AS BIGINT) AS k FROM ({on})),
+o26 AS (SELECT * FROM range(-1,2) i(dz),range(-1,2) j(dy),range(-1,2) k(dx) WHERE NOT (dz=0 AND dy=0 AND dx=0)),
+ed AS MATERIALIZED (SELECT a.f,a.k AS a,b.k AS b FROM gr a CROSS JOIN o26 JOIN gr b ON b.f=a.f AND b.z=a.z+dz AND b.y=a.y+dy AND b.x=a.x+dx),
+cc(f,k,root) USING KEY (f,k) AS (SELECT f,k,k FROM gr UNION (SELECT ed.f,ed.b,min(cc.root) FROM cc JOIN ed ON ed.f=cc.f AND ed.a=cc.k JOIN recurring.cc n ON n.f=ed.f AND n.k=ed.b WHERE cc.root<n.root GROUP BY 1,2)),
+grown AS (SELECT gr.t,gr.c,gr.z,gr.y,gr.x,cc.root+1 AS label FROM gr JOIN cc USING (f,k))"""
+
+
+_STOP_G = "sqrt(pow(sum(w*dz)/2,2)+pow(sum(w*dy)/2,2)+pow(sum(w*dx)/2,2))"
+_STOP = f"""CASE WHEN {_STOP_G}>sqrt(0.05)*2.12 THEN 0 ELSE exp(-pow({_STOP_G},2)/0.05) END*CASE WHEN {_C}>0.6 THEN 1 WHEN {_C}<0.6-sqrt(0.02)*2.12 THEN 0 ELSE exp(-pow({_C}-0.6,2)/0.02) END"""
+_stencil("x02_stop", stencil.stop(0.6, 0.02, 0.05), f"round({_STOP},9)", "abs(dz)+abs(dy)+abs(dx)<=1")
+
+
+@query(f"""{_stencil_sql(f"round({_STOP},9)", "abs(dz)+abs(dy)+abs(dx)<=1", "r").replace("WITH", "WITH RECURSIVE", 1).replace("SELECT * FROM f WHERE v<>0", "").rstrip()},
+{runs_sql("SELECT t,c,z,y,x FROM vox JOIN (SELECT t,c,z,y,x,v AS stop FROM f) USING (t,c,z,y,x) WHERE v>0 AND stop>=1e-4")} SELECT * FROM grown""")
+def g01_f14_stop_grow(spark, sf_dir):
+    return segmentation.stop_grow(voxels(spark, sf_dir), DIMS, 0.6, 0.02, 0.05)
+
+
+@query(f"WITH RECURSIVE {VOX}, {runs_sql('SELECT * FROM vox WHERE v>200')} SELECT * FROM grown")
 def g01_grow(spark, sf_dir):
     return segmentation.grow(voxels(spark, sf_dir), 200)
 
@@ -480,11 +520,24 @@ def g06_clean_noise(spark, sf_dir):
 
 
 # 2.14 clustering
-@query()
+def dbscan_sql(eps: float, least: int, weight: float = 0.0) -> str:
+    """Common tables over pts that end in found(id, cluster)."""
+    return f"""pr AS MATERIALIZED (SELECT a.id a,b.id b FROM pts a JOIN pts b ON sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2))+{weight}::DOUBLE*abs(a.w-b.w)<{eps}),
+co AS MATERIALIZED (SELECT a AS id FROM pr GROUP BY 1 HAVING count(*)>={least}), ce AS MATERIALIZED (SELECT * FROM pr WHERE a IN (FROM co) AND b IN (FROM co)),
+cl(id,root) USING KEY (id) AS (SELECT id,id FROM co UNION (SELECT ce.b,min(cl.root) FROM cl JOIN ce ON ce.a=cl.id JOIN recurring.cl n ON n.id=ce.b WHERE cl.root<n.root GROUP BY 1)),
+found AS (SELECT pts.id,coalesce(cl.root,(SELECT min(q.root) FROM pr JOIN cl q ON q.id=pr.b WHERE pr.a=pts.id)) AS cluster FROM pts LEFT JOIN cl ON cl.id=pts.id)"""
+
+
+@query(f"WITH RECURSIVE {POINTS}, {dbscan_sql(120, 6)} SELECT * FROM found")
 def m02_dbscan(spark, sf_dir):
     return clustering.dbscan(adapters.points(spark, sf_dir), 120.0, 6)
 
 
+@query(f"WITH RECURSIVE {POINTS}, {dbscan_sql(150, 6, 0.5)} SELECT * FROM found")
+def x23_dbscan_by_intensity(spark, sf_dir):
+    return clustering.dbscan(adapters.points(spark, sf_dir), 150.0, 6, 0.5)
+
+
 @query()
 def m05_kmeans(spark, sf_dir):
     return clustering.kmeans(adapters.points(spark, sf_dir), 4)[0]
@@ -492,19 +545,39 @@ def m05_kmeans(spark, sf_dir):
 
 @query()
 def m06_mixture(spark, sf_dir):
-    parts = clustering.gaussian_mixture(adapters.points(spark, sf_dir), 2, rounds=10)
+    parts = clustering.gaussian_mixture(adapters.points(spark, sf_dir), 2)
     return spark.createDataFrame([(i, float(p["tau"]), *map(float, p["mean"])) for i, p in enumerate(parts)], "part int, tau double, x double, y double, z double")
 
 
-@query()
+_TRACKS = f"""{_LINKS.replace('WITH', 'WITH RECURSIVE', 1)}, rk AS (SELECT *,row_number() OVER (PARTITION BY t,c,v1 ORDER BY total DESC,n DESC,v2) k FROM links),
+te AS MATERIALIZED (SELECT c||'/'||lpad(t::VARCHAR,6,'0')||'/'||lpad(v1::VARCHAR,12,'0') a,c||'/'||lpad((t+1)::VARCHAR,6,'0')||'/'||lpad(v2::VARCHAR,12,'0') b FROM rk WHERE k=1),
+tb AS MATERIALIZED (SELECT a,b FROM te UNION SELECT b,a FROM te), tk(a,root) USING KEY (a) AS (SELECT DISTINCT a,a FROM tb UNION (SELECT tb.b,min(tk.root) FROM tk JOIN tb ON tb.a=tk.a JOIN recurring.tk n ON n.a=tb.b WHERE tk.root<n.root GROUP BY 1)),
+trk AS (SELECT CAST(split_part(a,'/',2) AS INT) AS t,CAST(split_part(a,'/',1) AS INT) AS c,CAST(split_part(a,'/',3) AS BIGINT) AS label,root AS track FROM tk)"""
+
+
+@query(f"{_TRACKS} SELECT * FROM trk")
 def r15_tracks(spark, sf_dir):
     return tracking.tracks(tracking.frame_links(voxels(spark, sf_dir)))
 
 
-@query()
+_FULL = f"""{_STATS}, l AS (SELECT * FROM vox WHERE label<>0 AND v>0), lk AS (SELECT a.t,a.c,a.label v1,b.label v2,count(*) n,sum(least(a.v,b.v)) total FROM l a JOIN l b ON b.t=a.t+1 AND b.c=a.c AND b.z=a.z AND b.y=a.y AND b.x=a.x GROUP BY 1,2,3,4 HAVING count(*)>=10)"""
+_ORPHANS = """fr AS (SELECT * FROM s WHERE NOT EXISTS (FROM lk WHERE lk.t=s.t AND lk.c=s.c AND lk.v1=s.label)), bk AS (SELECT * FROM s WHERE NOT EXISTS (FROM lk WHERE lk.t+1=s.t AND lk.c=s.c AND lk.v2=s.label)),
+op AS (SELECT a.t,a.c,a.label v1,b.label v2,round(sqrt(pow(a.cx-b.cx,2)+pow(a.cy-b.cy,2)+pow(a.cz-b.cz,2)),6) dist,a.n an,b.n bn,
+ a.lo_x<=b.hi_x+1 AND b.lo_x<=a.hi_x+1 AND a.lo_y<=b.hi_y+1 AND b.lo_y<=a.hi_y+1 AND a.lo_z<=b.hi_z+1 AND b.lo_z<=a.hi_z+1 AS touch FROM fr a JOIN bk b ON b.t=a.t+1 AND b.c=a.c),
+orphans AS (SELECT t,c,v1,v2,dist FROM (SELECT *,row_number() OVER (PARTITION BY t,c,v1 ORDER BY dist,v2) k FROM op) WHERE k=1 AND touch AND abs(an-bn)/greatest(an,bn)::DOUBLE<0.5)"""
+
+
+@query(f"{_FULL}, {_ORPHANS} SELECT * FROM orphans")
 def j08_orphan_links(spark, sf_dir):
     v = voxels(spark, sf_dir)
-    return tracking.orphan_links(components.component_stats(v), tracking.frame_links(v))
+    return tracking.orphan_links(components.component_stats(v), tracking.frame_links(v).where("n >= 10"), 0.5)
+
+
+@query(f"""{_FULL}, {_ORPHANS}, r AS (SELECT *,row_number() OVER (PARTITION BY t,c,v1 ORDER BY total DESC,n DESC,v2) AS rank,max(total) OVER (PARTITION BY t,c,v1) m FROM lk),
+f AS (SELECT *,min(CASE WHEN NOT (m-total<0.5::DOUBLE*m) THEN rank END) OVER (PARTITION BY t,c,v1) g FROM r) SELECT t,c,v1,v2,'size' AS rule FROM f WHERE g IS NULL OR rank<g UNION ALL SELECT t,c,v1,v2,'orphan' FROM orphans""")
+def r07_vertex_links(spark, sf_dir):
+    v = voxels(spark, sf_dir)
+    return tracking.vertex_links(components.component_stats(v), tracking.frame_links(v).where("n >= 10"), 0.5)
 
 
 # 2.17 records
@@ -706,8 +779,9 @@ def v04_v05_register(spark, sf_dir):
 @query(f"""WITH {VOX}, {RULERS}, r AS (SELECT ruler,t,(x%50)::DOUBLE x,(y%32)::DOUBLE y,(z%7)::DOUBLE z FROM rul), s AS (SELECT *,lead(x) OVER w nx,lead(y) OVER w ny,lead(z) OVER w nz FROM r WINDOW w AS (PARTITION BY ruler ORDER BY t)),
 l AS (SELECT *,sqrt(pow(nx-x,2)+pow(ny-y,2)+pow(nz-z,2)) len FROM s WHERE nx IS NOT NULL), b AS (SELECT *,coalesce(sum(len) OVER (PARTITION BY ruler ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) bef FROM l),
 e AS (SELECT *,unnest(range(CAST(ceil(bef/2.0-1e-9) AS BIGINT),CAST(ceil((bef+len)/2.0-1e-9) AS BIGINT))) AS bin FROM b), h AS (SELECT *,(bin*2.0::DOUBLE-bef)/len f FROM e),
-p AS (SELECT ruler,bin,CAST(floor(z+f*(nz-z)+1e-9) AS INT) z,CAST(floor(y+f*(ny-y)+1e-9) AS INT) y,CAST(floor(x+f*(nx-x)+1e-9) AS INT) x FROM h), k AS (SELECT DISTINCT c FROM vox WHERE t=2)
-SELECT ruler,k.c,bin,count(*) AS n,round(avg(coalesce(v.v,0)),6) AS mean FROM p CROSS JOIN k LEFT JOIN vox v ON v.t=2 AND v.c=k.c AND v.z=p.z AND v.y=p.y AND v.x=p.x GROUP BY 1,2,3""")
+p AS (SELECT ruler,bin,CAST(floor(z+f*(nz-z)+1e-9) AS INT) z,CAST(floor(y+f*(ny-y)+1e-9) AS INT) y,CAST(floor(x+f*(nx-x)+1e-9) AS INT) x FROM h), k AS (SELECT DISTINCT t,c FROM vox)
+SELECT ruler,CAST(k.c*100+k.t AS INT) AS frame,bin,count(*) AS n,round(avg(coalesce(v.v,0)),6) AS mean FROM p CROSS JOIN k LEFT JOIN vox v ON v.t=k.t AND v.c=k.c AND v.z=p.z AND v.y=p.y AND v.x=p.x GROUP BY 1,2,3""")
 def x08_profile(spark, sf_dir):
     p = adapters.ruler_points(spark, sf_dir).select("ruler", "t", *[(F.col(k) % n).alias(k) for k, n in zip("zyx", DIMS, strict=True)])
-    return rounded(resample.profile(p, voxels(spark, sf_dir).where("t = 2"), 2.0), "mean")
+    frames_as_channels = voxels(spark, sf_dir).withColumn("c", F.col("c") * 100 + F.col("t"))
+    return rounded(resample.profile(p, frames_as_channels, 2.0), "mean").withColumnRenamed("c", "frame")

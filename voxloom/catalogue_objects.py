@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalogue import _C, _LINKS, _STATS, _stencil, query, rounded
+from .catalogue import _C, _LINKS, _STATS, _TRACKS, _stencil, _stencil_sql, _trim_sql, query, rounded, runs_sql
 from .operators import bricks, clustering, components, mesh, resample, rulers, segmentation, selection, stats, stencil, timeseries, tracking
 from .operators.graph import cut
 from .plans import adapters
@@ -37,9 +37,11 @@ def c08_c09_linked_stats(spark, sf_dir):
     return rounded(bricks.merged_stats(v, _linked(v), DIMS, SIZE), "mean", "sigma")
 
 
-@query(f"{_ROOTS} SELECT t,c,z,y,x,CASE WHEN label=0 THEN 0 ELSE coalesce(root.m,(CAST(brick AS BIGINT)<<32)|label) END AS id FROM (SELECT *,(CAST(brick AS BIGINT)<<32)|label k FROM r) LEFT JOIN root USING (t,c,k)")
+@query(f"""{_ROOTS}, q AS (SELECT t,c,brick,label,m&4294967295 AS base,(m&4294967295)%253 AS colour,m FROM named), ch AS (SELECT *,row_number() OVER (PARTITION BY t,c,brick,colour ORDER BY base,m>>32,label) nth FROM q WHERE (label-base)%253<>0),
+ca AS (SELECT t,c,brick,colour,min(base)+253*unnest(range(0,200)) AS new FROM ch GROUP BY 1,2,3,4), fr AS (SELECT *,row_number() OVER (PARTITION BY t,c,brick,colour ORDER BY new) nth FROM ca WHERE NOT EXISTS (FROM q WHERE q.t=ca.t AND q.c=ca.c AND q.brick=ca.brick AND q.label=ca.new))
+SELECT r.t,r.c,r.z,r.y,r.x,coalesce(fr.new,r.label) AS id FROM r LEFT JOIN ch USING (t,c,brick,label) LEFT JOIN fr ON fr.t=ch.t AND fr.c=ch.c AND fr.brick=ch.brick AND fr.colour=ch.colour AND fr.nth=ch.nth""")
 def c10_consistent_ids(spark, sf_dir):
-    v = voxels(spark, sf_dir)
+    v = voxels(spark, sf_dir).where("label = 0 or v > 0")
     return bricks.consistent_ids(v, _linked(v), DIMS, SIZE)
 
 
@@ -94,7 +96,7 @@ def f16_channels(spark, sf_dir):
     return selection.channels(voxels(spark, sf_dir), shown, 2).select(*_AT, "v")
 
 
-@query()
+@query(f"WITH RECURSIVE {VOX}, {runs_sql('SELECT * FROM vox WHERE v>128')}, sm AS (SELECT t,c,label FROM grown GROUP BY 1,2,3 HAVING count(*)<10) SELECT t,c,z,y,x,v FROM vox WHERE NOT EXISTS (FROM grown g JOIN sm USING (t,c,label) WHERE g.t=vox.t AND g.c=vox.c AND g.z=vox.z AND g.y=vox.y AND g.x=vox.x)")
 def f18_noise(spark, sf_dir):
     return selection.without_noise(voxels(spark, sf_dir), 128, 10).select(*_AT, "v")
 
@@ -126,7 +128,10 @@ def f21_ray_front(spark, sf_dir):
 _stencil("a11_background", stencil.background(0.01, 0.5), f"round(CASE WHEN stddev_pop(w)<0.01 OR {_C}-avg(w)<stddev_pop(w)*0.5 THEN {_C} ELSE 0 END,9)", "dz=0")
 
 
-@query()
+@query(_stencil_sql(f"round(CASE WHEN stddev_pop(w)<0.01 OR {_C}-avg(w)<stddev_pop(w)*0.5 THEN {_C} ELSE 0 END,9)", "dz=0").replace("SELECT * FROM f WHERE v<>0", """, bg AS (SELECT * FROM f WHERE v<>0),
+h AS (SELECT t,c,v,count(*) n FROM bg GROUP BY 1,2,3), k AS (SELECT *,sum(n) OVER (PARTITION BY t,c ORDER BY v) b,sum(n) OVER (PARTITION BY t,c) a,max(n) OVER (PARTITION BY t,c) m FROM h),
+om AS (SELECT t,c,min(CASE WHEN b>=floor(a/2) THEN v END) AS median,min(CASE WHEN n=m THEN v END) AS mode FROM k GROUP BY 1,2)
+SELECT t,c,count(*) AS n,round(avg(v),6) AS mean,min(v) AS least,max(v) AS most,any_value(median) AS median,any_value(mode) AS mode FROM bg JOIN om USING (t,c) GROUP BY 1,2"""))
 def t07_background_statistic(spark, sf_dir):
     b = stencil.apply(voxels(spark, sf_dir), DIMS, 1, stencil.background(0.01, 0.5))
     sums = b.groupBy("t", "c").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"))
@@ -154,12 +159,12 @@ _NEAR = f"""{_STATS}, p AS (SELECT a.t,a.c,a.label a,b.label b,round(sqrt(pow(a.
 def o02_distance_groups(spark, sf_dir):
     s = components.component_stats(voxels(spark, sf_dir))
     groups = s.select("t", "c", "label", (F.col("label") % 2).alias("grp"))
-    return components.distance_groups(components.nearest_components(s, 1000).drop("rank"), groups)
+    return components.distance_groups(components.component_pairs(s), groups)
 
 
 @query(f"{_NEAR}, q AS (SELECT * FROM p UNION ALL SELECT DISTINCT t,c,a,a,0.0 FROM p) SELECT t,c,a,string_agg(printf('%.6f',dist),chr(9) ORDER BY b) AS line FROM q GROUP BY 1,2,3")
 def k07_distance_lines(spark, sf_dir):
-    return export.distance_lines(components.nearest_components(components.component_stats(voxels(spark, sf_dir)), 1000))
+    return export.distance_lines(components.component_pairs(components.component_stats(voxels(spark, sf_dir))))
 
 
 @query(f"WITH {VOX} SELECT t,c,CAST(dense_rank() OVER (PARTITION BY t,c ORDER BY label)-1 AS INT) AS channel,z,y,x,v FROM vox WHERE label<>0 AND v>0")
@@ -253,12 +258,12 @@ def o04_profile_peak(spark, sf_dir):
 
 
 # 2.13 growth
-@query()
+@query(f"WITH RECURSIVE {VOX}, {runs_sql('SELECT * FROM vox WHERE v>128 AND mask>0')} SELECT * FROM grown")
 def g02_masked_grow(spark, sf_dir):
     return segmentation.masked_grow(voxels(spark, sf_dir), 128)
 
 
-@query()
+@query(f"WITH RECURSIVE {VOX}, {runs_sql('SELECT * FROM vox WHERE v>160')}, sd AS (SELECT DISTINCT t,c,label FROM grown JOIN vox q USING (t,c,z,y,x) WHERE q.v>=250) SELECT t,c,z,y,x FROM grown g WHERE EXISTS (FROM sd WHERE sd.t=g.t AND sd.c=g.c AND sd.label=g.label)".replace("SELECT DISTINCT t,c,label FROM grown JOIN vox q USING (t,c,z,y,x)", "SELECT DISTINCT grown.t,grown.c,grown.label FROM grown JOIN vox q USING (t,c,z,y,x)"))
 def g09_diffused(spark, sf_dir):
     return segmentation.diffused(voxels(spark, sf_dir), 250, 160)
 
@@ -279,7 +284,7 @@ def m04_noise(spark, sf_dir):
 @query()
 def m09_m10_shares(spark, sf_dir):
     p = adapters.points(spark, sf_dir)
-    return clustering.share_histogram(clustering.memberships(p, clustering.gaussian_mixture(p, 2, rounds=10)), 2, 10)
+    return clustering.share_histogram(clustering.memberships(p, clustering.gaussian_mixture(p, 2)), 2, 10)
 
 
 @query(f"WITH {POINTS}, k AS (SELECT DISTINCT grp AS cluster FROM pts), n AS (SELECT cluster,row_number() OVER (ORDER BY cluster) i FROM k), f AS (SELECT l AS label,row_number() OVER (ORDER BY l) i FROM range(3,300,10) r(l) WHERE l NOT IN (13,43,53)) SELECT CAST(cluster AS BIGINT) AS cluster,label FROM n JOIN f USING (i)")
@@ -331,10 +336,10 @@ def a24_change_histogram(spark, sf_dir):
     return tracking.change_histogram(_counts(spark, sf_dir), "n_out")
 
 
-@query()
+@query(f"{_TRACKS}, sn AS (SELECT DISTINCT track FROM trk WHERE t=3) SELECT track,trk.t,round(avg(m.mx),6) AS x,round(avg(m.my),6) AS y,round(avg(m.mz),6) AS z FROM trk JOIN m ON m.t=trk.t AND m.c=trk.c AND m.label=trk.label WHERE track IN (FROM sn) AND trk.t BETWEEN 1 AND 5 GROUP BY 1,2")
 def r24_track_lines(spark, sf_dir):
     v = voxels(spark, sf_dir)
-    return tracking.track_lines(tracking.tracks(tracking.frame_links(v)), components.component_stats(v), 3, 2, 2)
+    return rounded(tracking.track_lines(tracking.tracks(tracking.frame_links(v)), components.component_stats(v), 3, 2, 2), "x", "y", "z")
 
 
 @query(f"{_LINKS}, p AS (SELECT DISTINCT k.c,k.v2 FROM links k JOIN m ON m.t=k.t AND m.c=k.c AND m.label=k.v1 WHERE k.t=2 AND size>20) SELECT t,vox.c,z,y,x FROM vox JOIN p ON p.c=vox.c AND p.v2=vox.label WHERE t=3")
@@ -381,7 +386,10 @@ def t17_axis_corrected(spark, sf_dir):
     return rounded(timeseries.axis_corrected(_walk(spark, sf_dir), 2), "value", digits=9)
 
 
-@query(f"WITH {ROI}, i AS (SELECT *,CAST(row_number() OVER (PARTITION BY roi ORDER BY t)-1 AS DOUBLE) i FROM roi) SELECT roi,round(regr_slope(v,i),6) AS slope,round(regr_intercept(v,i),6) AS base FROM i GROUP BY 1")
+_LINE_FIT = "SELECT *,list_avg(list_transform(range(0,len(v)),lambda i:pow(v[i+1]-slope*i-base,2))) s FROM (SELECT *,m-slope*mi AS base FROM (SELECT *,coalesce(list_sum(list_transform(range(0,len(v)),lambda i:(i-mi)*(v[i+1]-m)))/nullif(list_sum(list_transform(range(0,len(v)),lambda i:(i-mi)*(i-mi))),0),0) AS slope FROM (SELECT roi,v,least,list_avg(v) m,(len(v)-1)/2.0::DOUBLE mi FROM tr WHERE NOT done)))"
+
+
+@query(f"WITH RECURSIVE {ROI}, series AS (SELECT roi,list(v::DOUBLE ORDER BY t) v FROM roi GROUP BY 1), {_trim_sql(_LINE_FIT, 'slope,base')} SELECT roi,round(slope,6) AS slope,round(base,6) AS base FROM tr WHERE done")
 def t04_line_baseline(spark, sf_dir):
     return rounded(timeseries.line_baseline(adapters.roi_series(spark, sf_dir)), "slope", "base")
 

@@ -19,6 +19,63 @@ def elevation(x: Column, y: Column, z: Column) -> Column:
     return F.when((F.abs(x) < 1e-10) & (F.abs(y) < 1e-10) & (F.abs(z) < 1e-10), 0.0).when(a < 0, a + 180).otherwise(a)
 
 
+Point = tuple[Column, Column, Column]
+
+
+def _minus(a: Point, b: Point) -> Point:
+    return tuple(p - q for p, q in zip(a, b, strict=True))
+
+
+def _dot(a: Point, b: Point) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def protractor(a: Point, middle: Point, b: Point) -> Column:
+    """Angle at ``middle`` in degrees; 0 where an arm has no length."""
+    u, v = _minus(a, middle), _minus(b, middle)
+    lu, lv = F.sqrt(_dot(u, u)), F.sqrt(_dot(v, v))
+    turn = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(u, v) / (lu * lv)))
+    return F.when((lu > 1e-10) & (lv > 1e-10), F.degrees(F.acos(turn))).otherwise(0.0)
+
+
+def ellipse_ends(a: Point, b: Point, view: tuple[float, float, float]) -> tuple[Point, Point]:
+    """The other two vertices of an ellipse with the axis from ``a`` to ``b``, seen along ``view``: at right angles to both, as far from the centre."""
+    half = tuple((p - q) / 2 for p, q in zip(a, b, strict=True))
+    centre = tuple((p + q) / 2 for p, q in zip(a, b, strict=True))
+    x, y, z = (float(k) for k in view)
+    side = (half[1] * z - half[2] * y, half[2] * x - half[0] * z, half[0] * y - half[1] * x)
+    size = F.sqrt(_dot(side, side))
+    grow = F.when(size > 0, F.sqrt(_dot(half, half)) / size).otherwise(0.0)
+    return tuple(c + s * grow for c, s in zip(centre, side, strict=True)), tuple(c - s * grow for c, s in zip(centre, side, strict=True))
+
+
+Box = dict[str, Column]
+
+
+def box(prefix: str = "") -> Box:
+    """A box's bounds from columns lo_x, hi_x, ... , with a prefix."""
+    return {f"{n}_{k}": F.col(f"{prefix}{n}_{k}") for n in ("lo", "hi") for k in "xyz"}
+
+
+def joined_box(a: Box, b: Box) -> Box:
+    return {k: (F.least if k[:2] == "lo" else F.greatest)(a[k], b[k]) for k in a}
+
+
+def common_box(a: Box, b: Box) -> Box:
+    """What two boxes share; ``boxes_meet`` says whether they do."""
+    return {k: (F.greatest if k[:2] == "lo" else F.least)(a[k], b[k]) for k in a}
+
+
+def boxes_meet(a: Box, b: Box) -> Column:
+    both = common_box(a, b)
+    return (both["lo_x"] <= both["hi_x"]) & (both["lo_y"] <= both["hi_y"]) & (both["lo_z"] <= both["hi_z"])
+
+
+def grown_box(a: Box, factor: float) -> Box:
+    """A box grown about its centre, each side by ``factor`` of its length."""
+    return {k: v + (a[f"hi{k[2:]}"] - a[f"lo{k[2:]}"]) * (factor if k[:2] == "hi" else -factor) for k, v in a.items()}
+
+
 def label_colour(label: Column, shuffle: int = 0) -> tuple[Column, Column, Column]:
     """r, g, b of a label: its remainder by 253, rotated left as a byte, on six linear hue sextants of 45 steps."""
     v = label % 253

@@ -14,9 +14,10 @@ def unit(column: str = "v", bits: int = 8) -> Column:
 
 
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Both volumes at every position that either holds: va, vb, ma, mb; absent samples are 0."""
-    left = a.select(*POSITION, unit().alias("va"), unit("mask").alias("ma"))
-    right = b.select(*POSITION, unit().alias("vb"), unit("mask").alias("mb"))
+    """Both volumes at every position that either holds: va, vb, ma, mb; absent samples are 0, and a volume without a mask column counts as masked whole."""
+    mask = lambda v: unit("mask") if "mask" in v.columns else F.lit(1.0)
+    left = a.select(*POSITION, unit().alias("va"), mask(a).alias("ma"))
+    right = b.select(*POSITION, unit().alias("vb"), mask(b).alias("mb"))
     return left.join(right, POSITION, "full").na.fill(0.0, ["va", "ma", "vb", "mb"])
 
 
@@ -53,6 +54,26 @@ def mask_union(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return j.select(*POSITION, rule.cast("int").alias("mask"))
 
 
+def group_extract(vox: DataFrame, volumes: DataFrame, group: int, inverse: bool = False) -> DataFrame:
+    """``extract`` on the visible channels of one group (volumes: c, grp, visible); other channels stay."""
+    chosen = volumes.where((F.col("grp") == group) & F.col("visible")).select("c", F.lit(True).alias("hit")).distinct()
+    rows = vox.join(chosen, "c", "left")
+    m = unit("mask")
+    new = (F.col("v") * (1 - m if inverse else m) + 0.5).cast("int")
+    return rows.withColumn("v", F.when(F.col("hit"), new).otherwise(F.col("v"))).drop("hit")
+
+
+def from_float(vox: DataFrame, low: float, high: float, bits: int = 8) -> DataFrame:
+    """Float samples as whole numbers: ``low`` to ``high`` becomes 0 to full scale, rounded down, what lies outside is cut."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - low) / (high - low)))
+    return vox.withColumn("v", F.floor(share * ((1 << bits) - 1)).cast("int"))
+
+
+def scaled_mask(mask16: DataFrame, scale: float) -> DataFrame:
+    """A mask of 16-bit samples (``mask``) as bytes: times ``scale``, rounded down; for ``mask_union``."""
+    return mask16.withColumn("mask", F.pmod(F.floor(F.col("mask") * scale), F.lit(256)).cast("int"))
+
+
 def rgb(vox: DataFrame, colours: DataFrame, most: int = 255) -> DataFrame:
     """Channels mixed by colour (c, r, g, b in 0..1): sums of rounded parts, clipped at ``most``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected
@@ -72,11 +72,35 @@ def merged_stats(vox: DataFrame, links: DataFrame, dims: Dims, size: Dims) -> Da
     return cells.select(*CELL, "root_brick", "root_label").join(whole, root)
 
 
+def consistent_labels(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """t, c, brick, label, new for the cells (t, c, brick, label) that change: ids of linked components get one colour.
+
+    Colours repeat every 253 ids.  A linked component whose label differs from
+    the root's in that remainder takes a free label of the root's colour in
+    its brick: the first of root, root + 253, ... that no cell of the brick
+    has.  Several such cells of a brick take one each, in the order of root and label.
+    """
+    rows = _with_roots(cells.select(*CELL).distinct(), links)
+    change = rows.where(F.pmod(F.col("label") - F.col("root_label"), F.lit(253)) != 0).withColumn("colour", F.pmod("root_label", F.lit(253)))
+    group = ["t", "c", "brick", "colour"]
+    change = change.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("root_label", "root_brick", "label")))
+    used = cells.select("t", "c", "brick", "label").distinct().withColumn("colour", F.pmod("label", F.lit(253)))
+    counts = used.groupBy(*group).agg(F.count("*").alias("taken"))
+    wanted = change.groupBy(*group).agg(F.count("*").alias("n"), F.min("root_label").alias("start")).join(counts, group, "left")
+    # As many candidates as cells that change and labels that are taken, so enough are free.
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") + F.coalesce("taken", F.lit(0)) - 1))
+    free = wanted.select(*group, "start", steps.alias("k")).select(*group, (F.col("start") + 253 * F.col("k")).alias("new"))
+    free = free.join(used.select(*group, F.col("label").alias("new")), [*group, "new"], "left_anti")
+    free = free.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("new")))
+    return change.join(free, [*group, "nth"]).select(*CELL, "new")
+
+
 def consistent_ids(vox: DataFrame, links: DataFrame, dims: Dims, size: Dims) -> DataFrame:
-    """Samples with ``id``: one 64-bit identity (brick and label of the root) for all linked components; 0 where there is no label."""
-    rows = _with_roots(vox.withColumn("brick", brick_of(dims, size)), links)
-    whole = F.shiftleft(F.col("root_brick").cast("long"), 32).bitwiseOR(F.col("root_label"))
-    return rows.select("t", "c", "z", "y", "x", F.when(F.col("label") == 0, 0).otherwise(whole).cast("long").alias("id"))
+    """Samples with ``id``: their label, or the new one where ``consistent_labels`` gives one; 0 where there is no label."""
+    rows = vox.withColumn("brick", brick_of(dims, size))
+    changed = consistent_labels(rows.where("label <> 0"), links)
+    rows = rows.join(changed, CELL, "left")
+    return rows.select("t", "c", "z", "y", "x", F.coalesce("new", "label").alias("id"))
 
 
 def component_count(vox: DataFrame, links: DataFrame, dims: Dims, size: Dims) -> DataFrame:

@@ -3,39 +3,130 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected, cut
+from .segmentation import scan_code
 
 
 def _cells(points: DataFrame, eps: float) -> DataFrame:
     return points.select("*", *[F.floor(F.col(k) / eps).cast("long").alias(f"g{k}") for k in "xyz"])
 
 
-def close_pairs(points: DataFrame, eps: float) -> DataFrame:
-    """a, b: pairs (each both ways, and each point with itself) nearer than ``eps``, by grid cells of that size."""
-    a = _cells(points, eps).select(F.col("id").alias("a"), *[F.col(k).alias(f"a{k}") for k in "xyz"], "gx", "gy", "gz")
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    a = a.withColumn("n", near).select("a", "ax", "ay", "az", *[(F.col(f"g{q}") + F.col(f"n.{p}")).alias(f"g{q}") for q, p in zip("xyz", "ijk", strict=True)])
-    b = _cells(points, eps).select(F.col("id").alias("b"), *[F.col(k).alias(f"b{k}") for k in "xyz"], "gx", "gy", "gz")
+def _apart(weight: float) -> Column:
+    """Distance of a pair (a, b), and ``weight`` times the difference of their intensities."""
     d2 = sum((F.pow(F.col(f"a{k}") - F.col(f"b{k}"), 2) for k in "xyz"), F.lit(0.0))
-    return a.join(b, ["gx", "gy", "gz"]).where(d2 < eps * eps).select("a", "b")
+    far = F.sqrt(d2)
+    return far if not weight else far + weight * F.abs(F.col("aw") - F.col("bw"))
+
+
+def close_pairs(points: DataFrame, eps: float, weight: float = 0.0, others: DataFrame | None = None) -> DataFrame:
+    """a, b: pairs (each both ways, and each point with itself) nearer than ``eps``, by grid cells of that size.
+
+    ``weight`` adds the difference of intensities to the distance.  With
+    ``others``, a is of ``points`` and b of ``others``.
+    """
+    side = _cells(points, eps).select(F.col("id").alias("a"), *[F.col(k).alias(f"a{k}") for k in "xyz"], (F.col("w") if weight else F.lit(0.0)).alias("aw"), "gx", "gy", "gz")
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
+    a = side.withColumn("n", near).select("a", "ax", "ay", "az", "aw", *[(F.col(f"g{q}") + F.col(f"n.{p}")).alias(f"g{q}") for q, p in zip("xyz", "ijk", strict=True)])
+    b = _cells(points if others is None else others, eps).select(F.col("id").alias("b"), *[F.col(k).alias(f"b{k}") for k in "xyz"], (F.col("w") if weight else F.lit(0.0)).alias("bw"), "gx", "gy", "gz")
+    return a.join(b, ["gx", "gy", "gz"]).where(_apart(weight) < eps).select("a", "b")
 
 
-def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
-    """id, cluster (null for noise): points with ``least`` neighbours, themselves included, are cores.
+def dbscan(points: DataFrame, eps: float, least: int, weight: float = 0.0) -> DataFrame:
+    """id, cluster (null for noise): points (id, x, y, z, w) with ``least`` neighbours, themselves included, are cores.
 
     Cores within ``eps`` share a cluster, named by its smallest core; a border
-    point joins the smallest cluster in reach.
+    point joins the smallest cluster in reach.  ``weight`` adds the difference
+    of intensities w to the distance.
+
+    Without it, cells whose points are all within ``eps`` of each other are
+    counted first: in one with ``least`` points all are cores of one cluster,
+    so none of their pairs is made, and only points of other cells search.
+    """
+    if weight:
+        pairs = cut(close_pairs(points, eps, weight))
+        cores = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
+        core_pairs = pairs.join(cores.select(F.col("id").alias("a")), "a").join(cores.select(F.col("id").alias("b")), "b")
+        roots = connected(core_pairs)
+        reach = pairs.join(roots, F.col("b") == F.col("node")).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("reach"))
+        own = roots.select(F.col("node").alias("id"), "root")
+        return points.select("id").join(own, "id", "left").join(reach, "id", "left").select("id", F.coalesce("root", "reach").alias("cluster"))
+    # Cells of this side have a diagonal just below eps.
+    side, grid = eps / 1.7321, ["hx", "hy", "hz"]
+    cells = cut(points.select("id", "x", "y", "z", *[F.floor(F.col(k) / side).cast("long").alias(f"h{k}") for k in "xyz"]))
+    dense = cells.groupBy(*grid).agg(F.count("*").alias("n"), F.min("id").alias("head")).where(F.col("n") >= least)
+    cells = cut(cells.join(dense.select(*grid, "head"), grid, "left"))
+    sparse = cells.where("head is null")
+    pairs = cut(close_pairs(sparse, eps, others=cells.select("id", "x", "y", "z")))
+    few = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
+    # A core stands for itself, or for its whole dense cell.
+    cores = cut(few.select("id", F.col("id").alias("name")).unionByName(cells.where("head is not null").select("id", F.col("head").alias("name"))))
+    edges = pairs.join(few.select(F.col("id").alias("a")), "a").join(cores.select(F.col("id").alias("b"), "name"), "b").select("a", F.col("name").alias("b"))
+    roots = connected(edges.unionByName(_dense_links(cells.where("head is not null"), eps)).unionByName(cores.select(F.col("name").alias("a"), F.col("name").alias("b")).distinct()))
+    named = cut(cores.join(roots, F.col("name") == F.col("node")).select("id", "root"))
+    # Clusters are named by their smallest core, which may not stand for its cell.
+    smallest = named.groupBy("root").agg(F.min("id").alias("cluster"))
+    named = cut(named.join(smallest, "root").select("id", "cluster"))
+    border = pairs.join(named.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("reach"))
+    return points.select("id").join(named, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "reach").alias("cluster"))
+
+
+def _dense_links(cells: DataFrame, eps: float) -> DataFrame:
+    """a, b: heads of neighbouring dense cells that have two points nearer than ``eps``.
+
+    Cells are cut into 64 parts and parts compared by the boxes of their
+    points: most pairs of cells are linked, or cannot be, by two boxes alone.
+    Points meet only where boxes leave it open.
     """
-    pairs = close_pairs(points, eps)
-    cores = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
-    core_pairs = pairs.join(cores.select(F.col("id").alias("a")), "a").join(cores.select(F.col("id").alias("b")), "b")
-    roots = connected(core_pairs)
-    reach = pairs.join(roots, F.col("b") == F.col("node")).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("reach"))
-    own = roots.select(F.col("node").alias("id"), "root")
-    return points.select("id").join(own, "id", "left").join(reach, "id", "left").select("id", F.coalesce("root", "reach").alias("cluster"))
+    grid, side = ["hx", "hy", "hz"], eps / 1.7321
+    reach = [(x, y, z) for x in range(-2, 3) for y in range(-2, 3) for z in range(-2, 3) if (x, y, z) > (0, 0, 0)]
+    part = sum((F.least(F.lit(3), F.floor((F.col(k) / side - F.col(f"h{k}")) * 4)) * 4**n for n, k in enumerate("xyz")), F.lit(0))
+    spots = cut(cells.select(*grid, "head", "x", "y", "z", part.cast("int").alias("part")))
+    boxes = cut(spots.groupBy(*grid, "head", "part").agg(*[f(k).alias(f"{n}{k}") for k in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]))
+    step = F.explode(F.array(*[F.struct(*[F.lit(q).alias(n) for q, n in zip(d, "xyz", strict=True)]) for d in reach])).alias("o")
+    a = boxes.select(*grid, *[F.col(k).alias(f"a_{k}") for k in ("head", "part", "lox", "hix", "loy", "hiy", "loz", "hiz")], step)
+    a = a.select(*[(F.col(g) + F.col(f"o.{n}")).alias(g) for g, n in zip(grid, "xyz", strict=True)], *[k for k in a.columns if k.startswith("a_")])
+    both = a.join(boxes, grid)
+    gap = [F.greatest(F.lit(0.0), F.col(f"a_lo{k}") - F.col(f"hi{k}"), F.col(f"lo{k}") - F.col(f"a_hi{k}")) for k in "xyz"]
+    span = [F.greatest(F.col(f"a_hi{k}") - F.col(f"lo{k}"), F.col(f"hi{k}") - F.col(f"a_lo{k}")) for k in "xyz"]
+    near, far = (sum((d * d for d in ds), F.lit(0.0)) for ds in (gap, span))
+    both = cut(both.where(near < eps * eps).select(F.col("a_head").alias("a"), F.col("head").alias("b"), "a_part", "part", (far < eps * eps).alias("sure")))
+    sure = cut(both.where("sure").select("a", "b").distinct())
+    left = both.join(sure, ["a", "b"], "left_anti").select("a", "b", "a_part", "part")
+    of = lambda n: spots.select(F.col("head").alias(n), F.col("part").alias("a_part" if n == "a" else "part"), *[F.col(k).alias(f"{n}{k}") for k in "xyz"])
+    met = left.join(of("a"), ["a", "a_part"]).join(of("b"), ["b", "part"]).where(_apart(0.0) < eps)
+    return sure.unionByName(met.select("a", "b").distinct())
+
+
+def voxel_points(vox: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """t, c, id, x, y, z, w of masked samples above zero: place times ``spacing``, intensity, and the place in scan order as id."""
+    on = vox.where("mask > 0 and v > 0")
+    at = [(F.col(k) * float(s)).alias(k) for k, s in zip("xyz", spacing, strict=True)]
+    return on.select("t", "c", scan_code().alias("id"), *at, F.col("v").cast("double").alias("w"))
+
+
+def cluster_labels(vox: DataFrame, t: int, c: int, method: str = "dbscan", k: int = 2, eps: float = 2.0, least: int = 5, first: int = 1, step: int = 1) -> DataFrame:
+    """``vox`` of one frame and channel with the masked samples' labels replaced by those of their clusters.
+
+    ``method`` is dbscan (noise keeps its label), kmeans or mixture (the
+    largest share, of equals the first).  Clusters take unused labels from
+    ``first`` in steps of ``step``.
+    """
+    here = vox.where((F.col("t") == t) & (F.col("c") == c))
+    points = cut(voxel_points(here).drop("t", "c"))
+    if method == "dbscan":
+        found = dbscan(points, eps, least)
+    elif method == "kmeans":
+        found = kmeans(points, k)[0].select("id", F.col("cluster").cast("long").alias("cluster"))
+    else:
+        shares = memberships(points, gaussian_mixture(points, k))
+        found = shares.select("id", (F.array_position("p", F.array_max("p")) - 1).cast("long").alias("cluster"))
+    found = cut(found.where("cluster is not null"))
+    names = fresh_ids(found, here.where("label <> 0").select("label"), first, step)
+    new = found.join(names.withColumnRenamed("label", "new"), "cluster").select("id", "new")
+    return here.withColumn("id", scan_code()).join(new, "id", "left").withColumn("label", F.coalesce("new", "label")).drop("id", "new")
 
 
 def kmeans(points: DataFrame, k: int, eps: float = 1e-6, rounds: int = 100) -> tuple[DataFrame, bool]:
@@ -44,6 +135,7 @@ def kmeans(points: DataFrame, k: int, eps: float = 1e-6, rounds: int = 100) -> t
     Assignment by distance, ties to the first centre; centres are weighted means.
     """
     at = ["x", "y", "z"]
+    points = cut(points.select("id", *at, "w"))
     first = points.orderBy(F.desc("w"), "id").select(*at).first()
     centres = [tuple(float(v) for v in first)]
 
@@ -70,17 +162,18 @@ def kmeans(points: DataFrame, k: int, eps: float = 1e-6, rounds: int = 100) -> t
     return points.select("id", (F.array_position(d, F.array_min(d)).cast("int") - 1).alias("cluster")), settled
 
 
-def gaussian_mixture(points: DataFrame, k: int, rounds: int = 50, eps: float = 1e-4) -> list[dict]:
-    """Weighted expectation-maximisation; each round is one aggregation of moments.
+def gaussian_mixture(points: DataFrame, k: int, rounds: int = 300, eps: float = 1e-4) -> list[dict]:
+    """Weighted expectation-maximisation; each round is one aggregation of moments.  Parts tell whether the fit ``settled``.
 
     Starts from the centres of ``kmeans``.  A row whose memberships are all
     zero counts fully for every part; a flat covariance gets a floor of a half.
     """
     at = ["x", "y", "z"]
+    points = cut(points.select("id", *at, "w"))
     named, _ = kmeans(points, k)
     start = points.join(named, "id").groupBy("cluster").agg(*[F.avg(q).alias(q) for q in at]).orderBy("cluster").collect()
     parts = [{"tau": 1 / k, "mean": np.array([float(r[q]) for q in at]), "cov": np.eye(3) * 1e4} for r in start]
-    last = None
+    last, settled = None, False
     for _ in range(rounds):
         dens = []
         for p in parts:
@@ -108,9 +201,10 @@ def gaussian_mixture(points: DataFrame, k: int, rounds: int = 50, eps: float = 1
                     cov[x, y] = cov[y, x] = float(r[f"s{i}{a}{at[y]}"]) / n - mean[x] * mean[y]
             p.update(tau=n / float(r["w"]), mean=mean, cov=cov)
         if last is not None and abs(r["ll"] - last) < eps * abs(last):
+            settled = True
             break
         last = r["ll"]
-    return parts
+    return [{**p, "settled": settled} for p in parts]
 
 
 def without_noise(points: DataFrame, clusters: DataFrame, reach: float = 1.1) -> DataFrame:

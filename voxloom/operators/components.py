@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 FACES = [(0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)]
 
 
@@ -78,23 +83,67 @@ def size_filter(stats: DataFrame, low: int | None = None, high: int | None = Non
     return stats if high is None else stats.where(F.col("n") < high)
 
 
-def touched(vox: DataFrame) -> DataFrame:
-    """All samples of the components that the mask touches: their mask becomes full, others' empty."""
+def touched(vox: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """All samples of the components that the mask touches: their mask becomes full, others' empty.
+
+    With bounds, only components strictly between them count (samples above zero).
+    """
     hit = vox.where("mask > 0 and label <> 0").select("t", "c", "label").distinct().withColumn("hit", F.lit(255))
+    if low is not None or high is not None:
+        hit = hit.join(size_filter(component_stats(vox), low, high).select("t", "c", "label"), ["t", "c", "label"], "left_semi")
     return vox.drop("mask").join(hit, ["t", "c", "label"], "left").withColumn("mask", F.coalesce("hit", F.lit(0))).drop("hit")
 
 
-def nearest_components(stats: DataFrame, k: int) -> DataFrame:
-    """The k nearest other components by centre, within each frame and channel.
+def component_pairs(stats: DataFrame) -> DataFrame:
+    """t, c, a, b, dist: the distance matrix of each frame and channel, both ways; its size is the square of the components."""
+    a, b = _ends(stats)
+    return a.join(b, ["t", "c"]).where("a <> b").select("t", "c", "a", "b", _apart().alias("dist"))
+
+
+def _ends(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(stats.select("t", "c", F.col("label").alias(n), *[F.col(f"c{q}").alias(f"{n}{q}") for q in "xyz"]) for n in "ab")
+
+
+def _apart() -> Column:
+    return F.round(F.sqrt(sum((F.pow(F.col(f"a{q}") - F.col(f"b{q}"), 2) for q in "xyz"), F.lit(0.0))), 6)
+
+
+def nearest_components(stats: DataFrame, k: int, reach: float | None = None) -> DataFrame:
+    """t, c, a, b, dist, rank: the k nearest other components by centre, within each frame and channel; of equals the smallest labels.
 
-    Pairs are formed inside a frame and channel, where components are few by nature.
+    A component meets those of the 27 grid cells around it, of side ``reach``
+    (from the components' density where it is not given).  It is settled when
+    k of them are no farther than the side, since none outside can be nearer;
+    the others go on with cells of twice the side, until a cell spans all.
     """
-    a = stats.select("t", "c", F.col("label").alias("a"), *[F.col(f"c{q}").alias(f"a{q}") for q in "xyz"])
-    b = stats.select("t", "c", F.col("label").alias("b"), *[F.col(f"c{q}").alias(f"b{q}") for q in "xyz"])
-    d = F.sqrt(sum((F.pow(F.col(f"a{q}") - F.col(f"b{q}"), 2) for q in "xyz"), F.lit(0.0)))
-    pairs = a.join(b, ["t", "c"]).where("a <> b").select("t", "c", "a", "b", F.round(d, 6).alias("dist"))
-    rank = F.row_number().over(Window.partitionBy("t", "c", "a").orderBy("dist", "b"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    key = ["t", "c", "a"]
+    stats = cut(stats.select("t", "c", "label", "cx", "cy", "cz"))
+    ends = stats.groupBy("t", "c").agg(F.count("*").alias("n"), *[f(f"c{q}").alias(f"{m}{q}") for q in "xyz" for f, m in ((F.min, "lo"), (F.max, "hi"))])
+    wide = F.greatest(*[F.col(f"hi{q}") - F.col(f"lo{q}") for q in "xyz"])
+    top = ends.agg(F.max(wide).alias("wide"), F.max("n").alias("n")).first()
+    if top["n"] is None or top["n"] < 2:
+        return component_pairs(stats).withColumn("rank", F.lit(1)).limit(0)
+    side = reach or max(1e-6, top["wide"] * min(1.0, (2.0 * (k + 1) / top["n"]) ** (1 / 3)))
+    open_a, b = _ends(stats)
+    near = F.explode(F.array(*[F.struct(*[F.lit(q).alias(n) for q, n in zip(d, "xyz", strict=True)]) for d in product((-1, 0, 1), repeat=3)])).alias("o")
+    done = []
+    while True:
+        last = side > top["wide"]
+        cell = lambda n: [F.floor(F.col(f"{n}{q}") / side).cast("long").alias(f"g{q}") for q in "xyz"]  # noqa: B023, E731
+        seen = open_a.select("*", *cell("a"), near).select("t", "c", "a", *[f"a{q}" for q in "xyz"], *[(F.col(f"g{q}") + F.col(f"o.{q}")).alias(f"g{q}") for q in "xyz"])
+        pairs = seen.join(b.select("*", *cell("b")), ["t", "c", "gx", "gy", "gz"]).where("a <> b").select(*key, "b", _apart().alias("dist"))
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("dist", "b"))
+        best = cut(pairs.withColumn("rank", rank).where(F.col("rank") <= k))
+        if last:
+            done.append(best)
+            break
+        settled = best.where((F.col("rank") == k) & (F.col("dist") <= side)).select(*key)
+        done.append(best.join(settled, key, "left_semi"))
+        open_a = cut(open_a.join(settled, key, "left_anti"))
+        if open_a.isEmpty():
+            break
+        side *= 2
+    return reduce(DataFrame.unionByName, done)
 
 
 def size_colour(stats: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import squared_distance
+from .graph import cut
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -19,12 +22,31 @@ def deleted(records: DataFrame, ids: DataFrame) -> DataFrame:
     return records.join(ids.select("rec_id"), "rec_id", "left_anti")
 
 
-def nearest(records: DataFrame, queries: DataFrame) -> DataFrame:
+def nearest(records: DataFrame, queries: DataFrame, block: int = 1000) -> DataFrame:
     """For each query (q_id, q_hist) the record with the least squared distance; of ties the last.
 
-    ``queries`` is a stated set; the records stream past it, and each task
-    keeps one candidate a query.
+    ``queries`` is a stated set.  It is taken in blocks of ``block`` rows, each
+    broadcast; the records stream past, and a task keeps one candidate a query.
     """
-    j = records.crossJoin(queries).withColumn("dist", squared_distance(F.col("hist"), F.col("q_hist")))
-    best = j.groupBy("q_id").agg(F.min(F.struct("dist", (-F.col("rec_id")).alias("r"))).alias("b"))
+    queries = cut(queries.select("q_id", "q_hist"))
+    parts = max(1, -(-queries.count() // block))
+    queries = queries.withColumn("block", F.pmod(F.hash("q_id"), F.lit(parts)))
+    found = []
+    for k in range(parts):
+        j = records.crossJoin(F.broadcast(queries.where(F.col("block") == k).drop("block")))
+        j = j.withColumn("dist", squared_distance(F.col("hist"), F.col("q_hist")))
+        found.append(j.groupBy("q_id").agg(F.min(F.struct("dist", (-F.col("rec_id")).alias("r"))).alias("b")))
+    best = reduce(DataFrame.unionByName, found)
     return best.select("q_id", (-F.col("b.r")).alias("rec_id"), F.col("b.dist").alias("dist"))
+
+
+def with_parameters(records: DataFrame, values: dict[str, float]) -> DataFrame:
+    """``records`` (params: map of name to value) with the named parameters set; other names stay."""
+    given = F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, float(v))])
+    keep = F.map_filter("params", lambda k, _: ~k.isin(list(values)))
+    return records.withColumn("params", F.map_concat(keep, given))
+
+
+def parameter(name: str, default: float = 0.0) -> Column:
+    """The value of a named parameter, ``default`` where a record has none."""
+    return F.coalesce(F.element_at("params", name), F.lit(default))

@@ -1,36 +1,94 @@
-"""Labels grown over thresholded volumes, and label edits."""
+"""Labels grown over gated volumes, and label edits."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stencil
 from .graph import connected, cut
 
 KEY = ["t", "c"]
-
-
-def _half(planar: bool = False) -> list[tuple[int, int, int]]:
-    """One of each pair of opposite offsets of the 26-neighbourhood."""
-    return [d for d in ((z, y, x) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1)) if d > (0, 0, 0)]
+#: Side of the bricks in which runs are found; positions have 20 bits an axis.
+SIDE, BITS = 32, 20
+
+
+def scan_code(z: Column | str = "z", y: Column | str = "y", x: Column | str = "x") -> Column:
+    """Place of a position in scan order, as a long."""
+    z, y, x = (F.col(k) if isinstance(k, str) else k for k in (z, y, x))
+    return F.shiftleft(z.cast("long"), 2 * BITS).bitwiseOR(F.shiftleft(y.cast("long"), BITS)).bitwiseOR(x.cast("long"))
+
+
+def brick_runs(on: np.ndarray) -> np.ndarray:
+    """For each true sample of a dense brick, the flat index of its run's first sample in scan order; runs join over 26 neighbours."""
+    n = on.size
+    at = np.where(on, np.arange(n).reshape(on.shape), n)
+    while True:
+        padded = np.pad(at, 1, constant_values=n)
+        least = at.copy()
+        for _, view in stencil.shifts(padded, 1):
+            np.minimum(least, view, out=least)
+        least[~on] = n
+        # A sample takes over what its run's first sample so far has found.
+        least[on] = least.reshape(-1)[least[on]]
+        if (least == at).all():
+            return at
+        at = least
+
+
+def _runs(on: DataFrame) -> DataFrame:
+    """t, c, z, y, x, run: runs inside bricks, named by the place of their first sample."""
+
+    def label(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        low = [int(b) * SIDE for b in key[2:]]
+        at = tuple(pdf[k].to_numpy() - q for k, q in zip("zyx", low, strict=True))
+        dense = np.zeros((SIDE,) * 3, bool)
+        dense[at] = True
+        first = np.unravel_index(brick_runs(dense)[at], dense.shape)
+        z, y, x = (f.astype(np.int64) + q for f, q in zip(first, low, strict=True))
+        return pdf[[*KEY, "z", "y", "x"]].assign(run=z << 2 * BITS | y << BITS | x)
+
+    bricks = [F.floor(F.col(k) / SIDE).cast("int").alias(f"b{k}") for k in "zyx"]
+    rows = on.select(*KEY, "z", "y", "x", *bricks).groupBy(*KEY, "bz", "by", "bx")
+    return rows.applyInPandas(label, "t int, c int, z int, y int, x int, run long")
 
 
 def grow(vox: DataFrame, level: int) -> DataFrame:
     """t, c, z, y, x, label of samples above ``level``: connected runs over 26 neighbours share a label.
 
-    The growth's fixed point without random gating: each run takes the
-    identity of its first sample in scan order, numbered from one in each frame and channel.
+    The growth's fixed point without random gating.  A run's label is one more
+    than the place of its first sample in scan order.  Runs are found brick by
+    brick; only samples on bricks' faces are joined, and what is linked
+    between tasks are runs, not samples.
     """
-    name = F.concat_ws("/", *[F.lpad(F.col(k).cast("string"), 6, "0") for k in ("t", "c", "z", "y", "x")])
-    # Read several times below, so what gave it is run once.
-    on = cut(vox.where(F.col("v") > level).select(*KEY, "z", "y", "x", name.alias("id")))
-    offsets = F.explode(F.array(*[F.struct(*[F.lit(q).alias(k) for q, k in zip(d, ("dz", "dy", "dx"), strict=True)]) for d in _half()]))
-    seen = on.withColumn("o", offsets).select(*KEY, *[(F.col(k) + F.col(f"o.d{k}")).alias(k) for k in "zyx"], F.col("id").alias("a"))
-    edges = seen.join(on.select(*KEY, "z", "y", "x", F.col("id").alias("b")), [*KEY, "z", "y", "x"]).select("a", "b")
-    roots = connected(edges)
-    rows = on.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    ranks = rows.select(*KEY, "root").distinct().withColumn("label", F.row_number().over(Window.partitionBy(*KEY).orderBy("root")).cast("long"))
-    return rows.join(ranks, [*KEY, "root"]).select(*KEY, "z", "y", "x", "label")
+    rows = cut(_runs(vox.where(F.col("v") > level)))
+    sides = [(F.col(k) % SIDE).isin(0, SIDE - 1) for k in "zyx"]
+    rim = rows.where(sides[0] | sides[1] | sides[2])
+    half = [d for d in ((z, y, x) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1)) if d > (0, 0, 0)]
+    offsets = F.explode(F.array(*[F.struct(*[F.lit(q).alias(k) for q, k in zip(d, ("dz", "dy", "dx"), strict=True)]) for d in half]))
+    seen = rim.withColumn("o", offsets)
+    crossing = [F.floor((F.col(k) + F.col(f"o.d{k}")) / SIDE) != F.floor(F.col(k) / SIDE) for k in "zyx"]
+    seen = seen.where(crossing[0] | crossing[1] | crossing[2])
+    seen = seen.select(*KEY, *[(F.col(k) + F.col(f"o.d{k}")).alias(k) for k in "zyx"], F.col("run").alias("a"))
+    pairs = seen.join(rim.select(*KEY, "z", "y", "x", F.col("run").alias("b")), [*KEY, "z", "y", "x"]).select(*KEY, "a", "b").distinct()
+    node = lambda k: F.struct(*KEY, F.col(k).alias("run")).alias(k)
+    roots = connected(pairs.select(node("a"), node("b")))
+    roots = roots.select("node.t", "node.c", "node.run", F.col("root.run").alias("first"))
+    named = rows.join(roots, [*KEY, "run"], "left")
+    return named.select(*KEY, "z", "y", "x", (F.coalesce("first", "run") + 1).alias("label"))
+
+
+def stopped(vox: DataFrame, dims: tuple[int, int, int], value: float, value_falloff: float, grad_falloff: float, least: float = 1e-4) -> DataFrame:
+    """Samples of ``vox`` where the stop function (see ``stencil.stop``) reaches ``least``: growth goes on."""
+    gate = stencil.apply(vox, dims, 1, stencil.stop(value, value_falloff, grad_falloff), exact=True)
+    return vox.join(gate.where(F.col("v") >= least).select(*KEY, "z", "y", "x"), [*KEY, "z", "y", "x"], "left_semi")
+
+
+def stop_grow(vox: DataFrame, dims: tuple[int, int, int], value: float, value_falloff: float = 0.0, grad_falloff: float = 0.0) -> DataFrame:
+    """``grow`` over the samples above zero at which the stop function does not end it."""
+    return grow(stopped(vox, dims, value, value_falloff, grad_falloff), 0)
 
 
 def clean_outside(vox: DataFrame, inside: bool = False) -> DataFrame:

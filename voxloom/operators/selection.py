@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bricks
 from .segmentation import grow
 
 CELL = ["t", "c", "label"]
@@ -22,7 +23,9 @@ def select_cells(vox: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def erase_cells(vox: DataFrame, cells: DataFrame) -> DataFrame:
-    """The mask becomes empty on the listed components and stays elsewhere."""
+    """The mask becomes empty on the listed components and stays elsewhere; an empty list empties it whole."""
+    if cells.isEmpty():
+        return select_all(vox, 0)
     return _marked(vox, cells).withColumn("mask", F.when(F.col("hit"), 0).otherwise(F.col("mask"))).drop("hit")
 
 
@@ -49,6 +52,23 @@ def component_at(vox: DataFrame, points: DataFrame) -> DataFrame:
     return found.withColumn("label", F.coalesce("label", F.lit(0)).cast("long")).drop("iz", "iy", "ix")
 
 
+def linked_at(vox: DataFrame, points: DataFrame, links: DataFrame, dims: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:
+    """``component_at`` in a bricked volume: each point with brick and label of all parts linked to the one under it.
+
+    ``links`` are ``bricks.linked_components``; a part without links stands alone, a point on nothing gives no row.
+    """
+    cell = ["t", "c", "brick", "label"]
+    found = component_at(vox, points).where("label <> 0")
+    place = [F.floor(F.col(k) + 0.5) for k in "zyx"]
+    found = found.withColumns({f"_{k}": F.col(k) for k in "zyx"}).withColumns(dict(zip("zyx", place, strict=True))).withColumn("brick", bricks.brick_of(dims, size))
+    found = found.withColumns({k: F.col(f"_{k}") for k in "zyx"}).drop("_z", "_y", "_x")
+    root = ["t", "c", "root_brick", "root_label"]
+    own = found.join(links, cell, "left").withColumn("root_brick", F.coalesce("root_brick", "brick")).withColumn("root_label", F.coalesce("root_label", "label"))
+    parts = links.select(*root, F.col("brick").alias("part_brick"), F.col("label").alias("part_label"))
+    every = own.join(parts, root, "left")
+    return every.select(*points.columns, F.coalesce("part_brick", "brick").alias("brick"), F.coalesce("part_label", "label").alias("label"))
+
+
 def channels(vox: DataFrame, volumes: DataFrame, mode: int, current: int = 0) -> DataFrame:
     """Samples of the channels a task addresses: 0 the current, 1 all, 2 shown, 3 hidden (volumes: c, visible)."""
     if mode == 1:
@@ -74,6 +94,12 @@ def changed_cells(links: DataFrame, changes: Column, least: int) -> DataFrame:
     return out.distinct()
 
 
+def auto_threshold(volumes: DataFrame, current: float) -> float:
+    """The stored automatic threshold of the volume (one row, ``auto``), when it is 0 or more; else ``current``."""
+    row = volumes.select("auto").first()
+    return float(row["auto"]) if row and row["auto"] is not None and row["auto"] >= 0 else current
+
+
 def ray_peak(samples: DataFrame, vox: DataFrame) -> DataFrame:
     """t, c, ray, step, v: the first sample of largest value above zero on each ray (samples: t, c, ray, step, z, y, x)."""
     seen = samples.join(vox.where("v > 0").select("t", "c", "z", "y", "x", "v"), ["t", "c", "z", "y", "x"])

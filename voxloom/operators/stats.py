@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +91,12 @@ def ratio_matrix(pairs: DataFrame, measure: str) -> DataFrame:
     return j.select("t", "c1", "c2", F.when(ok, 100.0 * F.col(measure) / F.col("mii")).otherwise(0.0).alias("ratio"))
 
 
+def physical_matrix(pairs: DataFrame, measure: str, spacing: tuple[float, float, float]) -> DataFrame:
+    """t, c1, c2, volume: a count of samples in units of ``spacing``."""
+    x, y, z = spacing
+    return pairs.select("t", "c1", "c2", (F.col(measure) * float(x * y * z)).alias("volume"))
+
+
 def scatter(vox: DataFrame, by: list[str], level: int = 1) -> DataFrame:
     """Mean position of masked samples, and the sums of products about it (not divided by the count)."""
     rows = vox.where(F.col("mask") >= level)
@@ -100,6 +108,33 @@ def scatter(vox: DataFrame, by: list[str], level: int = 1) -> DataFrame:
     )
 
 
+def principal_lengths(scatters: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """``scatters`` (see ``scatter``) with e1 >= e2 >= e3, the eigenvalues of the products' matrix in units of ``spacing`` (x, y, z).
+
+    The closed form for symmetric matrices of three rows, all in expressions.
+    """
+    size = dict(zip("xyz", spacing, strict=True))
+    m = {a + b: F.col(f"s{a}{b}") * float(size[a] * size[b]) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")}
+    off = m["xy"] * m["xy"] + m["xz"] * m["xz"] + m["yz"] * m["yz"]
+    q = (m["xx"] + m["yy"] + m["zz"]) / 3
+    d = {k: m[k + k] - q for k in "xyz"}
+    p = F.sqrt((sum((d[k] * d[k] for k in "xyz"), F.lit(0.0)) + 2 * off) / 6)
+    det = d["x"] * (d["y"] * d["z"] - m["yz"] * m["yz"]) - m["xy"] * (m["xy"] * d["z"] - m["yz"] * m["xz"]) + m["xz"] * (m["xy"] * m["yz"] - d["y"] * m["xz"])
+    turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2 * p * p * p)))) / 3
+    round_ = p == 0
+    rows = scatters.withColumn("_q", q).withColumn("_p", p).withColumn("_a", F.when(round_, 0.0).otherwise(turn))
+    out = rows.withColumn("e1", F.col("_q") + 2 * F.col("_p") * F.cos("_a"))
+    out = out.withColumn("e3", F.col("_q") + 2 * F.col("_p") * F.cos(F.col("_a") + 2 * math.pi / 3))
+    return out.withColumn("e2", 3 * F.col("_q") - F.col("e1") - F.col("e3")).drop("_q", "_p", "_a")
+
+
+def results(vox: DataFrame, by: list[str]) -> DataFrame:
+    """Count, sum and mean of samples above zero as a task reads them: floats, and whole numbers rounded half up."""
+    rows = basic(vox, by).select(*by, "n", "total")
+    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0)
+    return rows.select(*by, "n", F.col("total").cast("double").alias("total_f"), "total", mean.alias("mean_f"), F.floor(mean + 0.5).cast("long").alias("mean_i"))
+
+
 def bounds(vox: DataFrame, by: list[str]) -> DataFrame:
     """Bounding box of the mask."""
     return vox.where("mask > 0").groupBy(*by).agg(*[f(k).alias(f"{n}_{k}") for k in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])

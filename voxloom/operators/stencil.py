@@ -91,6 +91,28 @@ def central_gradient(a: np.ndarray, r: int) -> np.ndarray:
     return np.sqrt(sum(h * h for h in halves))
 
 
+def stop(value: float, value_falloff: float, grad_falloff: float) -> Stencil:
+    """How freely growth passes: a Gaussian falloff of the gradient times that of the value below ``value``.
+
+    Each falls off as exp(-d * d / falloff) and is cut off beyond 2.12 times
+    the root of its falloff.  A gradient falloff of 0 leaves the gradient out;
+    a value falloff of 0 passes values above ``value`` alone.
+    """
+
+    def run(a: np.ndarray, r: int) -> np.ndarray:
+        v = core(a, r)
+        out = np.ones_like(v)
+        if grad_falloff > 0:
+            grad = central_gradient(a, r)
+            out = np.where(grad > np.sqrt(grad_falloff) * 2.12, 0.0, np.exp(-grad * grad / grad_falloff))
+        below = np.zeros_like(v)
+        if value_falloff > 0:
+            below = np.where(v < value - np.sqrt(value_falloff) * 2.12, 0.0, np.exp(-((v - value) ** 2) / value_falloff))
+        return out * np.where(v > value, 1.0, below)
+
+    return run
+
+
 def remove_background(spread: float, factor: float, factor2: float, planar: bool = False) -> Stencil:
     """0 where the sigma or the excess over the mean is small; the excess where it is large."""
 

@@ -22,40 +22,45 @@ def over_background(series: DataFrame, background: str) -> DataFrame:
     return j.select("roi", "t", F.when(F.col("bg") > 0, F.col("v") / F.col("bg")).otherwise(F.col("v").cast("double")).alias("ratio"))
 
 
-def constant_baseline(v: np.ndarray, cut: float = 0.001) -> float:
-    """Mean after one-sided trimming: (v - mean) / variance above 1 goes, halving the bound's unit up to seven times."""
+def _trimmed(v: np.ndarray, cut: float, fit):
+    """What ``fit`` (values -> mean, variance, result) gives last, while values far above the mean are removed.
+
+    Values go whose distance above the mean exceeds the variance z times, z
+    being the largest of 1, 1/2, ... 1/64 that any value exceeds.  Ends when
+    the variance is below ``cut``, when nothing is removed, or when a tenth of
+    the values or fewer are left; the last removal is then not fitted again.
+    """
     least = max(1, len(v) // 10)
-    while len(v) > least:
-        mean, var = v.mean(), v.var()
-        if var < cut:
-            break
-        z, kept = (v - mean) / var, v
-        for _ in range(8):
-            kept = v[z <= 1]
-            if len(kept) < len(v):
-                break
-            z = z * 2
-        if len(kept) in (0, len(v)):
-            break
-        v = kept
-    return float(v.mean()) if len(v) else 0.0
+    while True:
+        mean, spread, found = fit(v)
+        if spread < cut or spread <= 0:
+            return found
+        far = (v - mean) / spread
+        z = next((0.5**k for k in range(7) if far.max() > 0.5**k), None)
+        if z is None:
+            return found
+        v = v[far <= z]
+        if len(v) <= least:
+            return found
+
+
+def constant_baseline(v: np.ndarray, cut: float = 0.001) -> float:
+    """Mean of the values, high outliers trimmed (see ``_trimmed``); 0 without values."""
+    return _trimmed(v, cut, lambda x: (x.mean(), x.var(), float(x.mean()))) if len(v) else 0.0
 
 
 def linear_baseline(v: np.ndarray, cut: float = 0.001) -> tuple[float, float]:
-    """Slope and intercept of the least-squares line after the same trimming of residuals; the index is packed after each removal."""
-    least = max(2, len(v) // 10)
-    fit = (0.0, float(v.mean()) if len(v) else 0.0)
-    while len(v) >= 2:
-        i = np.arange(len(v))
-        fit = tuple(float(q) for q in np.polyfit(i, v, 1))
-        rest = v - np.polyval(fit, i)
-        if rest.var() < cut or len(v) <= least:
-            break
-        kept = v[rest / rest.var() <= 1]
-        if len(kept) in (0, len(v)):
-            break
-        v = kept
-    return fit
+    """Slope and intercept of the least-squares line over the values' order; the variance is that of the residuals.
+
+    Trimmed like the constant; what is left is numbered anew after each removal.
+    """
+
+    def fit(x: np.ndarray):
+        i = np.arange(len(x))
+        line = tuple(float(q) for q in np.polyfit(i, x, 1)) if len(x) > 1 else (0.0, float(x[0]))
+        return x.mean(), float(np.mean((x - np.polyval(line, i)) ** 2)), line
+
+    return _trimmed(v, cut, fit) if len(v) else (0.0, 0.0)
 
 
 def dff(series: DataFrame, background: str, cut: float = 0.001) -> DataFrame:
@@ -72,23 +77,34 @@ def dff(series: DataFrame, background: str, cut: float = 0.001) -> DataFrame:
     return rows.groupBy("roi").applyInPandas(run, "roi string, t int, dff double")
 
 
-def at_frames(keys: DataFrame, frames: DataFrame, mode: str = "linear") -> DataFrame:
-    """ruler, t and the position there from key frames: step, linear or smooth (both ends eased).
+def at_frames(keys: DataFrame, frames: DataFrame, mode: str = "linear", beyond: str = "hold") -> DataFrame:
+    """ruler, t and the position there from key frames: step, linear, smooth (both ends eased), start or end (one end eased).
 
-    As-of by windows over keys and frames together; before the first key the
-    first holds, after the last the last.
+    As-of by windows over keys and frames together.  Before the first key and
+    after the last, ``beyond`` "hold" keeps the nearest key and "extend"
+    carries the nearest two on; a single key holds either way.
     """
-    both = keys.select("ruler", "t", F.lit(0).alias("ask"), F.col("t").alias("kt"), *[F.col(k).cast("double").alias(k) for k in "xyz"])
-    ask = frames.select("ruler", "t", F.lit(1).alias("ask"), F.lit(None).cast("int").alias("kt"), *[F.lit(None).cast("double").alias(k) for k in "xyz"])
-    rows = both.unionByName(ask)
+    cols = ["kt", *"xyz"]
+    step = Window.partitionBy("ruler").orderBy("t")
+    put = lambda f, n: [f(F.col(k)).alias(f"{n}_{k}") for k in cols]
+    known = keys.select("ruler", "t", F.col("t").alias("kt"), *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    known = known.select("*", *put(lambda k: F.lag(k).over(step), "b"), *put(lambda k: F.lead(k).over(step), "a"))
+    none = [F.lit(None).cast("int" if n.endswith("kt") else "double").alias(n) for n in known.columns[2:]]
+    rows = known.withColumn("ask", F.lit(0)).unionByName(frames.select("ruler", "t", F.lit(1).alias("ask"), *none))
     back = Window.partitionBy("ruler").orderBy("t", "ask").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy("ruler").orderBy("t", "ask").rowsBetween(0, Window.unboundedFollowing)
-    cols = ["kt", *"xyz"]
-    rows = rows.select("*", *[F.last(k, True).over(back).alias(f"p_{k}") for k in cols], *[F.first(k, True).over(ahead).alias(f"n_{k}") for k in cols]).where("ask = 1")
-    f = F.when(F.col("n_kt") > F.col("p_kt"), (F.col("t") - F.col("p_kt")) / (F.col("n_kt") - F.col("p_kt"))).otherwise(0.0)
-    s = {"step": F.lit(0.0), "linear": f, "smooth": 3 * f * f - 2 * f * f * f}[mode]
-    value = lambda k: F.coalesce(F.col(f"p_{k}") + s * (F.coalesce(f"n_{k}", f"p_{k}") - F.col(f"p_{k}")), F.col(f"n_{k}")).alias(k)
-    return rows.select("ruler", "t", *[value(k) for k in "xyz"])
+    # The keys on both sides, and those one further out.
+    last = [F.last(k, True).over(back).alias(f"p_{k}") for k in cols] + [F.last(f"b_{k}", True).over(back).alias(f"pp_{k}") for k in cols]
+    first = [F.first(k, True).over(ahead).alias(f"n_{k}") for k in cols] + [F.first(f"a_{k}", True).over(ahead).alias(f"nn_{k}") for k in cols]
+    rows = rows.select("ruler", "t", "ask", *last, *first).where("ask = 1")
+    out = beyond == "extend"
+    late, early = F.col("n_kt").isNull() & F.col("pp_kt").isNotNull() & F.lit(out), F.col("p_kt").isNull() & F.col("nn_kt").isNotNull() & F.lit(out)
+    one = lambda k: F.when(late, F.col(f"pp_{k}")).when(early, F.col(f"n_{k}")).otherwise(F.coalesce(f"p_{k}", f"n_{k}"))
+    two = lambda k: F.when(late, F.col(f"p_{k}")).when(early, F.col(f"nn_{k}")).otherwise(F.coalesce(f"n_{k}", f"p_{k}"))
+    f = F.when(two("kt") > one("kt"), (F.col("t") - one("kt")) / (two("kt") - one("kt"))).otherwise(0.0)
+    f2, f3 = f * f, f * f * f
+    s = {"step": F.lit(0.0), "linear": f, "smooth": 3 * f2 - 2 * f3, "start": 2 * f2 - f3, "end": f + f2 - f3}[mode]
+    return rows.select("ruler", "t", *[(one(k) + s * (two(k) - one(k))).alias(k) for k in "xyz"])
 
 
 def resampled(series: np.ndarray, n: int) -> np.ndarray:
@@ -223,7 +239,11 @@ def axis_corrected(walk: DataFrame, dims: int) -> DataFrame:
     return rows.select("series", "dim", "frame", value.alias("value"))
 
 
-def line_baseline(series: DataFrame) -> DataFrame:
-    """roi, slope, base: least squares of the values over the frames' order, one aggregation a series."""
-    nth = (F.row_number().over(Window.partitionBy("roi").orderBy("t")) - 1).cast("double")
-    return series.withColumn("i", nth).groupBy("roi").agg(F.regr_slope("v", "i").alias("slope"), F.regr_intercept("v", "i").alias("base"))
+def line_baseline(series: DataFrame, cut: float = 0.001) -> DataFrame:
+    """roi, slope, base: the trimmed least-squares line of each series (roi, t, v) over its frames' order.  One series is one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        slope, base = linear_baseline(pdf.sort_values("t")["v"].to_numpy(float), cut)
+        return pd.DataFrame([(pdf["roi"].iloc[0], slope, base)], columns=["roi", "slope", "base"])
+
+    return series.groupBy("roi").applyInPandas(run, "roi string, slope double, base double")

@@ -72,6 +72,32 @@ def merge_candidates(links: DataFrame, contacts: DataFrame, stats: DataFrame, le
     return out.where(F.col("faces") / F.least("na", "nb") > level).select("t", "c", "a", "b", "faces")
 
 
+def contact_bins(candidates: DataFrame) -> DataFrame:
+    """t, c, label, bin: components that merging candidates (t, c, a, b) join, directly or over others; named by the smallest label."""
+    node = lambda k: F.struct("t", "c", F.col(k).alias("label")).alias(k)
+    found = connected(candidates.select(node("a"), node("b")))
+    return found.select("node.t", "node.c", "node.label", F.col("root.label").alias("bin"))
+
+
+def vertex_links(stats: DataFrame, links: DataFrame, similarity: float = 0.2) -> DataFrame:
+    """t, c, v1, v2, rule: each component's links to the next frame once its vertex has been settled.
+
+    ``size``: a vertex with several links keeps the largest and those similar
+    to it; a single link stays.  ``orphan``: one without any is linked to the
+    nearest unlinked component of the next frame, if similar and touching.
+    """
+    kept = trimmed_links(links, similarity).where("kept").select("t", "c", "v1", "v2", F.lit("size").alias("rule"))
+    lone = orphan_links(stats, links, similarity).select("t", "c", "v1", "v2", F.lit("orphan").alias("rule"))
+    return kept.unionByName(lone)
+
+
+def mapped_edges(links: DataFrame, before: DataFrame, now: DataFrame) -> DataFrame:
+    """The links that join a component of the former selection to one of the present (t, c, label), in the frame after it."""
+    a = before.select("t", "c", F.col("label").alias("v1")).distinct()
+    b = now.select((F.col("t") - 1).cast("int").alias("t"), "c", F.col("label").alias("v2")).distinct()
+    return links.join(a, ["t", "c", "v1"], "left_semi").join(b, ["t", "c", "v2"], "left_semi")
+
+
 def tracks(links: DataFrame, similarity: float = 0.2) -> DataFrame:
     """t, c, label, track: components joined by their best links; the track is named by its first member."""
     best = trimmed_links(links, similarity).where("kept and rank = 1")
