@@ -424,7 +424,7 @@ def _times(a: list[str], b: list[str]) -> list[str]:
 _NORMAL = _times([f"{k}1-{k}0" for k in "xyz"], [f"{k}2-{k}0" for k in "xyz"])
 _MESH = f"""WITH {VOX}, o AS (SELECT k,k&1 dx,(k>>1)&1 dy,(k>>2)&1 dz FROM range(0,8) r(k)), d AS (SELECT t,c,z-dz cz,y-dy cy,x-dx cx,k,v FROM vox CROSS JOIN o WHERE v>0),
 w AS (SELECT t,c,cz,cy,cx,[{','.join(f'coalesce(max(CASE WHEN k={k} THEN v END),0)::DOUBLE' for k in range(8))}] w FROM d GROUP BY 1,2,3,4,5), n AS (SELECT *,{'+'.join(f'CASE WHEN w[{k + 1}]<128 THEN {1 << k} ELSE 0 END' for k in range(8))} AS cs FROM w),
-tri(cs,nth,e) AS (VALUES {','.join(f'({c},{n},{e})' for c, n, e in _TRIANGLES)}), q AS (SELECT t,c,{','.join(f'{_corner(i, a)} AS {"xyz"[a]}{i}' for i in range(3) for a in range(3))} FROM n JOIN tri USING (cs))"""
+tri(cs,nth,e) AS (VALUES {','.join(f'({c},{n},{e})' for c, n, e in _TRIANGLES)}), q AS (SELECT t,c,cz,cy,cx,nth,{','.join(f'{_corner(i, a)} AS {"xyz"[a]}{i}' for i in range(3) for a in range(3))} FROM n JOIN tri USING (cs))"""
 
 
 @query(f"""{_MESH} SELECT t,c,count(*) AS triangles,round(sum(sqrt({_dot(_NORMAL, _NORMAL)})/2),4) AS area,round(sum(({_dot([f'{k}0' for k in 'xyz'], _times([f'{k}1' for k in 'xyz'], [f'{k}2' for k in 'xyz']))})/6),4) AS volume FROM q GROUP BY 1,2""")
@@ -432,39 +432,25 @@ def v07_a21_mesh_measures(spark, sf_dir):
     return rounded(mesh.measures(mesh.surface(voxels(spark, sf_dir), 128), ["t", "c"]), "area", "volume", digits=4)
 
 
+#: Keeps the meshes of frames and channels apart while they are welded together.
+_APART = 4096
+
+
 def _mesh(spark, sf_dir):
-    """Vertices and triangles of one channel of one frame, welded."""
-    v = voxels(spark, sf_dir).where("t = 2 and c = 0")
+    """The volume, and vertices (t, c, id, x, y, z) and triangles of the surfaces of all frames and channels, welded."""
+    v = voxels(spark, sf_dir)
     tri = mesh.surface(v, 128)
-    key = (((F.col("cz") + 1) * 64 + F.col("cy") + 1) * 64 + F.col("cx") + 1).cast("long") * 8 + F.col("nth")
-    points = cut(mesh.corners(tri, key))
+    frame = F.col("t").cast("long") * 16 + F.col("c")
+    key = (((frame * 64 + F.col("cz") + 1) * 64 + F.col("cy") + 1) * 64 + F.col("cx") + 1) * 8 + F.col("nth")
+    apart = tri.withColumns({f"x{i}": F.col(f"x{i}") + frame * _APART for i in range(3)})
+    points = cut(mesh.corners(apart, key))
     first = cut(mesh.welded(points, 1e-3))
     vertices = points.join(first.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
+    # A key of a triangle has its frame above 21 bits of the cell and its number.
+    frame = F.shiftright(F.floor(F.col("id") / 3), 21)
+    vertices = vertices.select(F.floor(frame / 16).cast("int").alias("t"), (frame % 16).cast("int").alias("c"), "id", (F.col("x") - frame * _APART).alias("x"), "y", "z")
     place = lambda k: first.where(F.col("id") % 3 == k).select(F.floor(F.col("id") / 3).alias("key"), F.col("first").alias("abc"[k]))
-    return v, vertices, place(0).join(place(1), "key").join(place(2), "key").select("a", "b", "c")
-
-
-@query()
-def v09_welded(spark, sf_dir):
-    return _mesh(spark, sf_dir)[1]
-
-
-@query()
-def v11_simplified(spark, sf_dir):
-    _, vertices, triangles = _mesh(spark, sf_dir)
-    return mesh.simplified(vertices, triangles, 0.2)[1]
-
-
-@query()
-def v12_smoothed(spark, sf_dir):
-    _, vertices, triangles = _mesh(spark, sf_dir)
-    return mesh.smoothed(vertices, triangles)
-
-
-@query()
-def v13_coloured(spark, sf_dir):
-    v, vertices, _ = _mesh(spark, sf_dir)
-    return mesh.coloured(vertices.withColumn("t", F.lit(2)).withColumn("c", F.lit(0)), v)
+    return v, cut(vertices), cut(place(0).join(place(1), "key").join(place(2), "key").select("a", "b", "c"))
 
 
 # 2.1 reduced levels

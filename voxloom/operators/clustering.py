@@ -107,7 +107,7 @@ def voxel_points(vox: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0
     return on.select("t", "c", scan_code().alias("id"), *at, F.col("v").cast("double").alias("w"))
 
 
-def cluster_labels(vox: DataFrame, t: int, c: int, method: str = "dbscan", k: int = 2, eps: float = 2.0, least: int = 5, first: int = 1, step: int = 1) -> DataFrame:
+def cluster_labels(vox: DataFrame, t: int, c: int, method: str = "dbscan", k: int = 2, eps: float = 2.0, least: int = 5, first: int = 1, step: int = 1, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """``vox`` of one frame and channel with the masked samples' labels replaced by those of their clusters.
 
     ``method`` is dbscan (noise keeps its label), kmeans or mixture (the
@@ -115,7 +115,7 @@ def cluster_labels(vox: DataFrame, t: int, c: int, method: str = "dbscan", k: in
     ``first`` in steps of ``step``.
     """
     here = vox.where((F.col("t") == t) & (F.col("c") == c))
-    points = cut(voxel_points(here).drop("t", "c"))
+    points = cut(voxel_points(here, spacing).drop("t", "c"))
     if method == "dbscan":
         found = dbscan(points, eps, least)
     elif method == "kmeans":
