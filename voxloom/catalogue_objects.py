@@ -350,9 +350,8 @@ def r26_carried_selection(spark, sf_dir):
 
 # 2.9 gait and baselines
 def _walk(spark, sf_dir):
-    """Two rows a series: users' positions in time order, of users with 20 events or more."""
+    """Two rows a series: users' positions in time order."""
     p = adapters.ruler_points(spark, sf_dir)
-    p = p.join(p.groupBy("ruler").count().where("count >= 20").select("ruler"), "ruler", "left_semi")
     rows = F.array(F.struct(F.lit(0).alias("dim"), F.col("x").cast("double").alias("value")), F.struct(F.lit(1).alias("dim"), F.col("y").cast("double").alias("value")))
     return p.select(F.col("ruler").cast("string").alias("series"), F.col("t").alias("frame"), F.inline(rows))
 
@@ -360,27 +359,67 @@ def _walk(spark, sf_dir):
 _CYCLE = [[1.0, 3.0, 2.0, -1.0, -2.0, 0.0, 1.0], [0.0, 1.0, 1.0, 0.0, -1.0, -1.0, 0.0]]
 
 
-@query()
+def _resampled(v: str, start: str, width: str, n: str) -> str:
+    """SQL of ``n`` values between those of the list ``v`` from ``start`` (0-based), ``width`` of them."""
+    at = f"(j*({width}-1)/({n}-1)::DOUBLE)"
+    low = f"CAST(floor({at}) AS INT)"
+    return f"list_transform(range(0,{n}),lambda j:{v}[{start}+1+{low}]+({at}-{low})*({v}[{start}+1+least({width}-1,{low}+1)]-{v}[{start}+1+{low}]))"
+
+
+def _inner(a: str, b: str, n: str) -> str:
+    return f"list_sum(list_transform(range(1,{n}+1),lambda i:{a}[i]*{b}[i]))"
+
+
+#: Every window's score, the best one from each start, and the chain of windows of each walk.
+_GAIT = f"""WITH RECURSIVE {RULERS}, wl AS (SELECT CAST(ruler AS VARCHAR) AS series,list(x::DOUBLE ORDER BY t) v0,list(y::DOUBLE ORDER BY t) v1,CAST(count(*) AS INT) n FROM rul GROUP BY 1), cy AS (SELECT {_CYCLE[0]}::DOUBLE[] w0,{_CYCLE[1]}::DOUBLE[] w1),
+st AS (SELECT *,unnest(range(0,n-1)) AS s FROM wl WHERE n>=2), sw AS (SELECT *,unnest(range(3,least(10,n-s)+1)) AS w FROM st WHERE n-s>=3), rs AS (SELECT series,s,w,{_resampled('v0', 's', 'w', '7')} r0,{_resampled('v1', 's', 'w', '7')} r1 FROM sw),
+sc AS MATERIALIZED (SELECT series,s,w,{_inner('r0', 'w0', '7')}+{_inner('r1', 'w1', '7')} AS corr FROM rs,cy),
+bw AS MATERIALIZED (SELECT series,s,coalesce(arg_max(w,corr) FILTER (WHERE corr>0),3) AS w,greatest(max(corr),0) AS corr FROM sc GROUP BY 1,2),
+ch AS (SELECT wl.*,0 AS k,bw.s,bw.w,bw.corr FROM wl JOIN bw ON bw.series=wl.series AND bw.s=0 WHERE n>=7 UNION ALL SELECT ch.series,v0,v1,n,k+1,bw.s,bw.w,bw.corr FROM ch JOIN bw ON bw.series=ch.series AND bw.s=ch.s+greatest(1,ch.w-1) WHERE bw.s+7<=n)"""
+
+
+@query(f"{_GAIT} SELECT series,CAST(s AS INT) AS start,CAST(w AS INT) AS width,round(corr,6)+0.0 AS corr FROM sc")
+def t11_t12_window_scores(spark, sf_dir):
+    # Adding 0 leaves no negative zero.
+    return rounded(timeseries.window_scores(_walk(spark, sf_dir), _CYCLE), "corr").withColumn("corr", F.col("corr") + 0.0)
+
+
+@query(f"""{_GAIT}, p AS (SELECT series,corr,{_resampled('v0', 's', 'w', '7')} r0,{_resampled('v1', 's', 'w', '7')} r1 FROM ch), q AS (SELECT wl.series,d.dim,e.phase FROM wl,range(0,2) d(dim),range(0,7) e(phase))
+SELECT q.series,CAST(q.dim AS INT) AS dim,CAST(q.phase AS INT) AS phase,round(coalesce(sum(corr*CASE WHEN dim=0 THEN r0[phase+1] ELSE r1[phase+1] END)/nullif(sum(corr),0),0),6) AS value FROM q LEFT JOIN p USING (series) GROUP BY 1,2,3""")
 def t13_gait_cycle(spark, sf_dir):
-    return timeseries.gait_cycle(_walk(spark, sf_dir), _CYCLE)
+    return rounded(timeseries.gait_cycle(_walk(spark, sf_dir), _CYCLE), "value")
 
 
-@query()
+@query(f"""{_GAIT}, p AS (SELECT series,dim,s,w,CASE WHEN dim=0 THEN v0 ELSE v1 END v,CASE WHEN dim=0 THEN w0 ELSE w1 END c FROM ch,cy,range(0,2) d(dim)), r AS (SELECT *,{_resampled('c', '0', '7', 'w').replace('(7-1)', '6')} AS m FROM p),
+x AS (SELECT series,dim,s,w,list_sum(list_transform(range(0,w),lambda i:v[s+1+i]*m[i+1]))/{_inner('c', 'c', '7')} AS q FROM r) SELECT series,CAST(dim AS INT) AS dim,CAST(s AS INT) AS start,CAST(w AS INT) AS width,round(sign(q)*log2(1+abs(q)),6)+0.0 AS score FROM x""")
 def t14_gait_compared(spark, sf_dir):
-    return timeseries.gait_compared(_walk(spark, sf_dir), _CYCLE)
+    return rounded(timeseries.gait_compared(_walk(spark, sf_dir), _CYCLE), "score").withColumn("score", F.col("score") + 0.0)
 
 
-@query()
+@query(f"""{_GAIT}, p AS (SELECT series,k,dim,CASE WHEN dim=0 THEN v0 ELSE v1 END v,s,w FROM ch,range(0,2) d(dim)), r AS (SELECT series,k,dim,{_resampled('v', 's', 'w', '7')} AS m FROM p),
+f AS (SELECT series,dim,k*6+j AS frame,arg_max(m[j+1],k) AS value FROM r,range(0,7) e(j) GROUP BY 1,2,3) SELECT series,CAST(dim AS INT) AS dim,CAST(frame AS INT) AS frame,round(value,6) AS value FROM f""")
 def t15_gait_aligned(spark, sf_dir):
-    return timeseries.gait_aligned(_walk(spark, sf_dir), _CYCLE)
+    return rounded(timeseries.gait_aligned(_walk(spark, sf_dir), _CYCLE), "value")
 
 
-@query()
+@query(f"""{_GAIT}, p AS (SELECT series,s,w,dim,CASE WHEN dim=0 THEN v0 ELSE v1 END v,CASE WHEN dim=0 THEN w0 ELSE w1 END c FROM ch,cy,range(0,2) d(dim)), r AS (SELECT *,{_resampled('c', '0', '7', 'w').replace('(7-1)', '6')} AS m FROM p),
+x AS (SELECT series,s,sum(list_sum(list_transform(range(0,w),lambda i:v[s+1+i]-m[i+1]))) AS q FROM r GROUP BY 1,2) SELECT wl.series,CAST(count(x.s) AS INT) AS cycles,round(coalesce(sum(q*q),0),3) AS diff2 FROM wl LEFT JOIN x USING (series) GROUP BY 1""")
 def t16_gait_variance(spark, sf_dir):
-    return timeseries.gait_variance(_walk(spark, sf_dir), _CYCLE)
+    return rounded(timeseries.gait_variance(_walk(spark, sf_dir), _CYCLE), "diff2", digits=3)
+
+
+@query(f"{_GAIT}, x AS (SELECT series,s,w,abs(list_avg(v0[s+1:s+w])) AS q FROM ch) SELECT wl.series,CAST(count(x.s) AS INT) AS cycles,CAST(coalesce(sum(w-1),0) AS BIGINT) AS frames FROM wl LEFT JOIN x ON x.series=wl.series AND q>100.123::DOUBLE GROUP BY 1")
+def t16_gait_frames(spark, sf_dir):
+    return timeseries.gait_frames(_walk(spark, sf_dir), _CYCLE, 100.123, 1)
+
+
+@query("WITH f AS (SELECT CAST(t AS INT) AS t,(t-1)%4 AS phase FROM range(1,1001) r(t)), v AS (SELECT t,sum([0.5,2.0,-1.0,0.25][phase+1]::DOUBLE) OVER (ORDER BY t) AS s FROM f) SELECT t,round(s*1.0,6) AS x,round(s*-2.0,6) AS y,round(s*0.5,6) AS z FROM v")
+def t18_synthetic_walk(spark, sf_dir):
+    cycle = spark.createDataFrame([(0, 0.5), (1, 2.0), (2, -1.0), (3, 0.25)], "phase int, value double")
+    return rounded(timeseries.synthetic_walk(cycle, 1000, (1.0, -2.0, 0.5)), "x", "y", "z")
 
 
-@query(f"""WITH {RULERS}, k AS (SELECT ruler FROM rul GROUP BY 1 HAVING count(*)>=20), w AS (SELECT CAST(ruler AS VARCHAR) AS series,0 AS dim,t AS frame,x AS value FROM rul WHERE ruler IN (FROM k) UNION ALL SELECT CAST(ruler AS VARCHAR),1,t,y FROM rul WHERE ruler IN (FROM k)),
+@query(f"""WITH {RULERS}, w AS (SELECT CAST(ruler AS VARCHAR) AS series,0 AS dim,t AS frame,x AS value FROM rul UNION ALL SELECT CAST(ruler AS VARCHAR),1,t,y FROM rul),
 s AS (SELECT series,sum(value) total FROM w WHERE dim=0 GROUP BY 1) SELECT series,dim,frame,round(CASE WHEN dim=0 THEN CASE WHEN total<>0 THEN value/total ELSE value END ELSE value-avg(value) OVER (PARTITION BY series,dim) END,9) AS value FROM w JOIN s USING (series)""")
 def t17_axis_corrected(spark, sf_dir):
     return rounded(timeseries.axis_corrected(_walk(spark, sf_dir), 2), "value", digits=9)

@@ -105,23 +105,24 @@ def similarity(vox: DataFrame, dims: Dims, candidates: DataFrame, method: int =
     return scored.select(*KEY, "dz", "dy", "dx", F.when(count > 0, F.coalesce("total", F.lit(0.0)) / count).otherwise(0.0).alias("score"))
 
 
-def register(vox: DataFrame, dims: Dims, rounds: int = 8, method: int = 0) -> DataFrame:
-    """t, c, dz, dy, dx, score: the translation of frame t + 1 against t, by hill climbing over 26 neighbours.
+def register(vox: DataFrame, dims: Dims, rounds: int = 50, method: int = 0) -> DataFrame:
+    """t, c, dz, dy, dx, score, settled: the translation of frame t + 1 against t, by hill climbing over 26 neighbours.
 
     All pairs of frames climb at once, a row each; a round ends the search when
-    no row moved.  Of equal scores the shorter shift, then the first in order, is taken.
+    no row moved.  ``settled`` tells the pairs that did not move in the last
+    of ``rounds``.  Of equal scores the shorter shift, then the first in order, is taken.
     """
     step = F.array(*[F.struct(*[F.lit(q).alias(k) for k, q in zip(("ez", "ey", "ex"), d, strict=True)]) for d in [(z, y, x) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1)]])
     frames = vox.where("v > 0").select(*KEY).distinct()
-    best = frames.join(frames.withColumn("t", F.col("t") - 1), KEY).select(*KEY, *[F.lit(0).alias(f"d{k}") for k in "zyx"], F.lit(-1.0).alias("score"))
+    best = frames.join(frames.withColumn("t", F.col("t") - 1), KEY).select(*KEY, *[F.lit(0).alias(f"d{k}") for k in "zyx"], F.lit(-1.0).alias("score"), F.lit(False).alias("settled"))
     best = cut(best)
     order = Window.partitionBy(*KEY).orderBy(F.desc(F.round("score", 12)), F.abs("dz") + F.abs("dy") + F.abs("dx"), "dz", "dy", "dx")
     for _ in range(rounds):
         near = best.select(*KEY, "dz", "dy", "dx", F.explode(step).alias("e")).select(*KEY, *[(F.col(f"d{k}") + F.col(f"e.e{k}")).alias(f"d{k}") for k in "zyx"])
         found = cut(similarity(vox, dims, near, method).withColumn("k", F.row_number().over(order)).where("k = 1").drop("k"))
-        moved = found.join(best.drop("score"), [*KEY, "dz", "dy", "dx"], "left_anti")
-        best = found
-        if moved.isEmpty():
+        moved = found.join(best.select(*KEY, "dz", "dy", "dx"), [*KEY, "dz", "dy", "dx"], "left_anti")
+        best = cut(found.join(moved.select(*KEY, F.lit(False).alias("settled")), KEY, "left").withColumn("settled", F.coalesce("settled", F.lit(True))))
+        if best.where("not settled").isEmpty():
             break
     return best
 

@@ -137,11 +137,37 @@ def gait_windows(walk: DataFrame, cycle: list[float], overlap: int = 1) -> DataF
 
 
 def synthetic_walk(cycle: DataFrame, frames: int, direction: tuple[float, float, float]) -> DataFrame:
-    """t and position of a point that moves by direction * cycle value at each phase (cycle: phase from 0, value)."""
-    period = cycle.agg(F.max("phase") + 1).first()[0]
-    steps = cycle.sparkSession.range(1, frames + 1).select(F.col("id").cast("int").alias("t"), ((F.col("id") - 1) % period).cast("int").alias("phase")).join(cycle, "phase")
-    run = F.sum("value").over(Window.orderBy("t"))
-    return steps.select("t", *[(run * d).alias(k) for k, d in zip("xyz", direction, strict=True)])
+    """t (1 to ``frames``) and position of a point that moves by direction * cycle value at each phase (cycle: phase from 0, value).
+
+    Whole cycles count by their sum, so only the cycle's own rows are added up one by one.
+    """
+    so_far = F.sum("value").over(Window.orderBy("phase"))
+    parts = cycle.select("phase", so_far.alias("part"), F.sum("value").over(Window.partitionBy()).alias("whole"), F.count("*").over(Window.partitionBy()).alias("period"))
+    steps = cycle.sparkSession.range(1, frames + 1).select(F.col("id").cast("int").alias("t"))
+    period = cycle.count()
+    rows = steps.withColumn("phase", ((F.col("t") - 1) % period).cast("int")).join(F.broadcast(parts), "phase")
+    run = F.floor((F.col("t") - 1) / F.col("period")) * F.col("whole") + F.col("part")
+    return rows.select("t", *[(run * d).alias(k) for k, d in zip("xyz", direction, strict=True)])
+
+
+def window_scores(walk: DataFrame, cycle: list[list[float]]) -> DataFrame:
+    """series, start, width, corr: how each window of half to one and a half cycles correlates with the cycle, over all its rows.
+
+    ``walk``: series, dim, frame (from 0, without gaps), value; ``cycle`` has a
+    row for each dim.  A window is resampled to the cycle's length.
+    """
+    period = len(cycle[0])
+    low, high = max(2, period // 2), 3 * period // 2
+    values = F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda q: q["value"]).alias("v")
+    rows = walk.groupBy("series", "dim").agg(values).withColumn("n", F.size("v"))
+    waves = F.array(*[F.array(*[F.lit(float(q)) for q in row]) for row in cycle])
+    rows = rows.where("n >= 2").withColumn("wave", F.element_at(waves, F.col("dim") + 1)).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("start"))
+    rows = rows.where(F.col("n") - F.col("start") >= low)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("n") - F.col("start")))).alias("width"))
+    part = """aggregate(sequence(0, {p} - 1), 0D, (a, j) -> a + wave[j] * (
+        v[start + cast(floor(j * (width - 1) / {q}) as int)] + (j * (width - 1) / {q} - floor(j * (width - 1) / {q})) * (
+        v[start + least(width - 1, cast(floor(j * (width - 1) / {q}) as int) + 1)] - v[start + cast(floor(j * (width - 1) / {q}) as int)])))""".format(p=period, q=f"{period - 1}D")
+    return rows.select("series", "start", "width", F.expr(part).alias("corr")).groupBy("series", "start", "width").agg(F.sum("corr").alias("corr"))
 
 
 def _windows(length: int, cycle: np.ndarray, data: np.ndarray, overlap: int) -> list[tuple[int, int, float]]:
@@ -229,6 +255,18 @@ def gait_variance(walk: DataFrame, cycle: list[list[float]], overlap: int = 1) -
     return walk.groupBy("series").applyInPandas(run, "series string, cycles int, diff2 double")
 
 
+def gait_frames(walk: DataFrame, cycle: list[list[float]], least: float, leading: int, overlap: int = 1) -> DataFrame:
+    """series, cycles, frames: windows in which the ``leading`` first rows have a mean beyond ``least`` in size, and their frames less the overlap."""
+    wave = np.asarray(cycle, float)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data, _ = _matrix(pdf)
+        moved = [n - overlap for at, n, _ in _windows(data.shape[1], wave, data, overlap) if abs(data[:leading, at : at + n].mean()) > least]
+        return pd.DataFrame([(pdf["series"].iloc[0], len(moved), sum(moved))], columns=["series", "cycles", "frames"])
+
+    return walk.groupBy("series").applyInPandas(run, "series string, cycles int, frames long")
+
+
 def axis_corrected(walk: DataFrame, dims: int) -> DataFrame:
     """x rows (dim mod ``dims`` = 0) divided by the largest row sum, the others less their row mean."""
     rows = walk.withColumn("_axis", F.col("dim") % dims)
