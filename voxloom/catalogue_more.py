@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalogue import _CONTACTS, _LINKS, _PAIRS, _STATS, dbscan_sql, query, rounded
+from .catalogue import _CONTACTS, _LINKS, _OFF6, _PAIRS, _STATS, dbscan_sql, query, rounded, runs_sql
 from .catalogue_objects import _AT, _MESH, _ROOTS, SIZE, _linked, _listed, _mesh
 from .functions import geometry
-from .operators import algebra, clustering, components, mesh, records, selection, stats, timeseries, tracking
+from .operators import algebra, clustering, components, mesh, records, segmentation, selection, stats, stencil, timeseries, tracking
 from .plans import adapters
-from .plans.adapters import DIMS, RULERS, VOX, voxels
+from .plans.adapters import DIMS, RULERS, VOX, WIDE, WIDE_DIMS, voxels, wide_voxels
 
 # 2.3 algebra and masks
 _VISIBLE = [(0, 1, True), (1, 1, False), (2, 1, True)]
@@ -233,3 +233,25 @@ def v13_coloured(spark, sf_dir):
     out = mesh.coloured(near, v)
     plain = (F.abs(F.col("r") - 0.2) < 1e-12) & (F.abs(F.col("g") - 0.4) < 1e-12) & (F.abs(F.col("b") - 0.4) < 1e-12)
     return out.select("id", plain.alias("plain"), F.round("alpha", 6).alias("alpha"))
+
+
+# The headline operators over a volume that grows with the tables
+@query(f"{_STATS.replace(VOX, WIDE)} SELECT t,c,label,n,total,round(sigma,6) AS sigma,round(cx,6) AS cx FROM s")
+def c01_wide(spark, sf_dir):
+    return rounded(components.component_stats(wide_voxels(spark, sf_dir)).select("t", "c", "label", "n", "total", "sigma", "cx"), "sigma", "cx")
+
+
+@query(f"WITH {WIDE}, {_OFF6}, {_CONTACTS} SELECT * FROM con")
+def j05_wide(spark, sf_dir):
+    return components.contacts(wide_voxels(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {WIDE}, {runs_sql('SELECT * FROM vox WHERE v>32')} SELECT * FROM grown")
+def g01_wide(spark, sf_dir):
+    return segmentation.grow(wide_voxels(spark, sf_dir), 32)
+
+
+@query(f"""WITH {WIDE}, o AS (SELECT * FROM range(-1,2) i(dz),range(-1,2) j(dy),range(-1,2) k(dx)), e AS (SELECT t,c,z+dz AS z,y+dy AS y,x+dx AS x,v*CASE WHEN (z+dz IN (0,6) AND dz=0) THEN 2 ELSE 1 END*CASE WHEN (y+dy IN (0,2047) AND dy=0) THEN 2 ELSE 1 END*CASE WHEN (x+dx IN (0,2047) AND dx=0) THEN 2 ELSE 1 END AS v FROM vox CROSS JOIN o WHERE z+dz BETWEEN 0 AND 6 AND y+dy BETWEEN 0 AND 2047 AND x+dx BETWEEN 0 AND 2047),
+f AS (SELECT t,c,CAST(z AS INT) z,CAST(y AS INT) y,CAST(x AS INT) x,CAST(floor(round(sum(v)/255.0::DOUBLE/27,9)*255+1e-6) AS INT) AS v FROM e GROUP BY ALL) SELECT * FROM f WHERE v<>0""")
+def w01_wide(spark, sf_dir):
+    return stencil.apply(wide_voxels(spark, sf_dir), WIDE_DIMS, 1, stencil.box_mean)

@@ -41,10 +41,11 @@ def brick_runs(on: np.ndarray) -> np.ndarray:
 def _runs(on: DataFrame) -> DataFrame:
     """t, c, z, y, x, run: runs inside bricks, named by the place of their first sample."""
 
-    def label(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        low = [int(b) * SIDE for b in key[2:]]
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        # The brick is cut to where its samples are.
+        low = [int(pdf[k].min()) for k in "zyx"]
         at = tuple(pdf[k].to_numpy() - q for k, q in zip("zyx", low, strict=True))
-        dense = np.zeros((SIDE,) * 3, bool)
+        dense = np.zeros([int(q.max()) + 1 for q in at], bool)
         dense[at] = True
         first = np.unravel_index(brick_runs(dense)[at], dense.shape)
         z, y, x = (f.astype(np.int64) + q for f, q in zip(first, low, strict=True))

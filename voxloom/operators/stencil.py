@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BRICK = (8, 16, 32)
+BRICK = (16, 32, 64)
 Stencil = Callable[[np.ndarray, int], np.ndarray]
 
 

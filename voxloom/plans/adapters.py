@@ -32,6 +32,26 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("t", "c", "z", "y", "x", "v", F.when(F.col("d") > 0.05, 255).otherwise(0).alias("mask"), label.alias("label"))
 
 
+#: Grid of the wide volumes, whose samples grow with the tables.
+WIDE_DIMS = (7, 2048, 2048)
+
+
+def wide_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A volume of nearly as many samples as ``lineitem`` has rows, gathered around the diagonal of its planes; blocks of 16 are its components."""
+    li = table(spark, sf_dir, "lineitem")
+    y = (F.col("l_orderkey") % 2048).cast("int")
+    at = li.groupBy(
+        (F.year("l_shipdate") - 1995).cast("int").alias("t"),
+        F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("c"),
+        (F.col("l_linenumber") - 1).cast("int").alias("z"),
+        y.alias("y"),
+        ((y + F.col("l_partkey") % 48) % 2048).cast("int").alias("x"),
+    ).agg(F.max("l_extendedprice").alias("p"), F.max("l_discount").alias("d"))
+    at = at.withColumn("v", (F.floor("p").cast("long") % 256).cast("int"))
+    label = F.when(F.col("v") < 64, 0).otherwise(1 + F.floor(F.col("x") / 16) + 128 * F.floor(F.col("y") / 16)).cast("long")
+    return at.select("t", "c", "z", "y", "x", "v", F.when(F.col("d") > 0.05, 255).otherwise(0).alias("mask"), label.alias("label"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, x, y, z, w, grp: the first coordinates of ``embeddings`` in thousandths."""
     e = table(spark, sf_dir, "embeddings")
@@ -66,6 +86,10 @@ VOX = """vox0 AS (SELECT CAST(year(l_shipdate)-1995 AS INT) t, CASE l_returnflag
   CAST(l_linenumber-1 AS INT) z, CAST(l_partkey % 32 AS INT) y, CAST(l_quantity-1 AS INT) x, max(l_extendedprice) p, max(l_discount) dsc FROM lineitem GROUP BY 1,2,3,4,5),
 vox1 AS (SELECT t,c,z,y,x, CAST(CAST(floor(p) AS BIGINT) % 256 AS INT) v, CASE WHEN dsc>0.05 THEN 255 ELSE 0 END mask FROM vox0),
 vox AS (SELECT *, CASE WHEN v<64 THEN 0 ELSE CAST(1+floor((x+2*t)/10)+7*floor(y/8) AS BIGINT) END AS label FROM vox1)"""
+WIDE = """vox0 AS (SELECT CAST(year(l_shipdate)-1995 AS INT) t, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END c, CAST(l_linenumber-1 AS INT) z, CAST(l_orderkey % 2048 AS INT) y,
+  CAST((l_orderkey % 2048 + l_partkey % 48) % 2048 AS INT) x, max(l_extendedprice) p, max(l_discount) dsc FROM lineitem GROUP BY 1,2,3,4,5),
+vox1 AS (SELECT t,c,z,y,x, CAST(CAST(floor(p) AS BIGINT) % 256 AS INT) v, CASE WHEN dsc>0.05 THEN 255 ELSE 0 END mask FROM vox0),
+vox AS (SELECT *, CASE WHEN v<64 THEN 0 ELSE CAST(1+x//16+128*(y//16) AS BIGINT) END AS label FROM vox1)"""
 POINTS = """pts AS (SELECT vec_id AS id, CAST(round(CAST(embedding[1] AS DOUBLE)*1000) AS BIGINT) x, CAST(round(CAST(embedding[2] AS DOUBLE)*1000) AS BIGINT) y,
   CAST(round(CAST(embedding[3] AS DOUBLE)*1000) AS BIGINT) z, abs(CAST(round(CAST(embedding[4] AS DOUBLE)*1000) AS BIGINT)) w, label AS grp FROM embeddings)"""
 RECORDS = "rec AS (SELECT vec_id AS rec_id, list_transform(embedding[1:8], lambda v: CAST(round(CAST(v AS DOUBLE)*2) AS BIGINT)) AS hist, label AS param FROM embeddings)"
