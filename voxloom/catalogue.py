@@ -658,7 +658,13 @@ def g03_density_grow(spark, sf_dir):
     return density.density_grow(voxels(spark, sf_dir), DIMS, 200)
 
 
-@query()
+_DIST = """i AS (SELECT t,c,z,y,x FROM vox WHERE v>100 AND z BETWEEN 1 AND 5 AND y BETWEEN 1 AND 30 AND x BETWEEN 1 AND 48),
+o AS (SELECT *,abs(dz)+abs(dy)+abs(dx) l FROM range(-3,4) a(dz),range(-3,4) b(dy),range(-3,4) d(dx) WHERE abs(dz)+abs(dy)+abs(dx) BETWEEN 1 AND 3),
+di AS (SELECT i.t,i.c,i.z,i.y,i.x,CAST(min(l) AS INT) AS dist FROM i CROSS JOIN o LEFT JOIN i n ON n.t=i.t AND n.c=i.c AND n.z=i.z+dz AND n.y=i.y+dy AND n.x=i.x+dx WHERE n.t IS NULL GROUP BY 1,2,3,4,5),
+dw AS MATERIALIZED (SELECT t,c,z,y,x,CAST(floor(v*0.5::DOUBLE+least(coalesce(dist,0)*5.0::DOUBLE/6,1)*255*0.5+1e-6) AS INT) AS v FROM vox LEFT JOIN di USING (t,c,z,y,x))"""
+
+
+@query(f"WITH RECURSIVE {VOX}, {_DIST}, {runs_sql('SELECT * FROM dw WHERE v>100')} SELECT * FROM grown")
 def g04_distance_grow(spark, sf_dir):
     return density.distance_grow(voxels(spark, sf_dir), DIMS, 100, most=6)
 
