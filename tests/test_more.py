@@ -246,3 +246,53 @@ def test_rulers_of_one_point_have_no_frame(spark):
     df = spark.createDataFrame(pd.DataFrame({"ruler": [1], "t": [0], "x": [0.0], "y": [0.0], "z": [0.0]}))
     with pytest.raises(ValueError):
         rulers.transformed(df, 1, 1.0)
+
+
+def plain_kmeans(points, k):
+    at = np.array([p[1:4] for p in points])
+    w = np.array([p[4] for p in points])
+    centres = [at[min(range(len(w)), key=lambda i: (-w[i], i))]]
+    while len(centres) < k:
+        d = ((at - centres[-1]) ** 2).sum(axis=1)
+        centres.append(at[min(range(len(w)), key=lambda i: (-d[i], i))])
+    centres = np.array(centres)
+    while True:
+        of = ((at[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.array([np.average(at[of == i], axis=0, weights=w[of == i]) if (of == i).any() else centres[i] for i in range(k)])
+        if np.linalg.norm(new - centres, axis=1).max() <= 1e-6:
+            return of
+        centres = new
+
+
+def blobs(spark):
+    r = np.random.default_rng(4)
+    spots = np.concatenate([r.normal(m, 1.0, (50, 3)) for m in (0, 9, 20)])
+    points = [(i, *map(float, p), float(1 + r.random())) for i, p in enumerate(spots)]
+    return points, spark.createDataFrame(points, "id long, x double, y double, z double, w double")
+
+
+def test_kmeans_matches_a_plain_loop(spark):
+    points, df = blobs(spark)
+    found, settled = clustering.kmeans(df, 3)
+    assert settled and [r.cluster for r in found.orderBy("id").collect()] == plain_kmeans(points, 3).tolist()
+
+
+def test_mixture_settles_on_the_moments(spark):
+    points, df = blobs(spark)
+    parts = sorted(clustering.gaussian_mixture(df, 3, eps=1e-9), key=lambda p: p["mean"][0])
+    at, w = np.array([p[1:4] for p in points]), np.array([p[4] for p in points])
+    for k, part in enumerate(parts):
+        mine = slice(50 * k, 50 * k + 50)
+        assert part["settled"] and part["mean"] == pytest.approx(np.average(at[mine], axis=0, weights=w[mine]), abs=1e-3)
+        assert part["tau"] == pytest.approx(w[mine].sum() / w.sum(), abs=1e-4)
+    shares = clustering.memberships(df, parts)
+    assert clustering.mixture_quality(shares) > 0.999
+    assert {r.bin: r.n for r in clustering.share_histogram(shares, 3, 10).collect()} == {9: 150}
+
+
+def test_noise_joins_the_commonest_cluster_in_reach(spark):
+    rows = [(0, 0.0), (1, 0.5), (2, 1.4), (3, 2.3), (4, 10.0), (5, 10.5), (6, 30.0)]
+    df = spark.createDataFrame([(i, x, 0.0, 0.0, 1.0) for i, x in rows], "id long, x double, y double, z double, w double")
+    clusters = spark.createDataFrame([(0, 0), (1, 0), (2, None), (3, None), (4, 4), (5, 4), (6, None)], "id long, cluster long")
+    got = {r.id: r.cluster for r in clustering.without_noise(df, clusters, 1.0).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: None}
