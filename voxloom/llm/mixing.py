@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import stored, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one key range holds on average in the largest group.
@@ -33,28 +33,36 @@ def random_key(seed: str = "mix") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text))
 
 
-def prefix_sums(rows: DataFrame, group: str, value: str, largest: int) -> DataFrame:
-    """Adds ``before``: the sum of ``value`` over the rows of the group that precede the row.
+def key_ranges(rows: DataFrame, keys: DataFrame, group: str, largest: int, range_rows: int) -> DataFrame:
+    """Adds ``range``: rows have a ``key`` of uniform hex digits, leading digits of which name a range of about ``range_rows`` rows.
 
-    Rows are stored and have a ``key`` of uniform hex digits and a ``row`` of
-    their own.  ``largest`` is the row count of the largest group, which fixes
-    how many leading digits name a key range.  A key that more than
-    ``RANGE_ROWS`` rows of a group share (they are copies of each other) comes
-    after its range's other keys, dealt over ranges by the upper bits of ``row``.
+    ``largest`` is the row count of the largest group.  A key that more than
+    ``range_rows`` rows of a group share (they are copies of each other; counted
+    over ``keys``, the rows' group and key) comes after its range's other keys,
+    dealt over ranges by the upper bits of ``row``.
     """
-    digits = max(1, math.ceil(math.log(max(largest / RANGE_ROWS, 1), 16)))
-    crowds = rows.groupBy(group, "key").agg(F.count("*").alias("_n")).where(f"_n > {RANGE_ROWS}")
+    digits = math.ceil(math.log(max(largest / range_rows, 1), 16))
+    crowds = keys.groupBy(group, "key").agg(F.count("*").alias("_n")).where(f"_n > {range_rows}")
     crowds = stored(crowds.select(F.col(group).alias("_g"), F.col("key").alias("_k")), "crowds")
     rows = rows.join(crowds, F.col(group).eqNullSafe(F.col("_g")) & (F.col("key") == F.col("_k")), "left")
     part = F.concat("key", F.lpad(F.hex(F.shiftrightunsigned("row", 13)), 16, "0"))
-    rows = rows.withColumn("_range", F.concat(F.substring("key", 1, digits), F.when(F.col("_k").isNull(), F.lit("")).otherwise(part))).drop("_g", "_k")
-    sums = rows.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
-    over = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(group, "_range").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
+    named = F.concat(F.substring("key", 1, digits), F.when(F.col("_k").isNull(), F.lit("")).otherwise(part))
+    return rows.withColumn("range", named).drop("_g", "_k")
+
+
+def prefix_sums(rows: DataFrame, group: str, value: str, largest: int) -> DataFrame:
+    """Adds ``before``: the sum of ``value`` over the rows of the group that precede the row, range by range (see ``key_ranges``).
+
+    Rows are stored and have a ``key`` and a ``row`` of their own.
+    """
+    rows = key_ranges(rows, rows, group, largest, RANGE_ROWS)
+    sums = rows.groupBy(group, "range").agg(F.sum(value).alias("_sum"))
+    over = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(group).alias("_g"), F.col("range").alias("_r"), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(group, "range").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    rows = rows.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
-    return rows.withColumn("before", (F.col("_start") + F.col("_inside")).cast("long")).drop("_range", "_inside", "_g", "_r", "_start")
+    rows = rows.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("range") == F.col("_r")))
+    return rows.withColumn("before", (F.col("_start") + F.col("_inside")).cast("long")).drop("range", "_inside", "_g", "_r", "_start")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -97,6 +105,7 @@ def _planned(sized: DataFrame, weights: tuple[int, ...], share: float, most: flo
     return rows.withColumn("taken", taken.cast("long"))
 
 
+@tidy
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, taken, before: one row per row of ``docs``.
 
@@ -109,6 +118,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return _planned(stored(sized, "sizes"), weights, share, most).select("doc_id", "source", "size", "source_size", "target", "taken", "before")
 
 
+@tidy
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, columns unchanged.
 

@@ -12,11 +12,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .mixing import WORD, prefix_sums, random_key
-from .storage import documents, stored
+from .mixing import WORD, key_ranges, random_key
+from .storage import stored, tidy
+
+#: Rows that one part of a bucket holds on average at most.
+PART_ROWS = 32_000
 
 
 def words(text: Column) -> Column:
@@ -72,44 +75,45 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list
     return sorted(bounds)
 
 
-def placements(docs: DataFrame, buckets: int, budget: int, seed: str, tokens: Callable[[Column], Column]) -> DataFrame:
-    """row, doc_id, n_tokens, bucket, bucket_length, batch, slot of each row of ``docs`` (row, doc_id, text, stored)."""
-    sized = docs.select("row", "doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"), random_key(seed).alias("key"))
-    sized = stored(sized, "lengths")
-    # One entry for each distinct length.
-    histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").collect()
-    lengths = np.array([r["n_tokens"] for r in histogram], np.int64)
-    counts = np.array([r["n"] for r in histogram], np.int64)
-    bounds = bucket_bounds(lengths, counts, buckets)
-    table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
-    rows = sized.withColumn("bucket", F.size(F.filter(table, lambda b: b < F.col("n_tokens"))))
-    rows = rows.withColumn("bucket_length", F.element_at(table, F.col("bucket") + 1)).withColumn("one", F.lit(1))
-    in_bucket = [int(counts[(lengths <= b) & (lengths > a)].sum()) for a, b in zip([-1, *bounds], bounds, strict=False)]
-    rows = prefix_sums(rows, "bucket", "one", max(in_bucket, default=0))
-    room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_length"))))
-    batch, slot = F.floor(F.col("before") / room).cast("long"), (F.col("before") % room).cast("long")
-    return rows.select("row", "doc_id", "n_tokens", "bucket", "bucket_length", batch.alias("batch"), slot.alias("slot"))
-
-
+@tidy
 def batches(docs: DataFrame, buckets: int = 16, budget: int = 16_384, seed: str = "pack", tokens: Callable[[Column], Column] = words) -> DataFrame:
-    """bucket, batch, bucket_length, doc_ids, lengths, tokens: one row per batch of ``docs``.
+    """bucket, part, batch, bucket_length, doc_ids, lengths, tokens: one row per batch of ``docs``.
 
     ``tokens`` holds the batch's texts one after the other, each padded with
     nulls to ``bucket_length``; ``lengths`` tells tokens from padding.  A batch
     holds texts of one bucket, as many as fit ``budget`` tokens with their
     padding (one at least, so a text longer than the budget is a batch of its
-    own).  Null and empty texts have no tokens and lie in the first bucket.
-    Repeated rows each take a slot; copies of a row alike in id and text are
-    interchangeable.  Other columns are ignored; an empty table gives no batch.
+    own).  Texts are dealt to parts of about ``PART_ROWS`` by their random
+    keys; the last batch of a part may hold fewer.  Null and empty texts have
+    no tokens and lie in the first bucket.  Repeated rows each take a slot;
+    copies of a row alike in id and text are interchangeable.  Other columns
+    are ignored; an empty table gives no batch.
+
+    Texts are read twice, for the histogram and for the batches, and shuffled once.
     """
-    docs = documents(docs)
-    placed = stored(placements(docs, buckets, budget, seed, tokens), "placed")
-    texts = docs.select("row", "text").join(placed, "row")
-    held = F.array_sort(F.collect_list(F.struct("slot", "doc_id", "n_tokens", "text"))).alias("held")
-    made = texts.groupBy("bucket", "batch", "bucket_length").agg(held)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sized = rows.withColumn("n_tokens", F.size(tokens(F.col("text"))).cast("long")).withColumn("key", random_key(seed))
+    keys = stored(sized.select("n_tokens", "key"), "lengths")
+    # One entry for each distinct length.
+    histogram = keys.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").collect()
+    lengths = np.array([r["n_tokens"] for r in histogram], np.int64)
+    counts = np.array([r["n"] for r in histogram], np.int64)
+    bounds = bucket_bounds(lengths, counts, buckets) or [0]
+    table = F.array(*[F.lit(b).cast("long") for b in bounds])
+    bucketed = lambda df: df.withColumn("bucket", F.size(F.filter(table, lambda b: b < F.col("n_tokens"))))
+    largest = max((int(counts[(lengths <= b) & (lengths > a)].sum()) for a, b in zip([-1, *bounds], bounds, strict=False)), default=0)
+    sized = bucketed(sized).withColumn("bucket_length", F.element_at(table, F.col("bucket") + 1)).withColumn("row", F.monotonically_increasing_id())
+    sized = key_ranges(sized, bucketed(keys), "bucket", largest, PART_ROWS)
+    room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_length"))))
+    before = F.row_number().over(Window.partitionBy("bucket", "range").orderBy("key", "row")) - 1
+    placed = sized.withColumn("before", before).withColumn("batch", F.floor(F.col("before") / room).cast("long"))
+    # Batches lie inside parts, so they are gathered where the window left them.
+    held = F.array_sort(F.collect_list(F.struct("before", "doc_id", "n_tokens", "text"))).alias("held")
+    made = placed.groupBy("bucket", "range", "batch", "bucket_length").agg(held)
     one = lambda r: F.concat(tokens(r["text"]), F.array_repeat(F.lit(None).cast("string"), (F.col("bucket_length") - r["n_tokens"]).cast("int")))
     return made.select(
         "bucket",
+        F.col("range").alias("part"),
         "batch",
         "bucket_length",
         F.transform("held", lambda r: r["doc_id"]).alias("doc_ids"),
@@ -119,18 +123,19 @@ def batches(docs: DataFrame, buckets: int = 16, budget: int = 16_384, seed: str
 
 
 def unpacked(batches: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, bucket, bucket_length, batch, slot, padding, tokens_md5: one row per text, read from its batch.
+    """doc_id, n_tokens, bucket, bucket_length, part, batch, slot, padding, tokens_md5: one row per text, read from its batch.
 
     ``tokens_md5`` is of the text's tokens (strings), joined by spaces.
     """
     each = F.posexplode(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("lengths").alias("n"))).alias("slot", "one")
-    rows = batches.select("bucket", "batch", "bucket_length", "tokens", each)
+    rows = batches.select("bucket", "part", "batch", "bucket_length", "tokens", each)
     mine = F.slice("tokens", (F.col("slot") * F.col("bucket_length") + 1).cast("int"), F.col("one.n").cast("int"))
     return rows.select(
         F.col("one.doc_id").alias("doc_id"),
         F.col("one.n").alias("n_tokens"),
         "bucket",
         "bucket_length",
+        "part",
         "batch",
         F.col("slot").cast("long").alias("slot"),
         (F.col("bucket_length") - F.col("one.n")).alias("padding"),
