@@ -12,8 +12,9 @@
    holds several classes, its pairs of different classes are candidates as
    well, so step 2 leaves out links inside a class and none between classes.
 4. Depth adapts to the region: one with more than ``REGION`` nodes is compared
-   at 8 levels instead, in all 64 orders.  What is crowded at 8 levels too is
-   compared by pairs of blocks.
+   at 8 levels instead, in all 64 orders: first each node with the partner of
+   the largest estimate, then all pairs of classes that are left.  What is
+   crowded at 8 levels too is compared by pairs of blocks.
 
 A pair whose similarity is s shares a region at 4 levels of 16 orders with
 probability 1 - (1 - s**4)**16 and at 8 levels of 64 with 1 - (1 - s**8)**64:
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .storage import documents, fetch, stored
+from .storage import documents, fetch, stored, tidy
 
 HASHES, LEVELS, LEAST_LEVELS, REGION = 512, 8, 4, 2048
 #: Orders that are sorted and compared at LEAST_LEVELS, and those compared at LEVELS.
@@ -166,8 +167,11 @@ def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())], names=["a", "b"])
 
 
-def _across(percent: int, floor: float, levels: int):
-    """All pairs of a region whose ends are in different classes, each in the first order where they meet."""
+def _across(percent: int, floor: float, levels: int, best: bool = False):
+    """All pairs of a region whose ends are in different classes, each in the first order where they meet.
+
+    With ``best``, of each node's pairs only that of the largest estimate.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -180,10 +184,14 @@ def _across(percent: int, floor: float, levels: int):
             for i in range(len(nodes) - 1):
                 meet = (of[i + 1 :] != of[i]) & (r.trees[i + 1 :] == r.trees[i]) & ((r.sides[i + 1 :] != r.sides[i]) | (r.sides[i] < 0))
                 rest = i + 1 + np.flatnonzero(meet)
-                rest = rest[~(r.starts[rest, : r.trees[i]] == r.starts[i, : r.trees[i]]).any(axis=1)]
+                if not best:
+                    rest = rest[~(r.starts[rest, : r.trees[i]] == r.starts[i, : r.trees[i]]).any(axis=1)]
                 if len(rest):
-                    near = rest[_estimates(sig, sizes, i, rest, percent) >= floor]
-                    out += [(nodes[i], nodes[j]) for j in near]
+                    est = _estimates(sig, sizes, i, rest, percent)
+                    near = est >= floor
+                    if best:
+                        near &= np.arange(len(rest)) == est.argmax()
+                    out += [(nodes[i], nodes[j]) for j in rest[near]]
                 if len(out) > 50_000:
                     yield _pairs(out)
                     out = []
@@ -205,6 +213,7 @@ def _confirmed(percent: int):
     return run
 
 
+@tidy
 def components(links: DataFrame) -> DataFrame:
     """(node, class) for every end of ``links`` (a, b): class is the smallest node reachable.
 
@@ -235,8 +244,8 @@ def _orders(nodes: DataFrame, percent: int) -> DataFrame:
     meet in one task; ``edge`` marks each range's first and last row.
     """
     tree = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("tree")
-    rows = nodes.select("node", "n_shingles", "sig", tree)
-    rows = rows.select("tree", F.expr(f"substring(sig, tree * {2 * LEVELS} + 1, {2 * LEVELS})").alias("key"), "node", "n_shingles")
+    rows = nodes.select("node", "n_shingles", "start", tree)
+    rows = rows.select("tree", F.expr(f"substring(start, tree * {2 * LEVELS} + 1, {2 * LEVELS})").alias("key"), "node", "n_shingles")
     rows = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     shape = "tree int, key binary, node binary, n_shingles long, next binary, edge boolean"
     return stored(rows.mapInArrow(_neighbours(percent), shape).withColumn("start", F.substring("key", 1, 2 * LEAST_LEVELS)), "orders")
@@ -251,6 +260,7 @@ def _neighbour_pairs(orders: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
 
 
+@tidy
 def _open_regions(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(region, node, tree, class, members) of the regions in ``rows`` (region, node, tree) that hold several classes."""
     rows = stored(rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "regions")
@@ -259,6 +269,7 @@ def _open_regions(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(rows.join(sizes, "region"), "open")
 
 
+@tidy
 def _block_pairs(crowded: DataFrame) -> DataFrame:
     """(region, node, tree, class, side) of crowded regions' rows (region, node, tree, class), dealt to pairs of blocks.
 
@@ -287,6 +298,7 @@ def _block_pairs(crowded: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "node", "tree", "class", side.alias("side"))
 
 
+@tidy
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
@@ -299,7 +311,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str
     docs = documents(docs, row)
     signed = stored(docs.mapInArrow(_signed(width), "doc_id long, row long, n_shingles long, node binary, sig binary"), "signatures")
     firsts = signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
-    heads = stored(signed.select("row", "node", "n_shingles", "sig").join(firsts, ["node", "row"]), "nodes")
+    # Of a signature, what the sorted orders read; the whole of it is fetched for the few nodes that are compared again.
+    heads = signed.select("row", "node", "n_shingles", F.substring("sig", 1, 2 * LEVELS * ORDERS).alias("start"))
+    heads = stored(heads.join(firsts, ["node", "row"]), "nodes")
     floor = percent / 100 - 3.5 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
 
     orders = _orders(heads, percent)
@@ -315,31 +329,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str
         pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         return stored(pairs.mapInArrow(_confirmed(percent), "a binary, b binary"), "confirmed")
 
-    def across(members: DataFrame, levels: int) -> DataFrame:
-        rows = members.join(heads.select("node", "sig", "n_shingles"), "node")
+    def signatures(nodes: DataFrame) -> DataFrame:
+        rows = stored(heads.select("row", "node", "n_shingles").join(nodes.select("node").distinct(), "node", "left_semi"), "compared")
+        return stored(fetch(signed, rows, ["sig"]).select("node", "n_shingles", "sig"), "sketches", "none")
+
+    def across(members: DataFrame, sketches: DataFrame, levels: int, best: bool = False) -> DataFrame:
+        rows = members.join(sketches, "node")
         rows = rows.select("region", "node", "sig", "n_shingles", "class", "side", "tree").repartition("region").sortWithinPartitions("region", "node")
-        return stored(rows.mapInArrow(_across(percent, floor, levels), "a binary, b binary").distinct(), "candidates")
+        return stored(rows.mapInArrow(_across(percent, floor, levels, best), "a binary, b binary").distinct(), "candidates")
 
     linked = confirm(tried)
     classes = components(linked)
     members = _open_regions(regions, classes)
-    met = across(members.where(f"members <= {REGION}").withColumn("side", F.lit(-1)), LEAST_LEVELS).join(tried, ["a", "b"], "left_anti")
+    sketches = signatures(members)
+    met = across(members.where(f"members <= {REGION}").withColumn("side", F.lit(-1)), sketches, LEAST_LEVELS).join(tried, ["a", "b"], "left_anti")
     more = confirm(met)
     if not more.isEmpty():
         linked = linked.unionByName(more)
         classes = components(linked)
     crowd = members.where(f"members > {REGION}").select("node").distinct()
     if not crowd.isEmpty():
-        deep = heads.join(crowd, "node", "left_semi").select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(DEEP_ORDERS - 1))).alias("tree"))
+        deep = sketches.join(crowd, "node", "left_semi").select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(DEEP_ORDERS - 1))).alias("tree"))
         deep = deep.select(F.xxhash64(F.lit("deep"), "tree", F.expr(f"substring(sig, tree * {2 * LEVELS} + 1, {2 * LEVELS})")).alias("region"), "node", "tree")
-        members = _open_regions(deep, classes)
-        met = members.where(f"members <= {REGION}").select("region", "node", "tree", "class", F.lit(-1).alias("side"))
-        still = members.where(f"members > {REGION}").drop("members")
-        if not still.isEmpty():
-            met = met.unionByName(_block_pairs(still))
-        more = confirm(across(met, LEVELS).join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            classes = components(linked.unionByName(more))
+        # First each node's best partner, so that few classes are left when all pairs across them are taken.
+        for best in (True, False):
+            members = _open_regions(deep, classes)
+            met = members.where(f"members <= {REGION}").select("region", "node", "tree", "class", F.lit(-1).alias("side"))
+            still = members.where(f"members > {REGION}").drop("members")
+            if not still.isEmpty():
+                met = met.unionByName(_block_pairs(still))
+            more = stored(across(met, sketches, LEVELS, best).join(tried, ["a", "b"], "left_anti"), "tried")
+            tried, more = tried.unionByName(more), confirm(more)
+            if not more.isEmpty():
+                linked = linked.unionByName(more)
+                classes = components(linked)
 
     # Ids are gathered by node, then by class, and joined as stored tables, so that a large class can be dealt out.
     stays = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("stays")
@@ -351,5 +374,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str
     alone = F.col("node").isNull()
     out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("least")))
     if row is None:
-        return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return out.select("doc_id", "n_shingles", "component_id", (alone | (F.col("row") == F.col("stays"))).alias("kept"), "row")
+        out = out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    else:
+        out = out.select("doc_id", "n_shingles", "component_id", (alone | (F.col("row") == F.col("stays"))).alias("kept"), "row")
+    return stored(out, "near_duplicates")
