@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .storage import documents, fetch, stored
+from .storage import documents, fetch, stored, tidy
 
 PRIME, CHUNK = (1 << 31) - 1, 1 << 16
 #: Members that are compared with one copy of the text that stays.
@@ -98,8 +98,9 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield kernels.batch_of(out, {"row": pa.int64(), **dict.fromkeys(_LANES, pa.int64())})
 
 
+@tidy
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_bytes, text_sha256, fp1, fp2 (two lanes each) of every row of ``docs`` (doc_id, row, text)."""
+    """row, doc_id, n_bytes, text_sha256, fp1, fp2 (two lanes each), stored, of every row of ``docs`` (doc_id, row, text)."""
     shape = "doc_id long, row long, n_bytes long, text_sha256 string, l0 long, l1 long, l2 long, l3 long, after long, chunk binary"
     read = stored(docs.mapInArrow(_read, shape), "fingerprints")
     chunks = read.where("chunk is not null").select("row", "after", "chunk").repartition("row", "after")
@@ -108,7 +109,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     rows = read.where("chunk is null").drop("after", "chunk").join(sums, "row", "left")
     lanes = [F.coalesce(k, f"s{k}") for k in _LANES]
     two = lambda a, b: F.shiftleft(a, 31).bitwiseOR(b)
-    return rows.select("row", "doc_id", "n_bytes", "text_sha256", two(*lanes[:2]).alias("fp1"), two(*lanes[2:]).alias("fp2"))
+    return stored(rows.select("row", "doc_id", "n_bytes", "text_sha256", two(*lanes[:2]).alias("fp1"), two(*lanes[2:]).alias("fp2")), "rows")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +141,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["row", "first"]).append_column("same", pa.array(same, pa.bool_()))
 
 
+@tidy
 def exact_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``.
 
@@ -150,7 +152,7 @@ def exact_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     Other columns are ignored; an empty table gives an empty result.
     """
     docs = documents(docs, row)
-    rows = stored(fingerprinted(docs), "rows")
+    rows = fingerprinted(docs)
     key = ["fp1", "fp2", "n_bytes"]
     open_rows, settled = rows.select("row", "doc_id", *key), []
     while True:
@@ -180,7 +182,7 @@ def exact_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     found = found.join(sizes, "keep_row")
     out = rows.select("row", "doc_id", "text_sha256").join(found, "row", "left")
     alone = F.col("keep_row").isNull()
-    return out.select(
+    out = out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -188,3 +190,4 @@ def exact_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
         "text_sha256",
         *([] if row is None else ["row"]),
     )
+    return stored(out, "exact_duplicates")
