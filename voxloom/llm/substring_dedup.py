@@ -8,8 +8,9 @@ its full window, and counted again, until full windows are counted themselves
 or no candidate survives: 9, 18, 35 words.  A full window repeats only if what
 stands for it repeats at every level, so levels lose nothing.
 
-The last level decides, by 128 bits for each window: two independent lanes
-over words whose hashes are two lanes as well.  Whole copies of a document
+The last level decides, by 96 bits for each window, from two independent lanes
+over words whose hashes are two lanes as well: with 1e13 windows the chance
+that any two different ones agree is below a thousandth.  Whole copies of a document
 (equal SHA-256 of their words) are counted once, with their number.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .storage import documents, fetch, stored
+from .storage import documents, fetch, stored, tidy
 
 #: No level counts windows shorter than half of this.
 SHORT = 16
@@ -101,7 +102,8 @@ def _extended(window: int, level: int):
                     p = np.unique(now[a : b - window + 1][wanted[before[a : b - window + 1] - a]])
                     for column, values in zip(out, (np.full(len(p), row), np.full(len(p), copies), p - a, hashes[0][p], hashes[-1][p]), strict=True):
                         column.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["row", "copies", "at", "h1", "h2"])
+                kinds = (np.int64, np.int64, np.int32, np.int64, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(out, kinds, strict=True)], names=["row", "copies", "at", "h1", "h2"])
 
     return run
 
@@ -130,6 +132,26 @@ def _removed(window: int):
     return run
 
 
+@tidy
+def _level(docs: DataFrame, scan: DataFrame, copies: DataFrame, alive: DataFrame | None, window: int, k: int) -> DataFrame:
+    """(row, at), stored: where windows start that repeat at level ``k``, of those that ``alive`` says did one level before."""
+    levels = len(level_lengths(window))
+    key = ["h1", "h2"] if k + 1 == levels > 1 else ["h1"]
+    if alive is None:
+        level = scan.select("row", F.inline(F.arrays_zip("at", "h1"))).join(copies, "row")
+    else:
+        wanted = stored(alive.join(copies, "row"), "wanted")
+        texts = fetch(docs, wanted, ["text"], narrow=False).select("row", "copies", "at", "text")
+        level = texts.mapInArrow(_extended(window, k), "row long, copies long, at int, h1 long, h2 int")
+        level = stored(level.select("row", "copies", "at", *key), "level")
+    # Counted first and stored: a common window's rows can then be dealt out when they meet its count.
+    repeated = stored(level.groupBy(*key).agg(F.sum("copies").alias("n")).where("n > 1").select(*key), "repeated")
+    # Whole copies go with all their words, so their windows need no marks at the end.
+    marked = level.where("copies = 1") if k + 1 == levels else level
+    return stored(marked.join(repeated, key, "left_semi").groupBy("row").agg(F.collect_list("at").alias("at")), "alive")
+
+
+@tidy
 def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text where words went): one row per row of ``docs``.
 
@@ -144,23 +166,12 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     classes = scan.groupBy("whole_sha256").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.min("n_words").alias("n_words"))
     classes = stored(classes, "copies")
     copies = classes.where(F.col("n_words") >= window).select("row", "copies")
-    level = scan.select("row", F.inline(F.arrays_zip("at", "h1"))).join(copies, "row")
-    levels = len(level_lengths(window))
-    for k in range(levels):
-        key = ["h1", "h2"] if k + 1 == levels > 1 else ["h1"]
-        if k:
-            wanted = stored(alive.join(copies, "row"), "wanted")  # noqa: F821 - of the level before
-            texts = fetch(docs, wanted, ["text"]).select("row", "copies", "at", "text")
-            level = texts.mapInArrow(_extended(window, k), "row long, copies long, at long, h1 long, h2 long")
-            level = stored(level.select("row", "copies", F.col("at").cast("int").alias("at"), *key), "level")
-        # Counted first and stored: a common window's rows can then be dealt out when they meet its count.
-        repeated = stored(level.groupBy(*key).agg(F.sum("copies").alias("n")).where("n > 1").select(*key), "repeated")
-        # Whole copies go with all their words, so their windows need no marks at the end.
-        marked = level.where("copies = 1") if k + 1 == levels else level
-        alive = stored(marked.join(repeated, key, "left_semi").groupBy("row").agg(F.collect_list("at").alias("at")), "alive")
+    alive = None
+    for k in range(len(level_lengths(window))):
+        alive = _level(docs, scan, copies, alive, window, k)
         if alive.isEmpty():
             break
-    cut = fetch(docs, alive, ["text"]).select("row", "at", "text")
+    cut = fetch(docs, alive, ["text"], narrow=False).select("row", "at", "text")
     cut = cut.mapInArrow(_removed(window), "row long, n_removed long, kept_sha256 string, kept_text string")
     cut = stored(cut if with_text else cut.drop("kept_text"), "cut")
 
@@ -172,4 +183,5 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
         F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
     ]
-    return out.select(*columns, *([F.when(copied, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []))
+    out = out.select(*columns, *([F.when(copied, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []))
+    return stored(out, "passages")
