@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .storage import shared_path, stored
+from .storage import shared_path, stored, tidy
 
 #: Bytes of pages that an archive holds on average; a larger page has an archive of its own.
 FILE_BYTES = 1 << 25
 #: Bytes of a record in one gzip member.
 MEMBER = (1 << 24) - 1
 _END = "\r\n\r\n"
+_NAMES = ["request", "response", "metadata"]
 # Digits of base 32 as Java writes them, and as RFC 4648 does.
 _FROM, _TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -56,9 +57,12 @@ def numbered_pages(pages: DataFrame) -> DataFrame:
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
 
 
-def records(rows: DataFrame, repeats: DataFrame, archives: int) -> DataFrame:
-    """row, n, record: three WARC records a page, as strings, dealt to ``archives`` partitions by the hash of ``row``."""
-    rows = rows.repartition(archives, "row").join(repeats.repartition(archives, "row"), "row", "left")
+def records(rows: DataFrame, repeats: DataFrame) -> DataFrame:
+    """request, response, metadata: the three WARC records of a page, as strings.
+
+    Pages are shuffled only where the repeated ones are too many to be broadcast.
+    """
+    rows = rows.join(repeats, "row", "left")
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     uri = F.when(F.regexp_replace("url", r"[\x00-\x20\x7F]", "") == "", F.concat(F.lit("urn:page:"), name)).otherwise(F.regexp_replace("url", r"[\x00-\x20\x7F]+", "%20"))
     revisit = F.col("response_id").isNotNull() & ~F.col("response_id").eqNullSafe(F.col("page_id"))
@@ -75,33 +79,32 @@ def records(rows: DataFrame, repeats: DataFrame, archives: int) -> DataFrame:
     refers = F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:capture:"), F.col("response_id").cast("string"), F.lit(":"), F.col("response_row").cast("string"), F.lit(">"))
     answer = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(_END))
     http = F.lit("\r\nContent-Type: application/http; msgtype=")
-    made = F.array(
+    made = (
         record(F.lit("request"), other("request"), F.concat(beside, http, F.lit("request")), F.lit(f"GET / HTTP/1.1{_END}")),
         F.when(revisit, record(F.lit("revisit"), capture, F.concat(payload, refers, http, F.lit("response")), answer)).otherwise(
             record(F.lit("response"), capture, F.concat(payload, http, F.lit("response")), F.concat(answer, F.col("html")))
         ),
         record(F.lit("metadata"), other("metadata"), F.concat(beside, F.lit("\r\nContent-Type: application/warc-fields")), F.concat(F.lit("pageId: "), name, F.lit("\r\npayloadBytes: "), F.col("size").cast("string"), F.lit("\r\n"))),
     )
-    return rows.select("row", F.posexplode(made).alias("n", "record"))
+    return rows.select(*[r.alias(n) for r, n in zip(made, _NAMES, strict=True)])
 
 
-def members(record: bytes) -> list[bytes]:
-    """The gzip members of a record, each without its last byte, which is 0."""
-    return [gzip.compress(record[i : i + MEMBER], 6, mtime=0)[:-1] for i in range(0, len(record), MEMBER)]
+def zipped(record: bytes) -> bytes:
+    """The record's gzip members, one after the other; each ends with a byte 0."""
+    return b"".join(gzip.compress(record[i : i + MEMBER], 6, mtime=0) for i in range(0, len(record), MEMBER))
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"row": pa.int64(), "n": pa.int64(), "member": pa.binary()}
+    """A page's members, without the last byte of all."""
     for batch in batches:
         out, held = [], 0
-        for row, n, raw in zip(batch.column("row").to_pylist(), batch.column("n").to_pylist(), kernels.raw_texts(batch.column("record")), strict=True):
-            for k, part in enumerate(members(raw)):
-                out.append((row, n << 32 | k, part))
-                held += len(part)
+        for page in zip(*[kernels.raw_texts(batch.column(k)) for k in _NAMES], strict=True):
+            out.append((b"".join(map(zipped, page))[:-1],))
+            held += len(out[-1][0])
             if held > kernels.SLICE_BYTES:
-                yield kernels.batch_of(out, kinds)
+                yield kernels.batch_of(out, {"page": pa.binary()})
                 out, held = [], 0
-        yield kernels.batch_of(out, kinds)
+        yield kernels.batch_of(out, {"page": pa.binary()})
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -117,15 +120,11 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     repeats = _payload_groups(rows, least_bytes)
     small, large = rows.where(F.col("size") <= FILE_BYTES), rows.where(F.col("size") > FILE_BYTES)
     total = small.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    # A page adds about 1 kB of headers.
-    archives = 1 + (total[0] + 1024 * total[1]) // FILE_BYTES
-    shape = "row long, n long, member binary"
-    value = F.col("member").cast("string").alias("value")
-    records(small, repeats, archives).mapInArrow(_zipped, shape).select(value).write.option("lineSep", "\0").text(f"{path}/archives")
-    n = large.count()
-    if n:
-        alone = records(large, repeats, n).mapInArrow(_zipped, shape).sortWithinPartitions("row", "n").select("row", value)
-        alone.write.partitionBy("row").option("lineSep", "\0").text(f"{path}/large")
+    # A page adds about 1 kB of headers.  One row is one page, so a file ends with a whole page.
+    mean = 1024 + total[0] / max(1, total[1])
+    for part, most, name in ((small, max(1, int(FILE_BYTES / mean)), "archives"), (large, 1, "large")):
+        lines = records(part, repeats).mapInArrow(_zipped, "page binary").select(F.col("page").cast("string").alias("value"))
+        lines.write.option("lineSep", "\0").option("maxRecordsPerFile", most).text(f"{path}/{name}")
 
 
 def headers(lines: list[str]) -> dict[str, str]:
@@ -243,18 +242,23 @@ def captures(records: DataFrame) -> DataFrame:
     return records.where(F.col("type").isin(sum(kinds.values(), []))).groupBy("capture_id").agg(*parts)
 
 
+@tidy
 def page_captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of ``pages`` written and read back: one row per row."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of ``pages`` written and read back: one row per row.
+
+    The archives go at the end; ``write`` keeps them.
+    """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write(pages, path, least_bytes)
     found = captures(read_records(spark, path))
     number = lambda column, pattern: F.regexp_extract(column, pattern, 1)
     ident = number("metadata.fields", r"(?m)^pageId: (-?\d+)\r?$")
-    return found.select(
+    found = found.select(
         F.when(ident != "", ident.cast("long")).alias("page_id"),
         F.coalesce("response.bytes", number("metadata.fields", r"(?m)^payloadBytes: (\d+)\r?$").cast("long")).alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
         F.when(F.col("response.refers_to").isNotNull(), number("response.refers_to", r"<urn:capture:(-?\d+):\d+>").cast("long")).alias("refers_to"),
     )
+    return stored(found, "captures")
