@@ -387,7 +387,7 @@ def test_batches_hold_every_text_padded(spark, texts):
     seen = Counter()
     for b in made:
         n = b.bucket_length
-        assert n == bounds[b.bucket] and len(b.tokens) == n * len(b.doc_ids) and (len(b.tokens) <= 2000 or len(b.doc_ids) == 1)
+        assert n == bounds[b.bucket] and b.part == "" and len(b.tokens) == n * len(b.doc_ids) and (len(b.tokens) <= 2000 or len(b.doc_ids) == 1)
         for k, (doc, size) in enumerate(zip(b.doc_ids, b.lengths, strict=True)):
             row = b.tokens[k * n : (k + 1) * n]
             assert row[size:] == [None] * (n - size) and n == min(x for x in bounds if x >= size)

@@ -16,9 +16,10 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernels
-from .storage import documents, stored
+from .storage import stored, tidy
 
 WIDTH, TILE = 64, (8, 9)
 
@@ -140,9 +141,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
     """doc_id, n_bytes, media: each text's UTF-8 as a grey image 64 samples wide, zero-padded to whole rows.
 
-    Null and empty texts make one row of zeros; other columns are ignored.
+    Null and empty texts make one row of zeros; null and repeated ids are rows
+    like others; other columns are ignored; an empty table gives an empty result.
     """
-    return documents(docs).mapInArrow(_stored_form(form), "doc_id long, n_bytes long, media binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_stored_form(form), "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -150,6 +153,7 @@ def media_features(media: DataFrame) -> DataFrame:
     return media.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")
 
 
+@tidy
 def stored_media(docs: DataFrame, form: str = "pgm") -> DataFrame:
-    """``text_media`` written as a table and read again, then ``media_features`` of it."""
-    return media_features(stored(text_media(docs, form), "media"))
+    """``text_media`` written as a table and read again, then ``media_features`` of it, stored; the media go at the end."""
+    return stored(media_features(stored(text_media(docs, form), "media")), "features")

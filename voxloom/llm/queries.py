@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, language, media, mixing, near_dedup, packing, quality, substring_dedup, warc
-from .storage import stored
+from .storage import stored, tidy
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +55,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+@tidy
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(stored(chat.format_conversations(turns.unionByName(extra)), "formatted")).drop("n_tokens", "n_loss_tokens")
+    found = chat.read_back(stored(chat.format_conversations(turns.unionByName(extra)), "formatted"))
+    return stored(found.drop("n_tokens", "n_loss_tokens"), "conversations")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -152,7 +154,7 @@ back(k, j, bound) AS (
 b AS (SELECT bound, row_number() OVER (ORDER BY bound) - 1 AS bucket FROM back),
 r AS (SELECT doc_id, key, tokens, len(tokens) AS n_tokens, (SELECT min(bucket) FROM b WHERE bound >= len(d.tokens)) AS bucket, (SELECT min(bound) FROM b WHERE bound >= len(d.tokens)) AS bucket_length FROM d),
 o AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY key) - 1 AS before, greatest(1, 16384 // greatest(1, bucket_length)) AS room FROM r)
-SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(bucket AS INT) AS bucket, CAST(bucket_length AS BIGINT) AS bucket_length, CAST(before // room AS BIGINT) AS batch,
+SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(bucket AS INT) AS bucket, CAST(bucket_length AS BIGINT) AS bucket_length, '' AS part, CAST(before // room AS BIGINT) AS batch,
        CAST(before % room AS BIGINT) AS slot, CAST(bucket_length - n_tokens AS BIGINT) AS padding, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM o
 """
 
