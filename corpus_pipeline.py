@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import exact_dedup, language, mixing, near_dedup, packing, quality
-from voxloom.llm.storage import stored
+from voxloom.llm.storage import stored, tidy
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
 
+@tidy
 def _kept(docs: DataFrame, decide: Callable[..., DataFrame]) -> DataFrame:
     """The rows of ``docs`` that ``decide`` keeps, each by a number of its own: ids may be null or repeated."""
     rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
