@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, media, mixing, near_dedup, packing, quality, substring_dedup, warc
+from . import chat, exact_dedup, fill_middle, language, media, mixing, near_dedup, packing, quality, substring_dedup, warc
 from .storage import stored, tidy
 
 
@@ -64,8 +64,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(found.drop("n_tokens", "n_loss_tokens"), "conversations")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_media, op3_language, op4_mixing, op5_warc, op6_exact_dedup, op7_substring_dedup, op8_packing, op9_quality, op10_chat)
+    f.__name__: f
+    for f in (
+        op1_near_dedup,
+        op2_media,
+        op3_language,
+        op4_mixing,
+        op5_warc,
+        op6_exact_dedup,
+        op7_substring_dedup,
+        op8_packing,
+        op9_quality,
+        op10_chat,
+        op11_fill_middle,
+    )
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -167,3 +184,16 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
         CAST(sum(length('<|turn|><|text|><|end|>') + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars FROM t GROUP BY 1)
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
+
+SQL["op11_fill_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, length(t) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, CAST(k AS INT), 8) AS BIGINT)) AS hs FROM d),
+c AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 90 THEN 'plain'
+             WHEN hs[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+"""
