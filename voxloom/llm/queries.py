@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fill_middle, language, media, mixing, near_dedup, packing, quality, substring_dedup, warc
+from . import centroids, chat, embedding_dedup, exact_dedup, fill_middle, language, media, mixing, near_dedup, packing, quality, substring_dedup, warc
 from .storage import stored, tidy
 
 
@@ -68,6 +68,14 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality,
         op10_chat,
         op11_fill_middle,
+        op12_embedding_dedup,
+        op13_centroids,
     )
 }
 
@@ -197,3 +207,39 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
        sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
        sha256(t) AS restored_sha256 FROM p
 """
+
+_FINITE = "coalesce(len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0, false)"
+
+SQL["op12_embedding_dedup"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, len(embedding) AS n, {_FINITE} AND list_max(list_transform(embedding, lambda c: abs(c))) > 0 AS fit FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.n = b.n AND a.vec_id <> b.vec_id
+      WHERE CASE WHEN a.fit AND b.fit THEN list_cosine_similarity(a.x, b.x) >= 0.93 ELSE false END),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN k USING (vec_id)
+"""
+
+
+def _centroid_sql(clusters: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """Rounds one after the other: distances, the nearest centroid, and the floor of each component's mean."""
+    far = "list_sum(list_transform(list_zip(e.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = [
+        f"e AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = {dims} AND {_FINITE})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, x FROM (SELECT x, sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM e ORDER BY h LIMIT {clusters}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT id, min(struct_pack(d := d, j := j)) AS b FROM (SELECT e.id, c.j, CAST({far} AS BIGINT) AS d FROM e, c{r} c) GROUP BY 1)")
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT j, i, sum(v) AS s, count(*) AS n FROM (SELECT a.b.j AS j, unnest(e.x) AS v, unnest(range(1, {dims + 1})) AS i FROM e JOIN a{r} a USING (id)) GROUP BY 1, 2)")
+            steps.append(f"m{r} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS x FROM s{r} GROUP BY 1)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (j))")
+    return f"""
+WITH {", ".join(steps)}
+SELECT e.vec_id, CAST(a.b.j AS INT) AS cluster, a.b.d AS distance, CAST(sum(a.b.d) OVER (PARTITION BY a.b.j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM e JOIN a{rounds} a USING (id) JOIN c{rounds} c ON c.j = a.b.j
+"""
+
+
+SQL["op13_centroids"] = _centroid_sql()
