@@ -387,7 +387,7 @@ def test_batches_hold_every_text_padded(spark, texts):
     seen = Counter()
     for b in made:
         n = b.bucket_length
-        assert n == bounds[b.bucket] and b.part == "" and len(b.tokens) == n * len(b.doc_ids) and (len(b.tokens) <= 2000 or len(b.doc_ids) == 1)
+        assert n == bounds[b.bucket] and len(b.tokens) == n * len(b.doc_ids) and (len(b.tokens) <= 2000 or len(b.doc_ids) == 1)
         for k, (doc, size) in enumerate(zip(b.doc_ids, b.lengths, strict=True)):
             row = b.tokens[k * n : (k + 1) * n]
             assert row[size:] == [None] * (n - size) and n == min(x for x in bounds if x >= size)
@@ -398,6 +398,22 @@ def test_batches_hold_every_text_padded(spark, texts):
     assert packing.batches(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_batches_are_the_same_at_any_range_size(spark, monkeypatch):
+    """Short texts, a few long ones and many equal rows: one batch a bucket at most is not full, over however many ranges."""
+    rows = [(i, f"a{i} b c") for i in range(3000)] + [(i, "w " * 1000) for i in range(60)] + [(7, "same row here")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = []
+    for size in (32_000, 100):
+        monkeypatch.setattr(packing, "RANGE_ROWS", size)
+        made = packing.batches(df, buckets=2).select("bucket", "batch", "bucket_length", "doc_ids").collect()
+        assert Counter(d for b in made for d in b.doc_ids) == Counter(i for i, _ in rows)
+        for k, n, length in ((0, 3400, 3), (1, 60, 1000)):
+            mine, room = sorted((b.batch, len(b.doc_ids)) for b in made if b.bucket == k), 16_384 // length
+            assert [b for b, _ in mine] == list(range(-(-n // room))) and [m for _, m in mine] == [room] * (n // room) + [n % room] * (n % room > 0)
+        seen.append(sorted((b.bucket, b.batch, sorted(b.doc_ids)) for b in made if b.bucket))
+    assert seen[0] == seen[1]
+
+
 def test_packing_keeps_rows_of_one_id(spark):
     rows = spark.createDataFrame([(None, "a b"), (None, "c"), (3, "d e f"), (3, "d e f"), (3, None)], "doc_id long, text string").withColumn("row", F.lit(0)).withColumn("bucket", F.lit(9))
     got = packing.unpacked(packing.batches(rows, buckets=2)).collect()
