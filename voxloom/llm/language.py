@@ -8,7 +8,6 @@ the choice is rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,6 @@ from . import kernels
 
 PIECE, LEVEL = 1024, 6
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def learn_dictionaries(docs: DataFrame, per_language: int = 300, chunk_chars: int = 512, chunks: int = 220) -> dict[str, bytes]:
@@ -32,8 +30,8 @@ def learn_dictionaries(docs: DataFrame, per_language: int = 300, chunk_chars: in
     characters that make up their whole texts ``chunks``, those of the smallest
     MD5 again.  Rows with a null text or lang teach nothing; repeated rows
     teach once; null and repeated ids are rows like others; other columns are
-    ignored.  All languages get equally many chunks, so that no dictionary wins
-    by its size, but for a language with fewer than ``chunks / 4``.
+    ignored.  A dictionary's size is bounded by ``chunks * chunk_chars`` alone:
+    no language shortens another's, and one of few texts has a short one.
     """
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.where("text is not null and lang is not null").select("lang", F.col("text").cast("string").alias("text"), ident.alias("ident"))
@@ -48,8 +46,7 @@ def learn_dictionaries(docs: DataFrame, per_language: int = 300, chunk_chars: in
     found: dict[str, list] = {}
     for r in parts.withColumn("n", first("key")).where(F.col("n") <= chunks).select("lang", "key", "part").collect():
         found.setdefault(r["lang"], []).append((r["key"], r["part"]))
-    most = max(chunks // 4, min(map(len, found.values()), default=0))
-    return {lang: b"\n".join(kernels.encode(t.lower()) for _, t in sorted(of)[:most]).ljust(8, b" ") for lang, of in sorted(found.items())}
+    return {lang: b"\n".join(kernels.encode(t.lower()) for _, t in sorted(of)).ljust(8, b" ") for lang, of in sorted(found.items())}
 
 
 def compressors(dictionaries: dict[str, bytes]) -> list[zstandard.ZstdCompressor]:
@@ -90,7 +87,7 @@ def _predicted(dictionaries: dict[str, bytes], margin: float, reject: bool):
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                if not text or not names or not _LETTER.search(text):
+                if not text or not names or not any(map(str.isalpha, text)):
                     rows.append((UNKNOWN, 0.0, 0.0, True))
                     continue
                 name, score, apart = choose(kernels.encode(text.lower()), names, tools)
@@ -106,7 +103,7 @@ def _predicted(dictionaries: dict[str, bytes], margin: float, reject: bool):
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01, reject: bool = True) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin, narrow: one row per row of ``docs`` (doc_id, text, held_out).
 
-    ``und`` for null or empty texts and those without a letter, and, with
+    ``und`` for null or empty texts and those without a letter (category L), and, with
     ``reject``, where the margin is narrower than ``margin`` (``narrow``).  The
     score is the softmax of the bytes saved on an average piece; ties take the
     first language by name.

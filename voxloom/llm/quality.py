@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -84,12 +84,21 @@ def probability(net: Network, raw: bytes) -> float:
     return 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def _tops(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each filter's largest response in each half chunk and its place there, a bounded stretch at a time."""
+    half, tops, places = CHUNK // 2, [], []
+    stretch = 64 * half
+    for at in range(0, len(x) // STEP - TAPS + 1, stretch):
+        _, out = _responses(net, x[at * STEP : (at + stretch + TAPS - 1) * STEP])
+        cells = out.reshape(-1, half, FILTERS)
+        places.append(cells.argmax(axis=1))
+        tops.append(np.take_along_axis(cells, places[-1][:, None], axis=1)[:, 0])
+    return np.concatenate(tops), np.concatenate(places)
+
+
 def _gradients(net: Network, x: np.ndarray, label: float, weight: float) -> tuple[list[np.ndarray], float]:
     half = CHUNK // 2
-    blocks, out = _responses(net, x)
-    cells = out.reshape(-1, half, FILTERS)
-    where = cells.argmax(axis=1)
-    tops = np.take_along_axis(cells, where[:, None], axis=1)[:, 0]
+    tops, where = _tops(net, x)
     right = tops[1:] > tops[:-1]
     raw = np.where(right, tops[1:], tops[:-1]) + net.bias
     pooled = np.maximum(raw, 0)
@@ -108,7 +117,7 @@ def _gradients(net: Network, x: np.ndarray, label: float, weight: float) -> tupl
     on = d_raw != 0
     at, f, d_on = at[on], f[on], d_raw[on]
     for k in range(TAPS):
-        rows = blocks[at + k]
+        rows = net.table[x[(at + k)[:, None] * STEP + np.arange(STEP)]].reshape(-1, STEP * EMBED)
         part = np.zeros((FILTERS, STEP * EMBED), np.float32)
         np.add.at(part, f, rows * d_on[:, None])
         g_filters[k] = part.T
@@ -149,20 +158,11 @@ def train(samples: list[tuple[bytes, int]], epochs: int = 8, batch: int = 16, ra
     return net
 
 
-def stretches(text: Column, count: int, chars: int) -> Column:
-    """A text of at most ``count * chars`` characters as it is; of a longer one so many stretches, evenly from its start to its end."""
-    step = (F.length(text) - chars) / (count - 1)
-    parts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.substring(text, (F.floor(k * step) + 1).cast("int"), F.lit(chars)))
-    return F.when(F.length(text) <= count * chars, text).otherwise(F.array_join(parts, ""))
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = 500, count: int = 16, chars: int = 512) -> list[tuple[bytes, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = 500) -> list[tuple[bytes, int]]:
     """At most ``per_label`` texts of each label, of the rows with the smallest MD5 of id and text.
 
     ``labels`` has doc_id and quality (0 or 1; of several the largest counts).
-    The sample is bounded by its parameters: of a text longer than ``count *
-    chars`` characters, ``count`` stretches spread over all of it are learned.
-    Null texts are empty; rows with a null doc_id have no label; repeated rows
+    ``per_label`` bounds the rows; their texts are learned whole.  Null texts are empty; rows with a null doc_id have no label; repeated rows
     are learned once; other columns are ignored.
     """
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("label"))
@@ -171,7 +171,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = 500, co
     keys = rows.select("doc_id", "key").join(marked, "doc_id").select("key", "label").distinct()
     picked = keys.where("label = 0").orderBy("key").limit(per_label).unionByName(keys.where("label = 1").orderBy("key").limit(per_label))
     # At most 2 * per_label rows; a key is of one id and text.
-    found = rows.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("key", stretches(F.col("text"), count, chars).alias("text"), "label").collect()
+    found = rows.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("key", "text", "label").collect()
     return [(kernels.encode(r["text"]), int(r["label"])) for r in sorted(found, key=lambda r: r["key"])]
 
 
