@@ -235,14 +235,15 @@ def c06_surface(spark, sf_dir):
     return components.surface(voxels(spark, sf_dir))
 
 
-@query(f"""WITH {VOX}, m AS (SELECT t,c,label,count(*) n,covar_pop(x,x)*count(*) a,covar_pop(x,y)*count(*) b,covar_pop(x,z)*3*count(*) e,covar_pop(y,y)*count(*) d,covar_pop(y,z)*3*count(*) f,covar_pop(z,z)*9*count(*) g FROM vox WHERE label<>0 AND v>0 GROUP BY 1,2,3 HAVING count(*)>=2)
-SELECT t,c,label,n,round(a+d+g,3) AS trace,round(a*a+d*d+g*g+2*(b*b+e*e+f*f),0) AS squares FROM m""")
+@query(f"""WITH {VOX}, m AS (SELECT t,c,label,count(*) n,covar_pop(x,x)*count(*) a,covar_pop(x,y)*count(*) b,covar_pop(x,z)*3*count(*) e,covar_pop(y,y)*count(*) d,covar_pop(y,z)*3*count(*) f,covar_pop(z,z)*9*count(*) g FROM vox WHERE label<>0 AND v>0 GROUP BY 1,2,3 HAVING count(*)>=2),
+q AS (SELECT *,(a+d+g)/3 AS o,sqrt((pow(a-(a+d+g)/3,2)+pow(d-(a+d+g)/3,2)+pow(g-(a+d+g)/3,2)+2*(b*b+e*e+f*f))/6) AS p FROM m),
+r AS (SELECT *,CASE WHEN p=0 THEN 0 ELSE acos(greatest(-1,least(1,((a-o)*((d-o)*(g-o)-f*f)-b*(b*(g-o)-f*e)+e*(b*f-(d-o)*e))/(2*p*p*p))))/3 END AS u FROM q)
+SELECT t,c,label,n,round(o+2*p*cos(u)+2e-5,3) AS e1,round(o+2*p*cos(u+4*pi()/3)+2e-5,3) AS e2,round(o+2*p*cos(u+2*pi()/3)+2e-5,3) AS e3 FROM r""")
 def c07_principal_lengths(spark, sf_dir):
     v = voxels(spark, sf_dir).where("label <> 0 and v > 0").withColumn("mask", F.lit(255))
     e = stats.principal_lengths(stats.scatter(v, ["t", "c", "label"]).where("n >= 2"), (1.0, 1.0, 3.0))
-    # What the lengths must add up to, and their squares, whatever way they are found.
-    total, squares = (sum((F.pow(f"e{i}", F.lit(float(p))) for i in (1, 2, 3)), F.lit(0.0)) for p in (1, 2))
-    return e.select("t", "c", "label", "n", F.round(total, 3).alias("trace"), F.round(squares, 0).alias("squares"))
+    # A little above the middle between two decimals, where engines that add up in another order may differ.
+    return e.select("t", "c", "label", "n", *[F.round(F.col(f"e{i}") + 2e-5, 3).alias(f"e{i}") for i in (1, 2, 3)])
 
 
 @query(f"WITH {VOX} SELECT a.t,a.c,a.label,b.c AS other,count(*) AS n,CAST(sum(b.v) AS BIGINT) AS total FROM vox a JOIN vox b ON a.t=b.t AND a.z=b.z AND a.y=b.y AND a.x=b.x WHERE a.label<>0 AND a.v>0 AND b.v>0 AND a.c<>b.c GROUP BY 1,2,3,4")

@@ -217,7 +217,7 @@ def v12_smoothed(spark, sf_dir):
 
 
 @query(f"""{_POINTS}, mv AS MATERIALIZED (SELECT id,CASE WHEN near THEN mx ELSE x END x,CASE WHEN near THEN my ELSE y END y,CASE WHEN near THEN mz ELSE z END z FROM (SELECT *,sqrt(pow(mx-x,2)+pow(my-y,2)+pow(mz-z,2))<=0.2037 AS near FROM pu)),
-j AS (SELECT t.a,t.b,t.c3,pow(p.x-q.x,2)+pow(p.y-q.y,2)+pow(p.z-q.z,2) ab,pow(r.x-q.x,2)+pow(r.y-q.y,2)+pow(r.z-q.z,2) bc,pow(p.x-r.x,2)+pow(p.y-r.y,2)+pow(p.z-r.z,2) ca FROM tr3 t JOIN mv p ON p.id=t.a JOIN mv q ON q.id=t.b JOIN mv r ON r.id=t.c3)
+j AS MATERIALIZED (SELECT t.a,t.b,t.c3,pow(p.x-q.x,2)+pow(p.y-q.y,2)+pow(p.z-q.z,2) ab,pow(r.x-q.x,2)+pow(r.y-q.y,2)+pow(r.z-q.z,2) bc,pow(p.x-r.x,2)+pow(p.y-r.y,2)+pow(p.z-r.z,2) ca FROM tr3 t JOIN mv p ON p.id=t.a JOIN mv q ON q.id=t.b JOIN mv r ON r.id=t.c3)
 SELECT a,b,c3 AS c FROM j WHERE ab>=1e-12 AND bc>=1e-12 AND ca>=1e-12""")
 def v11_simplified(spark, sf_dir):
     _, vertices, triangles = _mesh(spark, sf_dir)

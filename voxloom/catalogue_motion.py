@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from .catalogue import query
-from .operators import rigid
+from .operators import extremum, rigid
 from .plans.adapters import DIMS, VOX, voxels
 
 _TURNS = [(0.0, 0.0, 0.0), (8.0, 0.0, 0.0), (-8.0, 0.0, 0.0), (4.0, 3.0, -2.0)]
@@ -59,3 +59,15 @@ n{t} AS MATERIALIZED (SELECT a.c,a.label,a.z,a.y,a.x,coalesce(w.v,0) v,dz,dy,dx,
 def r23_stencil_tracks(spark, sf_dir):
     """The masks of the first frame through all later ones."""
     return rigid.track_stencils(voxels(spark, sf_dir), 0, 6)
+
+
+@query(f"""WITH RECURSIVE {VOX}, l AS MATERIALIZED (SELECT t,c,label,z,y,x,v,max(v) OVER (PARTITION BY t,c,label)-min(v) OVER (PARTITION BY t,c,label) AS r,row_number() OVER (PARTITION BY t,c,label ORDER BY v DESC,z,y,x) k FROM vox WHERE label<>0 AND v>0),
+o AS (SELECT CAST(a AS INT) dz,CAST(b AS INT) dy,CAST(d AS INT) dx FROM range(-1,2) p(a), range(-1,2) q(b), range(-1,2) s(d)),
+w(t,c,label,z,y,x,v) AS (SELECT t,c,label,z,y,x,v FROM l WHERE k=1 UNION SELECT l.t,l.c,l.label,l.z,l.y,l.x,l.v FROM (SELECT w.*,z+dz nz,y+dy ny,x+dx nx FROM w CROSS JOIN o) w JOIN l ON l.t=w.t AND l.c=w.c AND l.label=w.label AND l.z=nz AND l.y=ny AND l.x=nx AND 100*(l.v-w.v)<l.r),
+g AS (SELECT *,v-min(v) OVER (PARTITION BY t,c,label) AS u,min(v) OVER (PARTITION BY t,c,label) AS low FROM w),
+m AS (SELECT t,c,label,low,count(*) n,CAST(sum(u) AS DOUBLE) s,sum(u*x)/nullif(CAST(sum(u) AS DOUBLE),0) mx,sum(u*y)/nullif(CAST(sum(u) AS DOUBLE),0) my,sum(u*z)/nullif(CAST(sum(u) AS DOUBLE),0) mz,
+  sum(u*x*x)/nullif(CAST(sum(u) AS DOUBLE),0) qx,sum(u*y*y)/nullif(CAST(sum(u) AS DOUBLE),0) qy,sum(u*z*z)/nullif(CAST(sum(u) AS DOUBLE),0) qz FROM g GROUP BY 1,2,3,4)
+SELECT l.t,l.c,l.label,l.v AS peak,l.z AS pz,l.y AS py,l.x AS px,m.low,n,round(mx+1e-8,5) mx,round(my+1e-8,5) my,round(mz+1e-8,5) mz,round(qx-mx*mx+1e-8,5) vx,round(qy-my*my+1e-8,5) vy,round(qz-mz*mz+1e-8,5) vz FROM l JOIN m USING (t,c,label) WHERE k=1""")
+def m13_local_extrema(spark, sf_dir):
+    found = extremum.local_extrema(voxels(spark, sf_dir))
+    return found.withColumns({f"{a}{k}": F.round(F.col(f"{a}{k}") + 1e-8, 5) for a in "mv" for k in "xyz"})
