@@ -1,4 +1,4 @@
-"""Registered queries of rigid registration and stencil tracking, and their DuckDB SQL."""
+"""Registered queries of registration, stencil tracking, floods and thinning, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from .catalogue import query
-from .operators import extremum, rigid
+from .operators import extremum, rigid, stencil, thinning
 from .plans.adapters import DIMS, VOX, voxels
 
 _TURNS = [(0.0, 0.0, 0.0), (8.0, 0.0, 0.0), (-8.0, 0.0, 0.0), (4.0, 3.0, -2.0)]
@@ -71,3 +71,28 @@ SELECT l.t,l.c,l.label,l.v AS peak,l.z AS pz,l.y AS py,l.x AS px,m.low,n,round(m
 def m13_local_extrema(spark, sf_dir):
     found = extremum.local_extrema(voxels(spark, sf_dir))
     return found.withColumns({f"{a}{k}": F.round(F.col(f"{a}{k}") + 1e-8, 5) for a in "mv" for k in "xyz"})
+
+
+def _thin_sql() -> str:
+    """One pass: each sample's neighbours on as the bits of a number, and a list of templates to match."""
+    bits = ",".join(f"({b},{z},{y},{x})" for (z, y, x), b in thinning.BITS.items())
+    masks = ",".join(f"({on}::BIGINT,{off}::BIGINT,{some}::BIGINT)" for on, off, some in thinning.templates())
+    near, ends = thinning.mask(thinning.NEAR), ",".join(f"({thinning.mask(list(p))}::BIGINT)" for p in thinning.CORNERS)
+    at = [f"greatest(0,least({n - 1},a.{k}+d{k}))" for k, n in zip("zyx", DIMS, strict=True)]
+    return f"""WITH {VOX}, s AS MATERIALIZED (SELECT t,c,z,y,x,v FROM vox WHERE v>=26), o(b,dz,dy,dx) AS (VALUES {bits}), m(m_on,m_off,m_any) AS (VALUES {masks}), e(pair) AS (VALUES {ends}),
+g AS (SELECT a.*,b,{at[0]} nz,{at[1]} ny,{at[2]} nx FROM s a CROSS JOIN o),
+k AS MATERIALIZED (SELECT g.t,g.c,g.z,g.y,g.x,any_value(g.v) v,bit_or(1::BIGINT<<b) AS code FROM g JOIN s ON s.t=g.t AND s.c=g.c AND s.z=nz AND s.y=ny AND s.x=nx GROUP BY 1,2,3,4,5),
+d AS (SELECT DISTINCT t,c,z,y,x FROM k JOIN m ON code&m_on=m_on AND code&m_off=0 AND (m_any=0 OR code&m_any<>0)
+  WHERE NOT (bit_count(code&{near}::BIGINT)=2 OR (bit_count(code&{near}::BIGINT)=3 AND EXISTS (SELECT 1 FROM e WHERE code&pair=pair))))
+SELECT t,c,z,y,x,v FROM k ANTI JOIN d USING (t,c,z,y,x)"""
+
+
+@query(_thin_sql())
+def w19_thinned_once(spark, sf_dir):
+    return stencil.apply(voxels(spark, sf_dir), DIMS, 2, thinning.thin_once(0.1))
+
+
+@query()
+def w19_skeleton(spark, sf_dir):
+    """Passes until nothing goes any more."""
+    return thinning.skeleton(voxels(spark, sf_dir), DIMS)
