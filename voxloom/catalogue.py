@@ -654,7 +654,22 @@ def w26_distance(spark, sf_dir):
     return density.distance(voxels(spark, sf_dir).where("v > 100"), DIMS)
 
 
-@query()
+def _gate_sql(source: str) -> str:
+    """Common tables that end in gate(t, c, z, y, x): where ``source``'s density reaches its tiles' mean and their sigma 0.01 of full scale."""
+    return f"""ds AS (SELECT DISTINCT t,c FROM {source} WHERE v>0), dg AS (SELECT t,c,CAST(z AS INT) z,CAST(y AS INT) y,CAST(x AS INT) x FROM ds,range(0,7) a(z),range(0,32) b(y),range(0,50) d(x)),
+dq AS (SELECT g.t,g.c,g.z,g.y,g.x,round(avg(coalesce(v.v,0)/255.0::DOUBLE),9) AS r FROM dg g CROSS JOIN range(-1,2) j(dy) CROSS JOIN range(-1,2) k(dx)
+  LEFT JOIN {source} v ON v.t=g.t AND v.c=g.c AND v.z=g.z AND v.y=least(greatest(g.y+dy,0),31) AND v.x=least(greatest(g.x+dx,0),49) GROUP BY 1,2,3,4,5),
+df AS MATERIALIZED (SELECT * FROM (SELECT t,c,z,y,x,CAST(floor(r*255+1e-6) AS INT) AS v FROM dq) WHERE v<>0),
+dt AS (SELECT t,c,CAST(floor(z/4) AS INT) bz,CAST(floor(y/8) AS INT) by_,CAST(floor(x/8) AS INT) bx,sum(v)/256.0::DOUBLE m,sum(v*v)/256.0::DOUBLE q FROM df GROUP BY 1,2,3,4,5),
+dl AS (SELECT t,c,bz,by_,bx,floor(m) AS mean,floor(least(sqrt(greatest(q-m*m,0)),255)) AS sigma FROM dt),
+dp AS (SELECT *,z/4.0-0.5 uz,y/8.0-0.5 uy,x/8.0-0.5 ux FROM df),
+dk AS (SELECT t,c,z,y,x,v,(CASE WHEN i=1 THEN uz-floor(uz) ELSE 1-uz+floor(uz) END)*(CASE WHEN j=1 THEN uy-floor(uy) ELSE 1-uy+floor(uy) END)*(CASE WHEN h=1 THEN ux-floor(ux) ELSE 1-ux+floor(ux) END) AS f,
+  least(greatest(floor(uz)+i,0),1) bz,least(greatest(floor(uy)+j,0),3) by_,least(greatest(floor(ux)+h,0),6) bx FROM dp,range(0,2) a(i),range(0,2) b(j),range(0,2) d(h)),
+gate AS (SELECT k.t,k.c,k.z,k.y,k.x FROM dk k LEFT JOIN dl ON dl.t=k.t AND dl.c=k.c AND dl.bz=k.bz AND dl.by_=k.by_ AND dl.bx=k.bx GROUP BY 1,2,3,4,5,k.v
+  HAVING floor(sum(f::DOUBLE*coalesce(sigma,0))+1e-6)>=2.55 AND k.v>=floor(sum(f::DOUBLE*coalesce(mean,0))+1e-6))"""
+
+
+@query(f"WITH RECURSIVE {VOX}, {_gate_sql('vox')}, {runs_sql('SELECT t,c,z,y,x FROM vox JOIN gate USING (t,c,z,y,x) WHERE v>200')} SELECT * FROM grown")
 def g03_density_grow(spark, sf_dir):
     return density.density_grow(voxels(spark, sf_dir), DIMS, 200)
 
@@ -670,7 +685,7 @@ def g04_distance_grow(spark, sf_dir):
     return density.distance_grow(voxels(spark, sf_dir), DIMS, 100, most=6)
 
 
-@query()
+@query(f"WITH RECURSIVE {VOX}, {_DIST}, {_gate_sql('dw')}, {runs_sql('SELECT t,c,z,y,x FROM dw JOIN gate USING (t,c,z,y,x) WHERE v>100')} SELECT * FROM grown")
 def g05_distance_density_grow(spark, sf_dir):
     return density.distance_density_grow(voxels(spark, sf_dir), DIMS, 100, most=6)
 
