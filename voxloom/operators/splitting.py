@@ -70,7 +70,7 @@ def clustered(points: DataFrame, centres: DataFrame) -> DataFrame:
 
 def component_kmeans(points: DataFrame, wanted: DataFrame, eps: float = 1e-6, rounds: int = 100) -> DataFrame:
     """t, c, label, k, centres, settled: weighted k-means inside every component; clusters that go empty keep their centre."""
-    state = seed_centres(points, wanted).withColumn("settled", F.lit(False))
+    state = seed_centres(points, wanted)
     done = None
     for n in range(rounds):
         sums = clustered(points, state).groupBy(*KEY, "cluster").agg(F.sum("w").alias("w"), *[F.sum(F.col(q) * F.col("w")).alias(f"s{q}") for q in AT])
@@ -207,13 +207,17 @@ def split_components(vox: DataFrame, wanted: DataFrame, trust: float = 0.9, spac
 
 
 def forked(links: DataFrame) -> DataFrame:
-    """t, c, label, k: components of the later frame with k >= 2 links that hold (link = 1) from the frame before."""
-    return links.where("link = 1").groupBy((F.col("t") + 1).cast("int").alias("t"), "c", F.col("v2").alias("label")).agg(F.count_distinct("v1").cast("int").alias("k")).where("k >= 2")
+    """t, c, label, k: components with k >= 2 links that hold (link = 1) to one neighbouring frame; to both, the greater number."""
+    held = links.where("link = 1")
+    ahead = held.groupBy("t", "c", F.col("v1").alias("label")).agg(F.count_distinct("v2").alias("k"))
+    back = held.groupBy((F.col("t") + 1).cast("int").alias("t"), "c", F.col("v2").alias("label")).agg(F.count_distinct("v1").alias("k"))
+    return ahead.unionByName(back).groupBy(*KEY).agg(F.max("k").cast("int").alias("k")).where("k >= 2")
 
 
-def far_ends(links: DataFrame) -> DataFrame:
-    """t, c, set, label: the components of the later frame that hold links to one and the same component, named by it, where they are two or more."""
-    rows = links.where("link = 1").select((F.col("t") + 1).cast("int").alias("t"), "c", F.col("v1").alias("set"), F.col("v2").alias("label")).distinct()
+def far_ends(links: DataFrame, back: bool = False) -> DataFrame:
+    """t, c, set, label: components of the later frame (``back``: the earlier one) that hold links to one component, which names the set, where they are two or more."""
+    near, far, step = ("v2", "v1", 0) if back else ("v1", "v2", 1)
+    rows = links.where("link = 1").select((F.col("t") + step).cast("int").alias("t"), "c", F.col(near).alias("set"), F.col(far).alias("label")).distinct()
     return rows.withColumn("n", F.count("*").over(Window.partitionBy("t", "c", "set"))).where("n >= 2").drop("n")
 
 
@@ -269,6 +273,7 @@ def local_centres(points: DataFrame, eps: float = 1e-3, rounds: int = 30) -> Dat
     less than the round before.  x, y, z are the last mean if its last move was below
     a half, else the first one.
     """
+    points = cut(points)
     firsts = cut(first_fit(points))
     state = firsts.select(*KEY, "o", F.lit(0.0).alias("last"), F.lit(0).alias("risen"))
     done = None
