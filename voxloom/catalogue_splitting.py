@@ -1,14 +1,18 @@
-"""Registered queries of component splits, merges and local fits, and their DuckDB SQL."""
+"""Registered queries of component splits, merges and local fits and of bricked files, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .catalogue import query
 from .catalogue_matching import _SETTLED
 from .operators import matching, splitting, tracking
+from .operators.graph import shared_folder
 from .operators.segmentation import BITS
-from .plans.adapters import VOX, voxels
+from .plans.adapters import DIMS, VOX, voxels
+from .sources import bricks
 
 _PAIRS = splitting.PAIRS
 _ID = f"((CAST(z AS BIGINT)<<{2 * BITS})|(CAST(y AS BIGINT)<<{BITS})|CAST(x AS BIGINT))"
@@ -111,3 +115,13 @@ def r12_r19_merge_verdicts(spark, sf_dir):
     """Whether the components that a track runs out into are one cluster by density."""
     vox = voxels(spark, sf_dir)
     return splitting.merge_verdicts(vox, splitting.far_ends(matching.settled_links(tracking.frame_links(vox))))
+
+
+@query(f"""WITH {VOX} SELECT 0 AS level,t,c,z,y,x,v FROM vox WHERE v>0 AND y>=5 UNION ALL
+SELECT * FROM (SELECT 1 AS level,t,c,z>>1 AS z,y>>1 AS y,x>>1 AS x,CAST(floor(avg(v)) AS INT) AS v FROM vox GROUP BY ALL) WHERE v>0 AND y>=5""")
+def s16_bricked_levels(spark, sf_dir):
+    """The volume written as zlib bricks of two levels, and all of both that lies beyond a plane read back."""
+    folder = f"{shared_folder(spark).removeprefix('file:')}/bricks-{uuid.uuid4().hex}"
+    path = bricks.save(voxels(spark, sf_dir), folder, DIMS, (4, 16, 16), levels=2)
+    both = [bricks.load(spark, path, k).where("v > 0 and y >= 5").select(F.lit(k).alias("level"), "t", "c", "z", "y", "x", "v") for k in (0, 1)]
+    return both[0].unionByName(both[1])

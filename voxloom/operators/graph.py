@@ -4,25 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table written below spark.checkpoint.dir, which cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.  In local mode the warehouse serves where it is unset."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (top or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
 
-    A cluster must name that folder; in local mode the warehouse serves where it is unset.
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table written below ``shared_folder``, which cuts its lineage.
 
     A checkpoint would carry the estimated sizes of its plan along; joins
     multiply these, so in a loop the planner alone would take twice as long
     each round.
     """
     spark = df.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    top = top or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    path = f"{top.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
