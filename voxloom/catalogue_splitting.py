@@ -1,17 +1,18 @@
-"""Registered queries of component splits, merges and local fits and of bricked files, and their DuckDB SQL."""
+"""Registered queries of component splits, merges and local fits, of bricked files and of two cameras, and their DuckDB SQL."""
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .catalogue import query
 from .catalogue_matching import _SETTLED
-from .operators import matching, splitting, tracking
+from .operators import matching, splitting, stereo, tracking
 from .operators.graph import shared_folder
 from .operators.segmentation import BITS
-from .plans.adapters import DIMS, VOX, voxels
+from .plans.adapters import DIMS, RULERS, VOX, ruler_points, voxels
 from .sources import bricks
 
 _PAIRS = splitting.PAIRS
@@ -125,3 +126,22 @@ def s16_bricked_levels(spark, sf_dir):
     path = bricks.save(voxels(spark, sf_dir), folder, DIMS, (4, 16, 16), levels=2)
     both = [bricks.load(spark, path, k).where("v > 0 and y >= 5").select(F.lit(k).alias("level"), "t", "c", "z", "y", "x", "v") for k in (0, 1)]
     return both[0].unionByName(both[1])
+
+
+_PLACES = {"x": "(x % 97 - 48) / 10.0", "y": "(y - 48) / 10.0", "z": "z / 10.0 + 8.0"}
+#: The second camera's rows: turned about y, one unit away.
+_SECOND = np.array([[0.96, 0.0, 0.28, -0.8], [0.0, 1.0, 0.0, 0.0], [-0.28, 0.0, 0.96, 0.6]])
+
+
+@query(f"WITH {RULERS} SELECT ruler,0 AS n,t,{','.join(f'round(({p})::DOUBLE,4)+0 AS {k}' for k, p in _PLACES.items())} FROM rul")
+def v16_triangulated(spark, sf_dir):
+    """Points as two cameras see them; the second camera is found from the views alone, then the points come back."""
+    points = ruler_points(spark, sf_dir).select("ruler", F.lit(0).alias("n"), "t", *[F.expr(p).cast("double").alias(k) for k, p in _PLACES.items()])
+
+    def seen(camera):
+        row = lambda i: sum((F.col(k) * float(camera[i, j]) for j, k in enumerate("xyz")), F.lit(float(camera[i, 3])))
+        return points.select("ruler", "n", "t", (row(0) / row(2)).alias("x"), (row(1) / row(2)).alias("y"))
+
+    pairs = stereo.paired(seen(stereo.FIRST), seen(_SECOND))
+    found = stereo.triangulated(pairs, stereo.FIRST, stereo.second_camera(pairs))
+    return found.withColumns({k: F.round(k, 4) + 0.0 for k in "xyz"})
