@@ -1,4 +1,4 @@
-"""Registered queries of component splits, merges and local fits, of bricked files and of two cameras, and their DuckDB SQL."""
+"""Registered queries of component splits, merges and local fits, of bricked files, two cameras and relaxation, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import query
 from .catalogue_matching import _SETTLED
-from .operators import matching, splitting, stereo, tracking
+from .operators import matching, relaxation, splitting, stereo, tracking
 from .operators.graph import shared_folder
 from .operators.segmentation import BITS
 from .plans.adapters import DIMS, RULERS, VOX, ruler_points, voxels
@@ -145,3 +145,28 @@ def v16_triangulated(spark, sf_dir):
     pairs = stereo.paired(seen(stereo.FIRST), seen(_SECOND))
     found = stereo.triangulated(pairs, stereo.FIRST, stereo.second_camera(pairs))
     return found.withColumns({k: F.round(k, 4) + 0.0 for k in "xyz"})
+
+
+_PULL = ",".join(f"round(sum((v.{k}-p.{k})*v.w/f/f)/sum(v.w)+1e-8,5)+0 AS p{k}" for k in "xyz")
+
+
+@query(f"""WITH {VOX}, {RULERS}, p AS (SELECT ruler,t AS n,CAST(x%50 AS DOUBLE) x,CAST(y AS DOUBLE) y,CAST(z AS DOUBLE) z FROM rul), v AS (SELECT CAST(x AS DOUBLE) x,CAST(y AS DOUBLE) y,CAST(z AS DOUBLE) z,v/255.0::DOUBLE AS w FROM vox WHERE v>0),
+g AS (SELECT CAST(a AS DOUBLE) a, CAST(b AS DOUBLE) b, CAST(d AS DOUBLE) d FROM range(-3,4) i(a), range(-3,4) j(b), range(-3,4) k(d) WHERE a*a+b*b+d*d<=9),
+n AS (SELECT p.*,x+a AS qx,y+b AS qy,z+d AS qz,greatest(1.0::DOUBLE,sqrt(a*a+b*b+d*d)) AS f FROM p, g)
+SELECT p.ruler,p.n,{_PULL} FROM n p JOIN v ON v.x=qx AND v.y=qy AND v.z=qz GROUP BY p.ruler,p.n""")
+def v15_pulls(spark, sf_dir):
+    """How the samples of all frames within three of each ruler point draw it."""
+    points, samples = _relaxation_inputs(spark, sf_dir)
+    return relaxation.pulls(points, samples, 1.0, 3.0).withColumns({f"p{k}": F.round(F.col(f"p{k}") + 1e-8, 5) + 0.0 for k in "xyz"})
+
+
+@query()
+def v15_relaxed(spark, sf_dir):
+    """Rulers after three rounds of pulls and springs."""
+    points, samples = _relaxation_inputs(spark, sf_dir)
+    return relaxation.relaxed(points, samples, rounds=3, reach=3.0)
+
+
+def _relaxation_inputs(spark, sf_dir):
+    points = ruler_points(spark, sf_dir).select("ruler", F.col("t").alias("n"), (F.col("x") % 50).cast("double").alias("x"), "y", "z")
+    return points, voxels(spark, sf_dir).where("v > 0").select("x", "y", "z", (F.col("v") / 255.0).alias("w"))
