@@ -22,3 +22,7 @@ def test_welding_sends_no_mesh_through_the_driver(spark, sheet):
     for df in (mesh.welded(sheet[0], 1e-3), clustering.close_pairs(sheet[0], 1e-3)):
         assert "Broadcast" not in plan(df)
     assert mesh.welded(sheet[0], 1e-3).where("id <> first").count() == 0
+
+
+def test_simplifying_sends_no_mesh_through_the_driver(sheet):
+    assert "Broadcast" not in plan(mesh.simplified(*sheet, 0.1)[1])
