@@ -26,3 +26,7 @@ def test_welding_sends_no_mesh_through_the_driver(spark, sheet):
 
 def test_simplifying_sends_no_mesh_through_the_driver(sheet):
     assert "Broadcast" not in plan(mesh.simplified(*sheet, 0.1)[1])
+
+
+def test_smoothing_sends_no_mesh_through_the_driver(sheet):
+    assert "Broadcast" not in plan(mesh.smoothed(*sheet))
