@@ -30,3 +30,10 @@ def test_simplifying_sends_no_mesh_through_the_driver(sheet):
 
 def test_smoothing_sends_no_mesh_through_the_driver(sheet):
     assert "Broadcast" not in plan(mesh.smoothed(*sheet))
+
+
+def test_colouring_sends_no_mesh_through_the_driver(spark, sheet):
+    vox = spark.createDataFrame([(0, 0, 0, 1, 1, 200, 3)], "t int, c int, z int, y int, x int, v int, label long")
+    vertices = sheet[0].select("*", F.lit(0).alias("t"), F.lit(0).alias("c"))
+    assert "Broadcast" not in plan(mesh.coloured(vertices, vox))
+    assert mesh.coloured(vertices, vox).where("alpha > 0").count() == 1
