@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import clustering, mesh
+from voxloom.operators import clustering, mesh, relaxation
 
 
 def plan(df):
@@ -37,3 +37,15 @@ def test_colouring_sends_no_mesh_through_the_driver(spark, sheet):
     vertices = sheet[0].select("*", F.lit(0).alias("t"), F.lit(0).alias("c"))
     assert "Broadcast" not in plan(mesh.coloured(vertices, vox))
     assert mesh.coloured(vertices, vox).where("alpha > 0").count() == 1
+
+
+def test_pulls_send_no_points_through_the_driver(spark):
+    points = spark.range(60).select(F.lit(1).alias("ruler"), "id", (F.col("id") % 7).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")).withColumnRenamed("id", "n")
+    few = spark.createDataFrame([(1.0, 0.0, 1.0, 0.5)], "x double, y double, z double, w double")
+    # Samples of one place are met once, whatever their number, and either side may be the larger.
+    many = few.unionByName(few).unionByName(spark.range(90).select((F.col("id") + 100.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(0.5).alias("w")))
+    got = [relaxation.pulls(points, s, 1.0, 2.0) for s in (few, many)]
+    assert all("Broadcast" not in plan(df) for df in got)
+    rows = [sorted(map(tuple, df.collect())) for df in got]
+    assert rows[0] == rows[1] and len(rows[0]) == sum(k % 7 <= 2 for k in range(60))
+    assert relaxation.summed(many).count() == 91

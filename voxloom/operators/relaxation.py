@@ -23,18 +23,38 @@ def _unit(parts: list[Column]) -> list[Column]:
     return [F.when(size > 0, p / size).otherwise(0.0) for p in parts]
 
 
+def summed(samples: DataFrame) -> DataFrame:
+    """``samples`` (x, y, z, w) above zero, those of one place as one of their summed w: they draw alike."""
+    return samples.where("w > 0").groupBy(*[F.col(k).cast("double").alias(k) for k in AT]).agg(F.sum(F.col("w").cast("double")).alias("w"))
+
+
 def pulls(points: DataFrame, samples: DataFrame, rest: float, reach: float) -> DataFrame:
     """ruler, n, px, py, pz: the mean pull on each point of the samples (x, y, z, w) within ``reach``, weighed by w and the inverse square of the distance.
 
     Distances below ``rest`` count as ``rest``.  A range join over cells of
-    side ``reach``; a point is sent to 27 cells, samples to their own alone,
-    and pulls are summed before they are shuffled.  Points without samples are left out.
+    side ``reach``; the side of fewer rows, places of samples or points, is sent to 27
+    cells and the other to its own alone, and pulls are summed before they are
+    shuffled.  Points without samples are left out.
     """
+    return _drawn(points, cut(summed(samples)), rest, reach)
+
+
+def _drawn(points: DataFrame, samples: DataFrame, rest: float, reach: float) -> DataFrame:
+    """``pulls`` of samples that ``summed`` gave."""
     cell = lambda k: F.floor(F.col(k) / reach).cast("long")
     step = F.explode(F.array(*[F.struct(*[F.lit(q).alias(k) for k, q in zip(AT, d, strict=True)]) for d in product((-1, 0, 1), repeat=3)])).alias("d")
-    spots = points.select("ruler", "n", *[F.col(k).alias(f"p{k}") for k in AT], *[cell(k).alias(f"h{k}") for k in AT], step)
-    spots = spots.select("ruler", "n", *[f"p{k}" for k in AT], *[(F.col(f"h{k}") + F.col(f"d.{k}")).alias(f"g{k}") for k in AT])
-    near = spots.join(samples.where("w > 0").select(*AT, "w", *[cell(k).alias(f"g{k}") for k in AT]), [f"g{k}" for k in AT])
+
+    def celled(rows: DataFrame, names: list[str], around: bool) -> DataFrame:
+        rows = rows.select(*rows.columns, *[cell(k).alias(f"g{q}") for k, q in zip(names, AT, strict=True)])
+        if around:
+            rows = rows.select("*", step)
+            rows = rows.withColumns({f"g{k}": F.col(f"g{k}") + F.col(f"d.{k}") for k in AT}).drop("d")
+        return rows
+
+    few = samples.count() <= points.count()
+    spots = celled(points.select("ruler", "n", *[F.col(k).alias(f"p{k}") for k in AT]), [f"p{k}" for k in AT], not few)
+    # The planner's sizes do not count the 27 cells, so the join is named.
+    near = spots.join(celled(samples.select(*AT, "w"), list(AT), few).hint("merge"), [f"g{k}" for k in AT])
     gap = {k: F.col(k) - F.col(f"p{k}") for k in AT}
     near = near.withColumn("dist", _length(*gap.values())).where(F.col("dist") <= reach)
     far = F.greatest("dist", F.lit(float(rest)))
@@ -50,9 +70,9 @@ def sprung(points: DataFrame) -> DataFrame:
 
 
 def relax_round(state: DataFrame, samples: DataFrame, rest: float = 1.0, reach: float = 10.0, pull: float = 1.0, stretch: float = 2.0, bend: float = 3.0) -> DataFrame:
-    """One round of ``relaxed``: ``state`` is what ``sprung`` gives, with its points moved."""
+    """One round of ``relaxed``: ``state`` is what ``sprung`` gives, with its points moved, ``samples`` what ``summed`` gives."""
     order = Window.partitionBy("ruler").orderBy("n")
-    rows = state.join(pulls(state.where("not locked"), samples, rest, reach), ["ruler", "n"], "left")
+    rows = state.join(_drawn(state.where("not locked"), samples, rest, reach), ["ruler", "n"], "left")
     away = {side: [f(k).over(order) - F.col(k) for k in AT] for side, f in (("back", F.lag), ("ahead", F.lead))}
     rows = rows.withColumns({f"{side}_{k}": F.coalesce(d, F.lit(0.0)) for side, ds in away.items() for k, d in zip(AT, ds, strict=True)})
     to = {side: [F.col(f"{side}_{k}") for k in AT] for side in away}
@@ -81,7 +101,7 @@ def relaxed(points: DataFrame, samples: DataFrame, rounds: int = 10, rest: float
     ``stretch`` of that.  Locked points (locked; null is free) stay.  Without samples springs act alone.
     """
     free = points.withColumn("locked", F.coalesce("locked", F.lit(False))) if "locked" in points.columns else points.withColumn("locked", F.lit(False))
-    state, samples = cut(sprung(free)), cut(samples.select(*[F.col(k).cast("double").alias(k) for k in AT], F.col("w").cast("double").alias("w")))
+    state, samples = cut(sprung(free)), cut(summed(samples))
     for _ in range(rounds):
         state = cut(relax_round(state, samples, rest, reach, pull, stretch, bend))
     return state.select("ruler", "n", *AT)
