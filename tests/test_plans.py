@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import clustering, mesh, relaxation
+from voxloom.operators import clustering, mesh, relaxation, resample
 
 
 def plan(df):
@@ -49,3 +49,15 @@ def test_pulls_send_no_points_through_the_driver(spark):
     rows = [sorted(map(tuple, df.collect())) for df in got]
     assert rows[0] == rows[1] and len(rows[0]) == sum(k % 7 <= 2 for k in range(60))
     assert relaxation.summed(many).count() == 91
+
+
+@pytest.mark.parametrize("most", [0, 300_000])
+def test_profiles_sum_nothing_along_rulers(spark, monkeypatch, most):
+    monkeypatch.setattr(resample, "BROADCAST_SAMPLES", most)
+    points = spark.createDataFrame([(1, 0, 0, 0, 0), (1, 1, 3, 0, 0), (1, 2, 3, 2, 0), (2, 0, 0, 0, 0)], "ruler long, t int, x int, y int, z int")
+    vox = spark.createDataFrame([(0, 1, 0, 0, 1, 7), (0, 1, 0, 1, 3, 9), (1, 0, 0, 0, 2, 5), (1, 0, 9, 9, 9, 1)], "t int, c int, z int, y int, x int, v int")
+    df = resample.profiles(points, vox)
+    got = {(q.t, q.c, q.ruler, q.bin): (q.n, q["mean"]) for q in df.collect()}
+    assert got == {(t, c, 1, b): (1, {(0, 1, 1): 7.0, (0, 1, 4): 9.0, (1, 0, 2): 5.0}.get((t, c, b), 0.0)) for t, c in ((0, 1), (1, 0)) for b in range(5)}
+    # Bins are not a key of any aggregation.
+    assert not any("bin#" in k.split("]")[0] for k in plan(df).split("keys=[")[1:])
