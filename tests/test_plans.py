@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import clustering, mesh, relaxation, resample
+from voxloom.operators import clustering, mesh, records, relaxation, resample
+from voxloom.operators.graph import cut
 
 
 def plan(df):
@@ -61,3 +62,15 @@ def test_profiles_sum_nothing_along_rulers(spark, monkeypatch, most):
     assert got == {(t, c, 1, b): (1, {(0, 1, 1): 7.0, (0, 1, 4): 9.0, (1, 0, 2): 5.0}.get((t, c, b), 0.0)) for t, c in ((0, 1), (1, 0)) for b in range(5)}
     # Bins are not a key of any aggregation.
     assert not any("bin#" in k.split("]")[0] for k in plan(df).split("keys=[")[1:])
+
+
+def test_nearest_records_sort_no_pairs(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(records, "cut", lambda df: written.append(plan(df)) or cut(df))
+    # Equal inputs, ties and a record without input.
+    rows = [(i, [i % 7, 1]) for i in range(50)] + [(50, None)]
+    df = spark.createDataFrame(rows, "rec_id long, hist array<long>")
+    asked = df.where("rec_id % 10 = 0").select(F.col("rec_id").alias("q_id"), F.col("hist").alias("q_hist"))
+    got = records.nearest(df, asked, block=2)
+    assert {q.q_id: q.rec_id for q in got.collect()} == {0: 49, 10: 45, 20: 48, 30: 44, 40: 47, 50: 50}
+    assert not any("SortAggregate" in p for p in [*written, plan(got)])

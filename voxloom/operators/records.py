@@ -25,19 +25,23 @@ def deleted(records: DataFrame, ids: DataFrame) -> DataFrame:
 def nearest(records: DataFrame, queries: DataFrame, block: int = 1000) -> DataFrame:
     """For each query (q_id, q_hist) the record with the least squared distance; of ties the last.
 
-    ``queries`` is a stated set.  It is taken in blocks of ``block`` rows, each
-    broadcast; the records stream past, and a task keeps one candidate a query.
+    ``queries`` is a stated set.  Equal inputs are compared once, on both
+    sides.  Queries are taken in blocks of ``block`` rows, each broadcast; the
+    records stream past, first for the least distance, then for the last record at it: both
+    are plain numbers, so a task keeps one of each a query and sorts nothing.
     """
     queries = cut(queries.select("q_id", "q_hist"))
-    parts = max(1, -(-queries.count() // block))
-    queries = queries.withColumn("block", F.pmod(F.hash("q_id"), F.lit(parts)))
-    found = []
-    for k in range(parts):
-        j = records.crossJoin(F.broadcast(queries.where(F.col("block") == k).drop("block")))
-        j = j.withColumn("dist", squared_distance(F.col("hist"), F.col("q_hist")))
-        found.append(j.groupBy("q_id").agg(F.min(F.struct("dist", (-F.col("rec_id")).alias("r"))).alias("b")))
-    best = reduce(DataFrame.unionByName, found)
-    return best.select("q_id", (-F.col("b.r")).alias("rec_id"), F.col("b.dist").alias("dist"))
+    asked = cut(queries.groupBy("q_hist").agg(F.min("q_id").alias("ask")))
+    known = cut(records.groupBy("hist").agg(F.max("rec_id").alias("rec_id")))
+    parts = max(1, -(-asked.count() // block))
+    asked = asked.withColumn("block", F.pmod(F.hash("ask"), F.lit(parts)))
+    dist = squared_distance(F.col("hist"), F.col("q_hist"))
+    past = lambda rows, k: known.crossJoin(F.broadcast(rows.where(F.col("block") == k).drop("block"))).withColumn("dist", dist)
+    least = cut(reduce(DataFrame.unionByName, [past(asked, k).groupBy("ask").agg(F.min("dist").alias("least")) for k in range(parts)]))
+    asked = cut(asked.join(least, "ask"))
+    last = [past(asked, k).where(F.col("dist") == F.col("least")).groupBy("ask", "least").agg(F.max("rec_id").alias("rec_id")) for k in range(parts)]
+    best = asked.join(reduce(DataFrame.unionByName, last).drop("least"), "ask")
+    return queries.join(best.select(F.col("q_hist").alias("hist"), "rec_id", "least"), F.col("q_hist").eqNullSafe(F.col("hist"))).select("q_id", "rec_id", F.col("least").alias("dist"))
 
 
 def with_parameters(records: DataFrame, values: dict[str, float]) -> DataFrame:
