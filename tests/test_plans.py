@@ -1,8 +1,10 @@
 """Joins whose sides the planner takes for small, and loops, at sizes that their inputs may have."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxloom import catalogue_splitting
 from voxloom.operators import clustering, mesh, records, relaxation, resample
 from voxloom.operators.graph import cut
 
@@ -74,3 +76,10 @@ def test_nearest_records_sort_no_pairs(spark, monkeypatch):
     got = records.nearest(df, asked, block=2)
     assert {q.q_id: q.rec_id for q in got.collect()} == {0: 49, 10: 45, 20: 48, 30: 44, 40: 47, 50: 50}
     assert not any("SortAggregate" in p for p in [*written, plan(got)])
+
+
+def test_two_views_are_paired_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalogue_splitting.stereo, "second_camera", lambda pairs: seen.append(plan(pairs)) or np.array([[1.0, 0, 0, -1], [0, 1, 0, 0], [0, 0, 1, 0]]))
+    catalogue_splitting.v16_triangulated(spark, "/root/testdata/sf0.001")
+    assert "Join" not in seen[0]

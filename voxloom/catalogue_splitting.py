@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .catalogue import query
 from .catalogue_matching import _SETTLED
 from .operators import matching, relaxation, splitting, stereo, tracking
-from .operators.graph import shared_folder
+from .operators.graph import cut, shared_folder
 from .operators.segmentation import BITS
 from .plans.adapters import DIMS, RULERS, VOX, ruler_points, voxels
 from .sources import bricks
@@ -136,13 +136,15 @@ _SECOND = np.array([[0.96, 0.0, 0.28, -0.8], [0.0, 1.0, 0.0, 0.0], [-0.28, 0.0,
 @query(f"WITH {RULERS} SELECT ruler,0 AS n,t,{','.join(f'round(({p})::DOUBLE,4)+0 AS {k}' for k, p in _PLACES.items())} FROM rul")
 def v16_triangulated(spark, sf_dir):
     """Points as two cameras see them; the second camera is found from the views alone, then the points come back."""
-    points = ruler_points(spark, sf_dir).select("ruler", F.lit(0).alias("n"), "t", *[F.expr(p).cast("double").alias(k) for k, p in _PLACES.items()])
+    # Read for both views.
+    points = cut(ruler_points(spark, sf_dir).select("ruler", F.lit(0).alias("n"), "t", *[F.expr(p).cast("double").alias(k) for k, p in _PLACES.items()]))
 
     def seen(camera):
         row = lambda i: sum((F.col(k) * float(camera[i, j]) for j, k in enumerate("xyz")), F.lit(float(camera[i, 3])))
         return points.select("ruler", "n", "t", (row(0) / row(2)).alias("x"), (row(1) / row(2)).alias("y"))
 
-    pairs = stereo.paired(seen(stereo.FIRST), seen(_SECOND))
+    # Calibration reads the pairs three times, and the points come from them.
+    pairs = cut(stereo.paired(seen(stereo.FIRST), seen(_SECOND)))
     found = stereo.triangulated(pairs, stereo.FIRST, stereo.second_camera(pairs))
     return found.withColumns({k: F.round(k, 4) + 0.0 for k in "xyz"})
 

@@ -26,7 +26,7 @@ def in_camera(points: DataFrame, centre: tuple[float, float], focal: float) -> D
 
 def paired(left: DataFrame, right: DataFrame) -> DataFrame:
     """ruler, n, t, x1, y1, x2, y2: points that both views hold; null and non-finite places are left out."""
-    both = left.select(*KEY, F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1")).join(right.select(*KEY, F.col("x").cast("double").alias("x2"), F.col("y").cast("double").alias("y2")), KEY)
+    both = left.select(*KEY, F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1")).join(right.select(*KEY, F.col("x").cast("double").alias("x2"), F.col("y").cast("double").alias("y2")).hint("merge"), KEY)
     held = reduce(lambda a, b: a & b, [F.col(k).isNotNull() & (F.abs(k) < float("inf")) for k in ("x1", "y1", "x2", "y2")])
     return both.where(held)
 
