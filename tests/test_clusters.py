@@ -52,3 +52,22 @@ def test_points_without_a_place_are_noise(spark):
     for weight in (0.0, 0.5):
         got = {q.id: q.cluster for q in clustering.dbscan(spark.createDataFrame(points, SCHEMA), 1.5, 3, weight).collect()}
         assert got == {i: 1 if i < 4 else None for i in range(16)}
+
+
+def test_noise_alone_looks_around(spark, written):
+    r = np.random.default_rng(6)
+    spots = np.concatenate([r.normal(0, 3, (300, 3)), r.normal(40, 3, (300, 3)), r.random((30, 3)) * 80 - 20])
+    points = spark.createDataFrame([(i, *map(float, p), 1.0) for i, p in enumerate(spots)], SCHEMA)
+    clusters = {i: 0 if i < 300 else 300 if i < 600 else None for i in range(len(spots))}
+    named = spark.createDataFrame(list(clusters.items()), "id long, cluster long")
+    got = {q.id: q.cluster for q in clustering.without_noise(points, named, 20.0).collect()}
+    near = np.linalg.norm(spots[:, None] - spots[None], axis=2) < 20.0
+    while True:
+        votes = {i: [clusters[j] for j in np.flatnonzero(near[i]) if clusters[j] is not None] for i in clusters if clusters[i] is None}
+        found = {i: min(v, key=lambda c: (-v.count(c), c)) for i, v in votes.items() if v}  # noqa: B023
+        if not found:
+            break
+        clusters |= found
+    assert got == clusters
+    # All pairs in reach are 180,000.
+    assert max(written) <= len(spots)
